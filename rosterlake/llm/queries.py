@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import embed_dedup, simhash
+from rosterlake.llm import embed_dedup, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": embed_dedup.query,
+        "op2_cost_balanced_packing": packing.query,
         "op9_simhash_near_dedup": simhash.query,
     }
 
