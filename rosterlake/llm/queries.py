@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import embed_dedup, packing, simhash
+from rosterlake.llm import embed_dedup, lm_score, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": embed_dedup.query,
         "op2_cost_balanced_packing": packing.query,
+        "op3_backoff_automaton_scores": lm_score.query,
         "op9_simhash_near_dedup": simhash.query,
     }
 
