@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import embed_dedup, lm_score, packing, simhash
+from rosterlake.llm import embed_dedup, lm_score, mixing, packing, quality, simhash
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_embedding_near_dedup": embed_dedup.query,
         "op2_cost_balanced_packing": packing.query,
         "op3_backoff_automaton_scores": lm_score.query,
+        "op5_poisson_mixing": mixing.query,
+        "op8_line_first_cleaning": quality.query,
         "op9_simhash_near_dedup": simhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_poisson_mixing": mixing.SQL}
