@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import embed_dedup, lm_score, mixing, packing, quality, simhash
+from rosterlake.llm import embed_dedup, langid, lm_score, mixing, packing, quality, simhash, urlfilter
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_cost_balanced_packing": packing.query,
         "op3_backoff_automaton_scores": lm_score.query,
         "op5_poisson_mixing": mixing.query,
+        "op6_byte_cnn_language_id": langid.query,
+        "op7_url_model_ratio": urlfilter.query,
         "op8_line_first_cleaning": quality.query,
         "op9_simhash_near_dedup": simhash.query,
     }
