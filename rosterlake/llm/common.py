@@ -97,4 +97,4 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], buckets: int, out:
     starts = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_s"))
     inner = W.partitionBy(*by, "_b").orderBy(*order)
     numbered = dealt.withColumn("_r", F.row_number().over(inner) - 1)
-    return numbered.join(F.broadcast(starts), [*by, "_b"]).select(*names, (F.col("_s") + F.col("_r")).cast("long").alias(out))
+    return numbered.join(starts, [*by, "_b"]).select(*names, (F.col("_s") + F.col("_r")).cast("long").alias(out))

@@ -59,8 +59,7 @@ def _wishes(linked: DataFrame, quota: DataFrame) -> DataFrame:
         lambda a: a["out"],
     )
     one = ordered.select("g", "m", F.explode(spans).alias("w")).select("g", "m", "w.label", "w.from", "w.upto")
-    q = F.col("upto") - F.col("from")
-    return one.withColumn("q", q).withColumn("class", F.floor(F.log2(q.cast("double"))).cast("int"))
+    return one.withColumn("q", F.col("upto") - F.col("from")).withColumn("class", F.floor(F.log2(F.col("m").cast("double"))).cast("int"))
 
 
 def _granted(wishes: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
@@ -90,9 +89,9 @@ def propagate(linked: DataFrame, shards: int, quota: DataFrame, rounds: int = RO
         plan = materialise(granted.join(full, "g").select("g", "m", "label", "from", "upto"), "plan")
         single = plan.where("upto - from = m").select("g", F.col("label").alias("to"))
         several = plan.where("upto - from < m").groupBy("g").agg(F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("upto", "label"))).alias("spans"))
-        place = _unit("key", seed=17) * F.col("m")
+        own = ranked(now.join(several.select("g"), "g", "left_semi").select("key", "g"), ["g"], [F.col("key")], BUCKETS, "place")
         moved = now.join(single, "g").select("key", "g", F.col("to").alias("label")).unionByName(
-            now.join(several, "g").select("key", "g", F.element_at(F.filter("spans", lambda s: s["upto"] > place), 1)["label"].alias("label"))
+            own.join(several, "g").select("key", "g", F.element_at(F.filter("spans", lambda s: s["upto"] > F.col("place")), 1)["label"].alias("label"))
         )
         moved = materialise(moved, "moved")
         done = moved if done is None else done.unionByName(moved)
