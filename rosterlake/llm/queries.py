@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import embed_dedup, langid, lm_score, mixing, packing, quality, simhash, urlfilter
+from rosterlake.llm import embed_dedup, langid, lm_score, mixing, packing, quality, shard, simhash, suffix, urlfilter
 
 
 def queries() -> dict:
@@ -10,11 +10,13 @@ def queries() -> dict:
         "op1_embedding_near_dedup": embed_dedup.query,
         "op2_cost_balanced_packing": packing.query,
         "op3_backoff_automaton_scores": lm_score.query,
+        "op4_label_propagation_sharding": shard.query,
         "op5_poisson_mixing": mixing.query,
         "op6_byte_cnn_language_id": langid.query,
         "op7_url_model_ratio": urlfilter.query,
         "op8_line_first_cleaning": quality.query,
         "op9_simhash_near_dedup": simhash.query,
+        "op10_suffix_dedup": suffix.query,
     }
 
 
