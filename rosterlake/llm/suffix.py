@@ -36,7 +36,7 @@ from rosterlake.llm.common import materialise, only
 
 SPAN = 200
 CORE = 64
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 FILTER_BITS = 26
 DENSE = 4096
 
@@ -63,6 +63,7 @@ def _tables() -> dict[str, np.ndarray]:
         size = CHUNK + 4 * SPAN + 1
         _TABLES["up"] = _powers(_BASE, size)
         _TABLES["down"] = _powers(pow(_BASE, -1, 1 << 64), size)
+        _TABLES["place"] = (_LOW - np.arange(size)).astype(np.uint64)  # the later position is the smaller number
         _TABLES["byte"] = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
     return _TABLES
 
@@ -94,8 +95,9 @@ def samples(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[Has
     if n < SPAN:
         none = np.empty(0, np.int64)
         return hashes, none, none, none
-    at = np.arange(n - CORE + 1)
-    low = (hashes.of(at, CORE) & ~np.uint64(_LOW)) | (_LOW - at).astype(np.uint64)
+    low = (hashes.prefix[CORE:] - hashes.prefix[: n - CORE + 1]) * hashes.down[: n - CORE + 1]
+    low &= ~np.uint64(_LOW)
+    low |= _tables()["place"][: len(low)]
     reach, width = 1, SPAN - CORE + 1
     while 2 * reach <= width:
         low = np.minimum(low[: len(low) - reach], low[reach:])
@@ -108,8 +110,9 @@ def samples(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[Has
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - SPAN + 1, -1)
     valid = np.cumsum(inside)[: len(core)] > 0
-    text = np.searchsorted(starts, np.arange(len(core)), side="right")
-    new = valid & np.r_[True, ~valid[:-1] | (core[1:] != core[:-1]) | (text[1:] != text[:-1])]
+    new = np.r_[True, core[1:] != core[:-1]]
+    new[starts[long]] = True
+    new &= valid
     first = np.flatnonzero(new)
     end = valid & np.r_[~valid[1:] | new[1:], True]
     return hashes, core[first], first, np.flatnonzero(end)
