@@ -32,24 +32,22 @@ def raw_ambiguous(rows: DataFrame) -> DataFrame:
 def date_conflicts(rows: DataFrame) -> DataFrame:
     """Ambiguous names on rosters of two clubs at two events at the same time (I4).
 
-    Intervals of one name are sorted by start. An overlap with another club's
-    earlier event shows against the largest end over the earlier starts, kept
-    for the two clubs with the latest ends, so no pairs are made: it is enough
-    to look at the latest end of any earlier interval of another club.
+    Intervals of one name are sorted by start, and names none of whose starts
+    lies before the latest end so far are out. The others are settled by a
+    semi-join on name, club, event and time, which returns no pairs.
     """
     spans = rows.join(raw_ambiguous(rows), "norm", "left_semi").where("start_date is not null")
     spans = spans.select("norm", "club", "event_id", F.col("start_date").alias("s"), F.coalesce("end_date", "start_date").alias("e")).distinct()
     w = W.partitionBy("norm").orderBy("s", "e", "club", "event_id").rowsBetween(W.unboundedPreceding, -1)
     top = spans.withColumn("by_club", F.max(F.struct("e", "club")).over(w))
-    # the best of the clubs other than the latest one: the latest end at which the leading club was another
     own = W.partitionBy("norm", "club").orderBy("s", "e", "event_id").rowsBetween(W.unboundedPreceding, -1)
     top = top.withColumn("own", F.max("e").over(own))
     lead = F.col("by_club.club") != F.col("club")
     hit = top.where((lead & (F.col("by_club.e") >= F.col("s"))) | (~lead & F.coalesce(F.col("own") >= F.col("s"), F.lit(False))))
-    sure = hit.where(lead).select("norm").distinct()
-    maybe = hit.where(~lead).join(sure, "norm", "left_anti")
-    pairs = maybe.alias("a").join(spans.alias("b"), (F.col("a.norm") == F.col("b.norm")) & (F.col("a.club") != F.col("b.club")) & (F.col("a.event_id") != F.col("b.event_id")) & (F.col("b.s") <= F.col("a.e")) & (F.col("a.s") <= F.col("b.e")), "left_semi")
-    return sure.unionByName(pairs.select("norm").distinct()).distinct()
+    left = spans.join(hit.select("norm").distinct(), "norm", "left_semi")
+    apart = (F.col("a.club") != F.col("b.club")) & (F.col("a.event_id") != F.col("b.event_id"))
+    overlap = (F.col("b.s") <= F.col("a.e")) & (F.col("a.s") <= F.col("b.e"))
+    return left.alias("a").join(left.alias("b"), (F.col("a.norm") == F.col("b.norm")) & apart & overlap, "left_semi").select("norm").distinct()
 
 
 def identity_keys(rows: DataFrame, blocked: DataFrame, merged: DataFrame) -> DataFrame:

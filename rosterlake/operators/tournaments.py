@@ -42,9 +42,10 @@ def bracket_trees(edges: DataFrame, rounds: int = 40) -> DataFrame:
         new = now.join(step, "at").select("game", F.col("then").alias("at"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("then") != F.col("at")).alias("moved"))
         new = written(new, "chain")
         if not new.where("moved").limit(1).count():
-            return new.select("game", F.col("at").alias("root"), "hops")
+            now = new
+            break
         now = new.drop("moved")
-    roots = now.where("game = at").select("at")
+    roots = edges.where("next is null").select(F.col("game").alias("at"))
     return now.join(roots, "at").select("game", F.col("at").alias("root"), "hops")
 
 

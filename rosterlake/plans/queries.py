@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterlake import vocab
 from rosterlake.functions import measures, names
 from rosterlake.operators import api, corpus, identity, metrics, rankings, ratings, tournaments, trends
+from rosterlake.sources import tables
 from rosterlake.sources.demo import duck_with, view
 
 AS_OF = "1999-06-30"
@@ -725,3 +726,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 best players by player Elo with 90 % bounds."""
     _, state = _replay(Views(spark, sf_dir))
     return rankings.rank_players(state.select("player", "rating", "games"), min_games=3).orderBy("rank").limit(25)
+
+
+@query("s25_page_links", " SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS n_links FROM pages")
+def _(v):
+    pages = v.spark.read.parquet(f"{v.sf_dir}/pages.parquet")
+    links = tables.extract_page_rows(pages).where("kind = 'link'").groupBy("page_id").agg(F.countDistinct("target").alias("n"))
+    return pages.select("page_id").join(links, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n_links"))
