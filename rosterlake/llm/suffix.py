@@ -27,7 +27,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -249,22 +248,41 @@ def _spans_of(bodies: list[bytes], off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(who), np.concatenate(place), np.concatenate(key)
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The spans of one core's contexts that stand in two of them: runs (g, from, more)."""
-    who, place, key = _spans_of(list(pdf["body"]), pdf["off"].to_numpy())
+def _repeated(t: pa.Table) -> pa.RecordBatch:
+    """The spans that stand in two of the contexts: runs (g, skip, more). Equal spans have equal cores, so cores need not be told apart."""
+    who, place, key = _spans_of(t["body"].to_pylist(), t["off"].to_numpy())
     by = np.argsort(key, kind="stable")
     same = key[by][1:] == key[by][:-1]
     hit = np.zeros(len(key), bool)
     hit[by[1:][same]] = True
     hit[by[:-1][same]] = True
-    return _runs(pdf["g"].to_numpy(), who[hit], place[hit])
+    return _runs(t["g"].to_numpy(), who[hit], place[hit])
 
 
-def _runs(g: np.ndarray, who: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+def _by_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by core, compared in pieces that end with a core; no core has more than DENSE contexts here."""
+    kept: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, DENSE):
+            kept.append(batch.slice(at, DENSE))
+            size += kept[-1].num_rows
+            if size > DENSE:
+                t = pa.Table.from_batches(kept).combine_chunks()
+                h = t["h"].to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))
+                if cut:
+                    yield _repeated(t.slice(0, cut))
+                    kept, size = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+    if size:
+        yield _repeated(pa.Table.from_batches(kept))
+
+
+def _runs(g: np.ndarray, who: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     start = np.r_[True, (who[1:] != who[:-1]) | (place[1:] != place[:-1] + 1)] if len(who) else np.empty(0, bool)
     s = np.flatnonzero(start)
     e = np.r_[s[1:] - 1, len(who) - 1] if len(s) else s
-    return pd.DataFrame({"g": g[who[s]], "skip": place[s].astype(np.int32), "more": (place[e] - place[s]).astype(np.int32)})
+    return pa.RecordBatch.from_arrays([pa.array(g[who[s]]), pa.array(place[s].astype(np.int32)), pa.array((place[e] - place[s]).astype(np.int32))], names=["g", "skip", "more"])
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +306,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     again = spark.sparkContext.broadcast(Filter.of(open_.select("h")))
     bodies = text.mapInArrow(_contexts(again), "h long, g long, off int, body binary")
     bodies = materialise(bodies.join(open_, "h"), "bodies")
-    few = bodies.where(F.col("kinds") <= DENSE).dropDuplicates(["h", "g"]).groupBy("h").applyInPandas(_repeated, "g long, skip int, more int")
+    few = bodies.where(F.col("kinds") <= DENSE).dropDuplicates(["h", "g"]).select("h", "g", "off", "body")
+    few = few.repartition("h").sortWithinPartitions("h").mapInArrow(_by_core, "g long, skip int, more int")
     many = bodies.where(F.col("kinds") > DENSE).dropDuplicates(["h", "g"]).select("h", "g", "off", "body").mapInArrow(_span_rows, "g long, skip int, key long")
     pairs = many.groupBy("key").count().where("count > 1").select("key")
     dense = many.join(pairs, "key").select("g", "skip", F.lit(0).alias("more"))
