@@ -176,3 +176,22 @@ def roster_fallback(rosters: DataFrame, teams: DataFrame, index: DataFrame, per_
     extra = index.join(known, "event_team_id", "left_semi").select("event_team_id", "player_id")
     have = rosters.select("event_team_id", "player_id")
     return have.unionByName(extra.join(have, ["event_team_id", "player_id"], "left_anti").distinct())
+
+
+def load_season_stat_events(stats: DataFrame, links: DataFrame, scale: float = 1 / 3) -> DataFrame:
+    """Stat lines of a whole season (S4), dated 1 September: usage is the share of points played on the full team, quality is scaled.
+
+    stats: (pro_id, team_id, year, points_played, quality); links: (pro_id,
+    player_id). Teams with fewer than two linked players give nothing.
+    """
+    w = W.partitionBy("team_id", "year")
+    rows = stats.withColumn("total", F.sum("points_played").over(w)).withColumn("n", F.count("*").over(w)).where("total > 0 and n >= 2").join(links, "pro_id")
+    rows = rows.withColumn("linked", F.count("*").over(w)).where("linked >= 2")
+    return rows.select("team_id", F.make_date("year", F.lit(9), F.lit(1)).alias("end_date"), "player_id", (F.col("points_played") * F.col("n") / F.col("total")).alias("usage"), (F.col("quality") * scale).alias("quality"))
+
+
+def load_pro_rosters(played: DataFrame, links: DataFrame, min_linked: int = 7) -> DataFrame:
+    """Rosters of a game from linked players who took the field, where there are enough of them (S5). played: (game_id, team_id, pro_id, points_played)."""
+    rows = played.where("points_played > 0").join(links, "pro_id").select("game_id", "team_id", "player_id")
+    enough = rows.groupBy("game_id", "team_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_linked).drop("n")
+    return rows.join(enough, ["game_id", "team_id"], "left_semi")

@@ -153,3 +153,18 @@ def link_by_evidence(a: DataFrame, b: DataFrame) -> DataFrame:
     best = cand.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("evidence").over(w)).where("r = 1")
     audit = F.when(F.col("b_id").isNull(), "no-match").when(F.col("evidence") == 0, "no-corroboration").when(F.coalesce("next", F.lit(0)) > 0, "ambiguous")
     return best.select("a_id", F.when(audit.isNull(), F.col("b_id")).alias("b_id"), F.coalesce(audit, F.lit("linked")).alias("audit"))
+
+
+def name_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """How many names two corpora share (I17), one row: all, with one identity on the right, and in a common season."""
+    a = left.groupBy("norm").agg(F.collect_set("season").alias("sa"))
+    b = right.groupBy("norm").agg(F.collect_set("season").alias("sb"), F.countDistinct("identity").alias("n"))
+    both = a.join(b, "norm")
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    return both.agg(F.count("*").alias("shared"), count(F.col("n") == 1).alias("unique"), count((F.col("n") == 1) & F.arrays_overlap("sa", "sb")).alias("same_season"))
+
+
+def mapping_candidates(details: DataFrame) -> DataFrame:
+    """Pairs of events of different sources with equal season, division and squeezed name (I20, J7). details: (id, source, season, division, key)."""
+    b = details.select(F.col("id").alias("other_id"), F.col("source").alias("other_source"), "season", "division", "key")
+    return details.join(b, ["season", "division", "key"]).where("source <> other_source and id < other_id").select("season", "division", "key", "id", "other_id")

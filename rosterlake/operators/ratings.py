@@ -21,7 +21,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rosterlake import vocab
+from rosterlake.functions.measures import outcome
 from rosterlake.operators.graph import components, written
+from rosterlake.operators.metrics import scores
 
 
 @dataclass
@@ -280,7 +282,7 @@ def new_volatility(phi: np.ndarray, sigma: np.ndarray, v: np.ndarray, delta: np.
 
     gap = delta**2 - phi**2 - v
     high = np.where(gap > 0, np.log(np.maximum(gap, 1e-300)), a)
-    low = np.where(gap > 0, a, a - tau)
+    low = np.where(gap > 0, a, a - tau)  # the solution lies between low and high
     while (down := (gap <= 0) & (f(low) < 0)).any():
         low = np.where(down, low - tau, low)
     lo, hi = np.minimum(low, high), np.maximum(low, high)
@@ -292,20 +294,26 @@ def new_volatility(phi: np.ndarray, sigma: np.ndarray, v: np.ndarray, delta: np.
     return np.exp((lo + hi) / 4)
 
 
-def glicko_update(rating: float, rd: float, sigma: float, rivals: list[tuple[float, float, float, float]]) -> tuple[float, float, float]:
-    """One player after a period of (rating, rd, score, weight) results."""
-    r = np.array(rivals)
+def _updated(rating: np.ndarray, rd: np.ndarray, sigma: np.ndarray, results: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Players after a period; a row of results is (player's number, rival's rating and deviation, score, weight)."""
+    i = results[:, 0].astype(int)
     mu, phi = (rating - CENTRE) / SCALE, rd / SCALE
-    g = 1 / np.sqrt(1 + 3 * (r[:, 1] / SCALE) ** 2 / np.pi**2)
-    e = 1 / (1 + np.exp(-g * (mu - (r[:, 0] - CENTRE) / SCALE)))
-    info, rest = float((r[:, 3] * g * g * e * (1 - e)).sum()), float((r[:, 3] * g * (r[:, 2] - e)).sum())
-    if info <= 0:
-        return rating, rd, sigma
-    s = float(new_volatility(np.array([phi]), np.array([sigma]), np.array([1 / info]), np.array([rest / info]))[0])
-    phi = 1 / math.sqrt(1 / (phi * phi + s * s) + info)
+    g = 1 / np.sqrt(1 + 3 * (results[:, 2] / SCALE) ** 2 / np.pi**2)
+    e = 1 / (1 + np.exp(-g * (mu[i] - (results[:, 1] - CENTRE) / SCALE)))
+    info = np.bincount(i, results[:, 4] * g * g * e * (1 - e), len(rating))
+    rest = np.bincount(i, results[:, 4] * g * (results[:, 3] - e), len(rating))
+    info = np.maximum(info, 1e-12)
+    s = new_volatility(phi, sigma, 1 / info, rest / info)
+    phi = 1 / np.sqrt(1 / (phi * phi + s * s) + info)
     return CENTRE + SCALE * (mu + phi * phi * rest), SCALE * phi, s
 
 
+def glicko_update(rating: float, rd: float, sigma: float, rivals: list[tuple[float, float, float, float]]) -> tuple[float, float, float]:
+    """One player after a period of (rating, rd, score, weight) results."""
+    out = _updated(np.array([rating]), np.array([rd]), np.array([sigma]), np.array([(0, *r) for r in rivals], float))
+    return tuple(float(x[0]) for x in out)
+
+
 _GLICKO = "game_key long, event_id long, expected double, player string, rating double, rd double, volatility double, games long"
 
 
@@ -348,10 +356,11 @@ def replay_glicko2(games: DataFrame, rosters: DataFrame, clubs: DataFrame, perio
                 for own, rival, score in ((h, a, won), (a, h, 1 - won)):
                     for p in own:
                         seen.setdefault(p, []).append((*opening[rival], score, 1.0))
-            for p, rivals in seen.items():
-                s = state[p]
-                s[0], s[1], s[2] = glicko_update(s[0], phis[p] * SCALE, s[2], rivals)
-                s[3], s[4] = s[3] + len(rivals), end
+            who = list(seen)
+            flat = np.array([(i, *x) for i, p in enumerate(who) for x in seen[p]])
+            now = np.array([(state[p][0], phis[p], state[p][2]) for p in who])
+            for p, r, rd, v, n in zip(who, *_updated(now[:, 0], now[:, 1] * SCALE, now[:, 2], flat), map(len, seen.values())):
+                state[p] = [r, rd, v, state[p][3] + n, end]
         for p, s in state.items():
             rd = SCALE * math.sqrt((s[1] / SCALE) ** 2 + s[2] ** 2 * max(0, last_day - s[4]) / 30)
             out.append((None, None, None, p, s[0], rd, s[2], s[3]))
@@ -441,9 +450,70 @@ def sweep(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFra
         return out[out["kind"] == "move"][["game_key", "event_id", "expected"]].assign(config=key[0])
 
     pred = rows.crossJoin(F.broadcast(grid)).groupBy("config", "component").applyInPandas(run, "game_key long, event_id long, expected double, config int")
-    from rosterlake.operators.metrics import scores
+    known = games.select("game_key", "event_id", outcome(F.col("home_score"), F.col("away_score")).alias("outcome"))
+    return scores(pred.join(known, ["game_key", "event_id"]), ["config"])
+
 
-    from rosterlake.functions.measures import outcome
+def decay_grid(games: DataFrame, rosters: DataFrame, clubs: DataFrame, regression: list[float], decay: list[float], grace: list[int]) -> DataFrame:
+    """Scores of all combinations of the three kinds of decay."""
+    grid = [(r, d, g) for r in regression for d in decay for g in grace]
+    out = sweep(games, rosters, clubs, None, [EloConfig(regression=r, inactivity_decay=d, inactivity_grace=g) for r, d, g in grid])
+    names = games.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(grid)], "config int, regression double, decay double, grace int")
+    return out.join(F.broadcast(names), "config").drop("config")  # one row per combination
 
+
+def period_comparison(games: DataFrame, rosters: DataFrame, clubs: DataFrame) -> DataFrame:
+    """Glicko-2's scores by the length of its rating period."""
     known = games.select("game_key", "event_id", outcome(F.col("home_score"), F.col("away_score")).alias("outcome"))
-    return scores(pred.join(known, ["game_key", "event_id"]), ["config"])
+    parts = [replay_glicko2(games, rosters, clubs, period=p)[0].withColumn("period", F.lit(p)) for p in ("game", "day", "tournament")]
+    return scores(parts[0].unionByName(parts[1]).unionByName(parts[2]).join(known, ["game_key", "event_id"]), ["period"])
+
+
+def compare_models(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None) -> DataFrame:
+    """Scores of player Elo with softmax and plain means, team Elo by season and throughout, and Glicko-2 (M3)."""
+    known = games.select("game_key", "event_id", outcome(F.col("home_score"), F.col("away_score")).alias("outcome"))
+    models = {
+        "player": replay_player_elo(games, rosters, clubs, stats)[0],
+        "player, plain mean": replay_player_elo(games, rosters, clubs, stats, EloConfig(tau=math.inf))[0],
+        "team, reset": replay_team_elo(games, clubs, kind="reset")[0],
+        "team, carry": replay_team_elo(games, clubs, kind="carry")[0],
+        "glicko": replay_glicko2(games, rosters, clubs)[0],
+    }
+    parts = [m.select("game_key", "event_id", "expected", F.lit(n).alias("model")) for n, m in models.items()]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return scores(union.join(known, ["game_key", "event_id"]), ["model"])
+
+
+def leave_one_out(games: DataFrame, rosters: DataFrame, clubs: DataFrame, targets: DataFrame, cfg: EloConfig | None = None) -> DataFrame:
+    """How the mean log-loss of a player's games changes without the player (R8). targets: (player).
+
+    Every target's component is replayed in a group of its own; a roster of the
+    target alone stays.
+    """
+    rows = written(_cut(stream(games, rosters, clubs, None)), "without")
+    settings = asdict(cfg or EloConfig())
+    where = rows.select("component", F.explode(F.concat("home", "away")).alias("player")).distinct().join(targets, "player")
+    none = pd.DataFrame(columns=[c.split()[0] for c in STATE.split(", ")])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        target = key[0]
+        less = pdf.copy()
+        for side in ("home", "away"):
+            less[side] = [[p for p in t if p != target] or list(t) for t in pdf[side]]
+        took_part = [target in h or target in a for h, a in zip(map(set, pdf["home"]), map(set, pdf["away"]))]
+        mine = set(pdf["game_key"][took_part])
+        out = []
+        for kind, part in (("with", pdf), ("without", less)):
+            moves = _folded(settings, None)(key, part, none)
+            moves = moves[(moves["kind"] == "move") & moves["game_key"].isin(mine)]
+            out.append(moves[["game_key", "expected"]].assign(player=target, replay=kind))
+        return pd.concat(out)
+
+    pred = rows.join(where, "component").groupBy("player", "component").applyInPandas(run, "game_key long, expected double, player string, replay string")
+    known = games.select("game_key", outcome(F.col("home_score"), F.col("away_score")).alias("outcome"))
+    s = scores(pred.join(known, "game_key"), ["player", "replay"])
+    return s.groupBy("player").agg(
+        (F.max(F.when(F.col("replay") == "without", F.col("log_loss"))) - F.max(F.when(F.col("replay") == "with", F.col("log_loss")))).alias("loo"), F.max("n").alias("n_games")
+    )

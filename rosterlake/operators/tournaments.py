@@ -144,3 +144,64 @@ def recover_pools(fix: DataFrame, budget: int = 4000) -> DataFrame:
         return pd.DataFrame(out, columns=["event_id", "pool", "team"]).astype({"event_id": "int64", "pool": "int64", "team": "object"})
 
     return fix.where("done").groupBy("event_id").applyInPandas(run, "event_id long, pool long, team string")
+
+
+def published_brackets(fix: DataFrame) -> DataFrame:
+    """Brackets that a provider published (T4): those with exactly one last round; kind from the place, else from that game's stage.
+
+    fix: (event_id, bracket, round, place, stage, game_key).
+    """
+    rows = fix.where("bracket is not null")
+    root = rows.groupBy("event_id", "bracket").agg(
+        F.sum(F.when(F.col("round") == 0, 1).otherwise(0)).alias("roots"), F.min(F.when(F.col("round") == 0, F.col("stage"))).alias("root_stage"), F.min("place").alias("place"), F.count("*").alias("n_games")
+    )
+    kind = F.when(F.col("place") == 1, "champ").when(F.col("place") > 1, F.concat(F.col("place").cast("string"), F.lit("th"))).otherwise(measures.bracket_kind(F.col("root_stage")))
+    return root.where("roots = 1").select("event_id", "bracket", kind.alias("kind"), "n_games")
+
+
+def label_brackets(fix: DataFrame) -> DataFrame:
+    """Trees of games from stage labels alone (T3): (event_id, kind, tree, game_key, depth).
+
+    Every final of a kind of bracket, or every game of the innermost round that
+    there is, roots a tree; the game of the next round that a team won leads to
+    the game that it plays, and a game is used once.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, part in pdf.sort_values("ord").groupby("kind"):
+            rounds = {r: g for r, g in part.groupby("round")}
+            used: set = set()
+            inner = min(rounds)
+            for tree, root in enumerate(rounds[inner].itertuples(), 1):
+                level = [(root, 0)]
+                used.add(root.game_key)
+                while level:
+                    game, depth = level.pop(0)
+                    out.append((game.event_id, kind, tree, game.game_key, depth))
+                    for team in (game.home_id, game.away_id):
+                        for g in rounds[game.round + 1].itertuples() if game.round + 1 in rounds else ():
+                            if g.game_key not in used and g.winner == team:
+                                used.add(g.game_key)
+                                level.append((g, depth + 1))
+                                break
+        return pd.DataFrame(out, columns=["event_id", "kind", "tree", "game_key", "depth"])
+
+    win = measures.winner(F.col("home_score"), F.col("away_score"), F.col("home_id"), F.col("away_id"))
+    rows = labelled(fix).where("kind is not null and round is not null and done").withColumn("winner", win)
+    return rows.groupBy("event_id").applyInPandas(run, "event_id long, kind string, tree long, game_key long, depth long")
+
+
+def decompose(fix: DataFrame) -> DataFrame:
+    """Where every done game stands (T5): in a labelled bracket, a recovered pool, or loose. One row per game."""
+    done = fix.where("done")
+    brackets = label_brackets(fix).select("event_id", "game_key", F.concat_ws(" ", "kind", "tree").alias("bracket"))
+    rest = done.join(brackets, ["event_id", "game_key"], "left_anti").where("home_id <> away_id")
+    pools = recover_pools(rest)
+    both = rest.join(pools.select("event_id", F.col("team").alias("home_id"), "pool"), ["event_id", "home_id"]).join(
+        pools.select("event_id", F.col("team").alias("away_id"), "pool"), ["event_id", "away_id", "pool"]
+    )
+    pooled = both.groupBy("event_id", "game_key").agg(F.min("pool").alias("pool"))
+    out = done.select("event_id", "game_key").join(brackets, ["event_id", "game_key"], "left").join(pooled, ["event_id", "game_key"], "left")
+    place = F.when(F.col("bracket").isNotNull(), "bracket").when(F.col("pool").isNotNull(), "pool").otherwise("loose")
+    return out.select("event_id", "game_key", place.alias("place"), "bracket", "pool")

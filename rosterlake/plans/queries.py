@@ -321,11 +321,11 @@ def _(v):
     return identity.bridge_candidates(keyed.where("division = 'college'"), keyed.where("division <> 'college'"))
 
 
-@query("i16_match_clubs", _CLUB + """, x AS (SELECT division, split_part(club, ' (', 1) AS key, club FROM clubs JOIN v_team USING (event_team_id) WHERE event_id % 2 = 0), y AS (SELECT division, split_part(club, ' (', 1) AS key, club FROM clubs JOIN v_team USING (event_team_id) WHERE event_id % 2 = 1)
+@query("i16_match_clubs", _CLUB + """, x AS (SELECT division, split_part(club, ' (', 1) AS key, club FROM clubs JOIN v_team USING (event_team_id) WHERE event_id // 10 % 2 = 0), y AS (SELECT division, split_part(club, ' (', 1) AS key, club FROM clubs JOIN v_team USING (event_team_id) WHERE event_id // 10 % 2 = 1)
   SELECT division, key, lc AS left_club, rc AS right_club FROM (SELECT division, key, MIN(club) lc FROM x GROUP BY ALL HAVING COUNT(DISTINCT club) = 1) JOIN (SELECT division, key, MIN(club) rc FROM y GROUP BY ALL HAVING COUNT(DISTINCT club) = 1) USING (division, key)""")
 def _(v):
     rows = v.clubs.join(v.team.select("event_team_id", "division", "event_id"), "event_team_id").withColumn("key", F.split_part("club", F.lit(" ("), F.lit(1)))
-    return identity.match_clubs(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"))
+    return identity.match_clubs(rows.where("event_id div 10 % 2 = 0"), rows.where("event_id div 10 % 2 = 1"))
 
 
 @query("i18_link_by_evidence", """, a AS (SELECT c_custkey AS a_id, c_custkey % 500 AS norm, [c_nationkey] AS cities, [CAST(1995 + c_custkey % 6 AS INT)] AS years FROM customer),
@@ -722,6 +722,87 @@ def _(v):
     return api.games_by_event(v.game, offset=1)
 
 
+# season lines of a professional league from the order lines: player = supplier, team = nation of the order's customer
+_PRO = """, pro AS (SELECT l_suppkey AS pro_id, o_custkey % 12 AS team_id, CAST(year(odate) AS INT) AS year, SUM(CAST(l_quantity AS BIGINT))::BIGINT AS points_played, SUM(CAST(l_quantity AS BIGINT) % 7 - 3)::BIGINT AS quality
+    FROM lineitem JOIN v_order ON l_orderkey = o_orderkey GROUP BY ALL), links AS (SELECT s_suppkey AS pro_id, s_suppkey + 1000 AS player_id FROM supplier WHERE s_suppkey % 3 <> 0)"""
+
+
+def _pro(v) -> tuple[DataFrame, DataFrame]:
+    read = lambda t: v.spark.read.parquet(f"{v.sf_dir}/{t}.parquet")
+    rows = read("lineitem").join(v.order, F.col("l_orderkey") == F.col("o_orderkey"))
+    q = F.col("l_quantity").cast("long")
+    pro = rows.groupBy(F.col("l_suppkey").alias("pro_id"), (F.col("o_custkey") % 12).alias("team_id"), F.year("odate").alias("year")).agg(F.sum(q).alias("points_played"), F.sum(q % 7 - 3).alias("quality"))
+    links = read("supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("pro_id"), (F.col("s_suppkey") + 1000).alias("player_id"))
+    return pro, links
+
+
+@query("s4_season_stats", _PRO + """, w AS (SELECT *, SUM(points_played) OVER x AS total, COUNT(*) OVER x AS n FROM pro WINDOW x AS (PARTITION BY team_id, year)),
+  y AS (SELECT *, COUNT(*) OVER (PARTITION BY team_id, year) AS linked FROM w JOIN links USING (pro_id) WHERE total > 0 AND n >= 2)
+  SELECT team_id, make_date(year, 9, 1) AS end_date, player_id, ROUND(points_played * n / total::DOUBLE, 6) AS usage, ROUND(quality / 3.0, 6)::DOUBLE AS quality FROM y WHERE linked >= 2""")
+def _(v):
+    return corpus.load_season_stat_events(*_pro(v)).withColumns({"usage": F.round("usage", 6), "quality": F.round("quality", 6)})
+
+
+@query("s5_pro_rosters", _PRO + """, r AS (SELECT year AS game_id, team_id, player_id FROM pro JOIN links USING (pro_id) WHERE points_played > 0)
+  SELECT * FROM r WHERE (game_id, team_id) IN (SELECT (game_id, team_id) FROM r GROUP BY game_id, team_id HAVING COUNT(*) >= 7)""")
+def _(v):
+    pro, links = _pro(v)
+    return corpus.load_pro_rosters(pro.withColumnRenamed("year", "game_id"), links)
+
+
+@query("i17_name_overlap", _NAMED + _KEYED + """, a AS (SELECT DISTINCT norm, season FROM keyed WHERE division = 'college'), b AS (SELECT norm, COUNT(DISTINCT identity) AS n FROM keyed WHERE division <> 'college' GROUP BY norm),
+  s AS (SELECT DISTINCT norm FROM a JOIN (SELECT DISTINCT norm, season FROM keyed WHERE division <> 'college') USING (norm, season))
+  SELECT COUNT(*) AS shared, COALESCE(SUM((n = 1)::INT), 0)::BIGINT AS unique, COALESCE(SUM((n = 1 AND norm IN (SELECT norm FROM s))::INT), 0)::BIGINT AS same_season FROM (SELECT DISTINCT norm FROM a) JOIN b USING (norm)""")
+def _(v):
+    keyed = _keyed(v)
+    return identity.name_overlap(keyed.where("division = 'college'"), keyed.where("division <> 'college'"))
+
+
+_DETAIL = """, d AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS source, season, 'all' AS division, lower(replace(name, ' ', '')) AS key FROM v_event)"""
+
+
+@query("i20_mapping_candidates", _DETAIL + " SELECT season, division, key, d.id, e.id AS other_id FROM d JOIN d e USING (season, division, key) WHERE d.source <> e.source AND d.id < e.id")
+def _(v):
+    n = F.col("event_id") % 3
+    source = F.when(n == 0, "a").when(n == 1, "b").otherwise("c")
+    return identity.mapping_candidates(v.event.select(F.col("event_id").alias("id"), source.alias("source"), "season", F.lit("all").alias("division"), F.lower(F.replace("name", F.lit(" "), F.lit(""))).alias("key")))
+
+
+@query("t4_published_brackets", """, b AS (SELECT event_id, CASE WHEN game_key % 3 = 0 THEN NULL ELSE game_key % 3 END AS bracket, (game_key % 4)::INT AS round, CASE WHEN event_id % 2 = 0 THEN (1 + game_key % 2)::INT END AS place, stage FROM v_game),
+  r AS (SELECT event_id, bracket, SUM((round = 0)::INT) AS roots, MIN(CASE WHEN round = 0 THEN stage END) AS st, MIN(place) AS place, COUNT(*) AS n_games FROM b WHERE bracket IS NOT NULL GROUP BY ALL)
+  SELECT event_id, bracket, CASE WHEN place = 1 THEN 'champ' WHEN place > 1 THEN place || 'th' ELSE CASE st WHEN 'Finals' THEN 'champ' WHEN 'Semi Finals' THEN 'champ' WHEN '9th Place Quarters' THEN '9th' WHEN 'Third Place' THEN '3th' END END AS kind, n_games
+  FROM r WHERE roots = 1""")
+def _(v):
+    k = F.col("game_key")
+    rows = v.game.select("event_id", F.when(k % 3 != 0, k % 3).alias("bracket"), (k % 4).cast("int").alias("round"), F.when(F.col("event_id") % 2 == 0, (1 + k % 2).cast("int")).alias("place"), "stage", "game_key")
+    return tournaments.published_brackets(rows)
+
+
+@query("r9_decay_grid")
+def _(v):
+    return ratings.decay_grid(v.games, v.roster.select("event_team_id", "player_id"), v.clubs, [0.0, 0.2], [0.0, 0.3], [90])
+
+
+@query("r10_period_comparison")
+def _(v):
+    return ratings.period_comparison(v.games, v.roster.select("event_team_id", "player_id"), v.clubs)
+
+
+@query("m3_compare_models")
+def _(v):
+    return ratings.compare_models(v.games, v.roster.select("event_team_id", "player_id"), v.clubs, corpus.load_stat_events(v.stat, v.team, v.event))
+
+
+@query("t3_label_brackets")
+def _(v):
+    return tournaments.label_brackets(tournaments.fixtures(v.game))
+
+
+@query("t5_decompose")
+def _(v):
+    return tournaments.decompose(tournaments.fixtures(v.game))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 best players by player Elo with 90 % bounds."""
     _, state = _replay(Views(spark, sf_dir))

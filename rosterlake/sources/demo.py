@@ -64,9 +64,12 @@ FIRST = ["Ana", "Bo", "Chloé", "Dan", "Eve", "Finn", "Gus", "Hana", "Ida", "Jos
 
 
 def name_sql() -> str:
-    """A player's name with spelling variants: one in seven rows has an apostrophe and a double space."""
+    """A player's name with spelling variants, one in seven with an apostrophe and a double space.
+
+    Names of even keys come back in the same division, those of odd keys in another one.
+    """
     first = "CASE c_custkey % 12 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(FIRST)) + " END"
-    last = "CONCAT('Last', CAST({div:c_custkey|3} % 40 AS STRING))"
+    last = "CONCAT('Last', CAST(CASE WHEN c_custkey % 2 = 0 THEN {div:c_custkey|3} % 25 ELSE {div:c_custkey|3} % 41 END AS STRING))"
     return f"CONCAT({first}, CASE WHEN (c_custkey + t.season) % 7 = 0 THEN '  O’' ELSE ' ' END, {last})"
 
 

@@ -99,3 +99,14 @@ def test_pools_are_the_sets_that_all_met(spark):
 def test_pages_are_bounded(spark):
     with pytest.raises(ValueError, match="first"):
         api._page(spark.range(3), ["id"], 0, 0)
+
+
+def test_every_game_has_one_place(spark):
+    rows = [
+        ("Semi Finals", "a", "b", 15, 3), ("Semi Finals", "c", "d", 4, 15), ("Finals", "a", "d", 15, 9), ("Pool A", "a", "c", 9, 8), ("Pool A", "a", "e", 9, 8), ("Pool A", "c", "e", 9, 8), ("Crossover", "b", "e", 9, 8),
+    ]
+    df = spark.createDataFrame([(1, k, *r, True, k) for k, r in enumerate(rows)], "event_id long, game_key long, stage string, home_id string, away_id string, home_score int, away_score int, done boolean, ord long")
+    assert values(tournaments.label_brackets(df).select("game_key", "kind", "depth")) == [(0, "champ", 1), (1, "champ", 1), (2, "champ", 0)]
+    got = {r.game_key: r.place for r in tournaments.decompose(df).collect()}
+    assert got == {0: "bracket", 1: "bracket", 2: "bracket", 3: "pool", 4: "pool", 5: "pool", 6: "loose"}
+    assert values(tournaments.champions(df)) == [(1, "a")]

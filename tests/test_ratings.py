@@ -139,3 +139,19 @@ def test_unknown_names_are_refused(spark):
         ratings.replay_player_elo(games, rosters, clubs, plan="x")
     with pytest.raises(ValueError, match="kind"):
         ratings.replay_team_elo(games, clubs, kind="x")
+
+
+def test_leave_one_out_equals_two_replays(spark):
+    games, rosters, clubs, _ = history(spark, 8, 24)
+    cfg = ratings.EloConfig()
+    got = ratings.leave_one_out(games, rosters, clubs, spark.createDataFrame([("3",)], "player string"), cfg).first()
+    sizes = rosters.groupBy("event_team_id").count()
+    less = rosters.join(sizes, "event_team_id").where("player_id <> 3 or count = 1").select("event_team_id", "player_id")
+    mine = {r.event_team_id for r in rosters.where("player_id = 3").collect()}
+    loss = []
+    for r in (rosters, less):
+        p = {x.game_key: x.expected for x in ratings.replay_player_elo(games, r, clubs, None, cfg)[0].collect()}
+        part = [g for g in games.collect() if g.home_id in mine or g.away_id in mine]
+        won = [1.0 if g.home_score > g.away_score else 0.0 if g.home_score < g.away_score else 0.5 for g in part]
+        loss.append(np.mean([-(o * math.log(p[g.game_key]) + (1 - o) * math.log(1 - p[g.game_key])) for o, g in zip(won, part)]))
+    assert abs(got["loo"] - (loss[1] - loss[0])) < 1e-9
