@@ -28,7 +28,7 @@ from rosterlake.llm.common import only
 LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
 MAX_LANGUAGES = 400
 UNKNOWN = "und"
 
