@@ -2,19 +2,24 @@
 
 The model reads a text as its tokens' bytes, a space after each token and a line
 feed as the end. Byte n-grams up to ``ORDER`` are counted over all training
-texts. N-grams that make up at least one in ``SHARE`` of all positions are kept,
-so no order has more than ``SHARE`` of them whatever the input is. They are
-smoothed by absolute discounting; the mass left goes to the other symbols in
-proportion to their chances after the next shorter context, down to equal
-chances for bytes never seen. Every context's chances sum to 1.
-
-Contexts become states, kept n-grams become arcs with log-probabilities, and
-each state has a failure arc to its longest proper suffix whose weight is the
-mass left to shorter contexts. Above them stands one state with an arc for every
-token of the training texts: a token's chance is ``WHOLE`` times its discounted
-share of all tokens, and the rest of the mass is spelt by the bytes' automaton.
-A text is scored in one traversal from left to right. A state depends on the last ``ORDER`` - 1 bytes alone, so many lanes of a
-long stream are traversed side by side, each after a run-up of that length.
+texts, and all of them are kept. They are smoothed by absolute discounting; the
+mass left goes to the other symbols in proportion to their chances after the
+next shorter context, down to equal chances for bytes never seen. Every
+context's chances sum to 1.
+
+Contexts are states, n-grams are arcs with log-probabilities, and each state has
+a failure arc to its longest proper suffix whose weight is the mass left to
+shorter contexts. Above them stands one state with an arc for every token of the
+training texts: a token's chance is ``WHOLE`` times its discounted share of all
+tokens, and the rest of the mass is spelt by the bytes' automaton.
+
+The automaton is dealt over parts by the last ``CORE`` symbols of its states, so
+all failure arcs down to states of that length stay inside a part; a part holds
+its own n-grams only, and parts become more as the texts grow. Shorter n-grams,
+of which there are 256 to the power of ``CORE`` at most, are one small table
+that every part has. A byte's chance depends on its n-gram of ``ORDER`` bytes
+alone: each block of documents asks the parts for its distinct n-grams once and
+reads its texts with the answers. ``Automaton`` is the same model in one piece.
 
 Token counts for the base score travel by blocks of documents: each block asks
 for the counts of its distinct tokens once.
@@ -28,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -38,13 +44,15 @@ from pyspark.sql import functions as F
 from rosterlake.llm.common import materialise, only
 
 ORDER = 6
-SHARE = 1 << 22
+CORE = 3
+PARTS = 32
+PART_BYTES = 32 << 20
 DISCOUNT = 0.75
 WHOLE = 0.3
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 PORTION = 1 << 20
 LANE = 256
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 END = 10
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -73,7 +81,12 @@ def ngrams(stream: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ngrams(stream: np.ndarray, order: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that end at position ``first`` or later."""
+    """The distinct n-grams that end at position ``first`` or later, and their counts."""
+    return np.unique(_keys(stream, order, first), return_counts=True)
+
+
+def _keys(stream: np.ndarray, order: int, first: int) -> np.ndarray:
+    """The n-gram of each position from ``first`` on."""
     n = len(stream)
     x = stream.astype(np.int64)
     at = np.arange(n)
@@ -85,7 +98,14 @@ def _ngrams(stream: np.ndarray, order: int, first: int) -> tuple[np.ndarray, np.
         value = np.zeros(n - 1, np.int64)
         value[max(back - 1, 0) :] = x[max(1 - back, 0) : n - back]
         key = (key << 8) | np.where(inside, value, 0)
-    return np.unique((key | (length << 56))[first - 1 :], return_counts=True)
+    return (key | (length << 56))[first - 1 :]
+
+
+def encoded(stream: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a stream in no order, and the number of its n-gram among them for each position from 1 on."""
+    parts = [_keys(stream[max(0, at - order + 1) : at + CHUNK], order, min(at, order - 1)) for at in range(1, len(stream), CHUNK)]
+    found = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
 def stream_of(texts: Iterator[bytes]) -> np.ndarray:
@@ -209,7 +229,7 @@ class Automaton:
         return out.T.ravel()[:n]
 
 
-def build(counts: DataFrame, order: int, share: int = SHARE) -> Automaton:
+def build(counts: DataFrame, order: int, share: int) -> Automaton:
     """The automaton of the n-gram counts (key, n); at most ``order`` * ``share`` rows reach the driver."""
     total = counts.where(F.shiftright("key", 56) == 1).agg(F.sum("n")).first()[0] or 0
     kept = counts.where(F.col("n") >= max(1, -(-total // share)))
@@ -220,6 +240,147 @@ def build(counts: DataFrame, order: int, share: int = SHARE) -> Automaton:
     return Automaton(keys[by], n[by].astype(float), order)
 
 
+# the automaton in parts --------------------------------------------------------------
+
+
+def _body(keys: np.ndarray, length: int) -> np.ndarray:
+    return keys & ((np.int64(1) << (8 * length)) - 1)
+
+
+def suffixes(keys: np.ndarray, length: int) -> np.ndarray:
+    """The last ``length`` symbols of each n-gram, as a key."""
+    return _body(keys, length) | (np.int64(length) << 56)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    found, back = np.unique(keys, return_inverse=True)
+    return found, np.bincount(back, weights=n, minlength=len(found))
+
+
+def _spot(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted ``keys`` hold the asked ones, and whether they do."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+class Level:
+    """The n-grams of one length with their chances, and their contexts with the weights of the failure arcs.
+
+    ``below`` is the level of the next shorter n-grams, None for single symbols.
+    A context's count is that of its n-grams, as every context is followed by a symbol.
+    """
+
+    def __init__(self, length: int, keys: np.ndarray, n: np.ndarray, below: Level | None, discount: float = DISCOUNT):
+        self.length, self.keys = length, keys
+        self.states, where = np.unique(self._context(keys), return_inverse=True)
+        size = np.bincount(where, weights=n, minlength=len(self.states))
+        self.chance = (n - discount) / size[where] if len(keys) else np.empty(0)
+        left = 1.0 - np.bincount(where, weights=self.chance, minlength=len(self.states))
+        if below is None:
+            # equal chances for the symbols never seen; the empty context exists without any n-gram
+            self.rest = float(np.log10(max(left[0] if len(left) else 1.0, 1e-12) / max(256 - len(keys), 1)))
+        else:
+            taken = np.bincount(where, weights=below.chance[_spot(below.keys, suffixes(keys, length - 1))[0]] if len(keys) else None, minlength=len(self.states))
+            self.loss = np.log10(np.maximum(left, 1e-12) / np.maximum(1.0 - taken, 1e-12))
+
+    def _context(self, keys: np.ndarray) -> np.ndarray:
+        return (_body(keys, self.length) >> 8) | (np.int64(self.length - 1) << 56)
+
+    def read(self, asked: np.ndarray, out: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Adds to ``out`` what the ``rows`` of the asked n-grams pay here; returns those that go on to the level below."""
+        some = suffixes(asked[rows], self.length)
+        at, seen = _spot(self.keys, some)
+        out[rows[seen]] += np.log10(self.chance[at[seen]])
+        rows, some = rows[~seen], some[~seen]
+        if self.length == 1:
+            out[rows] += self.rest
+            return rows[:0]
+        at, known = _spot(self.states, self._context(some))
+        out[rows[known]] += self.loss[at[known]]
+        return rows
+
+
+def levels(keys: np.ndarray, n: np.ndarray, first: int, last: int, below: Level | None) -> list[Level]:
+    """Levels ``first`` to ``last`` from counts of the longest n-gram at each position."""
+    out: list[Level] = []
+    for j in range(first, last + 1):
+        some = keys >> 56 >= j
+        below = Level(j, *summed(suffixes(keys[some], j), n[some]), below)
+        out.append(below)
+    return out
+
+
+def log_chances(asked: np.ndarray, n: np.ndarray, low: list[Level], order: int) -> np.ndarray:
+    """log10 of the chance of each asked n-gram's last symbol after the others. ``n`` are counts in the training texts, 0 for an n-gram not in them."""
+    seen = n > 0
+    model = low + levels(asked[seen], n[seen], len(low) + 1, order, low[-1])
+    out, open_ = np.zeros(len(asked)), np.empty(0, np.int64)
+    for level in reversed(model):
+        open_ = level.read(asked, out, np.concatenate([open_, np.flatnonzero(asked >> 56 == level.length)]))
+    return out
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part that holds an n-gram: a hash of the CORE symbols before its last one."""
+    core = (_body(keys, CORE + 1) >> 8).astype(np.uint64)
+    return ((core * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of distinct n-grams by part and key, the parts that occur and where each begins."""
+    order = np.argsort(keys)
+    part = part_of(keys[order], parts)
+    again = np.argsort(part, kind="stable")
+    names, begin = np.unique(part[again], return_index=True)
+    return order[again], names, np.append(begin, len(keys))
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Numbers with their bytes sorted by place, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def unsqueeze(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _keys_in(row) -> np.ndarray:
+    return np.cumsum(unsqueeze(row, np.int64))
+
+
+def _low_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the longest n-grams of CORE symbols at most."""
+    for batch in batches:
+        for keys, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist()):
+            keys, n = _keys_in(keys), unsqueeze(n, np.uint32)
+            keys, n = keys[n > 0], n[n > 0]
+            length = np.minimum(keys >> 56, CORE)
+            key, n = summed((keys & ((np.int64(1) << (8 * length)) - 1)) | (length << 56), n)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+
+def _answered(low, order: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One part: counts what all blocks sent and answers each with the logarithms in the order of its keys."""
+        keys, n = np.empty(0, np.int64), np.empty(0)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, c in zip(table["keys"], table["n"]):
+            waiting.append((_keys_in(k.as_py()), unsqueeze(c.as_py(), np.uint32)))
+            if sum(len(x) for x, _ in waiting) > max(len(keys), CHUNK):
+                keys, n = summed(np.concatenate([keys, *(x for x, _ in waiting)]), np.concatenate([n, *(x for _, x in waiting)]))
+                waiting = []
+        keys, n = summed(np.concatenate([keys, *(x for x, _ in waiting)]), np.concatenate([n, *(x for _, x in waiting)]))
+        logs = log_chances(keys, n, low.value, order).astype(np.float32)
+        out = [squeeze(logs[np.searchsorted(keys, _keys_in(k.as_py()))]) for k in table["keys"]]
+        return pa.table([table["block"], table["part"], pa.array(out, pa.binary())], names=["block", "part", "logs"])
+
+    return run
+
+
 # blocks of documents -----------------------------------------------------------------
 
 
@@ -306,13 +467,28 @@ def _asked(fold: int):
     return run
 
 
-def _counted(fold: int, order: int):
+def _counted(fold: int, order: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, ids, sizes, body in _opened(batch):
-                train, _ = _split(ids, sizes, body, fold)
-                key, n = ngrams(stream_of(train), order)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+            for block, *whole in _opened(batch):
+                keys, n = np.empty(0, np.int64), np.empty(0)
+                for ids, sizes, body in _portions(*whole):
+                    key, at = encoded(np.frombuffer(b"\n" + body, np.uint8), order)
+                    train = np.repeat([not is_held_out(d, fold) for d in ids], sizes)
+                    more = np.bincount(at, weights=train, minlength=len(key))
+                    keys, n = summed(np.concatenate([keys, key]), np.concatenate([n, more]))
+                by, names, begin = by_part(keys, parts)
+                keys, n = keys[by], n[by].astype(np.uint32)
+                cut = [slice(a, b) for a, b in zip(begin, begin[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(names), block)),
+                        pa.array(names.astype(np.int64)),
+                        pa.array([squeeze(np.diff(keys[c], prepend=np.int64(0))) for c in cut], pa.binary()),
+                        pa.array([squeeze(n[c]) for c in cut], pa.binary()),
+                    ],
+                    names=["block", "part", "keys", "n"],
+                )
 
     return run
 
@@ -320,18 +496,29 @@ def _counted(fold: int, order: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(model, ends: int, total: int, distinct: int, fold: int):
+def _scored(order: int, parts_: int, ends: int, total: int, distinct: int, fold: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right["word"].to_pylist(), right["c"].to_pylist()))
-        automaton = model.value
+        words_ = right.filter(pc.is_null(right["part"]))
+        words_ = words_.select(["word", "c"]).sort_by("word")
+        known, of_known = words_["word"].to_numpy(), words_["c"].to_numpy()
+        logs = {p: x for p, x in zip(right["part"].to_pylist(), right["logs"].to_pylist()) if p is not None}
         bottom = total + 0.1 * (distinct + 1)
         parts = []
         for batch in left.to_batches():
-            for ids, sizes, body in (portion for _, *block in _opened(batch) for portion in _portions(*block)):
+            portions = [portion for _, *block in _opened(batch) for portion in _portions(*block)]
+            read = [encoded(np.frombuffer(b"\n" + body, np.uint8), order) for *_, body in portions]
+            keys = np.unique(np.concatenate([k for k, _ in read])) if read else np.empty(0, np.int64)
+            by, names_, begin = by_part(keys, parts_)
+            answer = np.empty(len(keys))
+            for p, a, b in zip(names_.tolist(), begin, begin[1:]):
+                answer[by[a:b]] = unsqueeze(logs[p], np.float32)
+            for (ids, sizes, body), (key, at) in zip(portions, read):
                 words = body.split()
                 names = {w: i for i, w in enumerate(set(words))}
                 h = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names)).view(np.int64)
-                c = np.fromiter((known.get(x, 0) or 0 for x in h.tolist()), np.float64, len(names))
+                spot, there = _spot(known, h)
+                c = np.zeros(len(names))
+                c[there] = of_known[spot[there]]
                 which = np.fromiter(map(names.__getitem__, words), np.int64, len(words))
                 ends_at = np.cumsum(sizes)
                 stream = np.frombuffer(b"\n" + body, np.uint8)
@@ -344,7 +531,7 @@ def _scored(model, ends: int, total: int, distinct: int, fold: int):
                 n_known = np.bincount(doc, weights=(c > 0)[which] if len(words) else None, minlength=len(ids)) + (ends > 0)
                 # tokens in the order of the stream: the words of each text, then its end
                 closing = np.flatnonzero((stream[1:] == 32) | (stream[1:] == END))
-                spelt = np.add.reduceat(automaton.positions(stream).astype(np.float64), np.concatenate([[0], closing[:-1] + 1]))
+                spelt = np.add.reduceat(answer[np.searchsorted(keys, key)][at], np.concatenate([[0], closing[:-1] + 1]))
                 ending = stream[1:][closing] == END
                 seen = np.full(len(closing), float(ends))
                 seen[~ending] = c[which] if len(words) else []
@@ -374,7 +561,7 @@ def _scored(model, ends: int, total: int, distinct: int, fold: int):
     return run
 
 
-def score(docs: DataFrame, fold: int = 10, order: int = ORDER, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, fold: int = 10, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its base score and the model's log10 probability.
 
     Documents whose crc32(id as text) mod ``fold`` is 0 are held out; counts,
@@ -391,13 +578,20 @@ def score(docs: DataFrame, fold: int = 10, order: int = ORDER, share: int = SHAR
     by_word = W.partitionBy("word")
     counted = asked.select("block", F.sum("n").over(by_word).alias("c"), "word", (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
     answers = materialise(counted.where("c > 0"), "answers")
-    top = blocks.mapInArrow(_counted(fold, order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = materialise(suffix_counts(top, order), "ngrams")
-    ends = counts.where(F.col("key") == ((1 << 56) | END)).agg(F.sum("n")).first()[0] or 0
+    held = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    parts = max(PARTS, -(-held // PART_BYTES))
+    ngrams_ = materialise(blocks.mapInArrow(_counted(fold, order, parts), "block long, part long, keys binary, n binary"), "ngrams")
+    lowest = ngrams_.mapInArrow(_low_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    low = levels(lowest["key"].to_numpy(), lowest["n"].to_numpy(), 1, min(CORE, order), None)
+    ends = int(lowest["n"].to_numpy()[(lowest["key"].to_numpy() & 255) == END].sum())
     got = answers.where("first").agg(F.sum("c"), F.count("*")).first()
     total, distinct = (got[0] or 0) + ends, got[1] + (ends > 0)
-    model = spark.sparkContext.broadcast(build(counts, order, share))
-    return blocks.groupBy("block").cogroup(answers.select("block", "word", "c").groupBy("block")).applyInArrow(_scored(model, ends, total, distinct, fold), SCORES)
+    answered = ngrams_.groupBy("part").applyInArrow(_answered(spark.sparkContext.broadcast(low), order), "block long, part long, logs binary")
+    none = F.lit(None)
+    both = answers.select("block", "word", "c", none.cast("long").alias("part"), none.cast("binary").alias("logs")).unionByName(
+        answered.select("block", none.cast("long").alias("word"), none.cast("long").alias("c"), "part", "logs")
+    )
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_scored(order, parts, ends, total, distinct, fold), SCORES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

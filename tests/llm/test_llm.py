@@ -204,6 +204,25 @@ def test_scores_equal_a_plain_model(docs, rows, empty, monkeypatch):
     assert lm_score.score(empty).count() == 0
 
 
+def test_rare_ngrams_count_in_a_large_corpus(spark):
+    """9 MB of training text: a phrase that occurs twice in it still spells a held-out text."""
+    ids = [i for i in range(60) if not lm_score.is_held_out(i)][:40]
+    held = next(i for i in range(60) if lm_score.is_held_out(i))
+    train = [(i, "lorem ipsum dolor " * 12_500) for i in ids] + [(i, "zqxj vkwq") for i in ids[:2]]
+    docs = spark.createDataFrame([*train, (held, "zqxjv")], "doc_id long, text string").repartition(3)
+    got = lm_score.score(docs).where("held_out").first()
+    grams: Counter = Counter()
+    for key, n in zip(*lm_score.ngrams(lm_score.stream_of([lm_score.normal(t) for _, t in train]), lm_score.ORDER)):
+        for j in range(1, (int(key) >> 56) + 1):
+            grams[(int(key) & ((1 << (8 * j)) - 1)) | (j << 56)] += int(n)
+    keys = np.array(sorted(grams))
+    whole = lm_score.Automaton(keys, np.array([grams[k] for k in keys.tolist()], float), lm_score.ORDER)
+    at = whole.positions(np.frombuffer(b"\nzqxjv \n", np.uint8)).astype(float)
+    rest = 1 - lm_score.WHOLE + lm_score.WHOLE * 0.75 * 6 / got.train_tokens
+    end = lm_score.WHOLE * (42 - 0.75) / got.train_tokens + rest * 10 ** at[-1]
+    assert got.score == pytest.approx(math.log10(rest) + at[:-1].sum() + math.log10(end), abs=1e-3)
+
+
 def test_context_chances_sum_to_one():
     stream = np.frombuffer(b"\nab ac \nab ab \nb \n", np.uint8)
     keys, n = lm_score.ngrams(stream, 3)
