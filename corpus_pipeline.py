@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import langid, mixing, packing, simhash, suffix
+from rosterlake.llm import jaccard, langid, mixing, packing, simhash, suffix
 from rosterlake.llm.common import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,6 +35,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates on five-word shingles.
 
+    Linked are fingerprints of at most 3 differing bits, and texts whose sets of
+    shingles have a similarity of 0.8 or more.
+
     Documents without an id come after all others. Of rows that are equal in
     every column one stays.
     """
@@ -42,7 +45,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text", "lang", "source", "n_chars").alias("row")
     )
     keyed = docs.select(*COLUMNS).withColumn("_key", key)
-    groups = simhash.near_duplicates(keyed, id_col="_key", shingle=SHINGLE)
+    texts = keyed.select(F.col("_key").alias("doc_id"), "text")
+    rows = jaccard.read(texts, SHINGLE)
+    groups = simhash.grouped(rows.select("doc_id", "fp"), more=jaccard.links(texts, rows, SHINGLE))
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id.*").distinct()
     parts = keyed.select("_key.*", *COLUMNS).dropDuplicates(["none", "id", "row"])
     return parts.join(first, ["none", "id", "row"], "left_semi").select(*COLUMNS)

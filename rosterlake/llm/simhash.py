@@ -43,15 +43,22 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ASCII white space. Shorter texts give one shingle of all their words, texts
     without words give 0.
     """
+    return of_hashes(hashes(text, shingle))
+
+
+def hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each word shingle of a text."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
     grams = zip(*[words[i:] for i in range(shingle)])
-    h = np.fromiter((digest(g, SEED) for g in map(b" ".join, grams)), dtype=np.uint64, count=len(words) - shingle + 1)
-    return _majority(h)
+    return np.fromiter((digest(g, SEED) for g in map(b" ".join, grams)), dtype=np.uint64, count=len(words) - shingle + 1)
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes."""
+    return _majority(h) if len(h) > 1 else int(h.sum())
 
 
 def _majority(h: np.ndarray) -> int:
@@ -180,9 +187,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), fingerprints(shingle)(F.col(text_col)).alias("fp"))
-    rows = materialise(rows, "fingerprints")
+    return grouped(materialise(rows, "fingerprints"), bits)
+
+
+def grouped(rows: DataFrame, bits: int = BITS, more: DataFrame | None = None) -> DataFrame:
+    """What ``near_duplicates`` returns, from rows (doc_id, fp); ``more`` has further links (a, b) of fingerprints."""
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    comp = components(linked(nodes, bits))
+    close = linked(nodes, bits)
+    comp = components(close if more is None else close.unionByName(more))
     named = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = named.select("fp", "component").join(first, "component").select("fp", "component_id")
