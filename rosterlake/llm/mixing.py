@@ -9,12 +9,15 @@ a hash of id and copy. The same document gets the same draw in every run.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 7
 POWER = 0.5
 SMALL = 100_000
+DIRECT = 700.0  # exp(-rate) of much larger rates underflows
 
 
 def unit(*parts: Column) -> Column:
@@ -22,8 +25,31 @@ def unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def chances_around_mode(rate: float) -> tuple[int, list[float]]:
+    """A count below which the Poisson chance is negligible, and the cumulative chances from there on.
+
+    Chances are built from the mode outwards in logarithms and scaled to a sum of 1.
+    """
+    mode, reach = int(rate), int(12 * rate**0.5 + 30)
+    least = max(0, mode - reach)
+    up = np.cumsum(np.log(rate) - np.log(np.arange(mode + 1, mode + reach + 1)))
+    down = np.cumsum(np.log(np.arange(mode, least, -1)) - np.log(rate))
+    c = np.cumsum(np.exp(np.concatenate([down[::-1], [0.0], up])))
+    return least, (c / c[-1]).tolist()
+
+
+def _around_mode():
+    @F.pandas_udf("least long, cdf array<double>")
+    def run(rate: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([chances_around_mode(r) if r > DIRECT else (0, []) for r in rate], columns=["least", "cdf"])
+
+    return run
+
+
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total_bytes: int | None = None) -> DataFrame:
-    """Per source: rows, bytes, its rate and the cumulative Poisson chances ``cdf`` up to a negligible rest.
+    """Per source: rows, bytes, its rate and the cumulative Poisson chances ``cdf`` of ``least`` copies and more, up to a negligible rest.
+
+    Rates up to ``DIRECT`` are summed from no copies on, larger ones around the mode.
 
     Without ``weights`` a source's target share is its size to the power
     ``POWER``. Sources missing from ``weights`` get 0. ``total_bytes``, the
@@ -43,14 +69,17 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
     total = F.lit(total_bytes) if total_bytes is not None else F.col("all_bytes")
     rate = F.when((F.col("bytes") > 0) & (F.col("all_weights") > 0), total * (F.col("weight") / F.col("all_weights")) / F.col("bytes")).otherwise(0.0)
     size = size.withColumn("rate", rate.cast("double"))
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
+    some = F.least(F.col("rate"), F.lit(DIRECT))
+    last = F.ceil(some + 12 * F.sqrt(some) + 30).cast("int")
     grow = F.aggregate(
         F.sequence(F.lit(1), last),
         F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("c")),
         lambda a, k: F.struct((a["p"] * F.col("rate") / k).alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * F.col("rate") / k)).alias("c")),
         lambda a: a["c"],
     )
-    return size.select("source", "rows", "bytes", "rate", grow.alias("cdf"))
+    size = size.withColumn("far", _around_mode()("rate"))
+    cdf = F.when(F.col("rate") <= DIRECT, grow).otherwise(F.col("far.cdf"))
+    return size.select("source", "rows", "bytes", "rate", F.col("far.least").alias("least"), cdf.alias("cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total_bytes: int | None = None, seed: int = SEED) -> DataFrame:
@@ -58,21 +87,17 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total_b
 
     Needs the columns doc_id, text and source. Null texts count as empty, a null
     id as an empty string in the draw; rows of the same id draw the same count.
-    An input column named like one of the three added ones is replaced. Rates
-    above about 700 would underflow and are refused. An empty table gives an
-    empty result.
+    An input column named like one of the three added ones is replaced. A rate may
+    have any size. An empty table gives an empty result.
     """
     table = rates(docs, weights, total_bytes)
-    found = table.agg(F.count("*"), F.max("rate")).first()
-    if found[1] is not None and found[1] > 700:
-        raise ValueError("a source would be repeated more than 700 times")
-    by = table.select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
-    by = F.broadcast(by) if found[0] <= SMALL else by
+    by = table.select(F.col("source").alias("_mix_source"), F.col("least").alias("_mix_least"), F.col("cdf").alias("_mix_cdf"))
+    by = F.broadcast(by) if table.count() <= SMALL else by
     names = [c for c in docs.columns if c not in ("copy_no", "n_copies", "shuffle_key")]
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     drawn = docs.select(*names).join(by, F.col("source").eqNullSafe(F.col("_mix_source")))
     drawn = drawn.withColumn("_mix_u", unit(F.lit(str(seed)), doc))
-    drawn = drawn.withColumn("n_copies", F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u")))).where("n_copies > 0")
+    drawn = drawn.withColumn("n_copies", (F.col("_mix_least") + F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u")))).cast("int")).where("n_copies > 0")
     out = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed + 1)), doc, F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("long")
     out = out.select(*names, "copy_no", "n_copies", key.alias("shuffle_key"))

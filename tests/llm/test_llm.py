@@ -296,6 +296,27 @@ def test_mixing_takes_the_drawn_counts(docs, rows, empty):
         mixing.mix(docs, {"s0": -1.0})
 
 
+def test_tiny_sources_have_large_rates(spark):
+    """A source of a few bytes beside large ones is repeated thousands of times, not refused."""
+    rows = [(i, "x" * 2_000_000, None, "big", None) for i in range(4)] + [(i, "ab", None, None, None) for i in range(10, 13)]
+    n = Counter(r.doc_id for r in mixing.mix(spark.createDataFrame(rows, DOCS)).select("doc_id").collect())
+    total, small = 8_000_006, 6
+    rate = total * small**0.5 / (small**0.5 + 8_000_000**0.5) / small
+    assert rate > 745
+    for i in range(10, 13):
+        u = int(hashlib.md5(f"{mixing.SEED}|{i}".encode()).hexdigest()[:13], 16) / 2**52
+        k, c = 0, math.exp(-rate)
+        while c <= u:
+            k += 1
+            c += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+        assert n[i] == k
+    for rate in (701.0, 1e7):
+        least, cdf = mixing.chances_around_mode(rate)
+        chance = np.diff(cdf, prepend=0.0)
+        at = least + np.arange(len(cdf))
+        assert (chance * at).sum() == pytest.approx(rate, rel=1e-6) and (chance * (at - rate) ** 2).sum() == pytest.approx(rate, rel=1e-4)
+
+
 # op6 -----------------------------------------------------------------------------------
 
 
