@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, the warehouse folder serves on a cluster and a temporary
+    folder with a local master.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="rosterlake-")
+        local = spark.sparkContext.master.startswith("local")
+        root = tempfile.mkdtemp(prefix="rosterlake-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/rosterlake-checkpoints"
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
