@@ -9,15 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Parts into which the rows of one key are dealt where a key may be frequent.
+SALTS = 1024
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a temporary folder of this
-    process is used and remembered as the context's checkpoint folder.
+    Where the setting is absent, the warehouse folder serves on a cluster, and a
+    temporary folder of this process with a local master (tests, a laptop).
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="rosterlake-")
+        local = spark.sparkContext.master.startswith("local")
+        found = tempfile.mkdtemp(prefix="rosterlake-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/rosterlake-checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -44,6 +49,19 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n].alias(n) for n in names])
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], salts: int = SALTS) -> DataFrame:
+    """Inner join of ``rows`` with a table of few rows a key, where one key may have any share of the rows.
+
+    Rows are salted by a hash of all their columns. The distinct pairs of key and
+    salt, ``salts`` a key at most, take the table's columns first and bring them
+    to the rows, so a task of the large join reads one part in ``salts`` of a
+    frequent key. Columns of ``table`` other than the key must not occur in ``rows``.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    pairs = salted.select(*key, "_salt").distinct().join(table, key)
+    return salted.join(pairs, [*key, "_salt"]).drop("_salt")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m")) if large else None

@@ -112,14 +112,6 @@ def stream_of(texts: Iterator[bytes]) -> np.ndarray:
     return np.frombuffer(b"\n" + b"".join(texts), dtype=np.uint8)
 
 
-def suffix_counts(top: DataFrame, order: int) -> DataFrame:
-    """Counts of all n-grams (key, n) from those of the longest ones."""
-    length = F.shiftright("key", 56)
-    parts = top.select("n", "key", F.explode(F.sequence(F.lit(1).cast("long"), length)).alias("j"))
-    low = F.col("key").bitwiseAND(F.expr("shiftleft(1L, cast(8 * j as int)) - 1"))
-    return parts.groupBy(low.bitwiseOR(F.expr("shiftleft(j, 56)")).alias("key")).agg(F.sum("n").alias("n"))
-
-
 # the automaton -----------------------------------------------------------------------
 
 
@@ -229,17 +221,6 @@ class Automaton:
         return out.T.ravel()[:n]
 
 
-def build(counts: DataFrame, order: int, share: int) -> Automaton:
-    """The automaton of the n-gram counts (key, n); at most ``order`` * ``share`` rows reach the driver."""
-    total = counts.where(F.shiftright("key", 56) == 1).agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") >= max(1, -(-total // share)))
-    # a context longer than one symbol has no END in it but at its beginning, as texts are counted apart
-    table = kept.toArrow()
-    keys, n = table["key"].to_numpy(), table["n"].to_numpy()
-    by = np.argsort(keys)
-    return Automaton(keys[by], n[by].astype(float), order)
-
-
 # the automaton in parts --------------------------------------------------------------
 
 
@@ -348,7 +329,8 @@ def unsqueeze(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _keys_in(row) -> np.ndarray:
+def keys_in(row: bytes) -> np.ndarray:
+    """Keys that were sent as compressed differences."""
     return np.cumsum(unsqueeze(row, np.int64))
 
 
@@ -356,7 +338,7 @@ def _low_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the longest n-grams of CORE symbols at most."""
     for batch in batches:
         for keys, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist()):
-            keys, n = _keys_in(keys), unsqueeze(n, np.uint32)
+            keys, n = keys_in(keys), unsqueeze(n, np.uint32)
             keys, n = keys[n > 0], n[n > 0]
             length = np.minimum(keys >> 56, CORE)
             key, n = summed((keys & ((np.int64(1) << (8 * length)) - 1)) | (length << 56), n)
@@ -369,13 +351,13 @@ def _answered(low, order: int):
         keys, n = np.empty(0, np.int64), np.empty(0)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         for k, c in zip(table["keys"], table["n"]):
-            waiting.append((_keys_in(k.as_py()), unsqueeze(c.as_py(), np.uint32)))
+            waiting.append((keys_in(k.as_py()), unsqueeze(c.as_py(), np.uint32)))
             if sum(len(x) for x, _ in waiting) > max(len(keys), CHUNK):
                 keys, n = summed(np.concatenate([keys, *(x for x, _ in waiting)]), np.concatenate([n, *(x for _, x in waiting)]))
                 waiting = []
         keys, n = summed(np.concatenate([keys, *(x for x, _ in waiting)]), np.concatenate([n, *(x for _, x in waiting)]))
         logs = log_chances(keys, n, low.value, order).astype(np.float32)
-        out = [squeeze(logs[np.searchsorted(keys, _keys_in(k.as_py()))]) for k in table["keys"]]
+        out = [squeeze(logs[np.searchsorted(keys, keys_in(k.as_py()))]) for k in table["keys"]]
         return pa.table([table["block"], table["part"], pa.array(out, pa.binary())], names=["block", "part", "logs"])
 
     return run

@@ -157,25 +157,21 @@ def test_packing_balances_costs():
 # op3 -----------------------------------------------------------------------------------
 
 
-def test_scores_equal_a_plain_model(docs, rows, empty, monkeypatch):
-    out = {r.doc_id: r for r in lm_score.score(docs).collect()}
-    train = [x for i, x, *_ in rows if zlib.crc32(str(i).encode()) % 10]
-    count = Counter(w for x in train for w in [*low(x), None])
-    total, kinds = sum(count.values()), len(count)
-    order, grams = lm_score.ORDER, Counter()
-    for x in train:
-        y = b"\n" + lm_score.normal(x)
+def plain_model(streams, order):
+    """The chance of the last byte of an n-gram after the others, from streams that begin with a line feed."""
+    grams: Counter = Counter()
+    for y in streams:
         for t in range(1, len(y)):
             for j in range(1, min(order, t + 1) + 1):
                 grams[y[t - j + 1 : t + 1]] += 1
-    symbols = sum(len(lm_score.normal(x)) for x in train)
+    symbols = sum(len(y) - 1 for y in streams)
     after: dict[bytes, list] = {}
     for g in grams:
         after.setdefault(g[:-1], []).append(g)
     memo: dict = {}
 
     def size(c):
-        return symbols if not c else grams[c]
+        return symbols if not c else sum(grams[x] for x in after[c])
 
     def p(g):
         c = g[:-1]
@@ -187,6 +183,17 @@ def test_scores_equal_a_plain_model(docs, rows, empty, monkeypatch):
             memo[c] = left / (256 - len(own)) if not c else left / (1 - sum(p(x[1:]) for x in own))
         return memo[c] if not c else memo[c] * p(g[1:])
 
+    return p
+
+
+def test_scores_equal_a_plain_model(docs, rows, empty, monkeypatch):
+    out = {r.doc_id: r for r in lm_score.score(docs).collect()}
+    train = [x for i, x, *_ in rows if zlib.crc32(str(i).encode()) % 10]
+    count = Counter(w for x in train for w in [*low(x), None])
+    total, kinds = sum(count.values()), len(count)
+    order = lm_score.ORDER
+    p = plain_model([b"\n" + lm_score.normal(x) for x in train], order)
+
     for i, x, *_ in rows[:6] + rows[-8:]:
         y, spelt, score = b"\n" + lm_score.normal(x), 0.0, 0.0
         for t in range(1, len(y)):
@@ -344,6 +351,43 @@ def test_languages_are_told_apart(spark, empty):
 # op7 -----------------------------------------------------------------------------------
 
 
+def test_url_ratios_equal_plain_models(spark, monkeypatch):
+    """Scores and threshold of labelled and other URLs against models counted in plain Python; blocks do not matter."""
+    rng = np.random.default_rng(8)
+    part = lambda: "".join(rng.choice(list("abcé-"), rng.integers(1, 9)))
+    urls = [f"http://{part()}.com/{part()}" for _ in range(25)] + [f"http://{part()}.net/es/{part()}" for _ in range(25)] + [f"https://{part()}.org/{part()}" for _ in range(20)]
+    urls += [None, "", urls[0], urls[-1], "http://x.org/" + "long/" * 20_000]
+    df = spark.createDataFrame([(i if i else None, u, 1) for i, u in enumerate(urls)], "page_id long, url string, score int").repartition(3)
+    fold = dict(df.select("url", F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(2))).collect())
+    monkeypatch.setattr(urlfilter, "BLOCK_BYTES", 1)
+    got = urlfilter.judge(df).collect()
+    assert len(got) == len(urls) and sum(r.page_id is None for r in got) == 1
+    line = lambda u: (u or "").split("://")[-1].encode() + b"\n"
+    label = lambda u: None if u is None or "://" not in u else "allow" if ".com/" in u else "block" if ".net/es/" in u else None
+    models: dict = {}
+
+    def ratio(u, f):
+        """By models of the labelled URLs outside fold ``f``; of all where it is None."""
+        if f not in models:
+            models[f] = [plain_model([b"\n" + line(x) for x in urls if label(x) == v and fold[x] != f], urlfilter.ORDER) for v in ("allow", "block")]
+        y = b"\n" + line(u)
+        grams = [y[max(0, t - urlfilter.ORDER + 1) : t + 1] for t in range(1, len(y))]
+        return sum(math.log10(models[f][0](g)) - math.log10(models[f][1](g)) for g in grams) / len(grams)
+
+    for r in got:
+        u = urls[r.page_id or 0]
+        assert r.score == pytest.approx(ratio(u, None), abs=1e-4)
+        assert r.verdict == (label(u) or ("allow" if r.score >= r.threshold else "block"))
+    own = [(label(u), ratio(u, fold[u])) for u in urls if label(u)]
+
+    def loss(at):
+        share = lambda v, wrong: np.mean([wrong(s) for w, s in own if w == v])
+        return share("allow", lambda s: s < at) + share("block", lambda s: s >= at)
+
+    edges = np.arange(-urlfilter.BINS // 2, urlfilter.BINS // 2) * (2 * urlfilter.RANGE / urlfilter.BINS)
+    assert loss(got[0].threshold) == pytest.approx(min(map(loss, edges)), abs=1e-6)
+
+
 def test_url_rules_and_models(spark):
     urls = [
         (1, "http://A.Com/x?y"), (2, "https://example.com/en/1"), (3, "http://www.example.com/en/#t"), (4, "http://x.net/es/"), (5, "http://x.net/esx"), (6, None),
