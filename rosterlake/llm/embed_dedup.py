@@ -6,6 +6,9 @@ each rotation; the axes together name the bucket. A vector is stored in its home
 bucket and in the ``probes`` next best ones. Vectors that meet in a bucket where
 one of them is at home are compared exactly, in double precision.
 
+Vectors are scaled by their largest component first, so that no component is too
+large or too small to be squared. They travel as bytes of double precision.
+
 Equal vectors are one class with a multiplicity. A bucket with more than
 ``BLOCK`` classes is cut into blocks, and pairs of blocks are dealt to different
 tasks. Tasks return a row per class, never pairs: the number of links, counted
@@ -22,11 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import components, materialise, only
+from rosterlake.llm.common import components, materialise, only, spread_join
 
 BLOCK = 2048
 CHUNK = 16384
 HOT_KEYS = 200_000
+CLOSE = 1e-9
+#: Unrelated vectors that a bucket may hold on average, and tables for each number of rotations: longer codes are met less often.
+FELLOWS = 64
+TABLES = {1: 8, 2: 8, 3: 10, 4: 16, 5: 24, 6: 40}
+
+
+def rotations(n: int, d: int) -> int:
+    """Rotations per table for ``n`` vectors of length ``d``: as many as keep a bucket's unrelated vectors at FELLOWS on average."""
+    full, k = 1 << max(1, (d - 1).bit_length()), 2
+    while (2 * full) ** k * FELLOWS < n and k < max(TABLES) and (2 * full) ** (k + 1) < 1 << 46:
+        k += 1
+    return k
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -72,11 +87,21 @@ def codes(x: np.ndarray, tables: int, k: int, probes: int, seed: int) -> np.ndar
     return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows, none of them zero, at length 1."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _vectors(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, matrix in double precision) for each length of vector."""
+    """(row numbers, matrix in double precision) for each length of vector; vectors are bytes or lists of numbers."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    offsets = np.asarray(col.offsets)
-    flat = col.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    if pa.types.is_binary(col.type):
+        offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1] // 8
+        flat = np.frombuffer(col.buffers()[2], np.float64) if col.buffers()[2] is not None else np.empty(0)
+    else:
+        offsets = np.asarray(col.offsets)
+        flat = col.values.to_numpy(zero_copy_only=False).astype(np.float64)
     sizes = np.diff(offsets)
     out = []
     for d in np.unique(sizes):
@@ -85,28 +110,41 @@ def _vectors(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _bucketed(tables: int, k: int, probes: int, seed: int):
+def _place(d: int, k: int) -> np.int64:
+    """The number of buckets of a table for vectors of length ``d``."""
+    return np.int64((2 << max(1, (d - 1).bit_length())) ** k)
+
+
+def _bucketed(tables: int, k: int, probes: int, seed: int, whole: bool):
+    """Rows (key, home, rep, copies, vec) of all places of a vector, or the keys alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, x in _vectors(batch.column("vec")):
-                d = x.shape[1]
-                place = np.int64((2 << max(1, (d - 1).bit_length())) ** k)
-                c = codes(x / np.linalg.norm(x, axis=1, keepdims=True), tables, k, probes, seed)
-                key = c + ((np.int64(d) * tables + np.arange(tables))[None, :, None]) * place
-                each = tables * (1 + probes)
-                taken = pa.array(np.repeat(rows, each))
-                home = np.zeros(c.shape, dtype=bool)
-                home[:, :, 0] = True
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key.ravel()),
-                        pa.array(home.ravel()),
-                        batch.column("rep").take(taken),
-                        batch.column("copies").take(taken),
-                        batch.column("vec").take(taken),
-                    ],
-                    names=["key", "home", "rep", "copies", "vec"],
-                )
+            for start in range(0, batch.num_rows, 4096):
+                some = batch.slice(start, 4096)
+                for rows, x in _vectors(some.column("vec")):
+                    x = unit(x)
+                    d = x.shape[1]
+                    c = codes(x, tables, k, probes, seed)
+                    key = c + ((np.int64(d) * tables + np.arange(tables))[None, :, None]) * _place(d, k)
+                    if not whole:
+                        yield pa.RecordBatch.from_arrays([pa.array(key.ravel())], names=["key"])
+                        continue
+                    each = tables * (1 + probes)
+                    taken = np.repeat(rows, each)
+                    home = np.zeros(c.shape, dtype=bool)
+                    home[:, :, 0] = True
+                    body = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1, dtype=np.int32) * 8 * d).tobytes()), pa.py_buffer(x.tobytes())])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(key.ravel()),
+                            pa.array(home.ravel()),
+                            pa.array(some.column("rep").to_numpy()[taken]),
+                            pa.array(some.column("copies").to_numpy()[taken]),
+                            body.take(pa.array(np.repeat(np.arange(len(x)), each))),
+                        ],
+                        names=["key", "home", "rep", "copies", "vec"],
+                    )
 
     return run
 
@@ -125,13 +163,20 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarr
 
 
 def _met(x: np.ndarray, home: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of a bucket's rows with enough cosine, one of them at home; between the two blocks if there are two."""
-    near = x @ x.T >= threshold
+    """Pairs (i < j) of a bucket's rows with enough cosine, one of them at home; between the two blocks if there are two.
+
+    Products of whole matrices may round a pair differently from bucket to
+    bucket; pairs near the threshold are summed once more, alone and in one order.
+    """
+    near = x @ x.T >= threshold - CLOSE
     near &= home[:, None] | home[None, :]
     if side.any():
         near &= side[:, None] != side[None, :]
     i, j = np.nonzero(np.triu(near, 1))
-    return i, j
+    keep = np.ones(len(i), dtype=bool)
+    for s in range(0, len(i), CHUNK):
+        keep[s : s + CHUNK] = (x[i[s : s + CHUNK]] * x[j[s : s + CHUNK]]).sum(axis=1) >= threshold
+    return i[keep], j[keep]
 
 
 def _compared(threshold: float, tables: int, k: int, probes: int, seed: int):
@@ -141,11 +186,10 @@ def _compared(threshold: float, tables: int, k: int, probes: int, seed: int):
         run = np.flatnonzero(np.diff(key, prepend=key[0] - 1) | np.diff(t["lo"].to_numpy(), prepend=-1) | np.diff(t["hi"].to_numpy(), prepend=-1))
         ends = np.append(run[1:], len(key))
         for rows, x in _vectors(t["vec"]):
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
             at = np.full(len(key), -1)
             at[rows] = np.arange(len(rows))
             left, right, table, bucket = [], [], [], []
-            place = np.int64((2 << max(1, (x.shape[1] - 1).bit_length())) ** k)
+            place = _place(x.shape[1], k)
             for s, e in zip(run, ends):
                 if e - s > 1 and at[s] >= 0 and home[s:e].any():
                     i, j = _met(x[at[s] : at[e - 1] + 1], home[s:e], side[s:e], threshold)
@@ -204,7 +248,7 @@ def near_duplicates(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = 0.95,
-    tables: int = 8,
+    tables: int | None = None,
     probes: int = 3,
     seed: int = 1234,
 ) -> DataFrame:
@@ -213,7 +257,9 @@ def near_duplicates(
     ``n_links`` counts the other rows found with cosine of at least
     ``threshold``, equal vectors included; ``component_id`` is the smallest id
     reachable by links. The number of rotations per table follows the number of
-    vectors, so that a bucket holds some dozens of unrelated vectors at most.
+    vectors and their length, so that a bucket holds some dozens of unrelated
+    vectors at most; the number of tables follows the rotations, so that at least
+    98 of 100 pairs at the threshold meet.
 
     Null or zero vectors, vectors with null or non-finite components and rows
     without an id link with nothing; a row without an id gets a null component
@@ -228,13 +274,11 @@ def near_duplicates(
     classes = materialise(
         rows.where("ok").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
-    n = classes.count()
-    k = 2
-    while 128**k * 64 < n:
-        k += 1
-    kind = classes.schema["vec"].dataType.simpleString()
-    placed = classes.mapInArrow(_bucketed(tables, k, probes, seed), f"key long, home boolean, rep long, copies long, vec {kind}")
-    sizes = classes.select("rep", "vec").mapInArrow(_keys_only(tables, k, probes, seed), "key long").groupBy("key").count()
+    n, d = classes.agg(F.count("*"), F.min(F.size("vec"))).first()
+    k = rotations(n, d or 1)
+    tables = tables or TABLES[k]
+    placed = classes.mapInArrow(_bucketed(tables, k, probes, seed, True), "key long, home boolean, rep long, copies long, vec binary")
+    sizes = classes.select("vec").mapInArrow(_bucketed(tables, k, probes, seed, False), "key long").groupBy("key").count()
     hot = sizes.where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     hot = materialise(hot, "hot")
     small = hot.count() <= HOT_KEYS
@@ -258,25 +302,12 @@ def near_duplicates(
         .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
         .select("vec", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     )
-    good = rows.where("ok").join(per_class, "vec").select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
+    good = spread_join(rows.where("ok").select("vec_id", "vec"), per_class, ["vec"]).select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
     bad = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = good.unionByName(bad)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _keys_only(tables: int, k: int, probes: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, x in _vectors(batch.column("vec")):
-                d = x.shape[1]
-                place = np.int64((2 << max(1, (d - 1).bit_length())) ** k)
-                c = codes(x / np.linalg.norm(x, axis=1, keepdims=True), tables, k, probes, seed)
-                key = c + ((np.int64(d) * tables + np.arange(tables))[None, :, None]) * place
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel())], names=["key"])
-
-    return run
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: near-duplicate links of all rows of ``embeddings``."""
     return near_duplicates(only(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding"))

@@ -29,7 +29,6 @@ LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 PER_LANGUAGE = 1000
-MAX_LANGUAGES = 400
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -145,18 +144,27 @@ def _folded(text: str) -> bytes:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, fold: int = 4, held_out: int = 2) -> Network:
     """A network from documents whose crc32(doc_id as text) mod ``fold`` is not ``held_out``.
 
-    At most ``per_language`` documents of each language, those with the smallest
-    hashes of their texts, give one window each from a place that a hash names;
-    of more than MAX_LANGUAGES languages the most frequent are learned.
+    Every language found is learned. Of each one some ``per_language`` documents
+    with different windows give one window, from a place that a hash names:
+    those whose text has a hash below a bound that the number of different texts
+    of the language sets, and of these the smallest hashes. Documents without a
+    text, a letter or a language teach nothing; a null id counts as the empty
+    text; of rows with equal texts one is learned. Without any usable document
+    the network knows no language.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     usable = docs.where((F.crc32(key) % fold != held_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    top = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - LENGTH // 2, F.lit(1))).cast("int")
-    picked = usable.select("lang", F.xxhash64("text", F.lit(0)).alias("h"), F.substring("text", start + 1, F.lit(LENGTH)).alias("part"))
+    hashed = usable.select("lang", F.xxhash64("text", F.lit(0)).alias("h"), F.substring("text", start + 1, F.lit(LENGTH)).alias("part"))
+    found = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row per language, as the network has one output each
+    top = sorted(r["lang"] for r in found)
+    # rows are thinned out where they are read: a task of the ranking gets little more than it keeps, whatever a language's share of the rows
+    bound = {r["lang"]: min(1.0, (1.5 * per_language + 100) / max(r["n"], 1)) for r in found}
+    limit = F.create_map(*[F.lit(x) for lang in top for x in (lang, min(2**63 - 1, int((bound[lang] - 0.5) * 2.0**64)))]) if top else None
+    picked = hashed.where(F.col("h") <= limit[F.col("lang")]).distinct() if top else hashed
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "part"))
-    sample = picked.withColumn("r", rank).where(F.col("r") <= per_language).where(F.col("lang").isin(top)).drop("r").toPandas() if top else None
-    languages = sorted(top)
+    sample = picked.withColumn("r", rank).where(F.col("r") <= per_language).drop("r").toPandas() if top else None
+    languages = top
     net = Network(languages)
     if not languages:
         return net

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.llm.common import materialise
+
 SEED = 7
 POWER = 0.5
 SMALL = 100_000
@@ -54,7 +56,8 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
     Without ``weights`` a source's target share is its size to the power
     ``POWER``. Sources missing from ``weights`` get 0. ``total_bytes``, the
     expected size of the mixture, is that of the input by default. A null source
-    is a source; its key is null.
+    is a source; its key is null. A source whose texts hold no bytes at all has
+    nothing to give to the mixture: its rate is 0, and its rows are left out.
     """
     size = docs.groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"))
     if weights is None:
@@ -86,21 +89,29 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total_b
     """The mixture: the input's columns, with ``copy_no`` from 0, ``n_copies`` and ``shuffle_key``, in shuffled order.
 
     Needs the columns doc_id, text and source. Null texts count as empty, a null
-    id as an empty string in the draw; rows of the same id draw the same count.
-    An input column named like one of the three added ones is replaced. A rate may
-    have any size. An empty table gives an empty result.
+    id as an empty string in the draw; rows of the same id, repeated ones too,
+    draw the same count. Input columns named like one of the three added ones are
+    replaced; all others may have any name. A rate may have any size. An empty
+    table gives an empty result.
     """
-    table = rates(docs, weights, total_bytes)
-    by = table.select(F.col("source").alias("_mix_source"), F.col("least").alias("_mix_least"), F.col("cdf").alias("_mix_cdf"))
-    by = F.broadcast(by) if table.count() <= SMALL else by
-    names = [c for c in docs.columns if c not in ("copy_no", "n_copies", "shuffle_key")]
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    drawn = docs.select(*names).join(by, F.col("source").eqNullSafe(F.col("_mix_source")))
-    drawn = drawn.withColumn("_mix_u", unit(F.lit(str(seed)), doc))
-    drawn = drawn.withColumn("n_copies", (F.col("_mix_least") + F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u")))).cast("int")).where("n_copies > 0")
+    table = materialise(rates(docs, weights, total_bytes), "rates")
+    kept = [c for c in docs.columns if c not in ("copy_no", "n_copies", "shuffle_key")]
+    row = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"))  # the input's names stay apart from those used here
+    doc = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
+    row = row.withColumn("given", F.col("row.source")).withColumn("u", unit(F.lit(str(seed)), doc))
+    by = table.select("source", "least", "cdf", "rows")
+    if table.count() <= SMALL:
+        drawn = row.join(F.broadcast(by), F.col("given").eqNullSafe(F.col("source")))
+    else:  # at most SMALL sources hold one in SMALL of all rows or more; they are broadcast, the rest is shuffled
+        often = F.col("rows") * SMALL >= table.agg(F.sum("rows")).first()[0]
+        hot = F.broadcast(by.where(often))
+        drawn = row.join(hot, F.col("given").eqNullSafe(F.col("source")))
+        rest = row.join(hot, F.col("given").eqNullSafe(F.col("source")), "left_anti")
+        drawn = drawn.unionByName(rest.join(by.where(~often), F.col("given").eqNullSafe(F.col("source"))))
+    drawn = drawn.withColumn("n_copies", (F.col("least") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).cast("int")).where("n_copies > 0")
     out = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed + 1)), doc, F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("long")
-    out = out.select(*names, "copy_no", "n_copies", key.alias("shuffle_key"))
+    out = out.select(*[F.col("row").getField(c).alias(c) for c in kept], "copy_no", "n_copies", key.alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import components, materialise, only
+from rosterlake.llm.common import components, materialise, only, spread_join
 
 SEED = 42
 BITS = 3
@@ -198,7 +198,8 @@ def grouped(rows: DataFrame, bits: int = BITS, more: DataFrame | None = None) ->
     named = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = named.select("fp", "component").join(first, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    back = spread_join(rows.select("doc_id", "fp"), by_fp, ["fp"])  # any number of texts may share a fingerprint
+    return back.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,9 @@ difference cover is for, and one position in about 70 is sampled.
    neighbours are compared.
 4. Cut. The spans' bytes are joined back to the texts and removed.
 
-Contents are compared by 64-bit hashes.
+Steps 2 and 3 compare contents by 128-bit hashes; the 64-bit hash of a core only
+says which samples may belong together. A task never gets all samples of a
+frequent string: they are counted before they are shuffled, and joined by salts.
 """
 
 from __future__ import annotations
@@ -28,18 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rosterlake.llm.common import materialise, only
+from rosterlake.llm.common import materialise, only, spread_join
 
 SPAN = 200
 CORE = 64
 CHUNK = 1 << 17
 FILTER_BITS = 26
-DENSE = 4096
+DENSE = 512
+PIECE = 4096
 
-_BASE = 0x9E3779B97F4A7C15
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4D)
 _LOW = (1 << 22) - 1
 
 
@@ -60,10 +65,11 @@ _TABLES: dict[str, np.ndarray] = {}
 def _tables() -> dict[str, np.ndarray]:
     if not _TABLES:
         size = CHUNK + 4 * SPAN + 1
-        _TABLES["up"] = _powers(_BASE, size)
-        _TABLES["down"] = _powers(pow(_BASE, -1, 1 << 64), size)
         _TABLES["place"] = (_LOW - np.arange(size)).astype(np.uint64)  # the later position is the smaller number
-        _TABLES["byte"] = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+        for k, base in enumerate(_BASES):
+            _TABLES[f"up{k}"] = _powers(base, size)
+            _TABLES[f"down{k}"] = _powers(pow(base, -1, 1 << 64), size)
+            _TABLES[f"byte{k}"] = np.random.default_rng(11 + k).integers(1, 1 << 63, 256, dtype=np.uint64)
     return _TABLES
 
 
@@ -75,13 +81,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of all substrings of a piece of bytes, each in constant time."""
+    """Hashes of all substrings of a piece of bytes, each in constant time; ``kind`` 0 and 1 are independent."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, kind: int = 0):
         t = _tables()
-        self.down = t["down"]
+        self.down = t[f"down{kind}"]
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(t["byte"][data] * t["up"][: len(data)], out=self.prefix[1:])
+        np.cumsum(t[f"byte{kind}"][data] * t[f"up{kind}"][: len(data)], out=self.prefix[1:])
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mix((self.prefix[start + length] - self.prefix[start]) * self.down[start])
@@ -177,10 +183,12 @@ class Filter:
         return Filter(words)
 
 
-def _triple(hashes: Hashes, core: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    length = last - first + SPAN
-    where = (core - first).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(hashes.of(first, length) ^ mix(where)).view(np.int64)
+def _triple(data: np.ndarray, core: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """128-bit names of triples, shape (samples, 2): of the text that a sample's spans reach and the core's offset in it."""
+    body = memoryview(np.ascontiguousarray(data))
+    digest = xxhash.xxh3_128_digest
+    names = b"".join(digest(body[a:b], seed) for a, b, seed in zip(first.tolist(), (last + SPAN).tolist(), (core - first).tolist()))
+    return np.frombuffer(names, np.int64).reshape(-1, 2)
 
 
 def _triples(known):
@@ -194,9 +202,10 @@ def _triples(known):
             if len(h):
                 doc = np.searchsorted(starts, first, side="right") - 1
                 lo = (first - starts[doc] + begin[doc]).astype(np.int64)
+                g = _triple(data, core, first, last)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[doc]), pa.array(b[doc]), pa.array(lo), pa.array((last - first).astype(np.int32)), pa.array(h), pa.array(_triple(hashes, core, first, last))],
-                    names=["a", "b", "lo", "more", "h", "g"],
+                    [pa.array(a[doc]), pa.array(b[doc]), pa.array(lo), pa.array((last - first).astype(np.int32)), pa.array(h), pa.array(g[:, 0]), pa.array(g[:, 1])],
+                    names=["a", "b", "lo", "more", "h", "g", "g2"],
                 )
 
     return run
@@ -205,28 +214,29 @@ def _triples(known):
 def _contexts(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: Filter = known.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for data, starts, ends, _, _ in _pieces(batches, ()):
             hashes, core, first, last = samples(data, starts, ends)
             h = hashes.of(core, CORE).view(np.int64)
             keep = np.flatnonzero(wanted.passes(h))
-            g = _triple(hashes, core[keep], first[keep], last[keep])
+            g = _triple(data, core[keep], first[keep], last[keep])
             if len(seen) > 1_000_000:
                 seen.clear()
             new = []
-            for i, x in zip(keep.tolist(), g.tolist()):
+            for i, x in zip(keep.tolist(), map(tuple, g.tolist())):
                 if x not in seen:
                     seen.add(x)
-                    new.append((h[i], x, core[i] - first[i], data[first[i] : last[i] + SPAN].tobytes()))
+                    new.append((h[i], *x, core[i] - first[i], data[first[i] : last[i] + SPAN].tobytes()))
             if new:
                 cols = list(zip(*new))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["h", "g", "off", "body"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["h", "g", "g2", "off", "body"])
 
     return run
 
 
 def _spans_of(bodies: list[bytes], off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all spans of some contexts: the context's number, the span's place in it, and a hash of its content and its offset to the core."""
+    """Of all spans of some contexts: the context's number, the span's place in it, and two hashes (spans, 2) of its content, the first of its offset to the core too."""
     who, place, key = [], [], []
     at, size = 0, 0
     while at < len(bodies):
@@ -239,24 +249,25 @@ def _spans_of(bodies: list[bytes], off: np.ndarray) -> tuple[np.ndarray, np.ndar
         n = length - SPAN + 1
         own = np.repeat(np.arange(end - at), n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        h = Hashes(np.frombuffer(b"".join(bodies[at:end]), np.uint8)).of(begin[own] + inner, SPAN)
+        data = np.frombuffer(b"".join(bodies[at:end]), np.uint8)
+        h, h2 = (Hashes(data, kind).of(begin[own] + inner, SPAN) for kind in (0, 1))
         rel = (off[at:end][own] - inner).astype(np.uint64)
         who.append(own + at)
         place.append(inner)
-        key.append(mix(h ^ mix(rel + np.uint64(0x632BE59BD9B4E019))))
+        key.append(np.stack([mix(h ^ mix(rel + np.uint64(0x632BE59BD9B4E019))), h2], 1))
         at = end
     return np.concatenate(who), np.concatenate(place), np.concatenate(key)
 
 
 def _repeated(t: pa.Table) -> pa.RecordBatch:
-    """The spans that stand in two of the contexts: runs (g, skip, more). Equal spans have equal cores, so cores need not be told apart."""
+    """The spans that stand in two of the contexts: runs (g, g2, skip, more). Equal spans have equal cores, so cores need not be told apart."""
     who, place, key = _spans_of(t["body"].to_pylist(), t["off"].to_numpy())
-    by = np.argsort(key, kind="stable")
-    same = key[by][1:] == key[by][:-1]
+    by = np.lexsort((key[:, 1], key[:, 0]))
+    same = (key[by][1:] == key[by][:-1]).all(1)
     hit = np.zeros(len(key), bool)
     hit[by[1:][same]] = True
     hit[by[:-1][same]] = True
-    return _runs(t["g"].to_numpy(), who[hit], place[hit])
+    return _runs(t["g"].to_numpy(), t["g2"].to_numpy(), who[hit], place[hit])
 
 
 def _by_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +275,10 @@ def _by_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        for at in range(0, batch.num_rows, DENSE):
-            kept.append(batch.slice(at, DENSE))
+        for at in range(0, batch.num_rows, PIECE):
+            kept.append(batch.slice(at, PIECE))
             size += kept[-1].num_rows
-            if size > DENSE:
+            if size > PIECE:
                 t = pa.Table.from_batches(kept).combine_chunks()
                 h = t["h"].to_numpy()
                 cut = int(np.searchsorted(h, h[-1]))
@@ -278,11 +289,12 @@ def _by_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _repeated(pa.Table.from_batches(kept))
 
 
-def _runs(g: np.ndarray, who: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _runs(g: np.ndarray, g2: np.ndarray, who: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     start = np.r_[True, (who[1:] != who[:-1]) | (place[1:] != place[:-1] + 1)] if len(who) else np.empty(0, bool)
     s = np.flatnonzero(start)
     e = np.r_[s[1:] - 1, len(who) - 1] if len(s) else s
-    return pa.RecordBatch.from_arrays([pa.array(g[who[s]]), pa.array(place[s].astype(np.int32)), pa.array((place[e] - place[s]).astype(np.int32))], names=["g", "skip", "more"])
+    cols = [pa.array(g[who[s]]), pa.array(g2[who[s]]), pa.array(place[s].astype(np.int32)), pa.array((place[e] - place[s]).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, names=["g", "g2", "skip", "more"])
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +302,9 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2048):
             some = batch.slice(at, 2048)
             who, place, key = _spans_of(some.column("body").to_pylist(), some.column("off").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(some.column("g").to_numpy()[who]), pa.array(place.astype(np.int32)), pa.array((key ^ some.column("h").to_numpy().view(np.uint64)[who]).view(np.int64))], names=["g", "skip", "key"])
+            key = key.view(np.int64)
+            cols = [pa.array(some.column(c).to_numpy()[who]) for c in ("g", "g2")] + [pa.array(place.astype(np.int32)), pa.array(key[:, 0]), pa.array(key[:, 1])]
+            yield pa.RecordBatch.from_arrays(cols, names=["g", "g2", "skip", "key", "key2"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -299,22 +313,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     text = docs.select("text")
     often = text.mapInArrow(_cores, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     known = spark.sparkContext.broadcast(Filter.of(often.select("h")))
-    rows = materialise(docs.select("a", "b", "text").mapInArrow(_triples(known), "a long, b long, lo long, more int, h long, g long"), "triples")
-    named = materialise(rows.groupBy("h", "g").agg(F.count("*").alias("m")), "named")
+    rows = materialise(docs.select("a", "b", "text").mapInArrow(_triples(known), "a long, b long, lo long, more int, h long, g long, g2 long"), "triples")
+    named = materialise(rows.groupBy("h", "g", "g2").agg(F.count("*").alias("m")), "named")
     cores = named.groupBy("h").agg(F.count("*").alias("kinds"), F.min("m").alias("least"))
     open_ = materialise(cores.where("kinds > 1 and least = 1").select("h", "kinds"), "open")
     again = spark.sparkContext.broadcast(Filter.of(open_.select("h")))
-    bodies = text.mapInArrow(_contexts(again), "h long, g long, off int, body binary")
+    bodies = text.mapInArrow(_contexts(again), "h long, g long, g2 long, off int, body binary")
     bodies = materialise(bodies.join(open_, "h"), "bodies")
-    few = bodies.where(F.col("kinds") <= DENSE).dropDuplicates(["h", "g"]).select("h", "g", "off", "body")
-    few = few.repartition("h").sortWithinPartitions("h").mapInArrow(_by_core, "g long, skip int, more int")
-    many = bodies.where(F.col("kinds") > DENSE).dropDuplicates(["h", "g"]).select("h", "g", "off", "body").mapInArrow(_span_rows, "g long, skip int, key long")
-    pairs = many.groupBy("key").count().where("count > 1").select("key")
-    dense = many.join(pairs, "key").select("g", "skip", F.lit(0).alias("more"))
+    name = ["g", "g2"]
+    few = bodies.where(F.col("kinds") <= DENSE).dropDuplicates(["h", *name]).select("h", *name, "off", "body")
+    few = few.repartition("h").sortWithinPartitions("h").mapInArrow(_by_core, "g long, g2 long, skip int, more int")
+    many = bodies.where(F.col("kinds") > DENSE).dropDuplicates(["h", *name]).select(*name, "off", "body").mapInArrow(_span_rows, "g long, g2 long, skip int, key long, key2 long")
+    pairs = many.groupBy("key", "key2").count().where("count > 1").select("key", "key2")
+    dense = spread_join(many, pairs, ["key", "key2"]).select(*name, "skip", F.lit(0).alias("more"))
     part = few.unionByName(dense).withColumn("whole", F.lit(False))
-    whole = named.where("m > 1").select("g", F.lit(0).alias("skip"), F.lit(0).alias("more"), F.lit(True).alias("whole"))
-    part = part.join(named.where("m = 1").select("g"), "g", "left_semi")
-    hits = rows.select("a", "b", "lo", F.col("more").alias("all"), "g").join(whole.unionByName(part), "g")
+    whole = named.where("m > 1").select(*name, F.lit(0).alias("skip"), F.lit(0).alias("more"), F.lit(True).alias("whole"))
+    part = part.join(named.where("m = 1").select(*name), name, "left_semi")
+    hits = spread_join(rows.select("a", "b", "lo", F.col("more").alias("all"), *name), whole.unionByName(part), name)
     start = F.col("lo") + F.col("skip")
     upto = start + F.when(F.col("whole"), F.col("all")).otherwise(F.col("more")) + SPAN
     spans = hits.select("a", "b", F.struct(start.alias("s"), upto.alias("e")).alias("x"))
@@ -351,10 +366,9 @@ def _cut(text_out: bool):
                     runs.append(len(gone))
                     digest.append(hashlib.sha256(rest).hexdigest())
                     left.append(rest.decode("utf-8", "ignore") if text_out else None)
-                keep = [c for c in batch.schema.names if c not in ("text", "spans")]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest), pa.array(left, pa.string())],
-                    names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                    [batch.column("row"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest), pa.array(left, pa.string())],
+                    names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
                 )
 
     return run
@@ -369,17 +383,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as they are, and so does an empty text; null counts as empty. ``kept_text``
     is the rest decoded, without characters that were cut in part, or null if
     ``text_out`` is false. Rows repeated as a whole are each other's copies.
-    Input columns named like the added ones are replaced; an empty table gives
-    an empty result.
+    Input columns named like the added ones are replaced, all others may have any
+    name; a null id counts as one id of its own. An empty table gives an empty
+    result.
     """
-    added = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans", "a", "b", "_a", "_b"}
+    added = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     names = [c for c in docs.columns if c not in added and c != text_col]
-    keyed = docs.select(*names, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("_a", F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn("_b", F.xxhash64(F.col(id_col).isNull(), "text"))
-    spans = materialise(repeats(keyed.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "text")), "spans")
-    joined = keyed.join(spans, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left").select(*names, "text", "spans")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema.fields if f.name in names)
-    return joined.mapInArrow(_cut(text_out), fields + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"), docs[id_col].cast("long").alias("id"))
+    keyed = keyed.select("row", "text", F.coalesce("id", F.lit(0)).alias("a"), F.xxhash64(F.col("id").isNull(), "text").alias("b"))
+    spans = materialise(repeats(keyed.select("a", "b", "text")), "spans")
+    joined = keyed.join(spans, ["a", "b"], "left").select("row", "text", "spans")
+    fields = T.StructType([joined.schema["row"], *(T.StructField(c, T.LongType()) for c in added[:3]), *(T.StructField(c, T.StringType()) for c in added[3:])])
+    return joined.mapInArrow(_cut(text_out), fields).select(*[F.col("row").getField(c).alias(c) for c in names], *added)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -98,10 +98,8 @@ def test_embedding_links(spark, monkeypatch):
     unit = {i: v / np.linalg.norm(v) for i, v in good.items()}
     pairs = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
     links = Counter(x for p in pairs for x in p)
-    found = sum(r.n_links for r in got.values())
-    assert all(got[i].n_links <= links[i] for i in unit) and found >= 0.97 * 2 * len(pairs) > 200
-    if found == 2 * len(pairs):
-        assert {i: got[i].component_id for i in unit} == closed(unit, pairs)
+    assert {i: got[i].n_links for i in unit} == {i: links[i] for i in unit} and len(pairs) > 100
+    assert {i: got[i].component_id for i in unit} == closed(unit, pairs)
     assert len(got) == len(data)
     for i in (10, 246, 247, 248, 249):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
@@ -109,6 +107,29 @@ def test_embedding_links(spark, monkeypatch):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_components_of_any_size_link(spark):
+    """Vectors whose squares overflow or vanish, beside near twins of usual size."""
+    v = [1.0, 2.0, 3.0, -1.0]
+    near = [1.01, 2.0, 3.0, -1.0]
+    data = [(i, [x * f for x in w]) for i, (w, f) in enumerate([(v, 1.0), (near, 1e200), (v, 1e-200), (near, 5e-324 * 2**60), ([3.0, -2.0, 1.0, 0.0], 1e300)])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4)}
+
+
+@pytest.mark.parametrize("k", [2, 3, 4])
+@pytest.mark.parametrize("d", [64, 128, 384])
+def test_recall_at_every_number_of_rotations(d, k):
+    """Of random pairs at cosine 0.95, the share that meets in a bucket where one is at home."""
+    rng = np.random.default_rng(d + k)
+    x = embed_dedup.unit(rng.normal(size=(1500, d)))
+    z = rng.normal(size=x.shape)
+    z = embed_dedup.unit(z - (z * x).sum(1, keepdims=True) * x)
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * z
+    a, b = (embed_dedup.codes(v, embed_dedup.TABLES[k], k, 3, 1234) for v in (x, y))
+    met = ((a == b[:, :, :1]) | (b == a[:, :, :1])).any((1, 2))
+    assert met.mean() >= 0.98
+
+
 def test_crowded_buckets_are_cut(spark, monkeypatch):
     """Many different near copies in one bucket: blocks of pairs find every link once."""
     monkeypatch.setattr(embed_dedup, "BLOCK", 16)
@@ -276,6 +297,43 @@ def test_shards_are_even_and_hold_groups_together(spark, rows, docs, empty):
     assert shard.shard(empty).count() == 0
 
 
+def test_groups_that_fit_are_not_cut(spark):
+    """Groups of 0.6 shards each, as many as there are shards, and small ones beside them: every large one gets a shard of its own, no link is cut."""
+    shards = 5
+    sizes = [60] * 4 + [15] * 6 + [2] * 20
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    texts += [f"alone {i}" for i in range(100 * shards - len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = shard.shard(df, shards=shards).toPandas()
+    out["text"] = [texts[i] for i in out["doc_id"]]
+    spread = out[out["text"].str.startswith("group")].groupby("text")["shard"].nunique()
+    assert spread.max() == 1
+    assert set(out.groupby("shard").size()) == {100}
+
+
+def plain_grants(wishes, room):
+    """Wishes (label, class, bucket, m, g, q) taken in order while they fit, by shard."""
+    out = []
+    for label, free in room.items():
+        at = 0
+        for w in sorted((w for w in wishes if w[0] == label), key=lambda w: (-w[1], w[2], -w[3], w[4])):
+            at += w[5]
+            if at > free:
+                break
+            out.append((label, w[4]))
+    return set(out)
+
+
+def test_grants_keep_the_quota(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 3)), f"g{i}", int(n), int(n), int(np.log2(n))) for i, n in enumerate(rng.integers(2, 40, 200))]
+    wishes = spark.createDataFrame(rows, "label int, g string, q long, m long, class int")
+    room = {0: 700, 1: 300, 2: 0}
+    bucket = dict(wishes.select("g", F.pmod(F.xxhash64("g", F.lit(5)), F.lit(shard.BUCKETS))).collect())
+    got = {(r.label, r.g) for r in shard._granted(wishes, spark.createDataFrame(list(room.items()), "label int, room long")).collect()}
+    assert got == plain_grants([(lab, c, bucket[g], m, g, q) for lab, g, q, m, c in rows], room)
+
+
 # op5 -----------------------------------------------------------------------------------
 
 
@@ -487,7 +545,7 @@ def cut(texts):
         yield len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(rest).hexdigest()
 
 
-@pytest.mark.parametrize("dense", [4096, 1])
+@pytest.mark.parametrize("dense", [512, 1])
 def test_repeated_strings_are_cut(spark, monkeypatch, empty, dense):
     monkeypatch.setattr(suffix, "DENSE", dense)
     rng = np.random.default_rng(5)
