@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Parts into which the rows of one key are dealt where a key may be frequent.
 SALTS = 1024
+#: A key with more rows is frequent, and how many frequent keys are broadcast at most.
+OFTEN = 512
+HOT_KEYS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +65,22 @@ def spread_join(rows: DataFrame, table: DataFrame, key: list[str], salts: int =
     return salted.join(pairs, [*key, "_salt"]).drop("_salt")
 
 
+def counted_join(rows: DataFrame, table: DataFrame, key: list[str], n: str) -> DataFrame:
+    """Inner join of ``rows`` with a written table of few rows a key, whose column ``n`` says how many rows a key has.
+
+    The part of the table with keys of more than OFTEN rows is broadcast after
+    its rows were counted; if there are more than HOT_KEYS, all rows are salted.
+    """
+    hot = table.where(F.col(n) > OFTEN)
+    count = hot.limit(HOT_KEYS + 1).count()
+    if not count:
+        return rows.join(table, key)
+    if count > HOT_KEYS:
+        return spread_join(rows, table, key)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(table.where(F.col(n) <= OFTEN), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m")) if large else None

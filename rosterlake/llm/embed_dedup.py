@@ -25,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import components, materialise, only, spread_join
+from rosterlake.llm.common import HOT_KEYS, components, counted_join, materialise, only
 
 BLOCK = 2048
 CHUNK = 16384
-HOT_KEYS = 200_000
 CLOSE = 1e-9
 #: Unrelated vectors that a bucket may hold on average, and tables for each number of rotations: longer codes are met less often.
 FELLOWS = 64
@@ -300,9 +299,9 @@ def near_duplicates(
     per_class = (
         classes.join(links, "rep", "left")
         .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("vec", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
+        .select("vec", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     )
-    good = spread_join(rows.where("ok").select("vec_id", "vec"), per_class, ["vec"]).select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
+    good = counted_join(rows.where("ok").select("vec_id", "vec"), materialise(per_class, "per_class"), ["vec"], "copies").select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
     bad = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = good.unionByName(bad)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import simhash
-from rosterlake.llm.common import components, materialise
+from rosterlake.llm.common import components, counted_join, materialise
 
 LEAST = 0.8
 BANDS = 25
@@ -138,7 +138,7 @@ def links(docs: DataFrame, rows: DataFrame, shingle: int, least: float = LEAST)
     ).where("n > 1")
     # buckets of the same texts are one
     crowd = materialise(crowd.groupBy("lead", "n", "members").agg(F.min("bucket").alias("bucket")), "buckets")
-    placed = materialise(dealt.join(crowd.select("bucket", "lead", "n"), "bucket"), "candidates")
+    placed = materialise(counted_join(dealt, crowd.select("bucket", "lead", "n"), ["bucket"], "n"), "candidates")
     needed = placed.select("node").distinct().join(nodes.select("node", "fp", "doc_id"), "node")
     text = docs.select("doc_id", "text").join(needed, "doc_id")
     own = text.select("node", "fp", _sets(shingle)("text").alias("set"), "doc_id").dropDuplicates(["node"])
@@ -149,8 +149,9 @@ def links(docs: DataFrame, rows: DataFrame, shingle: int, least: float = LEAST)
     star = pairs.join(one, "node").join(two, "lead").where(_similarity()("s", "t") >= least).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     star = materialise(star, "stars")
     labelled = placed.join(components(star), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("comp"))
-    open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    left = labelled.join(open_, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    labelled = materialise(labelled, "labelled")
+    open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("n").alias("members")).where("x <> y").select("bucket", "members")
+    left = counted_join(labelled, materialise(open_, "open"), ["bucket"], "members").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "comp")
     more = left.join(own.select("node", "set"), "node").groupBy("bucket", "lo", "hi").applyInPandas(_compare(least), "a long, b long")

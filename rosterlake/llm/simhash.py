@@ -24,12 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import components, materialise, only, spread_join
+from rosterlake.llm.common import HOT_KEYS, components, counted_join, materialise, only
 
 SEED = 42
 BITS = 3
 BLOCK = 512
-HOT_KEYS = 200_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: For each byte value, its eight bits from the least significant on.
@@ -192,13 +191,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def grouped(rows: DataFrame, bits: int = BITS, more: DataFrame | None = None) -> DataFrame:
     """What ``near_duplicates`` returns, from rows (doc_id, fp); ``more`` has further links (a, b) of fingerprints."""
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     close = linked(nodes, bits)
     comp = components(close if more is None else close.unionByName(more))
     named = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = named.select("fp", "component").join(first, "component").select("fp", "component_id")
-    back = spread_join(rows.select("doc_id", "fp"), by_fp, ["fp"])  # any number of texts may share a fingerprint
+    named = materialise(named, "named")
+    first = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
+    by_fp = materialise(counted_join(named.select("fp", "component", "n"), materialise(first, "first"), ["component"], "size").select("fp", "n", "component_id"), "by_fp")
+    back = counted_join(rows.select("doc_id", "fp"), by_fp, ["fp"], "n")  # any number of texts may share a fingerprint
     return back.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.llm.common import materialise, only, spread_join
+from rosterlake.llm.common import counted_join, materialise, only
 
 SPAN = 200
 CORE = 64
@@ -324,12 +324,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     few = bodies.where(F.col("kinds") <= DENSE).dropDuplicates(["h", *name]).select("h", *name, "off", "body")
     few = few.repartition("h").sortWithinPartitions("h").mapInArrow(_by_core, "g long, g2 long, skip int, more int")
     many = bodies.where(F.col("kinds") > DENSE).dropDuplicates(["h", *name]).select(*name, "off", "body").mapInArrow(_span_rows, "g long, g2 long, skip int, key long, key2 long")
-    pairs = many.groupBy("key", "key2").count().where("count > 1").select("key", "key2")
-    dense = spread_join(many, pairs, ["key", "key2"]).select(*name, "skip", F.lit(0).alias("more"))
+    many = materialise(many, "dense")
+    pairs = materialise(many.groupBy("key", "key2").agg(F.count("*").alias("times")).where("times > 1"), "pairs")
+    dense = counted_join(many, pairs, ["key", "key2"], "times").select(*name, "skip", F.lit(0).alias("more"))
     part = few.unionByName(dense).withColumn("whole", F.lit(False))
-    whole = named.where("m > 1").select(*name, F.lit(0).alias("skip"), F.lit(0).alias("more"), F.lit(True).alias("whole"))
-    part = part.join(named.where("m = 1").select(*name), name, "left_semi")
-    hits = spread_join(rows.select("a", "b", "lo", F.col("more").alias("all"), *name), whole.unionByName(part), name)
+    whole = named.where("m > 1").select(*name, F.lit(0).alias("skip"), F.lit(0).alias("more"), F.lit(True).alias("whole"), "m")
+    part = part.join(named.where("m = 1").select(*name, "m"), name)
+    hits = counted_join(rows.select("a", "b", "lo", F.col("more").alias("all"), *name), materialise(whole.unionByName(part), "repeated"), name, "m")
     start = F.col("lo") + F.col("skip")
     upto = start + F.when(F.col("whole"), F.col("all")).otherwise(F.col("more")) + SPAN
     spans = hits.select("a", "b", F.struct(start.alias("s"), upto.alias("e")).alias("x"))
