@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rosterlake import vocab
+
 
 def clock(c: Column) -> Column:
     """'1:05 PM' as '13:05'; anything else as '23:59'."""
@@ -27,9 +29,9 @@ def slot_number(c: Column) -> Column:
 
 
 def inches(c: Column) -> Column:
-    """Feet and inches like 5'11\" in inches, null if malformed."""
-    feet, rest = F.regexp_extract(c, r"^(\d+)'(\d+)", 1).try_cast("int"), F.regexp_extract(c, r"^(\d+)'(\d+)", 2).try_cast("int")
-    return feet * 12 + rest
+    """Feet and inches like 5'11\" in inches, null if malformed."""
+    part = lambda k: F.regexp_extract(c, r"^\s*(\d)'\s*(\d{1,2})", k).try_cast("int")
+    return part(1) * 12 + part(2)
 
 
 def stat(c: Column) -> Column:
@@ -37,16 +39,90 @@ def stat(c: Column) -> Column:
     return F.coalesce(F.trim(c).try_cast("int"), F.lit(0))
 
 
-def bracket_kind(stage: Column) -> Column:
-    """champ for the main bracket, the place for a placement bracket ('9th'), null for anything else."""
-    place = F.regexp_extract(F.lower(stage), r"(\d+)(?:st|nd|rd|th) place", 1)
-    return F.when(place != "", F.concat(place, F.lit("th"))).when(F.lower(stage).rlike(r"third place|3rd"), "3th").when(F.lower(stage).rlike(r"final|semi|quarter"), "champ")
+def restore_meridiem(c: Column) -> Column:
+    """AM or PM added to a bare hour and minute: 8 to 11 are morning hours, all others afternoon; anything else as it is."""
+    t = F.trim(c)
+    hour = F.regexp_extract(t, r"^(\d+):\d", 1).try_cast("int")
+    bare = hour.between(1, 12) & t.rlike(r"^\d+:\d{1,2}") & ~t.rlike("(?i)(am|pm)$")
+    return F.when(bare, F.concat(t, F.when(hour.between(8, 11), F.lit(" AM")).otherwise(F.lit(" PM")))).when(t == "", c).otherwise(t)
+
+
+def digits_or_null(c: Column) -> Column:
+    """A score that is all digits; marks like W and L are null."""
+    return F.when(F.trim(c).rlike(r"^\d+$"), F.trim(c).try_cast("int"))
+
+
+def stage_of(round_name: Column, pool: Column, bracket: Column, description: Column) -> Column:
+    """The first label that is not empty: round, pool, bracket, description without its closing words."""
+    closing = F.regexp_replace(F.trim(description), r"(?i)\s+Schedule\s*&\s*Scores$", "")
+    return F.coalesce(*[F.when(c != "", c) for c in (round_name, pool, bracket, closing)])
+
+
+def parse_dates(c: Column) -> tuple[Column, Column]:
+    """First and second date of a text like 'Jul 13, 2024 - Jul 14, 2024'; missing and impossible ones are null."""
+    found = F.regexp_extract_all(c, F.lit(r"([A-Z][a-z]{2} \d{1,2}, \d{4})"), F.lit(1))
+    one = lambda i: F.try_to_timestamp(F.get(found, i), F.lit("MMM d, yyyy")).cast("date")
+    return one(0), one(1)
+
+
+def game_state(home_score: Column, away_score: Column, forfeit: Column, placeholder: Column | None = None, is_played: Column | None = None, published: Column | None = None) -> Column:
+    """The state of a game as one provider or another tells it.
+
+    A provider of schedules knows ``placeholder`` teams: forfeit, placeholder,
+    played, scheduled. A provider of results knows ``is_played`` and a
+    ``published`` state: forfeit, has_outcome, incomplete or its own word. One
+    that knows neither puts the score before the forfeit: played, forfeit,
+    scheduled.
+    """
+    scored = home_score.isNotNull() & away_score.isNotNull()
+    if placeholder is not None:
+        return F.when(forfeit, "forfeit").when(placeholder, "placeholder").when(scored, "played").otherwise("scheduled")
+    if is_played is not None:
+        word = F.coalesce(F.when(published != "", published) if published is not None else F.lit(None), F.lit("scheduled"))
+        own = F.when(word == "has_outcome", "incomplete").otherwise(word)
+        return F.when(forfeit, "forfeit").when(scored, "has_outcome").when(is_played, "incomplete").otherwise(own)
+    return F.when(scored, "played").when(forfeit, "forfeit").otherwise("scheduled")
+
+
+def _fits(c: Column, pattern: str) -> Column:
+    return F.coalesce(c.rlike("(?iU)" + pattern), F.lit(False))
 
 
 def round_rank(stage: Column) -> Column:
-    """0 for a final, 1 for semi-finals, 2 for quarter-finals, null for anything else."""
-    s = F.lower(stage)
-    return F.when(s.rlike("quarter"), 2).when(s.rlike("semi"), 1).when(s.rlike(r"final|place"), 0)
+    """Wins from the final of the bracket that a label names, the outermost round that fits; null for anything but knockout games."""
+    named = [F.when(_fits(stage, pattern), rank) for rank, pattern in reversed(vocab.ROUNDS)]
+    return F.coalesce(*named, F.when(_fits(stage, vocab.PLACE_ONLY) | _fits(stage, vocab.GAME_TO_GO), 0))
+
+
+def ordinal(n: Column) -> Column:
+    """1st, 2nd, 3rd, 4th and so on."""
+    one = F.when((n % 100).between(11, 13), 0).otherwise(n % 10)
+    return F.concat(n.cast("string"), F.coalesce(F.get(F.array(F.lit("th"), F.lit("st"), F.lit("nd"), F.lit("rd")), one), F.lit("th")))
+
+
+def bracket_key(words: Column) -> Column:
+    """One spelling for each place: 'third', '3rd' and 'T-third' are '3rd'; other words as they are."""
+    plain = F.regexp_replace(words, r"^t[-\s]\s*", "")
+    known = F.create_map(*[F.lit(x) for word, n in vocab.ORDINAL_WORDS.items() for x in (word, n)])
+    n = F.coalesce(F.regexp_extract(plain, r"^(\d+)(?:st|nd|rd|th)$", 1).try_cast("int"), F.try_element_at(known, plain))
+    return F.coalesce(ordinal(n), plain)
+
+
+def bracket_kind(stage: Column) -> Column:
+    """champ, gtg for games to go, else the key of the place or losers' route that a label names; null for anything but knockout games."""
+    words = F.lower(F.regexp_extract(stage, "(?iU)" + vocab.PLACEMENT, 1))
+    kind = F.when(_fits(stage, vocab.GAME_TO_GO), "gtg").when(words != "", bracket_key(words)).otherwise("champ")
+    return F.when(round_rank(stage).isNotNull(), kind)
+
+
+def poolish(stage: Column) -> Column:
+    """Whether a label says that the game is of a pool."""
+    return _fits(stage, vocab.POOL)
+
+
+def loo_code(loo: Column) -> Column:
+    """2 supported, 1 not to be told, 0 not carrying, -1 not measured."""
+    return F.when(loo.isNull(), -1).when(loo <= -0.002, 0).when(loo >= 0.003, 2).otherwise(1)
 
 
 def winner(home_score: Column, away_score: Column, home: Column, away: Column) -> Column:
@@ -58,14 +134,19 @@ def outcome(home_score: Column, away_score: Column) -> Column:
 
 
 def game_x(w: Column, l: Column) -> Column:
-    """Rating difference that a score suggests: 125 for the closest game, 600 at most."""
-    r = l / F.greatest(w - 1, F.lit(1))
-    share = F.least(F.lit(1.0), (1 - r) / 0.5)
-    return 125 + 475 * F.sin(share * 0.4 * F.pi()) / F.sin(0.4 * F.pi())
+    """Rating difference that a score suggests: none for a draw, 125 for the closest win, 600 at most (F16)."""
+    share = F.least(F.lit(1.0), 2 * (1 - l / F.greatest(w - 1, F.lit(1))))
+    return F.when(w == l, 0.0).otherwise(125 + 475 * F.sin(share * 0.4 * F.pi()) / F.sin(0.4 * F.pi()))
 
 
 def score_weight(w: Column, l: Column) -> Column:
-    return F.least(F.lit(1.0), F.sqrt((w + F.greatest(l, F.floor((w - 1) / 2))) / 19))
+    """Weight of a score: 1 from 19 points in all, where the loser counts for at least half (F16)."""
+    return F.sqrt(F.least(F.lit(1.0), (w + F.greatest(l, F.floor((w - 1) / 2))) / 19))
+
+
+def date_weight(week: Column, last_week: Column) -> Column:
+    """0.5 in the first week of a season, 1 in its last (F16)."""
+    return F.pow(F.lit(2.0), week / F.greatest(last_week, F.lit(1))) / 2
 
 
 def half_life(days: Column, half: float) -> Column:

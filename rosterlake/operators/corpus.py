@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rosterlake import vocab
 from rosterlake.functions import measures, names
 
 
@@ -59,6 +60,18 @@ def merge_inputs(corpora: list[DataFrame], key: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, corpora).dropDuplicates(key)
 
 
+def merge_latest(corpora: list[DataFrame]) -> DataFrame:
+    """The latest appearance of each player over corpora (S9): that of the greatest season, of equal ones that of the later corpus. Each: (player_id, name, club, season)."""
+    tagged = [c.withColumn("_corpus", F.lit(i)) for i, c in enumerate(corpora)]
+    best = F.max_by(F.struct("name", "club", "season"), F.struct("season", "_corpus")).alias("x")
+    return reduce(DataFrame.unionByName, tagged).groupBy("player_id").agg(best).select("player_id", "x.*")
+
+
+def merge_appearances(corpora: list[DataFrame]) -> DataFrame:
+    """Appearances of all corpora, each once."""
+    return reduce(DataFrame.unionByName, corpora).distinct()
+
+
 def upsert_events(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Events merged on (url without a trailing slash, division) (S10): new values, old ids."""
     norm = lambda df: df.withColumn("url", F.regexp_replace("url", "/+$", ""))
@@ -77,20 +90,59 @@ def replace_event(table: DataFrame, incoming: DataFrame) -> DataFrame:
     return table.join(incoming.select("event_id").distinct(), "event_id", "left_anti").unionByName(incoming.distinct())
 
 
+def replace_events(tables: dict[str, DataFrame], incoming: dict[str, DataFrame], event_ids: DataFrame) -> dict[str, DataFrame]:
+    """Teams, games, rosters and standings with all rows of some events replaced together.
+
+    Tables without ``event_id`` hang on ``event_team_id``. The incoming rows are
+    checked first: games and standings must name incoming teams of their event,
+    rosters too, and played games need scores; otherwise nothing is replaced and
+    ValueError is raised. An event with no incoming row loses its rows.
+    """
+    teams = incoming["event_teams"]
+    known = teams.select("event_id", "event_team_id")
+    for side in ("home_id", "away_id"):
+        named = incoming["games"].where(F.col(side).isNotNull()).select("event_id", F.col(side).alias("event_team_id"))
+        bad = named.join(known, ["event_id", "event_team_id"], "left_anti").first()
+        if bad is not None:
+            raise ValueError(f"a game names unknown team {bad['event_team_id']} of event {bad['event_id']}")
+    if "status" in incoming["games"].columns:
+        bad = incoming["games"].where("status in ('played', 'has_outcome', 'Final') and (home_score is null or away_score is null)").first()
+        if bad is not None:
+            raise ValueError(f"played game {bad['game_key']} of event {bad['event_id']} has no score")
+    for name in ("roster_entries", "standings"):
+        if name in incoming:
+            bad = incoming[name].join(known.select("event_team_id"), "event_team_id", "left_anti").first()
+            if bad is not None:
+                raise ValueError(f"{name} name unknown team {bad['event_team_id']}")
+    gone = tables["event_teams"].join(event_ids.select("event_id").distinct(), "event_id", "left_semi").select("event_team_id")
+    out = {}
+    for name, table in tables.items():
+        by = "event_id" if "event_id" in table.columns else "event_team_id"
+        ids = event_ids.select("event_id").distinct() if by == "event_id" else gone
+        kept = table.join(ids, by, "left_anti")
+        out[name] = kept.unionByName(incoming[name].distinct()) if name in incoming else kept
+    return out
+
+
 def drop_reseeded(games: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Placeholder games whose slot of the event has come under another key are dropped."""
-    taken = incoming.select("event_id", "slot", F.col("game_key").alias("new_key"))
-    gone = games.join(taken, ["event_id", "slot"]).where("game_key <> new_key").select("event_id", "game_key").distinct()
+    """Games with the incoming ones in, without placeholders of slots that came under another key.
+
+    Old rows without a slot are placeholders if their key is 'pool-' or
+    'bracket-' and an incoming slot of the event.
+    """
+    taken = incoming.where("slot is not null").select("event_id", F.col("slot").cast("string").alias("_slot")).distinct()
     kept = games.join(incoming.select("event_id", "game_key"), ["event_id", "game_key"], "left_anti")
-    return kept.join(gone, ["event_id", "game_key"], "left_anti").unionByName(incoming)
+    kept = kept.withColumn("_slot", F.coalesce(F.col("slot").cast("string"), F.regexp_extract(F.col("game_key").cast("string"), "^(?:pool|bracket)-(.*)$", 1)))
+    return kept.join(taken, ["event_id", "_slot"], "left_anti").select(*games.columns).unionByName(incoming.select(*games.columns))
 
 
 def mark_complete(events: DataFrame, teams: DataFrame, rosters: DataFrame, as_of: str) -> DataFrame:
-    """Whether an event is over and all its teams have rosters."""
+    """Whether an event has ended and has no schedule, or no team without a roster (S13). Events without an end are not complete."""
     has = rosters.select("event_team_id").distinct().withColumn("has", F.lit(1))
     lack = teams.join(has, "event_team_id", "left").groupBy("event_id").agg(F.sum(F.when(F.col("has").isNull(), 1).otherwise(0)).alias("lacking"))
-    over = F.coalesce("end_date", "start_date") < F.lit(as_of).cast("date")
-    return events.join(lack, "event_id", "left").select("event_id", (over & (F.coalesce("lacking", F.lit(0)) == 0)).alias("complete"))
+    over = F.coalesce(F.col("end_date") < F.lit(as_of).cast("date"), F.lit(False))
+    bare = ~F.coalesce("has_schedule", F.lit(True)) if "has_schedule" in events.columns else F.lit(False)
+    return events.join(lack, "event_id", "left").select("event_id", (over & (bare | (F.coalesce("lacking", F.lit(0)) == 0))).alias("complete"))
 
 
 def merge_divisions(main: DataFrame, source: DataFrame, division: str, offset: int) -> DataFrame:
@@ -99,20 +151,31 @@ def merge_divisions(main: DataFrame, source: DataFrame, division: str, offset: i
     return main.where(F.col("division") != division).unionByName(moved, allowMissingColumns=True)
 
 
-def stale_events(events: DataFrame, games: DataFrame, as_of: str) -> DataFrame:
-    """Past events without games or with unplayed ones."""
-    open_ = F.col("home_score").isNull() | F.col("away_score").isNull() | (F.col("status") != "Final")
-    state = games.groupBy("event_id").agg(F.count("*").alias("n_games"), F.sum(F.when(open_, 1).otherwise(0)).alias("n_open"))
+def stale_events(events: DataFrame, games: DataFrame, as_of: str, seasons: list[int] | None = None) -> DataFrame:
+    """Past events without games or with unplayed ones (S16): (event_id, n_games, n_open)."""
+    played = (F.col("status") == "Final") & (F.col("home_score") + F.col("away_score") > 0)
+    state = games.groupBy("event_id").agg(F.count("*").alias("n_games"), F.sum(F.when(F.coalesce(played, F.lit(False)), 0).otherwise(1)).alias("n_open"))
     past = events.where(F.coalesce("end_date", "start_date") < F.lit(as_of).cast("date"))
+    past = past.where(F.col("season").isin(seasons)) if seasons else past
     out = past.join(state, "event_id", "left").fillna(0, ["n_games", "n_open"])
     return out.where("n_games = 0 or n_open > 0").select("event_id", "n_games", "n_open")
 
 
-def refresh_plan(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Events (event_id, played) to replace, as the provider has more played games, or to add."""
-    both = ours.select("event_id", F.col("played").alias("ours")).join(theirs.select("event_id", F.col("played").alias("theirs")), "event_id", "full")
-    action = F.when(F.col("ours").isNull(), "add").when(F.col("theirs") > F.col("ours"), "replace")
-    return both.withColumn("action", action).where("action is not null").select("event_id", "action")
+def refresh_plan(ours: DataFrame, stale: DataFrame, offered: DataFrame, as_of: str) -> DataFrame:
+    """What to fetch from a provider (S17): (url, action), 'replace' for stale events of which it has more played games, 'add' for past events never seen.
+
+    ours: (event_id, url); stale as from ``stale_events``; offered: (url, name,
+    start_date, end_date, played). Cancelled events and such that are not over
+    are not added, nor any without a played game. Urls are compared without a
+    trailing slash.
+    """
+    plain = lambda df: df.withColumn("url", F.regexp_replace(F.coalesce("url", F.lit("")), "/+$", ""))
+    known = plain(ours).select("url", "event_id").join(stale.select("event_id", (F.col("n_games") - F.col("n_open")).alias("own"), F.lit(True).alias("stale")), "event_id", "left")
+    both = plain(offered).join(known, "url", "left")
+    over = F.coalesce("end_date", "start_date") < F.lit(as_of).cast("date")
+    add = F.col("event_id").isNull() & over & ~F.lower(F.coalesce("name", F.lit(""))).contains("cancel") & (F.col("played") > 0)
+    action = F.when(F.col("stale") & (F.col("played") > F.col("own")), "replace").when(add, "add")
+    return both.select("url", action.alias("action")).where("action is not null")
 
 
 def compare_providers(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -142,10 +205,17 @@ def attach_structure(games: DataFrame, published: DataFrame) -> DataFrame:
 
 
 def event_list_filter(events: DataFrame) -> DataFrame:
-    """Without developmental, cancelled and, outside their divisions, masters and D-III events."""
-    low = F.lower("name")
-    bad = low.rlike("developmental|cancel") | (low.rlike("masters") & ~F.col("division").startswith("masters")) | (low.rlike("d-?iii|division iii") & ~F.col("division").endswith("d3"))
-    return events.where(~bad)
+    """Events that belong to their division by name.
+
+    Cancelled ones never do; developmental ones not to a college division, of
+    which the D-III ones take the D-III names and the others the rest; names of
+    age-restricted series not to a club division.
+    """
+    fits = lambda pattern: F.col("name").rlike("(?i)" + pattern)
+    division = F.coalesce("division", F.lit("club-men"))
+    college = ~fits(vocab.DEVELOPMENTAL_NAME) & (fits(vocab.D3_NAME) == division.endswith("-d3"))
+    ok = F.when(division.startswith("college"), college).when(division.startswith("club"), ~fits(vocab.AGE_NAME)).otherwise(True)
+    return events.where(ok & ~F.lower("name").contains("cancel"))
 
 
 def division_scope(games: DataFrame, members: DataFrame) -> DataFrame:
@@ -160,12 +230,26 @@ def division_scope(games: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def link_sources(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Source ids with their one local key (S24); raises if a source id has two."""
-    both = current.select("source", "source_id", "local_key").unionByName(incoming.select("source", "source_id", "local_key")).distinct()
-    bad = both.groupBy("source", "source_id").count().where("count > 1").first()
+    """Source ids with their one local key (S24); raises if a source id has two.
+
+    Rows may carry source_url, observed_at and payload_hash; the incoming ones count.
+    """
+    key = [c for c in ("source", "entity_type", "source_id") if c in current.columns]
+    rest = [c for c in current.columns if c not in (*key, "local_key")]
+    both = current.withColumn("_new", F.lit(0)).unionByName(incoming.select(*current.columns).withColumn("_new", F.lit(1)))
+    out = both.groupBy(*key).agg(F.min("local_key").alias("local_key"), F.max("local_key").alias("_other"), F.max_by(F.struct(F.lit(0).alias("_"), *rest), "_new").alias("x"))
+    bad = out.where("local_key <> _other").first()
     if bad is not None:
         raise ValueError(f"{bad['source']} {bad['source_id']} has two local keys")
-    return both
+    return out.select(*key, "local_key", *[F.col(f"x.{c}").alias(c) for c in rest])
+
+
+def observe(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Observations of resources, one per (source, resource_type, source_id, source_url, payload_hash), with the latest time, state and count."""
+    key = ["source", "resource_type", "source_id", "source_url", "payload_hash"]
+    both = current.withColumn("_new", F.lit(0)).unionByName(incoming.select(*current.columns).withColumn("_new", F.lit(1)))
+    rest = ["observed_at", "state", "record_count"]
+    return both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_new", "observed_at")).alias("x")).select(*key, "x.*")
 
 
 def roster_fallback(rosters: DataFrame, teams: DataFrame, index: DataFrame, per_team: int = 5) -> DataFrame:
@@ -190,8 +274,78 @@ def load_season_stat_events(stats: DataFrame, links: DataFrame, scale: float = 1
     return rows.select("team_id", F.make_date("year", F.lit(9), F.lit(1)).alias("end_date"), "player_id", (F.col("points_played") * F.col("n") / F.col("total")).alias("usage"), (F.col("quality") * scale).alias("quality"))
 
 
-def load_pro_rosters(played: DataFrame, links: DataFrame, min_linked: int = 7) -> DataFrame:
-    """Rosters of a game from linked players who took the field, where there are enough of them (S5). played: (game_id, team_id, pro_id, points_played)."""
-    rows = played.where("points_played > 0").join(links, "pro_id").select("game_id", "team_id", "player_id")
-    enough = rows.groupBy("game_id", "team_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_linked).drop("n")
-    return rows.join(enough, ["game_id", "team_id"], "left_semi")
+def load_pro_games(games: DataFrame, played: DataFrame, links: DataFrame, min_linked: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(games, rosters, clubs) of a professional league.
+
+    games: (game_id, year, date, home_team_id, away_team_id, home_score,
+    away_score, status), of which the final ones with scores count; played:
+    (game_id, team_id, pro_id, points_played); links: (pro_id, player_id). A
+    roster are the linked players who took the field, if there are ``min_linked``.
+    """
+    key = lambda team: F.concat_ws(":", F.lit("ufa"), F.col("game_id").cast("string"), F.col(team).cast("string"))
+    done = games.where("status = 'Final' and home_score is not null and away_score is not null")
+    day = F.coalesce("date", F.make_date("year", F.lit(6), F.lit(1)))
+    out = done.select(
+        F.lit(0).cast("long").alias("event_id"), F.col("game_id").cast("long").alias("game_key"), F.col("year").cast("int").alias("season"), F.lit("ufa").alias("division"), day.alias("date"), F.lit("12:00").alias("clock"),
+        F.lit(None).cast("string").alias("stage"), key("home_team_id").alias("home_id"), key("away_team_id").alias("away_id"), "home_score", "away_score",
+    )
+    clubs = done.select(key("home_team_id").alias("event_team_id"), F.col("home_team_id").alias("t")).unionByName(done.select(key("away_team_id").alias("event_team_id"), F.col("away_team_id").alias("t")))
+    rows = played.where("points_played > 0").join(links, "pro_id").withColumn("event_team_id", key("team_id")).select("event_team_id", "player_id")
+    enough = rows.groupBy("event_team_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_linked).select("event_team_id")
+    rosters = rows.join(enough, "event_team_id", "left_semi").join(clubs.select("event_team_id"), "event_team_id", "left_semi")
+    return out, rosters, clubs.select("event_team_id", F.concat(F.lit("ufa-"), F.col("t").cast("string")).alias("club")).distinct()
+
+
+def load_season_rosters(observations: DataFrame, entries: DataFrame, event_teams: DataFrame, bridges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people, teams) of a corpus whose rosters are those of a season.
+
+    observations: (roster_id, season, division, team_name); entries: (roster_id,
+    name_key, player_name); event_teams: (event_team_id, season, division,
+    full_name, display_name); bridges: (compact, player_id). ``people`` has the
+    players of each roster once, with the id of the bridged player or one made of
+    the name, and of division and team too where a compact name stands on two
+    teams of a season's division; ``teams`` has the roster of each event team,
+    found by its full and then its display name. An event team without a roster
+    raises ValueError.
+    """
+    obs = observations.withColumn("team_key", names.team_name_key(F.col("team_name")))
+    rows = entries.join(obs, "roster_id").withColumn("compact", names.compact_name_key(F.col("name_key")))
+    twice = rows.groupBy("compact", "season", "division").agg(F.min("team_key").alias("a"), F.max("team_key").alias("b")).where("a <> b").select("compact").distinct()
+    rows = rows.join(twice.withColumn("collides", F.lit(True)), "compact", "left").join(bridges.select("compact", F.col("player_id").alias("bridged")), "compact", "left")
+    key = F.when(F.col("collides"), F.concat_ws("|", "compact", "division", "team_key")).otherwise(F.col("compact"))
+    own = F.coalesce(F.when(F.col("collides").isNull(), F.col("bridged")), names.stable_id("eucs-ranking", key))
+    people = rows.select("season", "division", "team_key", own.alias("player_id"), "player_name").groupBy("season", "division", "team_key", "player_id").agg(F.min("player_name").alias("player_name"))
+    club = lambda k: F.concat_ws(":", F.lit("euf"), "division", k)
+    ask = event_teams.withColumns({"k1": names.team_name_key(F.col("full_name")), "k2": names.team_name_key(F.col("display_name"))})
+    have = obs.select("season", "division", "team_key").distinct()
+    for k in ("k1", "k2"):
+        ask = ask.join(have.select("season", "division", F.col("team_key").alias(k), F.lit(True).alias(f"has_{k}")), ["season", "division", k], "left")
+    found = ask.withColumn("team_key", F.when(F.col("has_k1"), F.col("k1")).when(F.col("has_k2"), F.col("k2")))
+    bad = found.where("team_key is null").first()
+    if bad is not None:
+        raise ValueError(f"no season roster for event team {bad['event_team_id']}")
+    return people, found.select("event_team_id", "season", "division", "team_key", club("team_key").alias("club"))
+
+
+def load_international_games(games: DataFrame, events: DataFrame) -> DataFrame:
+    """Rated games of international events (S8): played ones with teams, scores and at least 4 points. The date is not kept within the event."""
+    e = events.select("event_id", "season", "division", "start_date")
+    day = F.coalesce("date", "start_date", F.make_date("season", F.lit(1), F.lit(1)))
+    ok = games.where("status in ('played', 'has_outcome') and home_id is not null and away_id is not null and home_score + away_score >= 4")
+    return ok.join(e, "event_id").select(
+        (-F.col("event_id")).alias("event_id"), "game_key", "season", "division", day.alias("date"), F.coalesce("time", F.lit("23:59")).alias("clock"), "stage",
+        F.concat(F.lit("wfdf:"), "home_id").alias("home_id"), F.concat(F.lit("wfdf:"), "away_id").alias("away_id"), "home_score", "away_score",
+    )
+
+
+def load_international_clubs(teams: DataFrame, matched: DataFrame) -> DataFrame:
+    """The club of each team at an international event (S8): the one it is matched with, if clubs compete there, else one of its own country and name.
+
+    teams: (event_team_id, division, display_name, country, competition), the
+    competition being club or national; matched: (event_team_id, club).
+    """
+    key = lambda c: names.team_name_key(F.col(c))
+    kind = F.when(F.col("competition") == "national", "national").otherwise("club")
+    own = F.concat(F.lit("wfdf-"), kind, F.lit(":"), F.col("division"), F.lit(":"), key("country"), F.lit(":"), key("display_name"))
+    out = teams.join(matched.select("event_team_id", F.col("club").alias("_m")), "event_team_id", "left")
+    return out.select("event_team_id", F.coalesce(F.when(F.col("competition") == "club", F.col("_m")), own).alias("club"))

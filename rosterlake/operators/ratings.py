@@ -1,18 +1,22 @@
 """Ratings: player and team Elo, Glicko-2, batch team ratings, and the search over configurations.
 
-Replays are folds over a total order. Two games without a common player commute,
-so a replay is cut into the connected components of players who ever met (plan
-``component``), or first into slices of time and then into the components of
-each slice, with the players' state carried from slice to slice in a table (plan
-``slice``; the size of a group is then bounded by a slice). Regression between
-seasons depends on a player and the global season alone and is applied when the
-player is touched next.
+Replays are folds over a total order, cut into slices of time; the players' state
+is carried from slice to slice in a table. Where the history is small, a slice
+takes as many days as have GROUP_ROWS rows together and is one group, so a group
+never holds more (or one day). Where a week has more rows than that, a slice is a
+week and is cut into the connected components of the players who meet in it, as
+two games without a common player commute (plan ``slice``). Plan ``component`` is
+one slice of all days. Regression between seasons depends on a player and the
+global season alone and is applied when the player is touched next. Replays of
+several configurations, or without single players, are lanes of one replay.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,26 +32,32 @@ from rosterlake.operators.metrics import scores
 
 @dataclass
 class EloConfig:
-    base: float = 1500.0
-    bases: dict = field(default_factory=lambda: dict(vocab.DIVISION_BASES))
-    scale: float = 400.0
-    scales: dict = field(default_factory=lambda: dict(vocab.DIVISION_SCALE))
-    k: float = 48.0
+    """The published options by their published names, with their published values (fixed values)."""
+
+    base_rating: float = 1500.0
+    division_bases: dict = field(default_factory=lambda: dict(vocab.DIVISION_BASES))
     k_scale: dict = field(default_factory=dict)
-    tau: float = 500.0
+    context_init: bool = False
+    rookie_discount: float = 50.0
+    k: float = 48.0
+    scale: float = 400.0
     home_advantage: float = 0.0
+    division_scale: dict = field(default_factory=lambda: dict(vocab.DIVISION_SCALE))
+    tau: float = 500.0
     mov_norm: float = 7.0
+    use_mov: bool = True
     provisional_games: int = 10
     provisional_multiplier: float = 6.0
-    regression: float = 0.0
+    provisional_shape: str = "hyperbolic"
+    offseason_regression: float = 0.0
     inactivity_decay: float = 0.0
-    inactivity_grace: int = 90
-    usage_credit: bool = True
-    usage_shrink: float = 1.0
-    usage_clamp: tuple = (0.25, 3.0)
-    transfer_beta: float = 12.0
-    transfer_clamp: float = 90.0
-    anchor: float = 0.0
+    inactivity_grace_days: int = 90
+    involvement_credit: bool = True
+    involvement_shrink: float = 1.0
+    involvement_clamp: tuple = (0.25, 3.0)
+    stat_transfer_beta: float = 12.0
+    stat_transfer_clamp: float = 90.0
+    low_info_anchor: float = 0.0
     roster_shrink: float = 0.025
 
 
@@ -71,15 +81,41 @@ class Pool:
                 self.clock[n], self.day[n] = clock, -1
         i = np.array([self.at[p] for p in ids], int)
         late = clock - self.clock[i]
-        if self.cfg.regression and (late > 0).any():
-            keep = (1 - self.cfg.regression) ** np.maximum(late, 0)
+        if self.cfg.offseason_regression and (late > 0).any():
+            keep = (1 - self.cfg.offseason_regression) ** np.maximum(late, 0)
             self.rating[i] = self.base[i] + keep * (self.rating[i] - self.base[i])
         self.clock[i] = np.maximum(self.clock[i], clock)
         return i
 
+    def _debut(self, ids: list, start: float) -> float:
+        """The rating a player begins with: the division's base, or where that is asked for the mean of the team-mates known."""
+        if not self.cfg.context_init:
+            return start
+        known = [self.rating[self.at[p]] for p in ids if p in self.at]
+        return sum(known) / len(known) - self.cfg.rookie_discount if known else start
+
+    def _provisional(self, games: np.ndarray) -> np.ndarray | float:
+        n, m = self.cfg.provisional_games, self.cfg.provisional_multiplier
+        if m <= 1 or n <= 0:
+            return 1.0
+        shapes: dict[str, Callable] = {
+            "cliff": lambda g: np.where(g < n, m, 1.0), "linear": lambda g: np.maximum(1.0, m - (m - 1) * g / n),
+            "exponential": lambda g: 1 + (m - 1) * np.exp(-g / n), "hyperbolic": lambda g: 1 + (m - 1) * n / (n + g),
+        }
+        if self.cfg.provisional_shape not in shapes:
+            raise ValueError(f"unknown shape {self.cfg.provisional_shape!r}")
+        return shapes[self.cfg.provisional_shape](games)
+
+    def team(self, ids: list, clock: int) -> float:
+        """The rating of a team now; players who are not known count as the base. Nothing changes."""
+        known = self.numbers([p for p in ids if p in self.at], 0.0, clock)
+        r = np.concatenate([self.rating[known], np.full(len(ids) - len(known), self.cfg.base_rating)])
+        w = np.ones(len(r)) if math.isinf(self.cfg.tau) else np.exp((r - r.max()) / self.cfg.tau)
+        return float(w @ r / w.sum())
+
     def _rest(self, i: np.ndarray, day: int) -> None:
         c = self.cfg
-        idle = np.where(self.day[i] >= 0, np.maximum(0, day - self.day[i] - c.inactivity_grace), 0)
+        idle = np.where(self.day[i] >= 0, np.maximum(0, day - self.day[i] - c.inactivity_grace_days), 0)
         self.rating[i] = self.base[i] + (1 - c.inactivity_decay) ** (idle / 365.25) * (self.rating[i] - self.base[i])
         self.day[i] = day
 
@@ -92,30 +128,29 @@ class Pool:
     def game(self, home: list, away: list, hs: int, as_: int, division: str, clock: int, day: int) -> tuple[float, float, float, float, float]:
         """Chance of the home team; both teams' ratings before and after."""
         c = self.cfg
-        start = c.bases.get(division, c.base)
-        sides = [self.numbers(x, start, clock) for x in (home, away)]
+        start = c.division_bases.get(division, c.base_rating)
+        sides = [self.numbers(x, self._debut(x, start), clock) for x in (home, away)]
         if c.inactivity_decay:
             for i in sides:
                 self._rest(i, day)
         shares = [self._shares(i) for i in sides]
         before = [float(s @ self.rating[i]) for s, i in zip(shares, sides)]
-        chance = 1 / (1 + 10 ** ((before[1] - before[0] - c.home_advantage) / c.scales.get(division, c.scale)))
+        chance = 1 / (1 + 10 ** ((before[1] - before[0] - c.home_advantage) / c.division_scale.get(division, c.scale)))
         won = 1.0 if hs > as_ else 0.0 if hs < as_ else 0.5
-        mov = math.log1p(abs(hs - as_)) / math.log1p(c.mov_norm) if hs != as_ else 1.0
+        mov = math.log1p(abs(hs - as_)) / math.log1p(c.mov_norm) if hs != as_ and c.use_mov else 1.0
         delta = c.k * c.k_scale.get(division, 1.0) * mov * (won - chance)
         for i, s, sign, team in zip(sides, shares, (1, -1), before):
             credit = np.ones(len(i))
-            if c.usage_credit and len(i) > 1:
-                u = np.clip((c.usage_shrink + self.used[i]) / (c.usage_shrink + self.seen[i]), *c.usage_clamp)
+            if c.involvement_credit and len(i) > 1:
+                u = np.clip((c.involvement_shrink + self.used[i]) / (c.involvement_shrink + self.seen[i]), *c.involvement_clamp)
                 credit = u / u.mean()
-            n, m = c.provisional_games, c.provisional_multiplier
-            now = credit * (1 + (m - 1) * n / (n + self.games[i]) if m > 1 else 1.0)
+            now = credit * self._provisional(self.games[i])
             np.add.at(self.rating, i, sign * delta * now)
             if c.roster_shrink and len(i) > 1:
                 self.rating[i] += c.roster_shrink * (team - self.rating[i])
-            if c.anchor:
+            if c.low_info_anchor:
                 low = np.maximum(0, 1 - s * len(i))
-                self.rating[i] += c.anchor * low * (start - self.rating[i])
+                self.rating[i] += c.low_info_anchor * low * (start - self.rating[i])
             np.add.at(self.games, i, 1)
             self.base[i] = start
         after = [float(self._shares(i) @ self.rating[i]) for i in sides]
@@ -123,12 +158,12 @@ class Pool:
 
     def stats(self, ids: list, usage: list, quality: list, clock: int) -> None:
         c = self.cfg
-        i = self.numbers(ids, c.base, clock)
+        i = self.numbers(ids, c.base_rating, clock)
         np.add.at(self.used, i, usage)
         np.add.at(self.seen, i, 1)
-        if c.transfer_beta and len(i) > 1:
+        if c.stat_transfer_beta and len(i) > 1:
             q = np.asarray(quality, float)
-            t = np.clip(c.transfer_beta * (q - q.mean()), -c.transfer_clamp, c.transfer_clamp)
+            t = np.clip(c.stat_transfer_beta * (q - q.mean()), -c.stat_transfer_clamp, c.stat_transfer_clamp)
             np.add.at(self.rating, i, t - t.mean())
 
     def load(self, rows: pd.DataFrame) -> None:
@@ -146,23 +181,68 @@ class Pool:
 
 STATE = "player string, rating double, games double, base double, used double, seen double, clock long, day long"
 MOVES = "game_key long, event_id long, expected double, home_before double, away_before double, home_after double, away_after double"
-_OUT = f"kind string, {STATE}, {MOVES}"
+POINTS = "subject_kind string, subject string, point_event long, point_rating double, n long, point_club string"
+GROUP_ROWS = 50_000
+SLICE_DAYS = 7
+_LOG = 8
+
+
+def _names(kinds: str) -> list[str]:
+    return [c.split()[0] for c in kinds.split(", ")]
+
 
+class Replay(NamedTuple):
+    """``moves``: chance of the home team and both ratings before and after, per game; ``state``: the players at the end; ``points``: trajectories, or None."""
 
-def _folded(cfg: dict, last_clock: int | None):
-    def run(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        pool = Pool(EloConfig(**cfg))
+    moves: DataFrame
+    state: DataFrame
+    points: DataFrame | None = None
+
+
+def _frame(parts: list[tuple[str, str, list[tuple]]], kinds: str) -> pd.DataFrame:
+    """Rows of several kinds (kind, columns, tuples) as one frame with all columns."""
+    full = pd.concat([pd.DataFrame(rows, columns=_names(cols)).assign(kind=kind) for kind, cols, rows in parts if rows] or [pd.DataFrame({"kind": []})], ignore_index=True)
+    types = {"long": "Int64", "string": "object"}
+    return full.reindex(columns=_names(kinds)).astype({c.split()[0]: types[c.split()[1]] for c in kinds.split(", ") if c.split()[1] in types})
+
+
+_OUT = f"kind string, {STATE}, {MOVES}, {POINTS}"
+
+
+def _elo(configs: list[dict], points: bool):
+    """The fold of one group; a lane's first value is the number of its configuration."""
+
+    def run(lane: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        pool = Pool(EloConfig(**configs[lane[0] if lane else 0]))
         pool.load(state)
-        out = []
+        moves: list[tuple] = []
+        seen: dict[tuple, tuple] = {}
+
+        def book(event, club, ids: list, listed: list) -> None:
+            """The last rating of a club and its players at an event."""
+            if club is not None and listed:
+                seen["club", club, event] = (pool.team(listed, pool_clock), len(listed), club)
+            for p in ids:
+                if not p.startswith("ghost:"):
+                    old = seen.get(("player", p, event))
+                    seen["player", p, event] = (float(pool.rating[pool.at[p]]), None, club if not r.late or old is None else old[2])
+
         for r in rows.sort_values(["day", "late", "clock_time", "event_id", "game_key"]).itertuples():
+            pool_clock = r.clock
             if r.late:
                 pool.stats(list(r.home), list(r.usage), list(r.quality), r.clock)
-            else:
-                out.append((r.game_key, r.event_id, *pool.game(list(r.home), list(r.away), r.home_score, r.away_score, r.division, r.clock, r.day)))
-        moves = pd.DataFrame(out, columns=[c.split()[0] for c in MOVES.split(", ")]).assign(kind="move")
-        full = pd.concat([pool.table(last_clock).assign(kind="state"), moves], ignore_index=True)
-        full = full.reindex(columns=[c.split()[0] for c in _OUT.split(", ")])
-        return full.astype({c.split()[0]: "Int64" for c in _OUT.split(", ") if c.endswith(" long")})
+                if points and r.stat_event is not None and r.stat_event == r.stat_event:
+                    book(int(r.stat_event), r.home_club, list(r.home), list(r.away))
+                continue
+            home, away = list(r.home), list(r.away)
+            moves.append((r.game_key, r.event_id, *pool.game(home, away, r.home_score, r.away_score, r.division, r.clock, r.day)))
+            if points:
+                book(r.event_id, r.home_club, home, home)
+                book(r.event_id, r.away_club, away, away)
+        table = pool.table()
+        return _frame(
+            [("state", STATE, list(table[_names(STATE)].itertuples(index=False))), ("move", MOVES, moves), ("point", POINTS, [(*k, *v) for k, v in seen.items()])], _OUT
+        )
 
     return run
 
@@ -171,7 +251,9 @@ def stream(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFr
     """Games with their rosters, and stat lines of a team-event as one late row of its last day, in one table.
 
     A team without a roster plays as one ghost of its club and season. Stat
-    lines without a later game are dropped. ``clock`` is the latest season so far.
+    lines without a later game are dropped. ``clock`` is the latest season so
+    far. A stat row has the players of its lines as ``home`` and the roster of
+    its team as ``away``; stats may name the ``event_id`` that earned them.
     """
     sides = rosters.groupBy("event_team_id").agg(F.sort_array(F.collect_list(F.col("player_id").cast("string"))).alias("ids"))
     out = games
@@ -181,90 +263,160 @@ def stream(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFr
         ghost = F.concat(F.lit("ghost:"), F.coalesce(f"{side}_club", F.lit("?")), F.lit(":"), F.col("season"))
         out = out.join(ids, f"{side}_id", "left").join(club, f"{side}_id", "left").withColumn(side, F.coalesce(side, F.array(ghost)))
     out = out.withColumn("day", F.datediff("date", F.lit("1970-01-01")).cast("long"))
-    days = out.groupBy("day").agg(F.max("season").alias("m"))  # a row per day
-    days = days.select("day", F.max("m").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.max("m").over(W.orderBy("day")).alias("upto"))
+    seasons = games.select(F.datediff("date", F.lit("1970-01-01")).cast("long").alias("day"), "season").groupBy("day").agg(F.max("season").alias("m"))  # a row per day
+    days = seasons.select("day", F.max("m").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.max("m").over(W.orderBy("day")).alias("upto"))
     w = W.partitionBy("day").orderBy("clock", "event_id", "game_key")
-    out = out.withColumn("own", F.max("season").over(w)).join(days, "day").withColumn("clock_now", F.greatest("own", F.coalesce("before", "own")).cast("long"))
+    out = out.withColumn("own", F.max("season").over(w)).join(F.broadcast(days), "day").withColumn("clock_now", F.greatest("own", F.coalesce("before", "own")).cast("long"))
     none = F.array().cast("array<double>")
-    cols = ["event_id", "game_key", "day", "home", "away", "home_score", "away_score", "division", "season"]
-    out = out.select(*cols, F.lit(0).alias("late"), F.col("clock").alias("clock_time"), F.col("clock_now").alias("clock"), none.alias("usage"), none.alias("quality"))
+    cols = ["event_id", "game_key", "day", "home", "away", "home_score", "away_score", "division", "season", "home_club", "away_club"]
+    extra = [F.lit(0).alias("late"), F.col("clock").alias("clock_time"), F.col("clock_now").alias("clock"), none.alias("usage"), none.alias("quality"), F.lit(None).cast("long").alias("stat_event")]
+    out = out.select(*cols, *extra)
     if stats is None:
         return out
+    stats = stats if "event_id" in stats.columns else stats.withColumn("event_id", F.lit(None).cast("long"))
     lines = F.sort_array(F.collect_list(F.struct(F.col("player_id").cast("string").alias("p"), "usage", F.col("quality").cast("double").alias("quality"))))
-    s = stats.groupBy("event_team_id", "end_date").agg(lines.alias("x")).withColumn("day", F.datediff("end_date", F.lit("1970-01-01")).cast("long"))
-    ends = out.agg(F.max("day").alias("last_day"), F.min(F.struct("day", "season"))["season"].alias("first_season"))
-    upto = days.withColumn("next_day", F.lead("day").over(W.orderBy("day")))
-    s = s.crossJoin(F.broadcast(ends)).where("day < last_day")  # one row
-    s = s.join(F.broadcast(upto.select(F.col("day").alias("d"), "next_day", "upto")), (F.col("day") >= F.col("d")) & (F.col("day") < F.col("next_day")), "left")
+    s = stats.groupBy("event_team_id", "end_date").agg(lines.alias("x"), F.max("event_id").alias("stat_event")).withColumn("day", F.datediff("end_date", F.lit("1970-01-01")).cast("long"))
+    # the season clock of a stat row is that of the last game day up to it: both sides are merged in one order of days
+    marks = days.select("day", "upto").unionByName(s.select("day", F.lit(None).cast("int").alias("upto")).distinct()).groupBy("day").agg(F.max("upto").alias("upto"))
+    marks = marks.select("day", F.last("upto", ignorenulls=True).over(W.orderBy("day")).alias("upto"))  # a row per day
+    ends = days.agg(F.max("day").alias("last_day"), F.min(F.struct("day", "upto"))["upto"].alias("first_season"))
+    s = s.crossJoin(F.broadcast(ends)).where("day < last_day").join(F.broadcast(marks), "day")  # one row; a row per day
+    s = s.join(sides, "event_team_id", "left").join(clubs.select("event_team_id", F.col("club").alias("home_club")), "event_team_id", "left")
     return out.unionByName(
         s.select(
-            F.lit(0).cast("long").alias("event_id"), F.xxhash64("event_team_id").alias("game_key"), "day", "x.p", "x.usage", "x.quality",
-            F.array().cast("array<string>").alias("away"), F.lit(None).cast("int").alias("home_score"), F.lit(None).cast("int").alias("away_score"),
-            F.lit(None).cast("string").alias("division"), F.lit(None).cast("int").alias("season"), F.lit(1).alias("late"), F.lit("").alias("clock_time"),
-            F.coalesce("upto", "first_season").cast("long").alias("clock"),
-        ).withColumnRenamed("p", "home")
+            F.lit(0).cast("long").alias("event_id"), F.xxhash64("event_team_id").alias("game_key"), "day", F.col("x.p").alias("home"), F.coalesce("ids", F.array().cast("array<string>")).alias("away"),
+            F.lit(None).cast("int").alias("home_score"), F.lit(None).cast("int").alias("away_score"), F.lit(None).cast("string").alias("division"), F.lit(None).cast("int").alias("season"),
+            "home_club", F.lit(None).cast("string").alias("away_club"), F.lit(1).alias("late"), F.lit("").alias("clock_time"), F.coalesce("upto", "first_season").cast("long").alias("clock"),
+            "x.usage", "x.quality", "stat_event",
+        )
     )
 
 
 def _cut(rows: DataFrame) -> DataFrame:
     """Rows with the component of their players."""
     everyone = F.concat("home", "away")
-    edges = rows.select(F.get(everyone, 0).alias("a"), F.explode(everyone).alias("b"))
+    edges = rows.select(F.get(everyone, 0).alias("a"), F.explode(everyone).alias("b")).distinct()
     comp = components(edges)
     return rows.withColumn("node", F.get(everyone, 0)).join(comp, "node").drop("node")
 
 
-def _fold(rows: DataFrame, state: DataFrame, cfg: EloConfig, last_clock: int | None, name: str) -> DataFrame:
-    cut = written(_cut(rows), name)
-    members = cut.select("component", F.explode(F.concat("home", "away")).alias("player")).distinct()
-    known = state.join(members, "player").select(F.col("component").alias("part"), *[c.split()[0] for c in STATE.split(", ")])
-    return written(cut.groupBy("component").cogroup(known.groupBy("part")).applyInPandas(_folded(asdict(cfg), last_clock), _OUT), name)
-
-
-def replay_player_elo(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None = None, cfg: EloConfig | None = None, plan: str = "component", slice_days: int = 28) -> tuple[DataFrame, DataFrame]:
-    """(moves, state): for each game the chance of the home team and both ratings before and after; the players' last state.
+def slices(days: list[tuple[int, int]], group_rows: int, slice_days: int, plan: str) -> tuple[list[tuple[int, int]], bool]:
+    """First and last day of each slice from the rows per day, in order, and whether slices are to be cut into components."""
+    if plan == "component":
+        return [(days[0][0], days[-1][0])], True
+    if plan != "slice":
+        raise ValueError(f"unknown plan {plan!r}")
+    first, last = days[0][0], days[-1][0]
+    if sum(n for _, n in days) * slice_days > group_rows * max(last - first + 1, slice_days):
+        return [(d, d + slice_days - 1) for d in range(first, last + 1, slice_days)], True
+    out: list[tuple[int, int]] = []
+    held = 0
+    for day, n in days:
+        if not out or held + n > group_rows:
+            out.append((day, day))
+            held = 0
+        out[-1] = (out[-1][0], day)
+        held += n
+    return out, False
+
+
+def replayed(rows: DataFrame, fold: Callable, state: str, out: str, lanes: list[str] | None = None, plan: str = "slice", group_rows: int = GROUP_ROWS, slice_days: int = SLICE_DAYS, day: str = "day") -> DataFrame:
+    """All rows that ``fold(lane, rows, state)`` returns for the groups of each slice, with the slice's number, and the last state.
+
+    ``rows`` have ``home``, ``away`` and the columns ``lanes``; ``out`` has the
+    columns of ``state`` and a ``kind``, ``state`` for the players' new state.
+    In the result a player (of a lane) has one such row, the last one. A slice
+    reads and writes the states of its own players only; every _LOG slices the
+    states written are reduced to the last one of each player.
+    """
+    lanes = lanes or []
+    if plan not in ("component", "slice"):
+        raise ValueError(f"unknown plan {plan!r}")
+    spark = rows.sparkSession
+    counts = [(r[0], r[1]) for r in rows.groupBy(day).count().orderBy(day).collect()]  # a row per day
+    lane_kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in lanes)
+    kinds = lane_kinds + out
+    if not counts:
+        return spark.createDataFrame([], kinds + ", slice int")
+    cuts, search = slices(counts, group_rows, slice_days, plan)
+    fields = [*lanes, *_names(state)]
+    log = [spark.createDataFrame([], lane_kinds + state + ", slice int")]
+
+    def current(parts: list[DataFrame]) -> DataFrame:
+        union = parts[0]
+        for part in parts[1:]:
+            union = union.unionByName(part)
+        last = union.groupBy(*lanes, "player").agg(F.max_by(F.struct(*fields, "slice"), "slice").alias("x"))
+        return last.select("x.*")
+
+    def run(key: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        found = fold(key[:-1], part, known)
+        for i, c in enumerate(lanes):
+            found[c] = key[i]
+        return found[_names(kinds)]
+
+    done = []
+    for k, (lo, hi) in enumerate(cuts):
+        part = rows if len(cuts) == 1 else rows.where(F.col(day).between(lo, hi))
+        part = written(_cut(part), "cut") if search else part.withColumn("component", F.lit(""))
+        members = part.select(*lanes, "component", F.explode(F.concat("home", "away")).alias("player")).distinct()
+        key = [*lanes, "component"]
+        known = current(log).join(members, [*lanes, "player"]).select(*[F.col(c).alias(f"of_{c}") for c in key], *_names(state))
+        found = part.groupBy(*key).cogroup(known.groupBy(*[f"of_{c}" for c in key])).applyInPandas(run, kinds)
+        found = written(found.withColumn("slice", F.lit(k)), "slice")
+        done.append(found.where("kind <> 'state'"))
+        log.append(found.where("kind = 'state'").select(*fields, "slice"))
+        if len(log) > _LOG:
+            log = [written(current(log), "state")]
+    final = current(log).withColumn("kind", F.lit("state"))
+    union = final.select(*[F.col(c) if c in final.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in kinds.split(", "))], "slice")
+    for part in done:
+        union = union.unionByName(part)
+    return union
+
+
+def replay_player_elo(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None = None, cfg: EloConfig | None = None, plan: str = "slice", points: bool = False, group_rows: int = GROUP_ROWS, slice_days: int = SLICE_DAYS) -> Replay:
+    """For each game the chance of the home team and both ratings before and after; the players' last state; with ``points`` the trajectories.
 
     games as from ``load_games``; rosters (event_team_id, player_id); clubs
     (event_team_id, club); stats as from ``load_stat_events``. A player listed
-    twice on a roster counts twice. Empty tables give empty results.
+    twice on a roster counts twice. A trajectory has the rating of a club or a
+    player after its last game of an event, stat lines booked to the event that
+    earned them; stat lines without an event move no trajectory. Empty tables
+    give empty results.
     """
     cfg = cfg or EloConfig()
     rows = written(stream(games, rosters, clubs, stats), "stream")
-    last = rows.agg(F.max("clock"), F.min("day"), F.max("day")).first()
-    empty = rows.sparkSession.createDataFrame([], STATE)
-    moves = [c.split()[0] for c in MOVES.split(", ")]
-    fields = [c.split()[0] for c in STATE.split(", ")]
-    if plan == "component" or last[0] is None:
-        out = _fold(rows, empty, cfg, last[0], "fold")
-        return out.where("kind = 'move'").select(*moves), out.where("kind = 'state'").select(*fields)
-    if plan != "slice":
-        raise ValueError(f"unknown plan {plan!r}")
-    state, done = empty, []
-    for start in range(last[1], last[2] + 1, slice_days):
-        part = rows.where((F.col("day") >= start) & (F.col("day") < start + slice_days))
-        out = _fold(part, state, cfg, None, "slice")
-        done.append(out.where("kind = 'move'").select(*moves))
-        now = out.where("kind = 'state'").select(*fields)
-        state = written(state.join(now, "player", "left_anti").unionByName(now), "state")
-    late = F.greatest(last[0] - F.col("clock"), F.lit(0))
-    state = state.withColumn("rating", F.col("base") + F.pow(F.lit(1 - cfg.regression), late) * (F.col("rating") - F.col("base"))).withColumn("clock", F.lit(last[0]).cast("long"))
-    union = done[0]
-    for d in done[1:]:
-        union = union.unionByName(d)
-    return union, state
-
-
-def replay_team_elo(games: DataFrame, clubs: DataFrame, cfg: EloConfig | None = None, kind: str = "reset") -> tuple[DataFrame, DataFrame]:
-    """Elo of teams as one-player rosters: a club of a season (``reset``) or a club throughout (``carry``)."""
+    out = replayed(rows, _elo([asdict(cfg)], points), STATE, _OUT, None, plan, group_rows, slice_days)
+    last = rows.agg(F.max("clock")).first()[0]
+    state = out.where("kind = 'state'").select(*_names(STATE))
+    if last is not None:
+        late = F.greatest(F.lit(last) - F.col("clock"), F.lit(0))
+        state = state.withColumn("rating", F.col("base") + F.pow(F.lit(1 - cfg.offseason_regression), late) * (F.col("rating") - F.col("base"))).withColumn("clock", F.lit(last).cast("long"))
+    found = None
+    if points:
+        found = out.where("kind = 'point'").groupBy("subject_kind", "subject", "point_event").agg(F.max_by(F.struct("point_rating", "n", "point_club"), "slice").alias("x"))
+        found = found.select(F.col("subject_kind").alias("kind"), "subject", F.col("point_event").alias("event_id"), F.col("x.point_rating").alias("rating"), F.col("x.n").alias("n"), F.col("x.point_club").alias("club"))
+    return Replay(out.where("kind = 'move'").select(*_names(MOVES)), state, found)
+
+
+def replay_team_elo(games: DataFrame, clubs: DataFrame, cfg: EloConfig | None = None, kind: str = "reset", plan: str = "slice") -> Replay:
+    """Elo of teams as one-player rosters: a club of a season (``reset``) or a club throughout (``carry``) (R2).
+
+    Clubs of different seasons never meet under ``reset``, so seasons are lanes.
+    """
     if kind not in ("reset", "carry"):
         raise ValueError(f"unknown kind {kind!r}")
-    cfg = cfg or EloConfig(usage_credit=False, transfer_beta=0.0, roster_shrink=0.0)
+    cfg = cfg or EloConfig(involvement_credit=False, stat_transfer_beta=0.0, roster_shrink=0.0)
     ids = clubs.select("event_team_id", F.col("club").alias("player_id"))
-    if kind == "reset":
-        seasons = games.select(F.col("home_id").alias("event_team_id"), "season").unionByName(games.select(F.col("away_id").alias("event_team_id"), "season")).distinct()
-        ids = ids.join(seasons, "event_team_id").select("event_team_id", F.concat_ws("#", "player_id", "season").alias("player_id"))
-        cfg.regression = 0.0
-    return replay_player_elo(games, ids, clubs, None, cfg)
+    if kind == "carry":
+        return replay_player_elo(games, ids, clubs, None, cfg, plan)
+    cfg = replace(cfg, offseason_regression=0.0)
+    rows = stream(games, ids, clubs, None)
+    marked = lambda c: F.transform(c, lambda p: F.concat_ws("#", p, F.col("season")))
+    rows = written(rows.withColumns({"home": marked("home"), "away": marked("away"), "lane": F.lit(0)}), "stream")
+    out = replayed(rows, _elo([asdict(cfg)], False), STATE, _OUT, ["lane", "season"], plan)
+    return Replay(out.where("kind = 'move'").select(*_names(MOVES)), out.where("kind = 'state'").select(*_names(STATE)))
 
 
 # Glicko-2 ----------------------------------------------------------------------------
@@ -294,7 +446,7 @@ def new_volatility(phi: np.ndarray, sigma: np.ndarray, v: np.ndarray, delta: np.
     return np.exp((lo + hi) / 4)
 
 
-def _updated(rating: np.ndarray, rd: np.ndarray, sigma: np.ndarray, results: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _updated(rating: np.ndarray, rd: np.ndarray, sigma: np.ndarray, results: np.ndarray, tau: float = 0.5, close: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Players after a period; a row of results is (player's number, rival's rating and deviation, score, weight)."""
     i = results[:, 0].astype(int)
     mu, phi = (rating - CENTRE) / SCALE, rd / SCALE
@@ -303,7 +455,7 @@ def _updated(rating: np.ndarray, rd: np.ndarray, sigma: np.ndarray, results: np.
     info = np.bincount(i, results[:, 4] * g * g * e * (1 - e), len(rating))
     rest = np.bincount(i, results[:, 4] * g * (results[:, 3] - e), len(rating))
     info = np.maximum(info, 1e-12)
-    s = new_volatility(phi, sigma, 1 / info, rest / info)
+    s = new_volatility(phi, sigma, 1 / info, rest / info, tau, close)
     phi = 1 / np.sqrt(1 / (phi * phi + s * s) + info)
     return CENTRE + SCALE * (mu + phi * phi * rest), SCALE * phi, s
 
@@ -314,110 +466,190 @@ def glicko_update(rating: float, rd: float, sigma: float, rivals: list[tuple[flo
     return tuple(float(x[0]) for x in out)
 
 
-_GLICKO = "game_key long, event_id long, expected double, player string, rating double, rd double, volatility double, games long"
-
-
-def replay_glicko2(games: DataFrame, rosters: DataFrame, clubs: DataFrame, period: str = "day", team_tau: float = 500.0) -> tuple[DataFrame, DataFrame]:
-    """(predictions, state) of Glicko-2 with rating periods of a game, an event's day or a tournament.
-
-    All games of a period are predicted from its opening values; then each
-    player is updated once. Deviations grow with the days since the last period,
-    by 30, and up to the last game of all at the end.
-    """
-    keys = {"game": ["event_id", "game_key"], "day": ["event_id", "day"], "tournament": ["event_id"]}[period]
-    rows = written(_cut(stream(games, rosters, clubs, None)), "glicko")
-    last_day = rows.agg(F.max("day")).first()[0]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: dict[str, list] = {}  # rating, rd, volatility, games, last day
-        pdf = pdf.sort_values(["day", "clock_time", "event_id", "game_key"])
-        out = []
-        for _, g in pdf.groupby(keys, sort=False):
-            day, end, division = int(g["day"].iloc[0]), int(g["day"].iloc[-1]), g["division"].iloc[0]
+@dataclass
+class GlickoConfig:
+    """The published options by their published names, with their published values (fixed values)."""
+
+    base_rating: float = 1500.0
+    division_bases: dict = field(default_factory=lambda: dict(vocab.DIVISION_BASES))
+    initial_rd: float = 350.0
+    initial_volatility: float = 0.06
+    tau: float = 0.5
+    convergence: float = 1e-6
+    rating_period_days: float = 30.0
+    team_weight_tau: float = 500.0
+    involvement_credit: bool = True
+    involvement_shrink: float = 1.0
+    involvement_clamp: tuple = (0.25, 3.0)
+
+
+GLICKO_STATE = "player string, rating double, rd double, volatility double, games long, last_day long, used double, seen double"
+PREDICTED = "game_key long, event_id long, expected double"
+_GLICKO = f"kind string, {GLICKO_STATE}, {PREDICTED}"
+
+
+def _glicko(cfg: GlickoConfig):
+    lo, hi = cfg.involvement_clamp
+
+    def run(lane: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        state = {r.player: [r.rating, r.rd, r.volatility, r.games, None if pd.isna(r.last_day) else int(r.last_day), r.used, r.seen] for r in known.itertuples()}
+        fresh = lambda base: [base, cfg.initial_rd, cfg.initial_volatility, 0, None, 0.0, 0.0]
+        out: list[tuple] = []
+        for _, g in rows.sort_values(["day", "late", "clock_time", "event_id", "game_key"]).groupby("period", sort=False):
+            if g["late"].iloc[0]:
+                for line in g.itertuples():
+                    for p, u in zip(line.home, line.usage):
+                        x = state.setdefault(p, fresh(cfg.base_rating))
+                        x[5], x[6] = x[5] + u, x[6] + 1
+                continue
+            day, end, division = int(g["game_day"].min()), int(g["game_day"].max()), g["division"].iloc[0]
             teams = {tuple(t) for side in ("home", "away") for t in g[side]}
-            opening, phis = {}, {}
-            for p in {p for t in teams for p in t}:
-                s = state.setdefault(p, [vocab.DIVISION_BASES.get(division, CENTRE), 350.0, 0.06, 0, None])
-                periods = 1.0 if s[4] is None else max(1.0, max(0, day - s[4]) / 30)
+            opening, phis, usage = {}, {}, {}
+            for p in sorted({p for t in teams for p in t}):
+                s = state.setdefault(p, fresh(cfg.division_bases.get(division, cfg.base_rating)))
+                periods = 1.0 if s[4] is None else max(1.0, max(0, day - s[4]) / cfg.rating_period_days)
                 phis[p] = math.sqrt((s[1] / SCALE) ** 2 + s[2] ** 2 * (periods - 1))
             for t in teams:
                 r = np.array([state[p][0] for p in t])
-                w = np.exp((r - r.max()) / team_tau)
+                w = np.exp((r - r.max()) / cfg.team_weight_tau)
                 w /= w.sum()
                 ahead = np.array([math.hypot(phis[p], state[p][2]) for p in t])
                 opening[t] = float(w @ r), SCALE * float(np.sqrt(((w * ahead) ** 2).sum()))
+                credit = np.ones(len(t))
+                if cfg.involvement_credit:
+                    credit = np.clip([(cfg.involvement_shrink + state[p][5]) / (cfg.involvement_shrink + state[p][6]) for p in t], lo, hi)
+                usage[t] = dict(zip(t, (credit / credit.mean()).tolist()))
             seen: dict[str, list] = {}
             for x in g.itertuples():
                 h, a = tuple(x.home), tuple(x.away)
                 both = math.hypot(opening[h][1], opening[a][1]) / SCALE
                 e = 1 / (1 + math.exp(-(opening[h][0] - opening[a][0]) / SCALE / math.sqrt(1 + 3 * both * both / math.pi**2)))
                 won = 1.0 if x.home_score > x.away_score else 0.0 if x.home_score < x.away_score else 0.5
-                out.append((x.game_key, x.event_id, e, None, None, None, None, None))
+                out.append((x.game_key, x.event_id, e))
                 for own, rival, score in ((h, a, won), (a, h, 1 - won)):
                     for p in own:
-                        seen.setdefault(p, []).append((*opening[rival], score, 1.0))
+                        seen.setdefault(p, []).append((*opening[rival], score, usage[own][p]))
             who = list(seen)
             flat = np.array([(i, *x) for i, p in enumerate(who) for x in seen[p]])
             now = np.array([(state[p][0], phis[p], state[p][2]) for p in who])
-            for p, r, rd, v, n in zip(who, *_updated(now[:, 0], now[:, 1] * SCALE, now[:, 2], flat), map(len, seen.values())):
-                state[p] = [r, rd, v, state[p][3] + n, end]
-        for p, s in state.items():
-            rd = SCALE * math.sqrt((s[1] / SCALE) ** 2 + s[2] ** 2 * max(0, last_day - s[4]) / 30)
-            out.append((None, None, None, p, s[0], rd, s[2], s[3]))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _GLICKO.split(", ")])
-        return frame.astype({"game_key": "Int64", "event_id": "Int64", "games": "Int64"})
+            for p, r, rd, v, n in zip(who, *_updated(now[:, 0], now[:, 1] * SCALE, now[:, 2], flat, cfg.tau, cfg.convergence), map(len, seen.values())):
+                state[p][:5] = [r, rd, v, state[p][3] + n, end]
+        return _frame([("state", GLICKO_STATE, [(p, *x) for p, x in state.items()]), ("move", PREDICTED, out)], _GLICKO)
 
-    both = written(rows.groupBy("component").applyInPandas(run, _GLICKO), "glicko")
-    return both.where("game_key is not null").select("game_key", "event_id", "expected"), both.where("player is not null").select("player", "rating", "rd", "volatility", "games")
+    return run
 
 
-# batch ratings -----------------------------------------------------------------------
+def replay_glicko2(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None = None, cfg: GlickoConfig | None = None, period: str = "day", plan: str = "slice", group_rows: int = GROUP_ROWS, slice_days: int = SLICE_DAYS) -> Replay:
+    """Predictions and last state of Glicko-2 with rating periods of a game, an event's day or a tournament.
 
+    All games of a period are predicted from its opening values; then each
+    player is updated once, results weighted by the player's usage. A period
+    stands where its first game stands; stat lines count from the first period
+    that starts after their day. Deviations grow with the days since the last
+    period, and up to the last game of all at the end.
+    """
+    keys = {"game": ["event_id", "game_key"], "day": ["event_id", "day"], "tournament": ["event_id"]}
+    if period not in keys:
+        raise ValueError(f"unknown period {period!r}")
+    cfg = cfg or GlickoConfig()
+    rows = stream(games, rosters, clubs, stats)
+    name = F.when(F.col("late") == 1, F.concat_ws(":", F.lit("stat"), "game_key", "day")).otherwise(F.concat_ws(":", *keys[period]))
+    rows = rows.withColumn("period", name)
+    first = W.partitionBy("period")  # the games of one event at most
+    rows = written(rows.withColumn("game_day", F.col("day")).withColumn("start", F.min("day").over(first)), "glicko")
+    out = replayed(rows, _glicko(cfg), GLICKO_STATE, _GLICKO, None, plan, group_rows, slice_days, "start")
+    last_day = rows.where("late = 0").agg(F.max("day")).first()[0]
+    idle = F.greatest(F.lit(last_day) - F.col("last_day"), F.lit(0)) / cfg.rating_period_days
+    state = out.where("kind = 'state' and last_day is not null")
+    state = state.withColumn("rd", SCALE * F.sqrt(F.pow(F.col("rd") / SCALE, 2) + F.col("volatility") * F.col("volatility") * idle))
+    return Replay(out.where("kind = 'move'").select(*_names(PREDICTED)), state.select("player", "rating", "rd", "volatility", "games"))
 
-def rate_teams_batch(games: DataFrame, clubs: DataFrame, base: float = 1000.0, tolerance: float = 0.05) -> DataFrame:
-    """Team ratings of each (division, season) at which every team equals the weighted mean of opponent rating plus score difference.
 
-    Blowouts between teams far apart are left out, the largest gap first, while
-    the winner keeps five results; the set and the ratings are found in turn.
-    """
-    rows = games
-    for side in ("home", "away"):
-        rows = rows.join(clubs.select(F.col("event_team_id").alias(f"{side}_id"), F.col("club").alias(f"{side}_club")), f"{side}_id")
-    rows = rows.where("home_club <> away_club").select("division", "season", "date", "game_key", "home_club", "away_club", "home_score", "away_score")
+# batch ratings -----------------------------------------------------------------------
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "game_key"])
-        teams, ids = np.unique(pdf[["home_club", "away_club"]].to_numpy().ravel(), return_inverse=True)
-        h, a = ids.reshape(-1, 2).T
+
+class _Season:
+    """The games of one division and season, prepared for the batch rating."""
+
+    def __init__(self, pdf: pd.DataFrame, base: float):
+        pdf = pdf.sort_values(["date", "clock", "event_id", "game_key"])
+        self.teams, ids = np.unique(pdf[["home_club", "away_club"]].to_numpy().ravel(), return_inverse=True)
+        self.h, self.a = ids.reshape(-1, 2).T
         hs, as_ = pdf["home_score"].to_numpy(), pdf["away_score"].to_numpy()
-        w, l = np.maximum(hs, as_), np.minimum(hs, as_)
-        weeks = (pd.to_datetime(pdf["date"]) - pd.to_datetime(pdf["date"]).min()).dt.days.to_numpy() // 7
-        weight = np.sqrt(np.minimum(1, (w + np.maximum(l, (w - 1) // 2)) / 19)) * 2 ** (weeks / max(weeks.max(), 1)) / 2
-        x = np.where(w == l, 0, 125 + 475 * np.sin(np.minimum(1, 2 * (1 - l / np.maximum(w - 1, 1))) * 0.4 * np.pi) / np.sin(0.4 * np.pi)) * np.sign(hs - as_)
-        out, rating = np.zeros(len(h), bool), np.full(len(teams), base)
+        self.w, self.l, self.sign = np.maximum(hs, as_), np.minimum(hs, as_), np.sign(hs - as_)
+        day = pd.to_datetime(pdf["date"])
+        week = (day - day.min()).dt.days.to_numpy() // 7
+        share = np.minimum(1, 2 * (1 - self.l / np.maximum(self.w - 1, 1)))
+        x = np.where(self.w == self.l, 0, 125 + 475 * np.sin(share * 0.4 * np.pi) / np.sin(0.4 * np.pi))
+        self.x = x * self.sign
+        self.weight = np.sqrt(np.minimum(1, (self.w + np.maximum(self.l, (self.w - 1) // 2)) / 19)) * 2.0 ** (week / max(week.max(), 1))
+        self.days, self.base, self.keys = day.to_numpy(), base, pdf["game_key"].to_numpy()
+
+    def rate(self, n: int, rating: np.ndarray, tolerance: float) -> np.ndarray:
+        """Ratings from the first ``n`` games, from ``rating`` on: the set of blowouts left out and the ratings are found in turn."""
+        h, a, x, size = self.h[:n], self.a[:n], self.x[:n], len(self.teams)
+        out = np.zeros(n, bool)
         for _ in range(10):
-            use = np.where(out, 0, weight)
-            total = np.bincount(h, use, len(teams)) + np.bincount(a, use, len(teams))
+            use = np.where(out, 0, self.weight[:n])
+            total = np.bincount(h, use, size) + np.bincount(a, use, size)
             for _ in range(2000):
-                new = (np.bincount(h, use * (rating[a] + x), len(teams)) + np.bincount(a, use * (rating[h] - x), len(teams))) / np.maximum(total, 1e-12)
-                new = np.where(total > 0, (new + rating) / 2, rating)
-                moved, rating = np.abs(new - rating).max(), new
-                if moved < tolerance / 2:
+                new = np.bincount(h, use * (rating[a] + x), size) + np.bincount(a, use * (rating[h] - x), size)
+                new = np.where(total > 0, new / np.where(total > 0, total, 1), self.base)
+                moved, rating = np.abs(new - rating).max(initial=0), new
+                if moved < tolerance:
                     break
-            gap = (rating[h] - rating[a]) * np.sign(hs - as_)
-            kept = np.bincount(np.r_[h, a], minlength=len(teams))
-            now = np.zeros(len(h), bool)
-            for g in np.argsort(-gap, kind="stable"):
-                top = h[g] if hs[g] > as_[g] else a[g]
-                if gap[g] > 600 and w[g] > 2 * l[g] + 1 and kept[top] > 5:
+            gap = (rating[h] - rating[a]) * self.sign[:n]
+            top = np.where(self.sign[:n] > 0, h, a)
+            low = np.where(self.sign[:n] > 0, a, h)
+            kept, now = np.bincount(np.r_[h, a], minlength=size), np.zeros(n, bool)
+            far = np.flatnonzero((self.sign[:n] != 0) & (gap > 600) & (self.w[:n] > 2 * self.l[:n] + 1))
+            for g in far[np.lexsort((-far, -gap[far]))]:
+                if kept[top[g]] > 5:
                     now[g] = True
-                    kept[top] -= 1
+                    kept[top[g]] -= 1
+                    kept[low[g]] -= 1
             if (now == out).all():
                 break
             out = now
-        return pd.DataFrame({"division": pdf["division"].iloc[0], "season": pdf["season"].iloc[0], "club": teams, "rating": rating})
+        return rating
 
-    return rows.groupBy("division", "season").applyInPandas(run, "division string, season int, club string, rating double")
+
+def _by_season(games: DataFrame, clubs: DataFrame) -> DataFrame:
+    rows = games
+    for side in ("home", "away"):
+        rows = rows.join(clubs.select(F.col("event_team_id").alias(f"{side}_id"), F.col("club").alias(f"{side}_club")), f"{side}_id")
+    cols = ["division", "season", "date", "clock", "event_id", "game_key", "home_club", "away_club", "home_score", "away_score"]
+    return rows.where("home_club <> away_club").select(*cols)
+
+
+def rate_teams_batch(games: DataFrame, clubs: DataFrame, base: float = 1000.0, tolerance: float = 0.05) -> DataFrame:
+    """Team ratings of each (division, season) at which every team equals the weighted mean of opponent rating plus score difference.
+
+    Blowouts between teams far apart are left out, the largest gap first, while
+    the winner keeps five results. A group is one division's season.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        season = _Season(pdf, base)
+        rating = season.rate(len(season.h), np.full(len(season.teams), base), tolerance)
+        return pd.DataFrame({"division": pdf["division"].iloc[0], "season": pdf["season"].iloc[0], "club": season.teams, "rating": rating})
+
+    return _by_season(games, clubs).groupBy("division", "season").applyInPandas(run, "division string, season int, club string, rating double")
+
+
+def walk_forward(games: DataFrame, clubs: DataFrame, base: float = 1000.0, tolerance: float = 0.05) -> DataFrame:
+    """Rating difference before each game from the games of strictly earlier days of its season, each day's ratings beginning with the last day's."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        season, out = _Season(pdf, base), np.zeros(len(pdf))
+        rating, at = np.full(len(season.teams), base), 0
+        while at < len(out):
+            end = int(np.searchsorted(season.days, season.days[at], side="right"))
+            out[at:end] = rating[season.h[at:end]] - rating[season.a[at:end]]
+            rating, at = season.rate(end, rating, tolerance), end
+        return pd.DataFrame({"division": pdf["division"].iloc[0], "season": pdf["season"].iloc[0], "game_key": season.keys, "diff": out, "outcome": (season.sign + 1) / 2})
+
+    return _by_season(games, clubs).groupBy("division", "season").applyInPandas(run, "division string, season int, game_key long, diff double, outcome double")
 
 
 def fit_scale(diffs: DataFrame) -> DataFrame:
@@ -437,83 +669,146 @@ def fit_scale(diffs: DataFrame) -> DataFrame:
     return best(spark.createDataFrame([(x,) for x in sorted(set(fine))], "s double")).select(F.col("s").alias("scale"), "loss")
 
 
-def sweep(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None, configs: list[EloConfig]) -> DataFrame:
-    """Log-loss, accuracy and Brier score of each configuration; components of all configurations run side by side."""
-    rows = written(_cut(stream(games, rosters, clubs, stats)), "sweep")
-    spark = rows.sparkSession
-    grid = spark.createDataFrame([(i,) for i in range(len(configs))], "config int")
-    dicts = [asdict(c) for c in configs]
+def _outcomes(games: DataFrame) -> DataFrame:
+    cols = ["game_key", "event_id", "season", "division", "date"]
+    return games.select(*cols, outcome(F.col("home_score"), F.col("away_score")).alias("outcome"))
+
+
+def sweep_predictions(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None, configs: list[EloConfig], plan: str = "slice") -> DataFrame:
+    """Predictions (config, game_key, event_id, season, division, date, expected, outcome) of each configuration, the lanes of one replay."""
+    rows = stream(games, rosters, clubs, stats)
+    grid = rows.sparkSession.createDataFrame([(i,) for i in range(len(configs))], "config int")
+    rows = written(rows.crossJoin(F.broadcast(grid)), "sweep")  # one row per configuration
+    out = replayed(rows, _elo([asdict(c) for c in configs], False), STATE, _OUT, ["config"], plan, GROUP_ROWS * max(1, len(configs)))
+    moves = out.where("kind = 'move'").select("config", "game_key", "event_id", "expected")
+    return written(moves.join(_outcomes(games), ["game_key", "event_id"]), "predicted")
+
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame(columns=[c.split()[0] for c in STATE.split(", ")])
-        out = _folded(dicts[key[0]], None)(key, pdf, none)
-        return out[out["kind"] == "move"][["game_key", "event_id", "expected"]].assign(config=key[0])
+def sweep(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None, configs: list[EloConfig], plan: str = "slice") -> DataFrame:
+    """Log-loss, accuracy and Brier score of each configuration."""
+    return scores(sweep_predictions(games, rosters, clubs, stats, configs, plan), ["config"])
 
-    pred = rows.crossJoin(F.broadcast(grid)).groupBy("config", "component").applyInPandas(run, "game_key long, event_id long, expected double, config int")
-    known = games.select("game_key", "event_id", outcome(F.col("home_score"), F.col("away_score")).alias("outcome"))
-    return scores(pred.join(known, ["game_key", "event_id"]), ["config"])
+
+def descend(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None, axes: list[tuple[str, list]], seasons: tuple[int, int], cfg: EloConfig | None = None, passes: int = 3, prune_eps: float = 3e-4) -> tuple[EloConfig, list[tuple[str, object, float]]]:
+    """The configuration that coordinate descent finds, and its moves (axis, value, gain).
+
+    Each axis takes the value with the least log-loss, weighted by games over
+    divisions, in the given seasons, while that gains something; moves whose
+    reversal costs no more than ``prune_eps`` are taken back, the smallest gain
+    first. All values of an axis are lanes of one replay.
+    """
+    start = cfg or EloConfig()
+
+    def losses(configs: list[EloConfig]) -> list[float]:
+        pred = sweep_predictions(games, rosters, clubs, stats, configs).where(F.col("season").between(*seasons))
+        per = scores(pred, ["config", "division"]).groupBy("config").agg((F.sum(F.col("n") * F.col("log_loss")) / F.sum("n")).alias("loss"))
+        found = {r["config"]: r["loss"] for r in per.collect()}  # one row per configuration
+        return [found.get(i, math.inf) for i in range(len(configs))]
+
+    moved: dict[str, object] = {}
+    history: list[tuple[str, object, float]] = []
+    for _ in range(passes):
+        gained = False
+        for axis, values in axes:
+            now = replace(start, **moved)
+            here, *tried = losses([now, *(replace(now, **{axis: v}) for v in values)])
+            best = min(range(len(values)), key=tried.__getitem__)
+            if here - tried[best] > 1e-6:
+                moved[axis] = values[best]
+                history.append((axis, values[best], here - tried[best]))
+                gained = True
+        if not gained:
+            break
+    full = losses([replace(start, **moved)])[0] if moved else 0.0
+    for axis, _, _ in sorted(history, key=lambda m: m[2]):
+        if axis in moved:
+            less = {k: v for k, v in moved.items() if k != axis}
+            loss = losses([replace(start, **less)])[0]
+            if loss - full <= prune_eps:
+                moved, full = less, loss
+    return replace(start, **moved), history
 
 
 def decay_grid(games: DataFrame, rosters: DataFrame, clubs: DataFrame, regression: list[float], decay: list[float], grace: list[int]) -> DataFrame:
     """Scores of all combinations of the three kinds of decay."""
     grid = [(r, d, g) for r in regression for d in decay for g in grace]
-    out = sweep(games, rosters, clubs, None, [EloConfig(regression=r, inactivity_decay=d, inactivity_grace=g) for r, d, g in grid])
+    out = sweep(games, rosters, clubs, None, [EloConfig(offseason_regression=r, inactivity_decay=d, inactivity_grace_days=g) for r, d, g in grid])
     names = games.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(grid)], "config int, regression double, decay double, grace int")
     return out.join(F.broadcast(names), "config").drop("config")  # one row per combination
 
 
 def period_comparison(games: DataFrame, rosters: DataFrame, clubs: DataFrame) -> DataFrame:
     """Glicko-2's scores by the length of its rating period."""
-    known = games.select("game_key", "event_id", outcome(F.col("home_score"), F.col("away_score")).alias("outcome"))
-    parts = [replay_glicko2(games, rosters, clubs, period=p)[0].withColumn("period", F.lit(p)) for p in ("game", "day", "tournament")]
-    return scores(parts[0].unionByName(parts[1]).unionByName(parts[2]).join(known, ["game_key", "event_id"]), ["period"])
-
-
-def compare_models(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None) -> DataFrame:
-    """Scores of player Elo with softmax and plain means, team Elo by season and throughout, and Glicko-2 (M3)."""
-    known = games.select("game_key", "event_id", outcome(F.col("home_score"), F.col("away_score")).alias("outcome"))
-    models = {
-        "player": replay_player_elo(games, rosters, clubs, stats)[0],
-        "player, plain mean": replay_player_elo(games, rosters, clubs, stats, EloConfig(tau=math.inf))[0],
-        "team, reset": replay_team_elo(games, clubs, kind="reset")[0],
-        "team, carry": replay_team_elo(games, clubs, kind="carry")[0],
-        "glicko": replay_glicko2(games, rosters, clubs)[0],
-    }
-    parts = [m.select("game_key", "event_id", "expected", F.lit(n).alias("model")) for n, m in models.items()]
+    parts = [replay_glicko2(games, rosters, clubs, period=p).moves.withColumn("period", F.lit(p)) for p in ("game", "day", "tournament")]
+    return scores(parts[0].unionByName(parts[1]).unionByName(parts[2]).join(_outcomes(games), ["game_key", "event_id"]), ["period"])
+
+
+class Corpus(NamedTuple):
+    """What a replay needs."""
+
+    games: DataFrame
+    rosters: DataFrame
+    clubs: DataFrame
+    stats: DataFrame | None
+
+
+def compare_models(corpus: Corpus, pro_stats: DataFrame | None = None, pro: Corpus | None = None, seasons: tuple[int, int] = (2024, 2025), divisions: tuple[str, ...] = ("club-men",)) -> DataFrame:
+    """Scores of nine variants of the model on some seasons and divisions, and of their early season and college games.
+
+    The variants are the published model, plain means without and with usage
+    credit, stat transfer and both, both with the stat lines and then the games
+    of professional teams too, and team Elo by season and throughout. ``slice``
+    is 'all', 'through July' (months up to 7) or 'college'.
+    """
+    plain = EloConfig(tau=math.inf, involvement_credit=False, stat_transfer_beta=0.0)
+    both = replace(plain, involvement_credit=True, stat_transfer_beta=1.0)
+    kinds = {
+        "player (weighted)": EloConfig(), "player (plain mean)": plain, "plain + inv credit": replace(plain, involvement_credit=True),
+        "plain + stat transfer": replace(plain, stat_transfer_beta=1.0), "plain + both": both,
+    }
+    pred = sweep_predictions(*corpus, list(kinds.values()))
+    label = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("config") + 1)
+    parts = [pred.withColumn("model", label)]
+
+    def one(c: Corpus, cfg: EloConfig, name: str) -> None:
+        parts.append(sweep_predictions(*c, [cfg]).withColumn("model", F.lit(name)))
+
+    if pro_stats is not None:
+        lines = corpus.stats.unionByName(pro_stats, allowMissingColumns=True) if corpus.stats is not None else pro_stats
+        one(corpus._replace(stats=lines), both, "plain + both + pro")
+        if pro is not None:
+            one(Corpus(corpus.games.unionByName(pro.games), corpus.rosters.unionByName(pro.rosters), corpus.clubs.unionByName(pro.clubs), lines), both, "plain + both + pro + games")
+    for kind, name in (("reset", "team reset"), ("carry", "team carryover")):
+        moves = replay_team_elo(corpus.games, corpus.clubs, kind=kind).moves.select("game_key", "event_id", "expected")
+        parts.append(moves.join(_outcomes(corpus.games), ["game_key", "event_id"]).withColumn("model", F.lit(name)))
     union = parts[0]
     for p in parts[1:]:
-        union = union.unionByName(p)
-    return scores(union.join(known, ["game_key", "event_id"]), ["model"])
+        union = union.unionByName(p, allowMissingColumns=True)
+    scored = union.where(F.col("season").between(*seasons))
+    club = scored.where(F.col("division").isin(*divisions))
+    player = ~F.col("model").startswith("team")
+    sliced = club.withColumn("slice", F.lit("all")).unionByName(club.where((F.month("date") <= 7) & player).withColumn("slice", F.lit("through July")))
+    sliced = sliced.unionByName(scored.where((F.col("division") == "college") & player).withColumn("slice", F.lit("college")))
+    return scores(sliced, ["model", "slice"])
 
 
-def leave_one_out(games: DataFrame, rosters: DataFrame, clubs: DataFrame, targets: DataFrame, cfg: EloConfig | None = None) -> DataFrame:
+def leave_one_out(games: DataFrame, rosters: DataFrame, clubs: DataFrame, targets: DataFrame, cfg: EloConfig | None = None, plan: str = "slice") -> DataFrame:
     """How the mean log-loss of a player's games changes without the player (R8). targets: (player).
 
-    Every target's component is replayed in a group of its own; a roster of the
-    target alone stays.
+    The replay without a target is a lane; a roster of the target alone stays.
     """
-    rows = written(_cut(stream(games, rosters, clubs, None)), "without")
-    settings = asdict(cfg or EloConfig())
-    where = rows.select("component", F.explode(F.concat("home", "away")).alias("player")).distinct().join(targets, "player")
-    none = pd.DataFrame(columns=[c.split()[0] for c in STATE.split(", ")])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        target = key[0]
-        less = pdf.copy()
-        for side in ("home", "away"):
-            less[side] = [[p for p in t if p != target] or list(t) for t in pdf[side]]
-        took_part = [target in h or target in a for h, a in zip(map(set, pdf["home"]), map(set, pdf["away"]))]
-        mine = set(pdf["game_key"][took_part])
-        out = []
-        for kind, part in (("with", pdf), ("without", less)):
-            moves = _folded(settings, None)(key, part, none)
-            moves = moves[(moves["kind"] == "move") & moves["game_key"].isin(mine)]
-            out.append(moves[["game_key", "expected"]].assign(player=target, replay=kind))
-        return pd.concat(out)
-
-    pred = rows.join(where, "component").groupBy("player", "component").applyInPandas(run, "game_key long, expected double, player string, replay string")
-    known = games.select("game_key", outcome(F.col("home_score"), F.col("away_score")).alias("outcome"))
-    s = scores(pred.join(known, "game_key"), ["player", "replay"])
-    return s.groupBy("player").agg(
-        (F.max(F.when(F.col("replay") == "without", F.col("log_loss"))) - F.max(F.when(F.col("replay") == "with", F.col("log_loss")))).alias("loo"), F.max("n").alias("n_games")
-    )
+    rows = stream(games, rosters, clubs, None)
+    settings = [asdict(cfg or EloConfig())]
+    mine = written(rows.select("game_key", "event_id", F.explode(F.array_distinct(F.concat("home", "away"))).alias("player")).join(targets.select("player").distinct(), "player"), "mine")
+    whole = replayed(written(rows, "whole"), _elo(settings, False), STATE, _OUT, None, plan).where("kind = 'move'")
+    less = rows.crossJoin(targets.select("player").distinct().withColumn("lane", F.lit(0)))  # every target replays the whole history
+    rest = lambda c: F.filter(c, lambda p: p != F.col("target"))
+    less = less.withColumnRenamed("player", "target")
+    less = less.withColumns({c: F.when(F.size(rest(c)) > 0, rest(c)).otherwise(F.col(c)) for c in ("home", "away")})
+    without = replayed(written(less, "without"), _elo(settings, False), STATE, _OUT, ["lane", "target"], plan, 20 * GROUP_ROWS).where("kind = 'move'")
+    key = ["player", "game_key", "event_id"]
+    both = mine.join(whole.select("game_key", "event_id", F.col("expected").alias("full")), ["game_key", "event_id"])
+    both = both.join(without.select(F.col("target").alias("player"), "game_key", "event_id", F.col("expected").alias("less")), key)
+    both = both.join(_outcomes(games), ["game_key", "event_id"])
+    loss = lambda c: -(F.col("outcome") * F.log(F.greatest(c, F.lit(1e-12))) + (1 - F.col("outcome")) * F.log(F.greatest(1 - F.col(c), F.lit(1e-12))))
+    return both.groupBy("player").agg(F.avg(loss("less") - loss("full")).alias("loo"), F.count("*").alias("n_games"))

@@ -12,10 +12,13 @@ from rosterlake.operators.graph import written
 
 
 def fixtures(games: DataFrame) -> DataFrame:
-    """Games of an event in playing order: date, minutes, slot, key; a missing date comes last."""
+    """Games of an event in playing order: date, minutes, slot, key; a missing date comes last (T1). A published stage counts before the game's own."""
     done = (F.coalesce("status", F.lit("")) == "Final") & (F.coalesce("home_score", F.lit(0)) + F.coalesce("away_score", F.lit(0)) > 0)
     order = W.partitionBy("event_id").orderBy(F.asc_nulls_last("date"), measures.minutes_of_day(F.col("time")), F.col("slot"), F.col("game_key"))
-    return games.select("event_id", "game_key", "stage", "home_id", "away_id", "home_score", "away_score", done.alias("done"), F.row_number().over(order).cast("long").alias("ord"))
+    stage = F.coalesce("stage_pub", "stage") if "stage_pub" in games.columns else F.col("stage")
+    return games.select(
+        "event_id", "game_key", stage.alias("stage"), "date", "home_id", "away_id", "home_score", "away_score", done.alias("done"), F.row_number().over(order).cast("long").alias("ord")
+    )
 
 
 def labelled(fix: DataFrame) -> DataFrame:
@@ -59,11 +62,20 @@ def series(events: DataFrame) -> DataFrame:
     return keyed.join(label, "series").join(size, "series").select("event_id", "series", "label", "n_events")
 
 
-def event_facts(events: DataFrame, teams: DataFrame, champs: DataFrame) -> DataFrame:
-    """Field size, tier and champion of every event."""
+def event_facts(events: DataFrame, teams: DataFrame, champs: DataFrame, fix: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
+    """Field size, tier, place and champion of every event.
+
+    With ``fix`` and ``as_of`` only events with a game that is done between
+    two teams stay, and those without any game that have not started by that day.
+    """
     size = teams.groupBy("event_id").agg(F.count("*").alias("n_teams"))
     out = events.join(size, "event_id", "left").join(champs, "event_id", "left")
-    return out.select("event_id", "name", "division", "start_date", F.coalesce("n_teams", F.lit(0)).alias("n_teams"), names.tier(F.col("name")).alias("tier"), "champion")
+    if fix is not None and as_of is not None:
+        played = F.col("done") & F.col("home_id").isNotNull() & F.col("away_id").isNotNull()
+        has = fix.groupBy("event_id").agg(F.max(played).alias("_played"))
+        out = out.join(has, "event_id", "left").where(F.col("_played") | (F.col("_played").isNull() & (F.col("start_date") >= F.lit(as_of).cast("date"))))
+    place = F.concat_ws(", ", *[c for c in ("city", "state") if c in events.columns])
+    return out.select("event_id", "name", "season", "division", "start_date", F.coalesce("n_teams", F.lit(0)).alias("n_teams"), names.tier(F.col("name")).alias("tier"), place.alias("place"), "champion")
 
 
 def sides(fix: DataFrame) -> DataFrame:
@@ -102,106 +114,185 @@ def club_records(fix: DataFrame, clubs: DataFrame) -> DataFrame:
     )
 
 
-def recover_pools(fix: DataFrame, budget: int = 4000) -> DataFrame:
-    """Pools of events without pool labels (T2): (event_id, pool, team).
-
-    The earliest unplaced game's teams grow to the largest set of teams who all
-    met, games of the set are used up, and so on; events are small, and each is
-    one group.
+def _cliques(a: str, b: str, met: dict[str, set], budget: int) -> list[tuple[str, ...]]:
+    """The largest sets of teams around a pair who all met, none of them part of another; at most ``budget`` steps."""
+    out: list[tuple[str, ...]] = []
+    todo = [((a, b), met[a] & met[b], frozenset())]
+    while todo and budget:
+        budget -= 1
+        team, more, gone = todo.pop()
+        if not more and not gone:
+            out.append(tuple(sorted(team)))
+            continue
+        pivot = max(sorted(more | gone), key=lambda t: len(more & met[t])) if more or gone else None
+        for t in sorted(more - met[pivot]):
+            todo.append(((*team, t), more & met[t], frozenset(gone & met[t])))
+            more, gone = more - {t}, gone | {t}
+    return out
+
+
+def pools_of(games: list[tuple], budget: int = 4000) -> list[tuple[int, object, bool]]:
+    """(number of the pool, game, whether a later one) from games (ord, key, day, home, away) in order; games in no pool are left out.
+
+    The earliest game that is not placed seeds a pool: of the sets of three teams
+    or more who all met, through both its teams, the one whose games, the first
+    open one of each pair, fall on the fewest days, then the larger, then the
+    first by names. A pool takes one game of each pair; a second meeting is left
+    for a later pool. A pool is a later one if a team of it was in one before.
     """
+    open_: dict[frozenset, list[tuple]] = {}
+    met: dict[str, set] = {}
+    for g in games:
+        open_.setdefault(frozenset(g[3:5]), []).append(g)
+        met.setdefault(g[3], set()).add(g[4])
+        met.setdefault(g[4], set()).add(g[3])
+    found = []
+
+    def take(pair: frozenset) -> tuple:
+        g = open_[pair].pop(0)
+        if not open_[pair]:
+            del open_[pair]
+            a, b = pair
+            met[a].discard(b)
+            met[b].discard(a)
+        return g
+
+    while open_:
+        seed = min(open_, key=lambda pair: open_[pair][0][0])
+        a, b = sorted(seed)
+        sets = [c for c in _cliques(a, b, met, budget) if len(c) >= 3]
+        if not sets:
+            take(seed)
+            continue
+        pairs = lambda c: [frozenset((x, y)) for i, x in enumerate(c) for y in c[i + 1 :]]
+        best = min(sets, key=lambda c: (len({open_[p][0][2] for p in pairs(c)}), -len(c), c))
+        found.append((best, sorted((take(p) for p in pairs(best)), key=lambda g: g[0])))
+    found.sort(key=lambda pool: pool[1][0][0])
+    out, before = [], set()
+    for n, (teams, part) in enumerate(found, 1):
+        later = bool(before & set(teams))
+        out += [(n, g[1], later) for g in part]
+        before |= set(teams)
+    return out
+
+
+_POOLS = "event_id long, pool long, game_key long, later boolean"
+
+
+def recover_pools(fix: DataFrame, budget: int = 4000) -> DataFrame:
+    """Pools of events from who met whom (T2): (event_id, pool, game_key, later). A group is the games of one event, which are few."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values("ord")
-        games = [frozenset((h, a)) for h, a in zip(left["home_id"], left["away_id"]) if h != a]
-        unused, out, n = dict.fromkeys(games), [], 0
-        met: dict[str, set] = {}
-        for pair in unused:
-            a, b = sorted(pair)
-            met.setdefault(a, set()).add(b)
-            met.setdefault(b, set()).add(a)
-        for pair in list(unused):
-            if pair not in unused:
-                continue
-            best, tries = tuple(sorted(pair)), 0
-            stack = [(best, sorted(met[best[0]] & met[best[1]]))]
-            while stack and tries < budget:
-                tries += 1
-                club, more = stack.pop()
-                if (len(club), [-ord(c) for c in "".join(club)]) > (len(best), [-ord(c) for c in "".join(best)]):
-                    best = club
-                for k in range(len(more) - 1, -1, -1):
-                    stack.append((tuple(sorted((*club, more[k]))), [t for t in more[k + 1 :] if t in met[more[k]]]))
-            if len(best) >= 3:
-                n += 1
-                out += [(pdf["event_id"].iloc[0], n, t) for t in best]
-                for i, a in enumerate(best):
-                    for b in best[i + 1 :]:
-                        unused.pop(frozenset((a, b)), None)
-                        met[a].discard(b)
-                        met[b].discard(a)
-            else:
-                unused.pop(pair)
-        return pd.DataFrame(out, columns=["event_id", "pool", "team"]).astype({"event_id": "int64", "pool": "int64", "team": "object"})
-
-    return fix.where("done").groupBy("event_id").applyInPandas(run, "event_id long, pool long, team string")
+        rows = pdf[pdf["home_id"] != pdf["away_id"]].sort_values("ord")
+        games = [(r.ord, r.game_key, str(r.date), r.home_id, r.away_id) for r in rows.itertuples()]
+        event = pdf["event_id"].iloc[0]
+        return pd.DataFrame([(event, *x) for x in pools_of(games, budget)], columns=["event_id", "pool", "game_key", "later"])
+
+    return fix.where("done and home_id is not null and away_id is not null").groupBy("event_id").applyInPandas(run, _POOLS)
 
 
 def published_brackets(fix: DataFrame) -> DataFrame:
-    """Brackets that a provider published (T4): those with exactly one last round; kind from the place, else from that game's stage.
+    """Brackets that a provider published (T4): those with exactly one game in the last round, 0; (event_id, bracket, kind, n_games).
 
-    fix: (event_id, bracket, round, place, stage, game_key).
+    The kind comes from the place, 1 being the title, else from the stage of
+    the last game, which names no place if it is the title's. fix: (event_id,
+    bracket, round, place, stage, game_key).
     """
-    rows = fix.where("bracket is not null")
+    rows = fix.where("bracket is not null and round is not null")
     root = rows.groupBy("event_id", "bracket").agg(
         F.sum(F.when(F.col("round") == 0, 1).otherwise(0)).alias("roots"), F.min(F.when(F.col("round") == 0, F.col("stage"))).alias("root_stage"), F.min("place").alias("place"), F.count("*").alias("n_games")
     )
-    kind = F.when(F.col("place") == 1, "champ").when(F.col("place") > 1, F.concat(F.col("place").cast("string"), F.lit("th"))).otherwise(measures.bracket_kind(F.col("root_stage")))
+    named = F.coalesce(measures.bracket_kind(F.col("root_stage")), F.lit("champ"))
+    kind = F.when(F.col("place") == 1, "champ").when(F.col("place") > 1, measures.ordinal(F.col("place"))).otherwise(named)
     return root.where("roots = 1").select("event_id", "bracket", kind.alias("kind"), "n_games")
 
 
+_TREES = "event_id long, kind string, tree long, game_key long, depth long"
+
+
 def label_brackets(fix: DataFrame) -> DataFrame:
     """Trees of games from stage labels alone (T3): (event_id, kind, tree, game_key, depth).
 
-    Every final of a kind of bracket, or every game of the innermost round that
-    there is, roots a tree; the game of the next round that a team won leads to
-    the game that it plays, and a game is used once.
+    Every final of a kind of bracket roots a tree; without one all games of the
+    innermost round that there is are the roots of one tree. The game of the
+    next round that a team won leads to the game that it plays, and a game is
+    used once. Drawn games are in no tree. A group is the games of one event.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for kind, part in pdf.sort_values("ord").groupby("kind"):
-            rounds = {r: g for r, g in part.groupby("round")}
+            rounds = {r: list(g.itertuples()) for r, g in part.groupby("round")}
             used: set = set()
             inner = min(rounds)
-            for tree, root in enumerate(rounds[inner].itertuples(), 1):
-                level = [(root, 0)]
-                used.add(root.game_key)
+            roots = [[g] for g in rounds[inner]] if inner == 0 else [rounds[inner]]
+            for tree, level in enumerate(roots, 1):
+                used |= {g.game_key for g in level}
+                depth = 0
                 while level:
-                    game, depth = level.pop(0)
-                    out.append((game.event_id, kind, tree, game.game_key, depth))
-                    for team in (game.home_id, game.away_id):
-                        for g in rounds[game.round + 1].itertuples() if game.round + 1 in rounds else ():
-                            if g.game_key not in used and g.winner == team:
-                                used.add(g.game_key)
-                                level.append((g, depth + 1))
-                                break
-        return pd.DataFrame(out, columns=["event_id", "kind", "tree", "game_key", "depth"])
+                    out += [(g.event_id, kind, tree, g.game_key, depth) for g in level]
+                    outer = []
+                    for team in (t for g in level for t in (g.home_id, g.away_id)):
+                        feeder = next((g for g in rounds.get(inner + depth + 1, ()) if g.game_key not in used and g.winner == team), None)
+                        if feeder is not None:
+                            used.add(feeder.game_key)
+                            outer.append(feeder)
+                    level, depth = outer, depth + 1
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _TREES.split(", ")])
 
     win = measures.winner(F.col("home_score"), F.col("away_score"), F.col("home_id"), F.col("away_id"))
-    rows = labelled(fix).where("kind is not null and round is not null and done").withColumn("winner", win)
-    return rows.groupBy("event_id").applyInPandas(run, "event_id long, kind string, tree long, game_key long, depth long")
+    rows = labelled(fix).where("kind is not null and done").withColumn("winner", win).where("winner is not null")
+    return rows.groupBy("event_id").applyInPandas(run, _TREES)
 
 
-def decompose(fix: DataFrame) -> DataFrame:
-    """Where every done game stands (T5): in a labelled bracket, a recovered pool, or loose. One row per game."""
-    done = fix.where("done")
-    brackets = label_brackets(fix).select("event_id", "game_key", F.concat_ws(" ", "kind", "tree").alias("bracket"))
-    rest = done.join(brackets, ["event_id", "game_key"], "left_anti").where("home_id <> away_id")
-    pools = recover_pools(rest)
-    both = rest.join(pools.select("event_id", F.col("team").alias("home_id"), "pool"), ["event_id", "home_id"]).join(
-        pools.select("event_id", F.col("team").alias("away_id"), "pool"), ["event_id", "away_id", "pool"]
-    )
-    pooled = both.groupBy("event_id", "game_key").agg(F.min("pool").alias("pool"))
-    out = done.select("event_id", "game_key").join(brackets, ["event_id", "game_key"], "left").join(pooled, ["event_id", "game_key"], "left")
+def decompose(fix: DataFrame, published: DataFrame | None = None) -> DataFrame:
+    """Where every done game stands (T5): in a bracket, a pool, or loose; one row per game (event_id, game_key, place, bracket, pool).
+
+    Games of published brackets, (event_id, game_key, bracket, round, place,
+    stage), come first. Of the rest, games with a pool's label are searched for
+    pools, or where an event has none, all games without a knockout's label.
+    What is left over is searched for brackets by its labels; a kind that a
+    published bracket has is not claimed again. A team's game against itself is
+    loose.
+    """
+    done = fix.where("done and home_id is not null and away_id is not null")
+    real = done.where("home_id <> away_id")
+    taken = None
+    if published is not None:
+        whole = published_brackets(published.join(real.select("event_id", "game_key"), ["event_id", "game_key"], "left_semi"))
+        taken = written(published.select("event_id", "game_key", "bracket").join(whole.select("event_id", "bracket", "kind"), ["event_id", "bracket"]).select("event_id", "game_key", "kind"), "taken")
+        real = real.join(taken, ["event_id", "game_key"], "left_anti")
+    marked = real.withColumns({"poolish": measures.poolish(F.col("stage")), "named": measures.bracket_kind(F.col("stage")).isNotNull()})
+    marked = marked.withColumn("any_pool", F.max("poolish").over(W.partitionBy("event_id")))
+    marked = written(marked, "marked")
+    pools = written(recover_pools(marked.where((F.col("any_pool") & F.col("poolish")) | (~F.col("any_pool") & ~F.col("named")))), "pools")
+    rest = marked.join(pools, ["event_id", "game_key"], "left_anti")
+    trees = label_brackets(rest)
+    if taken is not None:
+        trees = trees.join(taken.select("event_id", "kind").distinct(), ["event_id", "kind"], "left_anti")
+    brackets = trees.select("event_id", "game_key", F.concat_ws(" ", "kind", "tree").alias("bracket"))
+    if taken is not None:
+        brackets = brackets.unionByName(taken.select("event_id", "game_key", F.col("kind").alias("bracket")))
+    out = done.select("event_id", "game_key").join(brackets, ["event_id", "game_key"], "left").join(pools.drop("later"), ["event_id", "game_key"], "left")
     place = F.when(F.col("bracket").isNotNull(), "bracket").when(F.col("pool").isNotNull(), "pool").otherwise("loose")
     return out.select("event_id", "game_key", place.alias("place"), "bracket", "pool")
+
+
+def decomposed_champions(fix: DataFrame, published: DataFrame | None = None) -> DataFrame:
+    """The winner of the one final of an event's title bracket, published or by labels (T6 on T5)."""
+    places = decompose(fix, published)
+    rank = measures.round_rank(F.col("stage"))
+    title = places.where("bracket = 'champ' or bracket like 'champ %'").join(fix, ["event_id", "game_key"])
+    if published is not None:
+        title = title.join(published.select("event_id", "game_key", F.col("round").alias("_round")), ["event_id", "game_key"], "left")
+        rank = F.when(F.col("bracket") == "champ", F.col("_round")).otherwise(rank)
+    finals = title.withColumn("rank", rank).where("rank = 0")
+    win = measures.winner(F.col("home_score"), F.col("away_score"), F.col("home_id"), F.col("away_id"))
+    return finals.groupBy("event_id").agg(F.min_by(win, "ord").alias("champion"), F.count("*").alias("n_finals")).where("champion is not null").select("event_id", "champion")
+
+
+def champion_audit(fix: DataFrame, published: DataFrame) -> DataFrame:
+    """Events whose champion differs with and without the published structure (T10): (event_id, by_labels, by_structure)."""
+    plain = decomposed_champions(fix).withColumnRenamed("champion", "by_labels")
+    known = decomposed_champions(fix, published).withColumnRenamed("champion", "by_structure")
+    return plain.join(known, "event_id", "full").where(~F.col("by_labels").eqNullSafe(F.col("by_structure"))).select("event_id", "by_labels", "by_structure")

@@ -9,7 +9,7 @@ from rosterlake import vocab
 from rosterlake.functions import measures, names
 from rosterlake.operators import api, corpus, identity, metrics, rankings, ratings, tournaments, trends
 from rosterlake.sources import tables
-from rosterlake.sources.demo import duck_with, view
+from rosterlake.sources.demo import duck_with, kept, view
 
 AS_OF = "1999-06-30"
 
@@ -26,19 +26,26 @@ class Views:
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, f"v_{name}")
 
+    def kept(self, name: str, make) -> DataFrame:
+        return kept(self.spark, self.sf_dir, name, make)
+
     @property
     def games(self) -> DataFrame:
         return corpus.load_games(self.game, self.event)
 
     @property
     def clubs(self) -> DataFrame:
-        return corpus.load_clubs(self.team)
+        return self.kept("clubs", lambda: corpus.load_clubs(self.team))
 
     @property
     def named(self) -> DataFrame:
         """Roster rows as the identity operators take them."""
+        return self.kept("named", self._named)
+
+    def _named(self) -> DataFrame:
         e = self.event.select("event_id", "start_date", "end_date")
-        rows = self.roster.join(self.clubs, "event_team_id").join(e, "event_id")
+        bare = self.team.select("event_team_id", names.norm_club(F.col("full_name"), F.col("display_name")).alias("club"))
+        rows = self.roster.join(bare, "event_team_id").join(e, "event_id")
         return rows.withColumn("norm", names.norm_name(F.col("name")))
 
 
@@ -54,15 +61,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_CLUB = """, clubs AS (SELECT event_team_id, lower(trim(regexp_replace(regexp_replace(COALESCE(full_name, display_name, '?'), '\\s*\\(\\d+\\)\\s*$', ''), '\\s+', ' ', 'g')))
-  || CASE division WHEN 'club-mixed' THEN ' (mixed)' WHEN 'club-women' THEN ' (women''s)' ELSE '' END AS club FROM v_team)"""
+_NAME = """trim(regexp_replace(regexp_replace(COALESCE(full_name, display_name, '?'), '\\s*\\(\\d+\\)\\s*$', ''), '\\s+', ' ', 'g'))"""
+_BARE = f"lower(CASE lower({_NAME}) WHEN 'rhino' THEN 'Rhino Slam!' WHEN 'dark star-d' THEN 'Dark Star' ELSE {_NAME} END)"
+_CLUB = f""", clubs AS (SELECT event_team_id, {_BARE} || CASE division WHEN 'club-mixed' THEN ' (mixed)' WHEN 'club-women' THEN ' (women''s)' ELSE '' END AS club FROM v_team)"""
 _GAMES = """, games AS (SELECT g.event_id, game_key, season, division,
     LEAST(GREATEST(COALESCE(date, start_date), start_date), COALESCE(end_date, start_date)) AS date,
     CASE WHEN time IS NULL THEN '23:59' ELSE strftime(strptime(time, '%I:%M %p'), '%H:%M') END AS clock, stage, home_id, away_id, home_score, away_score
   FROM v_game g JOIN v_event e USING (event_id) WHERE home_score + away_score >= 4 AND status = 'Final')"""
-_NAMED = _CLUB + """, named AS (SELECT r.*, c.club, e.start_date, e.end_date,
+_NAMED = _CLUB + f""", bare AS (SELECT event_team_id, {_BARE} AS club FROM v_team), named AS (SELECT r.*, c.club, e.start_date, e.end_date,
     lower(trim(regexp_replace(regexp_replace(strip_accents(r.name), '[.’'']', '', 'g'), '\\s+', ' ', 'g'))) AS norm
-  FROM v_roster r JOIN clubs c USING (event_team_id) JOIN v_event e ON r.event_id = e.event_id)"""
+  FROM v_roster r JOIN bare c USING (event_team_id) JOIN v_event e ON r.event_id = e.event_id)"""
 
 
 @query("s2_clean_games", _GAMES + " SELECT * FROM games")
@@ -101,17 +109,20 @@ def _(v):
     return corpus.replace_event(v.game, v.game_b.where("event_id % 5 = 0"))
 
 
-@query("s12_drop_reseeded", """, i AS (SELECT event_id, slot, max(game_key) AS game_key FROM v_game GROUP BY event_id, slot)
-  SELECT event_id, slot, game_key FROM i""")
+@query("s12_drop_reseeded", """, g AS (SELECT event_id, CASE WHEN game_key % 11 = 0 THEN NULL ELSE slot END AS slot, CASE WHEN game_key % 11 = 0 THEN 'pool-' || slot ELSE game_key::VARCHAR END AS game_key FROM v_game),
+  i AS (SELECT event_id, slot, 'new-' || max(game_key) AS game_key FROM v_game WHERE event_id % 3 = 0 AND slot < 2 GROUP BY event_id, slot)
+  SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.event_id = g.event_id AND (i.slot = g.slot OR (g.slot IS NULL AND g.game_key = 'pool-' || i.slot))) UNION ALL SELECT * FROM i""")
 def _(v):
-    i = v.game.groupBy("event_id", "slot").agg(F.max("game_key").alias("game_key"))
-    return corpus.drop_reseeded(v.game.select("event_id", "slot", "game_key"), i)
+    k, old = F.col("game_key"), F.col("game_key") % 11 == 0
+    games = v.game.select("event_id", F.when(~old, F.col("slot")).alias("slot"), F.when(old, F.concat(F.lit("pool-"), F.col("slot").cast("string"))).otherwise(k.cast("string")).alias("game_key"))
+    new = v.game.where("event_id % 3 = 0 and slot < 2").groupBy("event_id", "slot").agg(F.concat(F.lit("new-"), F.max("game_key").cast("string")).alias("game_key"))
+    return corpus.drop_reseeded(games, new)
 
 
 @query("s13_complete_events", f""", l AS (SELECT event_id, SUM(CASE WHEN event_team_id NOT IN (SELECT event_team_id FROM v_roster) THEN 1 ELSE 0 END) AS lacking FROM v_team GROUP BY event_id)
-  SELECT event_id, COALESCE(end_date, start_date) < DATE '{AS_OF}' AND COALESCE(lacking, 0) = 0 AS complete FROM v_event LEFT JOIN l USING (event_id)""")
+  SELECT event_id, COALESCE(end_date < DATE '{AS_OF}', false) AND (event_id % 9 = 0 OR COALESCE(lacking, 0) = 0) AS complete FROM v_event LEFT JOIN l USING (event_id)""")
 def _(v):
-    return corpus.mark_complete(v.event, v.team, v.roster, AS_OF)
+    return corpus.mark_complete(v.event.withColumn("has_schedule", F.col("event_id") % 9 != 0), v.team, v.roster, AS_OF)
 
 
 @query("s14_merge_divisions", """ SELECT event_id, division, name FROM v_event WHERE division <> 'college' UNION ALL
@@ -121,19 +132,23 @@ def _(v):
     return corpus.merge_divisions(e, e, "college", 5000000)
 
 
-@query("s16_stale_events", f""", s AS (SELECT event_id, COUNT(*) AS n_games, SUM(CASE WHEN status <> 'Final' THEN 1 ELSE 0 END)::BIGINT AS n_open FROM v_game GROUP BY event_id)
+@query("s16_stale_events", f""", s AS (SELECT event_id, COUNT(*) AS n_games, SUM(CASE WHEN status = 'Final' AND home_score + away_score > 0 THEN 0 ELSE 1 END)::BIGINT AS n_open FROM v_game GROUP BY event_id)
   SELECT event_id, COALESCE(n_games, 0) AS n_games, COALESCE(n_open, 0) AS n_open FROM v_event LEFT JOIN s USING (event_id)
   WHERE COALESCE(end_date, start_date) < DATE '{AS_OF}' AND (COALESCE(n_games, 0) = 0 OR n_open > 0)""")
 def _(v):
     return corpus.stale_events(v.event, v.game, AS_OF)
 
 
-@query("s17_refresh_plan", """, a AS (SELECT event_id, COUNT(*) AS played FROM v_game_b WHERE status = 'Final' AND event_id % 7 <> 0 GROUP BY event_id),
-  b AS (SELECT event_id, COUNT(*) AS played FROM v_game WHERE status = 'Final' GROUP BY event_id)
-  SELECT event_id, CASE WHEN a.played IS NULL THEN 'add' ELSE 'replace' END AS action FROM a FULL JOIN b USING (event_id) WHERE a.played IS NULL OR b.played > a.played""")
+@query("s17_refresh_plan", f""", s AS (SELECT event_id, COUNT(*) AS n, SUM(CASE WHEN status = 'Final' AND home_score + away_score > 0 THEN 1 ELSE 0 END) AS own FROM v_game GROUP BY event_id),
+  x AS (SELECT event_id, rtrim(url, '/') AS url, CASE WHEN event_id % 35 = 0 THEN 'Cancelled ' || name ELSE name END AS name, COALESCE(end_date, start_date) AS over, CASE WHEN event_id % 3 = 0 THEN 0 ELSE n - event_id % 2 END AS played, own, n
+    FROM v_event JOIN s USING (event_id))
+  SELECT url, CASE WHEN event_id % 5 <> 0 THEN 'replace' ELSE 'add' END AS action FROM x WHERE over < DATE '{AS_OF}' AND CASE WHEN event_id % 5 <> 0 THEN own < n AND played > own ELSE played > 0 AND name NOT LIKE 'Cancelled%' END""")
 def _(v):
-    n = lambda g: g.where("status = 'Final'").groupBy("event_id").agg(F.count("*").alias("played"))
-    return corpus.refresh_plan(n(v.game_b.where("event_id % 7 <> 0")), n(v.game))
+    k = F.col("event_id")
+    n = v.game.groupBy("event_id").agg(F.count("*").alias("n"))
+    name = F.when(k % 35 == 0, F.concat(F.lit("Cancelled "), "name")).otherwise(F.col("name"))
+    offered = v.event.join(n, "event_id").select("url", name.alias("name"), "start_date", "end_date", F.when(k % 3 == 0, 0).otherwise(F.col("n") - k % 2).alias("played"))
+    return corpus.refresh_plan(v.event.where("event_id % 5 <> 0"), corpus.stale_events(v.event, v.game, AS_OF), offered, AS_OF)
 
 
 @query("s18_compare_providers", """, x AS (SELECT event_id, GREATEST(home_score, away_score) hi, LEAST(home_score, away_score) lo, COUNT(*) n FROM v_game WHERE status = 'Final' AND home_score + away_score > 0 GROUP BY ALL),
@@ -153,12 +168,16 @@ def _(v):
     return corpus.attach_structure(v.game, v.game_b)
 
 
-@query("s20_event_filter", """ SELECT event_id, name FROM (SELECT event_id, division, CASE event_id % 6 WHEN 1 THEN name || ' Masters' WHEN 2 THEN 'Developmental ' || name WHEN 3 THEN name || ' D-III' ELSE name END AS name FROM v_event)
-  WHERE NOT regexp_matches(lower(name), 'developmental|cancel|masters|d-?iii')""")
+@query("s20_event_filter", """ SELECT event_id, name FROM (SELECT event_id, event_id % 6 AS n, CASE WHEN division LIKE 'college%' AND event_id % 4 = 0 THEN division || '-d3' ELSE division END AS division,
+    CASE event_id % 6 WHEN 1 THEN name || ' Masters' WHEN 2 THEN 'Developmental ' || name WHEN 3 THEN name || ' D-III' WHEN 4 THEN name || ' (cancelled)' ELSE name END AS name FROM v_event)
+  WHERE n <> 4 AND CASE WHEN division LIKE '%-d3' THEN n = 3 WHEN division LIKE 'college%' THEN n NOT IN (2, 3) ELSE n <> 1 END""")
 def _(v):
     n = F.col("event_id") % 6
-    name = F.when(n == 1, F.concat("name", F.lit(" Masters"))).when(n == 2, F.concat(F.lit("Developmental "), "name")).when(n == 3, F.concat("name", F.lit(" D-III"))).otherwise(F.col("name"))
-    return corpus.event_list_filter(v.event.withColumn("name", name)).select("event_id", "name")
+    add = lambda text: F.concat("name", F.lit(text))
+    name = F.when(n == 1, add(" Masters")).when(n == 2, F.concat(F.lit("Developmental "), "name")).when(n == 3, add(" D-III")).when(n == 4, add(" (cancelled)")).otherwise(F.col("name"))
+    d3 = F.col("division").startswith("college") & (F.col("event_id") % 4 == 0)
+    division = F.when(d3, F.concat("division", F.lit("-d3"))).otherwise(F.col("division"))
+    return corpus.event_list_filter(v.event.withColumns({"name": name, "division": division})).select("event_id", "name")
 
 
 @query("s21_division_scope", """, m AS (SELECT event_id, event_team_id, CASE WHEN event_id % 4 = 0 AND team % 2 = 0 THEN 'other' ELSE division END AS division FROM v_team),
@@ -200,11 +219,17 @@ def _(v):
     return v.game.select("game_key", measures.clock(F.col("time")).alias("clock"), measures.minutes_of_day(F.col("time")).alias("minutes"), measures.inches(height).alias("inches"))
 
 
-@query("f_labels", """ SELECT DISTINCT stage, CASE stage WHEN 'Finals' THEN 'champ' WHEN 'Semi Finals' THEN 'champ' WHEN '9th Place Quarters' THEN '9th' WHEN 'Third Place' THEN '3th' END AS kind,
-    CASE stage WHEN 'Finals' THEN 0 WHEN 'Semi Finals' THEN 1 WHEN '9th Place Quarters' THEN 2 WHEN 'Third Place' THEN 0 END::INT AS rank FROM v_game""")
+# what each label of the demo names, by the rules for rounds, places and games to go
+_KIND = """CASE stage WHEN 'Finals' THEN 'champ' WHEN 'Semi Finals' THEN 'champ' WHEN '9th Place Quarters' THEN '9th' WHEN 'Game to Go' THEN 'gtg' WHEN 'Third Place' THEN '3rd' WHEN 'Pre-Quarters' THEN 'champ'
+  WHEN 'Consolation Semis' THEN 'consolation' WHEN 'Back Door Final' THEN 'back door' WHEN 'Round of 32' THEN 'champ' WHEN 'T-5 Final' THEN '5' WHEN '13th/14th Place' THEN '13th' END"""
+_RANK = """CASE stage WHEN 'Finals' THEN 0 WHEN 'Semi Finals' THEN 1 WHEN '9th Place Quarters' THEN 2 WHEN 'Game to Go' THEN 0 WHEN 'Third Place' THEN 0 WHEN 'Pre-Quarters' THEN 3
+  WHEN 'Consolation Semis' THEN 1 WHEN 'Back Door Final' THEN 0 WHEN 'Round of 32' THEN 4 WHEN 'T-5 Final' THEN 0 WHEN '13th/14th Place' THEN 0 END::INT"""
+
+
+@query("f_labels", f" SELECT DISTINCT stage, {_KIND} AS kind, {_RANK} AS rank, stage LIKE 'Pool%' AS poolish FROM v_game")
 def _(v):
     s = F.col("stage")
-    return v.game.select("stage", measures.bracket_kind(s).alias("kind"), measures.round_rank(s).alias("rank")).distinct()
+    return v.game.select("stage", measures.bracket_kind(s).alias("kind"), measures.round_rank(s).alias("rank"), measures.poolish(s).alias("poolish")).distinct()
 
 
 @query("f_math", """ SELECT game_key, ROUND(1 / (1 + pow(10, (away_score - home_score) * 20 / 400.0)), 9) AS chance,
@@ -216,9 +241,11 @@ def _(v):
                          F.round(measures.provisional(h), 9).alias("provisional"), F.round(measures.rating_sigma(h), 9).alias("sigma"), measures.outcome(h, a).alias("outcome"))
 
 
-@query("f_ids", """ SELECT event_id, -('0x' || substr(sha256('events' || chr(0) || url), 1, 13))::BIGINT AS id, substr(sha1(url || '|' || division), 1, 32) AS key FROM v_event""")
+@query("f_ids", """ SELECT event_id, -('0x' || substr(sha256('events' || chr(0) || url), 1, 13))::BIGINT AS id, 'gq:' || substr(sha1(url || chr(0) || division), 1, 32) AS key,
+    substr(sha256(url || chr(0) || division), 1, 24) AS stable FROM v_event""")
 def _(v):
-    return v.event.select("event_id", names.stable_id("events", F.col("url")).alias("id"), names.team_key(F.col("url"), F.col("division")).alias("key"))
+    u, d = F.col("url"), F.col("division")
+    return v.event.select("event_id", names.stable_id("events", u).alias("id"), names.team_key(u, d).alias("key"), names.stable_key(u, d).alias("stable"))
 
 
 @query("i1_name_appearances", _NAMED + " SELECT norm, division, season, COUNT(DISTINCT club) AS n_clubs, MIN(club) AS first_club, COUNT(*) AS n_rows FROM named GROUP BY ALL")
@@ -226,10 +253,11 @@ def _(v):
     return identity.name_appearances(v.named)
 
 
-_G = "CASE WHEN division IN ('club-women', 'college-women') THEN 'w' WHEN division = 'club-mixed' THEN 'mixed' ELSE 'm' END"
+_G = "CASE WHEN division IN ('club-women', 'college-women') THEN 'w' WHEN division = 'club-mixed' THEN NULL ELSE 'm' END"
+_PRONOUN = "CASE pronouns WHEN 'H' THEN 'm' WHEN 'S/T' THEN 'w' END"
 
 
-@query("i2_gender_split", _NAMED + f" SELECT norm FROM named WHERE {_G} <> 'mixed' GROUP BY norm HAVING COUNT(DISTINCT {_G}) = 2")
+@query("i2_gender_split", _NAMED + f" SELECT norm FROM named GROUP BY norm HAVING COUNT(DISTINCT {_G}) = 2")
 def _(v):
     return identity.gender_split(v.named)
 
@@ -249,20 +277,25 @@ def _(v):
     return identity.date_conflicts(v.named)
 
 
-_KEYED = _CONFLICT + f""", split AS (SELECT norm FROM named WHERE {_G} <> 'mixed' GROUP BY norm HAVING COUNT(DISTINCT {_G}) = 2),
-  keyed AS (SELECT *, CASE WHEN norm LIKE 'ana last1%' AND division = 'club-men' THEN 'scoped|' || norm
+_KEYED = _CONFLICT + f""", split AS (SELECT norm FROM named GROUP BY norm HAVING COUNT(DISTINCT {_G}) = 2),
+  keyed AS (SELECT *, norm IN (SELECT norm FROM conflict) AND norm NOT LIKE 'bo %' AS ambiguous, CASE WHEN norm LIKE 'eve last2%' AND club IN ('the team 3', 'the team 23') THEN 'scoped|' || norm || '|/the team 23,the team 3'
+    WHEN norm LIKE 'ana last1%' AND division IN ('club-men', 'club-mixed') THEN 'scoped|' || norm || '|club-men,club-mixed/'
     WHEN norm IN (SELECT norm FROM conflict) AND norm NOT LIKE 'bo %' THEN 'club|' || norm || '|' || club
     WHEN norm LIKE 'dan %' THEN 'division|' || norm || '|' || division WHEN norm LIKE 'bo %' THEN 'name|' || norm
-    WHEN norm IN (SELECT norm FROM split) THEN 'gender|' || norm || '|' || CASE WHEN {_G} = 'mixed' THEN '?' ELSE {_G} END ELSE 'name|' || norm END AS identity FROM named)"""
+    WHEN norm IN (SELECT norm FROM split) THEN 'gender|' || norm || '|' || COALESCE({_G}, {_PRONOUN}, '?') ELSE 'name|' || norm END AS identity FROM named)"""
+
+
+def _overrides(v) -> DataFrame:
+    """Reviewed names: blocked, merged as a whole, merged by divisions or clubs, confirmed."""
+    n = F.col("norm")
+    action = F.when(n.like("dan %"), "block").when(n.like("kai %"), "confirm").when(n.like("bo %") | n.like("ana last1%") | n.like("eve last2%"), "merge")
+    scope, clubs = F.when(n.like("ana last1%"), "club-men|club-mixed"), F.when(n.like("eve last2%"), "The Team 3| The  Team 23")
+    make = lambda: v.named.select("norm").distinct().select(n.alias("norm_name"), action.alias("action"), F.lit("").alias("note"), scope.alias("scope"), clubs.alias("clubs")).where("action is not null")
+    return v.kept("overrides", make)
 
 
 def _keyed(v) -> DataFrame:
-    rows = v.named
-    blocked = rows.where("norm like 'dan %'").select("norm")
-    merged = rows.where("norm like 'bo %'").select("norm", F.lit(None).cast("string").alias("division")).unionByName(
-        rows.where("norm like 'ana last1%' and division = 'club-men'").select("norm", "division")
-    )
-    return identity.identity_keys(rows, blocked, merged.distinct())
+    return identity.identity_keys(v.named, _overrides(v))
 
 
 @query("i6_identity_keys", _NAMED + _KEYED + " SELECT DISTINCT norm, division, club, identity FROM keyed")
@@ -270,21 +303,21 @@ def _(v):
     return _keyed(v).select("norm", "division", "club", "identity").distinct()
 
 
-@query("i8_display_names", _NAMED + _KEYED + " SELECT identity, arg_min(name, {'a': event_id, 'b': event_team_id, 'c': name}) AS display_name FROM keyed GROUP BY identity")
+@query("i8_display_names", _NAMED + _KEYED + """, shown AS (SELECT norm, trim(regexp_replace(arg_min(name, {'a': event_id, 'b': event_team_id, 'c': name}), '\\s+', ' ', 'g')) AS display_name FROM keyed GROUP BY norm)
+  SELECT DISTINCT identity, display_name FROM keyed JOIN shown USING (norm)""")
 def _(v):
     return identity.display_names(_keyed(v))
 
 
-@query("i9_roster_players", _NAMED + _KEYED + " SELECT event_team_id, name, MIN(identity) AS identity FROM keyed GROUP BY event_team_id, name")
+@query("i9_roster_players", _NAMED + _KEYED + " SELECT event_team_id, name, arg_min(identity, {'p': COALESCE(pronouns, ''), 'i': identity}) AS identity FROM keyed GROUP BY event_team_id, name")
 def _(v):
     return identity.roster_players(_keyed(v))
 
 
-_PRONOUN = "CASE WHEN regexp_matches(lower(pronouns), '\\bhe\\b|\\bhim\\b') THEN 'm' WHEN regexp_matches(lower(pronouns), '\\bshe\\b|\\bher\\b') THEN 'w' END"
-_EVIDENCE = f""", n AS (SELECT identity, SUM(({_G} = 'm')::INT) dm, SUM(({_G} = 'w')::INT) dw, SUM(CASE WHEN {_G} = 'mixed' AND {_PRONOUN} = 'm' THEN 1 ELSE 0 END) pm,
-    SUM(CASE WHEN {_G} = 'mixed' AND {_PRONOUN} = 'w' THEN 1 ELSE 0 END) pw FROM keyed GROUP BY identity),
+_EVIDENCE = f""", n AS (SELECT identity, SUM(COALESCE({_G} = 'm', false)::INT) dm, SUM(COALESCE({_G} = 'w', false)::INT) dw, SUM(CASE WHEN {_G} IS NULL AND {_PRONOUN} = 'm' THEN 1 ELSE 0 END) pm,
+    SUM(CASE WHEN {_G} IS NULL AND {_PRONOUN} = 'w' THEN 1 ELSE 0 END) pw FROM keyed GROUP BY identity),
   evidence AS (SELECT identity, CASE WHEN dm > 0 AND dw = 0 THEN 'm' WHEN dw > 0 AND dm = 0 THEN 'w' WHEN pm > pw THEN 'm' WHEN pw > pm THEN 'w' END AS gender,
-    CASE WHEN (dm > 0 AND dw = 0) OR (dw > 0 AND dm = 0) THEN 'division' WHEN pm <> pw THEN 'pronoun' END AS gender_source FROM n)"""
+    CASE WHEN (dm > 0 AND dw = 0) OR (dw > 0 AND dm = 0) THEN 'division' WHEN pm <> pw THEN 'pronouns' END AS gender_source FROM n)"""
 
 
 @query("i10_gender_evidence", _NAMED + _KEYED + _EVIDENCE + " SELECT * FROM evidence")
@@ -302,15 +335,17 @@ def _(v):
     return identity.name_likelihood(known, min_share=0.6)
 
 
-@query("i12_ambiguity_report", _NAMED + _CONFLICT + """ SELECT norm, COUNT(DISTINCT club) AS n_clubs, COUNT(DISTINCT season) AS n_seasons, CASE WHEN norm IN (SELECT norm FROM conflict) THEN 'split' ELSE 'auto-merged' END AS action
-  FROM named WHERE norm IN (SELECT norm FROM amb) GROUP BY norm""")
+@query("i12_ambiguity_report", _NAMED + _CONFLICT + """ SELECT norm, division, season, string_agg(club, '; ' ORDER BY club) AS clubs, CASE WHEN norm IN (SELECT norm FROM conflict) AND norm NOT LIKE 'bo %' THEN 'split' ELSE 'auto-merged' END AS verdict
+  FROM (SELECT DISTINCT norm, division, season, club FROM named) GROUP BY norm, division, season HAVING COUNT(*) > 1""")
 def _(v):
-    return identity.ambiguity_report(v.named)
+    return identity.ambiguity_report(v.named, _overrides(v))
 
 
-@query("i12_bridge_report", _NAMED + _KEYED + " SELECT identity, COUNT(DISTINCT division) AS n_divisions, COUNT(DISTINCT season) AS n_seasons FROM keyed GROUP BY identity HAVING n_divisions > 1")
+@query("i12_bridge_report", _NAMED + _KEYED + """, d AS (SELECT norm, string_agg(division, '; ' ORDER BY division) AS divisions FROM (SELECT DISTINCT norm, division FROM named) GROUP BY norm HAVING COUNT(*) > 1),
+  c AS (SELECT norm, string_agg(club, '; ' ORDER BY club) AS teams FROM (SELECT DISTINCT norm, club FROM named) GROUP BY norm)
+  SELECT norm, divisions, teams FROM d JOIN c USING (norm) WHERE norm NOT IN (SELECT norm FROM split) AND norm NOT LIKE 'dan %' AND (norm LIKE 'bo %' OR norm NOT IN (SELECT norm FROM conflict))""")
 def _(v):
-    return identity.bridge_report(_keyed(v))
+    return identity.bridge_report(v.named, _overrides(v))
 
 
 @query("i13_bridge_candidates", _NAMED + _KEYED + """, one AS (SELECT norm, MIN(identity) AS identity FROM keyed WHERE division <> 'college' GROUP BY norm HAVING COUNT(DISTINCT identity) = 1),
@@ -321,41 +356,60 @@ def _(v):
     return identity.bridge_candidates(keyed.where("division = 'college'"), keyed.where("division <> 'college'"))
 
 
-@query("i16_match_clubs", _CLUB + """, x AS (SELECT division, split_part(club, ' (', 1) AS key, club FROM clubs JOIN v_team USING (event_team_id) WHERE event_id // 10 % 2 = 0), y AS (SELECT division, split_part(club, ' (', 1) AS key, club FROM clubs JOIN v_team USING (event_team_id) WHERE event_id // 10 % 2 = 1)
-  SELECT division, key, lc AS left_club, rc AS right_club FROM (SELECT division, key, MIN(club) lc FROM x GROUP BY ALL HAVING COUNT(DISTINCT club) = 1) JOIN (SELECT division, key, MIN(club) rc FROM y GROUP BY ALL HAVING COUNT(DISTINCT club) = 1) USING (division, key)""")
+@query("i16_match_clubs", _CLUB + """, k AS (SELECT t.event_team_id, event_id, division, team, season, split_part(club, ' (', 1) AS key, club FROM clubs JOIN v_team t USING (event_team_id)),
+  x AS (SELECT division, key, MIN(c) AS own FROM (SELECT division, key, club || CASE WHEN team % 8 = 4 AND season % 2 = 0 THEN ' b' ELSE '' END AS c FROM k WHERE event_id // 10 % 2 = 0 AND team % 4 <> 1) GROUP BY ALL HAVING COUNT(DISTINCT c) = 1),
+  y AS (SELECT CASE division WHEN 'club-men' THEN 'club-men' WHEN 'club-women' THEN 'club-women' WHEN 'club-mixed' THEN 'club-mixed' END AS division, key, MIN('euf:' || key) AS eu FROM k WHERE team % 4 = 1 AND division LIKE 'club%' GROUP BY ALL)
+  SELECT event_team_id, COALESCE(own, eu) AS club FROM k LEFT JOIN x USING (division, key) LEFT JOIN y USING (division, key) WHERE event_id // 10 % 2 = 1""")
 def _(v):
-    rows = v.clubs.join(v.team.select("event_team_id", "division", "event_id"), "event_team_id").withColumn("key", F.split_part("club", F.lit(" ("), F.lit(1)))
-    return identity.match_clubs(rows.where("event_id div 10 % 2 = 0"), rows.where("event_id div 10 % 2 = 1"))
+    rows = v.clubs.join(v.team.select("event_team_id", "division", "event_id", "team", "season"), "event_team_id").withColumn("key", F.split_part("club", F.lit(" ("), F.lit(1)))
+    other = (F.col("team") % 8 == 4) & (F.col("season") % 2 == 0)
+    ours = rows.where("event_id div 10 % 2 = 0 and team % 4 <> 1").select("division", "key", F.when(other, F.concat("club", F.lit(" b"))).otherwise(F.col("club")).alias("club"))
+    name = F.create_map(*[F.lit(x) for x in ("club-men", "euf-open", "club-women", "euf-women", "club-mixed", "euf-mixed")])
+    european = rows.where("team % 4 = 1 and division like 'club%'").select(name[F.col("division")].alias("division"), "key", F.concat(F.lit("euf:"), "key").alias("club"))
+    return identity.match_clubs(rows.where("event_id div 10 % 2 = 1").select("event_team_id", "division", "key"), ours, european)
 
 
-@query("i18_link_by_evidence", """, a AS (SELECT c_custkey AS a_id, c_custkey % 500 AS norm, [c_nationkey] AS cities, [CAST(1995 + c_custkey % 6 AS INT)] AS years FROM customer),
-  b AS (SELECT s_suppkey AS b_id, s_suppkey AS norm, [s_nationkey] AS cities, [CAST(1995 + s_suppkey % 5 AS INT)] AS years FROM supplier UNION ALL
-        SELECT s_suppkey + 10000, s_suppkey, [CAST((s_nationkey + 1) % 25 AS INT)], [CAST(1995 + s_suppkey % 4 AS INT)] FROM supplier),
-  c AS (SELECT a_id, b_id, CASE WHEN b_id IS NOT NULL THEN len(list_intersect(a.cities, b.cities)) + len(list_intersect(a.years, b.years)) END AS ev FROM a LEFT JOIN b USING (norm)),
+@query("i18_link_by_evidence", """, a AS (SELECT c_custkey AS a_id, c_custkey % 500 AS norm, [c_nationkey] AS cities, [c_custkey % 9] AS jerseys, [CAST(1995 + c_custkey % 6 AS INT)] AS years FROM customer),
+  b AS (SELECT s_suppkey AS b_id, s_suppkey AS norm, [s_nationkey] AS cities, [s_suppkey % 4] AS jerseys, [CAST(1995 + s_suppkey % 5 AS INT)] AS years FROM supplier UNION ALL
+        SELECT s_suppkey + 10000, s_suppkey, [CAST((s_nationkey + 1) % 25 AS INT)], [s_suppkey % 5], [CAST(1995 + s_suppkey % 4 AS INT)] FROM supplier WHERE s_suppkey % 3 <> 0),
+  c AS (SELECT a_id, b_id, CASE WHEN b_id IS NOT NULL THEN list_has_any(a.cities, b.cities)::INT + list_has_any(a.jerseys, b.jerseys)::INT + list_has_any(a.years, b.years)::INT END AS ev FROM a LEFT JOIN b USING (norm)),
   r AS (SELECT *, ROW_NUMBER() OVER w AS k, LEAD(ev) OVER w AS nx FROM c WINDOW w AS (PARTITION BY a_id ORDER BY ev DESC NULLS LAST, b_id)),
-  z AS (SELECT *, CASE WHEN b_id IS NULL THEN 'no-match' WHEN ev = 0 THEN 'no-corroboration' WHEN COALESCE(nx, 0) > 0 THEN 'ambiguous' ELSE 'linked' END AS audit FROM r WHERE k = 1)
+  z AS (SELECT *, CASE WHEN b_id IS NULL THEN 'no-match' WHEN ev > 0 AND COALESCE(nx, 0) = 0 THEN 'linked' WHEN nx IS NOT NULL THEN 'ambiguous' ELSE 'no-corroboration' END AS audit FROM r WHERE k = 1)
   SELECT a_id, CASE WHEN audit = 'linked' THEN b_id END AS b_id, audit FROM z""")
 def _(v):
     read = lambda t: v.spark.read.parquet(f"{v.sf_dir}/{t}.parquet")
-    year = lambda c: F.array((F.lit(1995) + c).cast("int"))
+    year = lambda c: F.array((F.lit(1995) + c).cast("int")).alias("years")
     k, s = F.col("c_custkey"), F.col("s_suppkey")
-    a = read("customer").select(k.alias("a_id"), (k % 500).alias("norm"), F.array("c_nationkey").alias("cities"), year(k % 6).alias("years"))
+    a = read("customer").select(k.alias("a_id"), (k % 500).alias("norm"), F.array("c_nationkey").alias("cities"), F.array(k % 9).alias("jerseys"), year(k % 6))
     sup = read("supplier")
-    b = sup.select(s.alias("b_id"), s.alias("norm"), F.array("s_nationkey").alias("cities"), year(s % 5).alias("years")).unionByName(
-        sup.select((s + 10000).alias("b_id"), s.alias("norm"), F.array(((F.col("s_nationkey") + 1) % 25).cast("int")).alias("cities"), year(s % 4).alias("years"))
+    b = sup.select(s.alias("b_id"), s.alias("norm"), F.array("s_nationkey").alias("cities"), F.array(s % 4).alias("jerseys"), year(s % 5)).unionByName(
+        sup.where("s_suppkey % 3 <> 0").select((s + 10000).alias("b_id"), s.alias("norm"), F.array(((F.col("s_nationkey") + 1) % 25).cast("int")).alias("cities"), F.array(s % 5).alias("jerseys"), year(s % 4))
     )
     return identity.link_by_evidence(a, b)
 
 
-def _replay(v) -> tuple[DataFrame, DataFrame]:
-    stats = corpus.load_stat_events(v.stat, v.team, v.event)
-    return ratings.replay_player_elo(v.games, v.roster.select("event_team_id", "player_id"), v.clubs, stats)
+def _stats(v) -> DataFrame:
+    """Stat lines with the event that earned them."""
+    return corpus.load_stat_events(v.stat, v.team, v.event).join(v.team.select("event_team_id", "event_id"), "event_team_id")
+
+
+def _corpus(v, stats: bool = True) -> ratings.Corpus:
+    return ratings.Corpus(v.games, v.roster.select("event_team_id", "player_id"), v.clubs, _stats(v) if stats else None)
+
+
+def _replay(v, **options) -> ratings.Replay:
+    return ratings.replay_player_elo(*_corpus(v), **options)
 
 
 @query("r1_player_elo")
 def _(v):
-    moves, _ = _replay(v)
-    return moves
+    return _replay(v).moves
+
+
+@query("r1_player_elo_by_components")
+def _(v):
+    """The same replay in one slice of all days, cut into components of players; the tests hold both plans against a plain fold."""
+    return _replay(v, plan="component").moves
 
 
 # a fold of every season's games, one step per game: the ratings of its clubs as a list, a club's first one from its first division
@@ -379,20 +433,21 @@ _POOL = _GAMES + _CLUB + """, one AS (SELECT season, division, game_key, h.club
 
 @query("r2_team_elo_reset", _POOL + " SELECT game_key, ROUND(expected, 6) AS expected FROM fold WHERE step > 0")
 def _(v):
-    moves, _ = ratings.replay_team_elo(v.games, v.clubs, kind="reset")
+    moves = ratings.replay_team_elo(v.games, v.clubs, kind="reset").moves
     return moves.select("game_key", F.round("expected", 6).alias("expected"))
 
 
-@query("r2_team_elo_carry")
+_CARRY = _POOL.replace("PARTITION BY season ORDER BY", "ORDER BY").replace("SELECT season, club, arg_min", "SELECT 0 AS season, club, arg_min").replace("GROUP BY season, club)", "GROUP BY club)").replace("h.season = o.season AND ", "").replace("a.season = o.season AND ", "").replace("SELECT o.*, h.i AS hi", "SELECT o.* REPLACE (0 AS season), h.i AS hi")
+
+
+@query("r2_team_elo_carry", _CARRY + " SELECT game_key, ROUND(expected, 6) AS expected FROM fold WHERE step > 0")
 def _(v):
-    _, state = ratings.replay_team_elo(v.games, v.clubs, kind="carry")
-    return state.select("player", "rating", "games")
+    return ratings.replay_team_elo(v.games, v.clubs, kind="carry").moves.select("game_key", F.round("expected", 6).alias("expected"))
 
 
 @query("r3_glicko2")
 def _(v):
-    _, state = ratings.replay_glicko2(v.games, v.roster.select("event_team_id", "player_id"), v.clubs)
-    return state
+    return ratings.replay_glicko2(*_corpus(v)).state
 
 
 @query("r4_batch_teams")
@@ -417,7 +472,7 @@ def _(v):
 @query("r7_config_sweep")
 def _(v):
     configs = [ratings.EloConfig(k=k, tau=t) for k in (24.0, 48.0) for t in (150.0, 500.0)]
-    return ratings.sweep(v.games, v.roster.select("event_team_id", "player_id"), v.clubs, None, configs)
+    return ratings.sweep(*_corpus(v, False), configs)
 
 
 # predictions of a fixed rating, to score in both engines
@@ -441,15 +496,25 @@ def _(v):
 
 
 @query("m2_scorecard", _PRED + f""", s AS (SELECT 'all' AS slice, * FROM pred UNION ALL SELECT 'val', * FROM pred WHERE season BETWEEN 1997 AND 1998 UNION ALL SELECT 'test', * FROM pred WHERE season BETWEEN 1999 AND 2000
-  UNION ALL SELECT 'test ' || division, * FROM pred WHERE season BETWEEN 1999 AND 2000) SELECT slice, {_SCORES} FROM s GROUP BY slice""")
+  UNION ALL SELECT 'test ' || division, * FROM pred WHERE season BETWEEN 1999 AND 2000 UNION ALL SELECT '2001', * FROM pred WHERE season = 2001) SELECT slice, {_SCORES} FROM s GROUP BY slice""")
 def _(v):
-    return _rounded(metrics.scorecard(_pred(v), (1997, 1998), (1999, 2000)))
+    return _rounded(metrics.scorecard(_pred(v), (1997, 1998), (1999, 2000), 2001))
+
+
+_CUM = []
+for _k in range(8):
+    _CUM.append((_CUM[-1][0] + _CUM[-1][1] / _k, _CUM[-1][1] / _k) if _k else (2.718281828459045**-1, 2.718281828459045**-1))
 
 
-@query("m4_paired_bootstrap")
+@query("m4_paired_bootstrap", _PRED + f""", ds AS (SELECT game_key, -(outcome * ln(GREATEST(expected, 1e-12)) + (1 - outcome) * ln(GREATEST(1 - expected, 1e-12))) + (outcome * ln(GREATEST(other, 1e-12)) + (1 - outcome) * ln(GREATEST(1 - other, 1e-12))) AS d
+    FROM (SELECT *, 0.5 * expected + 0.25 AS other FROM pred)),
+  u AS (SELECT d, draw, ('0x' || substr(md5('0|' || game_key || '|' || draw), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM ds, (SELECT unnest(range(2000)) AS draw)),
+  w AS (SELECT d, draw, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c, _ in _CUM)} AS w FROM u), m AS (SELECT draw, SUM(w * d) / SUM(w) AS m FROM w GROUP BY draw)
+  SELECT ROUND(AVG(m), 9) AS mean, ROUND(quantile_cont(m, 0.05), 9) AS low, ROUND(quantile_cont(m, 0.95), 9) AS high FROM m""")
 def _(v):
     a = _pred(v)
-    return metrics.paired_bootstrap(a, a.withColumn("expected", 0.5 * F.col("expected") + 0.25))
+    out = metrics.paired_bootstrap(a, a.withColumn("expected", 0.5 * F.col("expected") + 0.25))
+    return out.select(*[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("m5_objective", _PRED + f", s AS (SELECT division, {_SCORES.replace('ROUND(AVG(-', '(AVG(-').replace(', 9) AS log_loss', ') AS log_loss')} FROM pred GROUP BY division) SELECT ROUND(SUM(n * log_loss) / SUM(n), 9) AS objective FROM s")
@@ -476,12 +541,13 @@ def _(v):
     return rankings.last_appearance(v.roster, v.event)
 
 
-for _basis, _cond, _order in (("completed", "<=", '"end" DESC, event_team_id DESC'), ("upcoming", ">", "start_date, event_team_id DESC")):
+_WHEN = {"completed": f"end_date <= DATE '{AS_OF}'", "upcoming": f"(end_date >= DATE '{AS_OF}' OR (end_date IS NULL AND start_date >= DATE '{AS_OF}'))"}
+for _basis, _order in (("completed", "start_date DESC"), ("upcoming", "start_date")):
 
-    @query(f"w3_latest_rosters_{_basis}", _CLUB + f""", x AS (SELECT e.division, club, event_team_id, start_date, COALESCE(end_date, start_date) AS "end" FROM v_team t JOIN clubs USING (event_team_id) JOIN v_event e ON e.event_id = t.event_id)
-      SELECT division, club, event_team_id, "end" FROM x WHERE "end" {_cond} DATE '{AS_OF}' QUALIFY ROW_NUMBER() OVER (PARTITION BY division, club ORDER BY {_order}) = 1""")
+    @query(f"w3_latest_rosters_{_basis}", _CLUB + f""", x AS (SELECT e.season, e.division, club, event_team_id, start_date, end_date FROM v_team t JOIN clubs USING (event_team_id) JOIN v_event e ON e.event_id = t.event_id WHERE e.season = {AS_OF[:4]})
+      SELECT season, division, club, event_team_id, start_date FROM x WHERE {_WHEN[_basis]} QUALIFY ROW_NUMBER() OVER (PARTITION BY division, club ORDER BY {_order}, event_team_id DESC) = 1""")
     def _(v, basis=_basis):
-        return rankings.latest_rosters(v.team, v.clubs, v.event, AS_OF, basis)
+        return rankings.latest_rosters(v.team, v.clubs, v.event, AS_OF, int(AS_OF[:4]), basis)
 
 
 _STRENGTH = _CLUB + _RATINGS + """, st AS (SELECT event_team_id, SUM(exp((rating - top) / 500) * rating) / SUM(exp((rating - top) / 500)) AS strength, COUNT(*) AS n
@@ -505,9 +571,16 @@ def _(v):
     return rankings.team_table(_best(v))
 
 
-@query("w7_division_masks", " SELECT player_id, bit_or(CASE division WHEN 'club-men' THEN 1 WHEN 'college' THEN 2 WHEN 'club-mixed' THEN 16 WHEN 'club-women' THEN 32 ELSE 512 END::BIGINT) AS mask FROM v_roster GROUP BY player_id")
+_CODE = "CASE division WHEN 'club-men' THEN 0 WHEN 'college' THEN 1 WHEN 'club-mixed' THEN 3 WHEN 'club-women' THEN 4 WHEN 'college-women' THEN 5 ELSE 0 END"
+
+
+@query("w7_division_masks", f""", r AS (SELECT player_id, r.season, r.division, start_date, {_CODE} AS code FROM (SELECT player_id, event_id, season, division FROM v_roster) r JOIN (SELECT event_id, start_date FROM v_event) USING (event_id)),
+  now AS (SELECT player_id, division, code, division IN ('club-men', 'club-mixed', 'club-women') AS club, COUNT(*) AS n, MAX(start_date) AS latest FROM r
+    WHERE season = (SELECT MAX(season) FROM r x WHERE x.player_id = r.player_id) GROUP BY ALL),
+  kept AS (SELECT player_id, code FROM now QUALIFY NOT club OR ROW_NUMBER() OVER (PARTITION BY player_id, club ORDER BY n DESC, latest DESC, code) = 1)
+  SELECT player_id, divisions, divisions_now FROM (SELECT player_id, bit_or(1::BIGINT << code) AS divisions FROM r GROUP BY 1) JOIN (SELECT player_id, bit_or(1::BIGINT << code) AS divisions_now FROM kept GROUP BY 1) USING (player_id)""")
 def _(v):
-    return rankings.division_masks(v.roster, {d: n for n, d in enumerate(vocab.DIVISIONS)})
+    return rankings.division_masks(v.roster.select("player_id", "event_id", "season", "division").join(v.event.select("event_id", "start_date"), "event_id"))
 
 
 _POINTS = _GAMES + _CLUB + """, points AS (SELECT club AS subject, season, date AS day, game_key AS seq, (1000 + (game_key * 31) % 700)::DOUBLE AS rating FROM games JOIN clubs ON event_team_id = home_id)"""
@@ -528,9 +601,9 @@ def _(v):
     return rankings.point_deltas(_points(v))
 
 
-_FIX = """, fix AS (SELECT event_id, game_key, stage, home_id, away_id, home_score, away_score, status = 'Final' AND home_score + away_score > 0 AS done,
+_FIX = f""", fix AS (SELECT event_id, game_key, stage, date, home_id, away_id, home_score, away_score, status = 'Final' AND home_score + away_score > 0 AS done,
     ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY date NULLS LAST, CASE WHEN time IS NULL THEN 10000 ELSE date_part('hour', strptime(time, '%I:%M %p')) * 60 + 15 END, slot, game_key) AS ord FROM v_game),
-  champs AS (SELECT event_id, MIN(CASE WHEN home_score > away_score THEN home_id WHEN away_score > home_score THEN away_id END) AS champion FROM fix WHERE stage = 'Finals' AND done GROUP BY event_id
+  champs AS (SELECT event_id, MIN(CASE WHEN home_score > away_score THEN home_id WHEN away_score > home_score THEN away_id END) AS champion FROM fix WHERE {_KIND} = 'champ' AND {_RANK} = 0 AND done GROUP BY event_id
     HAVING COUNT(*) = 1 AND champion IS NOT NULL)"""
 
 
@@ -552,20 +625,31 @@ def _(v):
     return tournaments.bracket_trees(v.order.select(k.alias("game"), F.when(k % 64 > 1, k - k % 64 + F.floor((k % 64) / 2)).alias("next")))
 
 
-@query("t8_series", """, k AS (SELECT event_id, name, trim(regexp_replace(lower(name), '\\b(19|20)\\d\\d\\b', ' ', 'g')) AS x FROM v_event),
-  s AS (SELECT event_id, name, trim(regexp_replace(regexp_replace(regexp_replace(x, '\\b([ivx]+|\\d+(st|nd|rd|th)?)\\s*$', ' '), '\\b([ivx]+|\\d+(st|nd|rd|th)?)\\s*$', ' '), '\\s+', ' ', 'g')) AS series FROM k),
+# series of the demo's names: year, division words and what follows a dash are out, edition numbers at the end too
+_SERIES = """CASE WHEN name LIKE 'National%' THEN 'national championship' WHEN name LIKE 'U.S.%' THEN 'u s open' WHEN name LIKE 'Metro%' THEN 'metro regionals' WHEN name LIKE 'Lake%' THEN 'lake sectionals'
+  WHEN name LIKE 'Pacific%' THEN 'pacific conference open' WHEN name LIKE 'Men%' THEN lower(name) ELSE 'cup' END"""
+
+
+@query("t8_series", f""", s AS (SELECT event_id, name, {_SERIES} AS series FROM v_event),
   c AS (SELECT series, name, COUNT(*) n, MIN(event_id) f FROM s GROUP BY ALL), l AS (SELECT series, name AS label FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY series ORDER BY n DESC, length(name), f) = 1)
   SELECT event_id, series, label, COUNT(*) OVER (PARTITION BY series) AS n_events FROM s JOIN l USING (series)""")
 def _(v):
     return tournaments.series(v.event)
 
 
-_FACTS = _FIX + """, facts AS (SELECT event_id, name, division, start_date, COALESCE(n, 0) AS n_teams, CASE WHEN name LIKE 'National%' THEN 4 ELSE 1 END::INT AS tier, champion
-  FROM v_event LEFT JOIN (SELECT event_id, COUNT(*) n FROM v_team GROUP BY 1) USING (event_id) LEFT JOIN champs USING (event_id))"""
+_TIER = "CASE WHEN name LIKE 'National%' OR name LIKE 'U.S. Open%' THEN 4 WHEN name LIKE '%Regionals%' THEN 3 WHEN name LIKE '%Sectionals%' THEN 2 WHEN name LIKE '%Conference%' THEN 1 ELSE 0 END::INT"
+_STATE = "CASE event_id % 4 WHEN 0 THEN 'CA' WHEN 1 THEN 'OH' WHEN 2 THEN 'TX' ELSE 'VA' END"
+_FACTS = _FIX + f""", has AS (SELECT event_id, bool_or(done) AS played FROM fix WHERE event_id % 8 <> 0 GROUP BY event_id),
+  facts AS (SELECT event_id, name, season, division, start_date, COALESCE(n, 0) AS n_teams, {_TIER} AS tier, 'Town, ' || {_STATE} AS place, champion
+  FROM v_event LEFT JOIN (SELECT event_id, COUNT(*) n FROM v_team GROUP BY 1) USING (event_id) LEFT JOIN champs USING (event_id) LEFT JOIN has USING (event_id)
+  WHERE played OR (played IS NULL AND start_date >= DATE '{AS_OF}'))"""
 
 
 def _facts(v) -> DataFrame:
-    return tournaments.event_facts(v.event, v.team, tournaments.champions(tournaments.fixtures(v.game)))
+    n = F.col("event_id") % 4
+    state = F.when(n == 0, "CA").when(n == 1, "OH").when(n == 2, "TX").otherwise("VA")
+    fix = tournaments.fixtures(v.game)
+    return tournaments.event_facts(v.event.withColumns({"city": F.lit("Town"), "state": state}), v.team, tournaments.champions(fix), fix.where("event_id % 8 <> 0"), AS_OF)
 
 
 @query("t9_event_facts", _FACTS + " SELECT * FROM facts")
@@ -573,9 +657,17 @@ def _(v):
     return _facts(v)
 
 
-@query("w13_event_list", _FACTS + " SELECT * FROM facts WHERE division = 'college' AND lower(name) LIKE '%cup%' ORDER BY n_teams DESC, event_id LIMIT 400")
+@query("w13_event_list", _FACTS + " SELECT * FROM facts WHERE division LIKE 'college' AND season = 1998 AND tier = 0 AND place LIKE '%CA' AND lower(name) LIKE '%cup%' ORDER BY n_teams DESC, event_id LIMIT 400")
 def _(v):
-    return rankings.event_list(_facts(v), division="college", text="cup", order="size")
+    return rankings.event_list(_facts(v), division="college", season=1998, tier=0, state="CA", text="cup", order="size")
+
+
+@query("f_regions", f""" SELECT event_id, {_STATE} AS state, CASE WHEN division LIKE 'college%' THEN CASE {_STATE} WHEN 'CA' THEN 'Southwest' WHEN 'OH' THEN 'Ohio Valley' WHEN 'TX' THEN 'South Central' ELSE 'Atlantic Coast' END
+  ELSE CASE {_STATE} WHEN 'CA' THEN 'Southwest' WHEN 'OH' THEN 'Great Lakes' WHEN 'TX' THEN 'South Central' ELSE 'Mid-Atlantic' END END AS region FROM v_event""")
+def _(v):
+    n = F.col("event_id") % 4
+    place = F.concat(F.lit("Town, "), F.when(n == 0, "CA").when(n == 1, "OH").when(n == 2, "TX").otherwise("VA"))
+    return v.event.select("event_id", names.state_of(place).alias("state"), names.region_of(F.col("division"), place).alias("region"))
 
 
 _STAND = _FIX + """, si AS (SELECT event_id, stage, home_id AS team, away_id AS rival, home_score AS own, away_score AS other FROM fix WHERE done AND stage LIKE 'Pool%' UNION ALL SELECT event_id, stage, away_id, home_id, away_score, home_score FROM fix WHERE done AND stage LIKE 'Pool%'),
@@ -682,39 +774,50 @@ def _(v):
     return rankings.season_roster(v.roster, v.clubs)
 
 
-@query("a1_publication_audit", """ SELECT i AS invalid_games, o AS games_without_event, e AS events_without_game, u AS unknown_teams, i + o + u > 0 AS blocked FROM
-  (SELECT (SELECT COUNT(*) FROM v_game_b WHERE status = 'Final' AND home_id = away_id) AS i, (SELECT COUNT(*) FROM v_game_b WHERE event_id NOT IN (SELECT event_id FROM v_event)) AS o,
-    (SELECT COUNT(*) FROM v_event WHERE event_id NOT IN (SELECT event_id FROM v_game_b)) AS e, (SELECT COUNT(*) FROM (SELECT home_id AS t FROM v_game_b UNION SELECT away_id FROM v_game_b) WHERE t NOT IN (SELECT event_team_id FROM v_team WHERE team <> 7)) AS u)""")
+@query("a3_validate_events", """ SELECT event_id, COUNT(*) AS n_games, SUM((status = 'Final')::INT)::BIGINT AS n_final, SUM((home_score = away_score)::INT)::BIGINT AS n_draws, SUM((time IS NULL)::INT)::BIGINT AS n_no_time,
+  COUNT(DISTINCT (home_id, away_id)) AS n_pairings FROM v_game GROUP BY event_id""")
 def _(v):
-    return api.publication_audit(v.event, v.game_b, v.team.where("team <> 7"))
+    return api.validate_events(v.game)
 
 
-@query("a2_score_conflicts", " SELECT event_id, game_key, a.home_score, a.away_score, b.home_score AS new_home, b.away_score AS new_away FROM v_game a JOIN v_game_b b USING (event_id, game_key) WHERE a.home_score <> b.home_score OR a.away_score <> b.away_score")
+@query("a5_roster_state", """, r AS (SELECT DISTINCT event_team_id FROM v_roster WHERE player_id % 3 <> 0 OR event_id % 2 = 0), n AS (SELECT event_id, COUNT(*) AS n_teams, COUNT(r.event_team_id) AS n_rosters FROM v_team t LEFT JOIN r USING (event_team_id) GROUP BY event_id)
+  SELECT event_id, n_teams, n_rosters, CASE WHEN n_rosters = n_teams THEN 'public' WHEN n_rosters > 0 THEN 'partial' ELSE 'unavailable' END AS state FROM n""")
 def _(v):
-    return api.score_conflicts(v.game, v.game_b)
+    return api.roster_state(v.team, v.roster.where("player_id % 3 <> 0 or event_id % 2 = 0"))
 
 
-@query("a3_validate_events", """ SELECT event_id, COUNT(*) AS n_games, SUM((status = 'Final')::INT)::BIGINT AS n_final, SUM((home_score = away_score)::INT)::BIGINT AS n_draws, SUM((time IS NULL)::INT)::BIGINT AS n_no_time,
-  COUNT(DISTINCT (home_id, away_id)) AS n_pairings FROM v_game GROUP BY event_id""")
+_CODES = ", coded AS (SELECT *, 'code' || event_id % 90 AS event_code FROM v_event), refs AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END AS source, CASE WHEN event_id % 2 = 0 THEN 'event' ELSE 'division' END AS entity_type, url AS source_id, event_id::VARCHAR AS local_key, url AS source_url, sha1(url) AS payload_hash FROM v_event)"
+
+
+def _coded(v) -> DataFrame:
+    return v.event.withColumn("event_code", F.concat(F.lit("code"), (F.col("event_id") % 90).cast("string")))
+
+
+def _refs(v) -> DataFrame:
+    k = F.col("event_id")
+    return v.event.select(F.when(k % 3 == 0, "a").otherwise("b").alias("source"), F.when(k % 2 == 0, "event").otherwise("division").alias("entity_type"), F.col("url").alias("source_id"), k.cast("string").alias("local_key"), F.col("url").alias("source_url"), F.sha1("url").alias("payload_hash"))
+
+
+@query("q1_events_page", _CODES + """ SELECT * FROM coded WHERE season = 1998 AND event_id IN (SELECT event_id FROM v_team WHERE lower(display_name) LIKE '%team 1%') AND event_id IN (SELECT event_id FROM v_game WHERE status = 'Final')
+  AND event_id::VARCHAR IN (SELECT local_key FROM refs WHERE source = 'b') ORDER BY start_date DESC, event_id LIMIT 50 OFFSET 10""")
 def _(v):
-    return api.validate_events(v.game)
+    return api.events_page(_coded(v), v.game, v.team, _refs(v), offset=10, season=1998, team="team 1", played=True, source="b").nodes
 
 
-@query("a5_roster_state", " SELECT t.event_team_id, COUNT(DISTINCT player_id) AS n_players, CASE WHEN COUNT(player_id) = 0 THEN 'unavailable' WHEN COUNT(DISTINCT player_id) < 7 THEN 'partial' ELSE 'public' END AS state FROM v_team t LEFT JOIN v_roster USING (event_team_id) GROUP BY 1")
+@query("q1_events_total", _CODES + """ SELECT COUNT(*) AS total_count, COUNT(*) > 10 + 3 AS has_next_page FROM coded WHERE event_code = 'code21' AND event_id IN (SELECT event_id FROM v_game WHERE status <> 'Final')""")
 def _(v):
-    return api.team_rosters(v.team, v.roster)
+    return api.events_page(_coded(v), v.game, v.team, first=3, offset=10, event_code="code21", played=False).total
 
 
-@query("q1_events_page", """ SELECT * FROM v_event WHERE season = 1998 AND event_id IN (SELECT event_id FROM v_team WHERE lower(display_name) LIKE '%team 1%') AND event_id IN (SELECT event_id FROM v_game WHERE status = 'Final')
-  ORDER BY start_date DESC, event_id LIMIT 50 OFFSET 10""")
+@query("q2_games_page", _CODES + """ SELECT g.event_id, game_key, date, time, h.display_name AS home_name, a.display_name AS away_name, home_score, away_score FROM v_game g LEFT JOIN v_team h ON h.event_team_id = home_id LEFT JOIN v_team a ON a.event_team_id = away_id
+  WHERE status = 'Final' AND g.event_id IN (SELECT event_id FROM coded WHERE division = 'college') ORDER BY date NULLS LAST, time NULLS LAST, game_key LIMIT 100 OFFSET 20""")
 def _(v):
-    return api.events_page(v.event, v.game, v.team, season=1998, team="team 1", played=True, offset=10)
+    return api.games_page(v.game, v.team, _coded(v), first=100, offset=20, division="college", played=True).nodes
 
 
-@query("q2_games_page", """ SELECT g.event_id, game_key, date, time, h.display_name AS home_name, a.display_name AS away_name, home_score, away_score FROM v_game g LEFT JOIN v_team h ON h.event_team_id = home_id LEFT JOIN v_team a ON a.event_team_id = away_id
-  ORDER BY date NULLS LAST, time NULLS LAST, game_key LIMIT 100 OFFSET 20""")
+@query("q2_games_total", " SELECT COUNT(*) AS total_count, COUNT(*) > 100 AS has_next_page FROM v_game WHERE event_id IN (SELECT event_id FROM v_event WHERE season = 1997)")
 def _(v):
-    return api.games_page(v.game, v.team, first=100, offset=20)
+    return api.games_page(v.game, v.team, v.event, first=100, season=1997).total
 
 
 @query("q5_games_by_event", " SELECT event_id, game_key, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY date NULLS LAST, time NULLS LAST, game_key) AS r FROM v_game QUALIFY r BETWEEN 2 AND 4")
@@ -750,11 +853,15 @@ def _(v):
     return corpus.load_pro_rosters(pro.withColumnRenamed("year", "game_id"), links)
 
 
-@query("i17_name_overlap", _NAMED + _KEYED + """, a AS (SELECT DISTINCT norm, season FROM keyed WHERE division = 'college'), b AS (SELECT norm, COUNT(DISTINCT identity) AS n FROM keyed WHERE division <> 'college' GROUP BY norm),
-  s AS (SELECT DISTINCT norm FROM a JOIN (SELECT DISTINCT norm, season FROM keyed WHERE division <> 'college') USING (norm, season))
-  SELECT COUNT(*) AS shared, COALESCE(SUM((n = 1)::INT), 0)::BIGINT AS unique, COALESCE(SUM((n = 1 AND norm IN (SELECT norm FROM s))::INT), 0)::BIGINT AS same_season FROM (SELECT DISTINCT norm FROM a) JOIN b USING (norm)""")
+_EXACT = "trim(regexp_replace(lower(nfc_normalize(name)), '\\s+', ' ', 'g'))"
+
+
+@query("i17_name_overlap", _NAMED + _KEYED + f""", u AS (SELECT 'exact' AS key, {_EXACT} AS name, division, season, identity, ambiguous FROM keyed UNION ALL SELECT 'folded', norm, division, season, identity, ambiguous FROM keyed),
+  a AS (SELECT DISTINCT key, name, season FROM u WHERE division = 'college'), b AS (SELECT key, name, COUNT(DISTINCT identity) = 1 AND NOT bool_or(ambiguous) AS one FROM u WHERE division <> 'college' GROUP BY ALL),
+  s AS (SELECT DISTINCT key, name FROM a JOIN (SELECT DISTINCT key, name, season FROM u WHERE division <> 'college') USING (key, name, season))
+  SELECT key, COUNT(*) AS shared, COALESCE(SUM(one::INT), 0)::BIGINT AS unique, COALESCE(SUM((one AND (key, name) IN (SELECT (key, name) FROM s))::INT), 0)::BIGINT AS same_season FROM (SELECT DISTINCT key, name FROM a) JOIN b USING (key, name) GROUP BY key""")
 def _(v):
-    keyed = _keyed(v)
+    keyed = _keyed(v).withColumns({"exact": names.exact_name_key(F.col("name")), "folded": F.col("norm")})
     return identity.name_overlap(keyed.where("division = 'college'"), keyed.where("division <> 'college'"))
 
 
@@ -768,29 +875,26 @@ def _(v):
     return identity.mapping_candidates(v.event.select(F.col("event_id").alias("id"), source.alias("source"), "season", F.lit("all").alias("division"), F.lower(F.replace("name", F.lit(" "), F.lit(""))).alias("key")))
 
 
-@query("t4_published_brackets", """, b AS (SELECT event_id, CASE WHEN game_key % 3 = 0 THEN NULL ELSE game_key % 3 END AS bracket, (game_key % 4)::INT AS round, CASE WHEN event_id % 2 = 0 THEN (1 + game_key % 2)::INT END AS place, stage FROM v_game),
-  r AS (SELECT event_id, bracket, SUM((round = 0)::INT) AS roots, MIN(CASE WHEN round = 0 THEN stage END) AS st, MIN(place) AS place, COUNT(*) AS n_games FROM b WHERE bracket IS NOT NULL GROUP BY ALL)
-  SELECT event_id, bracket, CASE WHEN place = 1 THEN 'champ' WHEN place > 1 THEN place || 'th' ELSE CASE st WHEN 'Finals' THEN 'champ' WHEN 'Semi Finals' THEN 'champ' WHEN '9th Place Quarters' THEN '9th' WHEN 'Third Place' THEN '3th' END END AS kind, n_games
-  FROM r WHERE roots = 1""")
+@query("t4_published_brackets", f""", b AS (SELECT event_id, CASE WHEN game_key % 3 = 0 THEN NULL ELSE game_key % 3 END AS bracket, (game_key % 4)::INT AS round, CASE WHEN event_id % 2 = 0 THEN (1 + game_key % 2)::INT END AS place, stage FROM v_game),
+  r AS (SELECT event_id, bracket, SUM((round = 0)::INT) AS roots, MIN(CASE WHEN round = 0 THEN stage END) AS stage, MIN(place) AS place, COUNT(*) AS n_games FROM b WHERE bracket IS NOT NULL GROUP BY ALL)
+  SELECT event_id, bracket, CASE WHEN place = 1 THEN 'champ' WHEN place = 2 THEN '2nd' ELSE COALESCE({_KIND}, 'champ') END AS kind, n_games FROM r WHERE roots = 1""")
 def _(v):
+    return tournaments.published_brackets(_published(v))
+
+
+def _published(v) -> DataFrame:
     k = F.col("game_key")
-    rows = v.game.select("event_id", F.when(k % 3 != 0, k % 3).alias("bracket"), (k % 4).cast("int").alias("round"), F.when(F.col("event_id") % 2 == 0, (1 + k % 2).cast("int")).alias("place"), "stage", "game_key")
-    return tournaments.published_brackets(rows)
+    return v.game.select("event_id", F.when(k % 3 != 0, k % 3).alias("bracket"), (k % 4).cast("int").alias("round"), F.when(F.col("event_id") % 2 == 0, (1 + k % 2).cast("int")).alias("place"), "stage", "game_key")
 
 
 @query("r9_decay_grid")
 def _(v):
-    return ratings.decay_grid(v.games, v.roster.select("event_team_id", "player_id"), v.clubs, [0.0, 0.2], [0.0, 0.3], [90])
+    return ratings.decay_grid(*_corpus(v, False)[:3], [0.0, 0.2], [0.0, 0.3], [90])
 
 
 @query("r10_period_comparison")
 def _(v):
-    return ratings.period_comparison(v.games, v.roster.select("event_team_id", "player_id"), v.clubs)
-
-
-@query("m3_compare_models")
-def _(v):
-    return ratings.compare_models(v.games, v.roster.select("event_team_id", "player_id"), v.clubs, corpus.load_stat_events(v.stat, v.team, v.event))
+    return ratings.period_comparison(*_corpus(v, False)[:3])
 
 
 @query("t3_label_brackets")
@@ -805,7 +909,7 @@ def _(v):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 best players by player Elo with 90 % bounds."""
-    _, state = _replay(Views(spark, sf_dir))
+    state = _replay(Views(spark, sf_dir)).state
     return rankings.rank_players(state.select("player", "rating", "games"), min_games=3).orderBy("rank").limit(25)
 
 

@@ -45,14 +45,14 @@ def streaming_team_elo(games: DataFrame) -> DataFrame:
     pool are taken in order of date and key. A game dated before the pool's last
     one is late: it gets no chance (null) and moves nothing.
     """
-    cfg = EloConfig(usage_credit=False, transfer_beta=0.0, roster_shrink=0.0)
+    cfg = EloConfig(involvement_credit=False, stat_transfer_beta=0.0, roster_shrink=0.0)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         season, division = key
         pool, last = Pool(cfg), ""
         if state.exists:
             teams, rated, played, last = state.get
-            i = pool.numbers(list(teams), cfg.bases.get(division, cfg.base), 0)
+            i = pool.numbers(list(teams), cfg.division_bases.get(division, cfg.base_rating), 0)
             pool.rating[i], pool.games[i] = rated, played
         rows, out = pd.concat(list(parts)).sort_values(["date", "game_key"]), []
         for r in rows.itertuples():

@@ -60,18 +60,18 @@ def plain(games, rosters, clubs, stats, cfg):
     for day, _, _, key, g in rows:
         while todo and todo[0][0][0] < day:
             entries = todo.pop(0)[1]
-            debut([p for p, _, _ in entries], cfg.base)
+            debut([p for p, _, _ in entries], cfg.base_rating)
             for p, u, _ in entries:
                 state[p]["u"] += u
                 state[p]["n"] += 1
             if len(entries) > 1:
                 mean = sum(q for _, _, q in entries) / len(entries)
-                t = [min(max(cfg.transfer_beta * (q - mean), -cfg.transfer_clamp), cfg.transfer_clamp) for _, _, q in entries]
+                t = [min(max(cfg.stat_transfer_beta * (q - mean), -cfg.stat_transfer_clamp), cfg.stat_transfer_clamp) for _, _, q in entries]
                 for (p, _, _), x in zip(entries, t):
                     state[p]["r"] += x - sum(t) / len(t)
         if season is not None and g.season > season:
             for s in state.values():
-                s["r"] = s["b"] + (1 - cfg.regression) ** (g.season - season) * (s["r"] - s["b"])
+                s["r"] = s["b"] + (1 - cfg.offseason_regression) ** (g.season - season) * (s["r"] - s["b"])
         season = g.season if season is None else max(season, g.season)
         teams = [sorted(squad.get(t) or [f"ghost:{club[t]}:{g.season}"]) for t in (g.home_id, g.away_id)]
         for ids in teams:
@@ -82,7 +82,7 @@ def plain(games, rosters, clubs, stats, cfg):
         m = math.log1p(abs(g.home_score - g.away_score)) / math.log1p(7) if g.home_score != g.away_score else 1.0
         out[key] = e
         for ids, sign, before in ((teams[0], 1, ra), (teams[1], -1, rb)):
-            u = [min(max((cfg.usage_shrink + state[p]["u"]) / (cfg.usage_shrink + state[p]["n"]), 0.25), 3.0) for p in ids]
+            u = [min(max((cfg.involvement_shrink + state[p]["u"]) / (cfg.involvement_shrink + state[p]["n"]), 0.25), 3.0) for p in ids]
             for p, x in zip(ids, u):
                 s = state[p]
                 credit = x / (sum(u) / len(u)) if len(ids) > 1 else 1.0
@@ -94,11 +94,15 @@ def plain(games, rosters, clubs, stats, cfg):
     return out, {p: s["r"] for p, s in state.items()}
 
 
-@pytest.mark.parametrize("plan", ["component", "slice"])
-def test_replay_equals_a_plain_fold(spark, plan):
+PLANS = [("component", {}), ("slice", {}), ("slice", {"group_rows": 15}), ("slice", {"group_rows": 5, "slice_days": 100})]
+
+
+@pytest.mark.parametrize("plan, size", PLANS)
+def test_replay_equals_a_plain_fold(spark, plan, size):
+    """In one group by components, in one slice, in slices of days, and in slices cut into components."""
     tables = history(spark, 3)
-    cfg = ratings.EloConfig(regression=0.2)
-    moves, state = ratings.replay_player_elo(*tables, cfg, plan=plan, slice_days=200)
+    cfg = ratings.EloConfig(offseason_regression=0.2)
+    moves, state, _ = ratings.replay_player_elo(*tables, cfg, plan=plan, **size)
     want, final = plain(*tables, cfg)
     got = {r.game_key: r.expected for r in moves.collect()}
     assert got.keys() == want.keys()
@@ -120,7 +124,7 @@ def test_stat_transfer_moves_nothing_in_sum():
 
 
 def test_inactivity_decay_halves_the_distance_in_a_year():
-    pool = ratings.Pool(ratings.EloConfig(inactivity_decay=0.5, inactivity_grace=0))
+    pool = ratings.Pool(ratings.EloConfig(inactivity_decay=0.5, inactivity_grace_days=0))
     i = pool.numbers(["a"], 1250.0, 2020)
     pool.rating[i], pool.day[i] = 1650.0, 0
     pool._rest(i, 365)
@@ -150,7 +154,7 @@ def test_leave_one_out_equals_two_replays(spark):
     mine = {r.event_team_id for r in rosters.where("player_id = 3").collect()}
     loss = []
     for r in (rosters, less):
-        p = {x.game_key: x.expected for x in ratings.replay_player_elo(games, r, clubs, None, cfg)[0].collect()}
+        p = {x.game_key: x.expected for x in ratings.replay_player_elo(games, r, clubs, None, cfg).moves.collect()}
         part = [g for g in games.collect() if g.home_id in mine or g.away_id in mine]
         won = [1.0 if g.home_score > g.away_score else 0.0 if g.home_score < g.away_score else 0.5 for g in part]
         loss.append(np.mean([-(o * math.log(p[g.game_key]) + (1 - o) * math.log(1 - p[g.game_key])) for o, g in zip(won, part)]))
