@@ -41,7 +41,7 @@ SPAN = 200
 CORE = 64
 CHUNK = 1 << 17
 FILTER_BITS = 26
-DENSE = 512
+DENSE = 4096
 PIECE = 4096
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4D)

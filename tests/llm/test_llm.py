@@ -329,7 +329,7 @@ def test_grants_keep_the_quota(spark):
     rows = [(int(rng.integers(0, 3)), f"g{i}", int(n), int(n), int(np.log2(n))) for i, n in enumerate(rng.integers(2, 40, 200))]
     wishes = spark.createDataFrame(rows, "label int, g string, q long, m long, class int")
     room = {0: 700, 1: 300, 2: 0}
-    bucket = dict(wishes.select("g", F.pmod(F.xxhash64("g", F.lit(5)), F.lit(shard.BUCKETS))).collect())
+    bucket = dict(wishes.select("g", F.pmod(F.xxhash64("g", F.lit(5)), F.lit(shard.GRANT_BUCKETS))).collect())
     got = {(r.label, r.g) for r in shard._granted(wishes, spark.createDataFrame(list(room.items()), "label int, room long")).collect()}
     assert got == plain_grants([(lab, c, bucket[g], m, g, q) for lab, g, q, m, c in rows], room)
 
@@ -545,7 +545,7 @@ def cut(texts):
         yield len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(rest).hexdigest()
 
 
-@pytest.mark.parametrize("dense", [512, 1])
+@pytest.mark.parametrize("dense", [4096, 1])
 def test_repeated_strings_are_cut(spark, monkeypatch, empty, dense):
     monkeypatch.setattr(suffix, "DENSE", dense)
     rng = np.random.default_rng(5)
