@@ -26,6 +26,7 @@ from rosterlake.llm.common import SALTS, materialise, only, ranked, text_or_empt
 SHARDS = 40
 ROUNDS = 20
 BUCKETS = 1024
+GRANT_BUCKETS = 64
 
 
 def _wishes(linked: DataFrame, quota: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def _granted(wishes: DataFrame, quota: DataFrame) -> DataFrame:
     which a shard's room ends the wishes are summed one by one.
     """
     place = ["label", "class", "bucket"]
-    dealt = wishes.withColumn("bucket", F.pmod(F.xxhash64("g", F.lit(5)), F.lit(BUCKETS)).cast("int"))
+    dealt = wishes.withColumn("bucket", F.pmod(F.xxhash64("g", F.lit(5)), F.lit(GRANT_BUCKETS)).cast("int"))
     sums = dealt.groupBy(*place).agg(F.sum("q").alias("asked"))  # shards x size classes x buckets
     before = W.partitionBy("label").orderBy(F.desc("class"), "bucket").rowsBetween(W.unboundedPreceding, -1)
     edges = sums.join(F.broadcast(quota), "label").withColumn("start", F.coalesce(F.sum("asked").over(before), F.lit(0)))
