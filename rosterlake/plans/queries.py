@@ -508,7 +508,8 @@ for _k in range(8):
 
 @query("m4_paired_bootstrap", _PRED + f""", ds AS (SELECT game_key, -(outcome * ln(GREATEST(expected, 1e-12)) + (1 - outcome) * ln(GREATEST(1 - expected, 1e-12))) + (outcome * ln(GREATEST(other, 1e-12)) + (1 - outcome) * ln(GREATEST(1 - other, 1e-12))) AS d
     FROM (SELECT *, 0.5 * expected + 0.25 AS other FROM pred)),
-  u AS (SELECT d, draw, ('0x' || substr(md5('0|' || game_key || '|' || draw), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM ds, (SELECT unnest(range(2000)) AS draw)),
+  h AS (SELECT d, pair, md5('0|' || game_key || '|' || pair) AS h FROM ds, (SELECT unnest(range(1000)) AS pair)),
+  u AS (SELECT d, 2 * pair + i AS draw, ('0x' || substr(h, 1 + 16 * i, 13))::BIGINT / 4503599627370496.0 AS u FROM h, (SELECT unnest([0, 1]) AS i)),
   w AS (SELECT d, draw, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c, _ in _CUM)} AS w FROM u), m AS (SELECT draw, SUM(w * d) / SUM(w) AS m FROM w GROUP BY draw)
   SELECT ROUND(AVG(m), 9) AS mean, ROUND(quantile_cont(m, 0.05), 9) AS low, ROUND(quantile_cont(m, 0.95), 9) AS high FROM m""")
 def _(v):
@@ -846,13 +847,6 @@ def _(v):
     return corpus.load_season_stat_events(*_pro(v)).withColumns({"usage": F.round("usage", 6), "quality": F.round("quality", 6)})
 
 
-@query("s5_pro_rosters", _PRO + """, r AS (SELECT year AS game_id, team_id, player_id FROM pro JOIN links USING (pro_id) WHERE points_played > 0)
-  SELECT * FROM r WHERE (game_id, team_id) IN (SELECT (game_id, team_id) FROM r GROUP BY game_id, team_id HAVING COUNT(*) >= 7)""")
-def _(v):
-    pro, links = _pro(v)
-    return corpus.load_pro_rosters(pro.withColumnRenamed("year", "game_id"), links)
-
-
 _EXACT = "trim(regexp_replace(lower(nfc_normalize(name)), '\\s+', ' ', 'g'))"
 
 

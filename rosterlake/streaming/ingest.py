@@ -6,33 +6,40 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rosterlake.operators import corpus
 from rosterlake.operators.ratings import EloConfig, Pool
 
 
 def start_ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keeps a table of games current (ST1): the events of a batch replace their rows in the table at ``path``.
 
-    Every batch writes the next version beside the last one and names it in the
-    query's progress folder by batch id, so a batch that runs again overwrites
-    its own version. The current version is the one with the greatest number.
+    The table is partitioned by event, and a batch overwrites the partitions of
+    its own events only, so placeholders of an event go with its old rows, and a
+    batch that runs again writes the same. Rows delivered twice count once.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        incoming = batch.dropDuplicates(["event_id", "game_key"])
-        if batch_id == 0:
-            merged = incoming
-        else:
-            merged = corpus.replace_event(spark.read.parquet(f"{path}/version={batch_id - 1}"), incoming)
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        rows = batch.dropDuplicates(["event_id", "game_key"]).repartition("event_id")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_id").parquet(path)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 
 
+def deferred_stats(stats: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """The stat lines of a team at an event once the stream has passed the event's last day (ST2), in append mode.
+
+    stats: (event_team_id, ended timestamp, player_id, usage, quality). Lines
+    that come more than ``late`` after the stream has passed their day are
+    dropped by the watermark. ``acts_from`` is the first day on which they count.
+    """
+    lines = F.sort_array(F.collect_list(F.struct("player_id", "usage", "quality"))).alias("lines")
+    days = stats.withWatermark("ended", late).groupBy(F.window("ended", "1 day").alias("day"), "event_team_id").agg(lines)
+    return days.select("event_team_id", F.col("day.end").cast("date").alias("acts_from"), "lines")
+
+
 RATED = "season int, division string, game_key long, expected double"
 _STATE = "teams array<string>, ratings array<double>, games array<double>, last string"
 

@@ -20,10 +20,30 @@ def test_names(spark):
 
 
 def test_pronouns(spark):
-    df = spark.createDataFrame([("he/him",), ("She/Her",), ("she/he",), ("they",), (None,)], "p string")
+    df = spark.createDataFrame([("H",), ("s / T",), ("H/S",), ("T",), (None,)], "p string")
     assert [r[0] for r in df.select(names.pronoun_gender(F.col("p"))).collect()] == ["m", "w", None, None, None]
 
 
+def test_stage_labels(spark):
+    """Kind of bracket and wins from its final, by the rules for rounds, places, losers' routes and games to go."""
+    want = {
+        "Finals": ("champ", 0), "Semi-Finals": ("champ", 1), "Pre-Quarters": ("champ", 3), "9th Place Quarters": ("9th", 2), "Third Place": ("3rd", 0), "1st Place Game": ("champ", 0), "T-3rd": ("3", 0),
+        "13th/14th Place": ("13th", 0), "Game to Go": ("gtg", 0), "g2g semis": ("gtg", 1), "Consolation Final": ("consolation", 0), "Round of 64": ("champ", 5), "Pool A": (None, None), "": (None, None),
+    }
+    df = spark.createDataFrame([(x,) for x in want], "s string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("s", measures.bracket_kind(F.col("s")), measures.round_rank(F.col("s"))).collect()}
+    assert got == want
+
+
+def test_tiers_and_series(spark):
+    want = {"USA Ultimate Club Championships 2023": 4, "U.S. Open 2019": 4, "Ohio Valley Regionals": 3, "Big Sectionals": 2, "East Conf 2020": 1, "Cooler Classic 30": 0}
+    df = spark.createDataFrame([(x,) for x in want], "s string")
+    assert {r[0]: r[1] for r in df.select("s", names.tier(F.col("s"))).collect()} == want
+    key = lambda x: spark.createDataFrame([(x,)], "s string").select(names.series_key(F.col("s"))).first()[0]
+    assert key("Cooler Classic 30") == key("2024 Cooler Classic XXXI (ICC)") == key("Cooler Classic International 29 - Day 2") == "cooler classic"
+    assert key("2024") == "2024"
+
+
 def test_times(spark):
     df = spark.createDataFrame([("1:05 PM",), ("12:00 AM",), ("13:05",), ("late",), (None,)], "t string")
     got = [tuple(r) for r in df.select(measures.clock(F.col("t")), measures.minutes_of_day(F.col("t"))).collect()]
@@ -90,10 +110,48 @@ def test_last_before_is_strict(spark):
     assert [(r.club, r.event_id, r.rating) for r in trends.last_before(p, q).orderBy("club", "event_id").collect()] == [("x", 1, None), ("x", 2, 5.0), ("x", 3, 9.0), ("y", 4, None)]
 
 
+def pools(spark, met):
+    """Pools of games (day, home, away) in order: for each pool its games' numbers and whether it is a later one."""
+    import datetime
+
+    rows = [(1, k, datetime.date(2020, 1, d), h, a, True, k) for k, (d, h, a) in enumerate(met)]
+    df = spark.createDataFrame(rows, "event_id long, game_key long, date date, home_id string, away_id string, done boolean, ord long")
+    out: dict = {}
+    for r in tournaments.recover_pools(df).orderBy("pool", "game_key").collect():
+        out.setdefault((r.pool, r.later), []).append(r.game_key)
+    return out
+
+
 def test_pools_are_the_sets_that_all_met(spark):
-    met = [("a", "b"), ("a", "c"), ("b", "c"), ("d", "e"), ("d", "f"), ("e", "f"), ("a", "d")]
-    df = spark.createDataFrame([(1, n, h, a, True) for n, (h, a) in enumerate(met)], "event_id long, ord long, home_id string, away_id string, done boolean")
-    assert values(tournaments.recover_pools(df)) == [(1, 1, "a"), (1, 1, "b"), (1, 1, "c"), (1, 2, "d"), (1, 2, "e"), (1, 2, "f")]
+    assert pools(spark, [(1, "a", "b"), (1, "a", "c"), (1, "b", "c"), (1, "d", "e"), (1, "d", "f"), (1, "e", "f"), (1, "a", "d")]) == {(1, False): [0, 1, 2], (2, False): [3, 4, 5]}
+
+
+def test_a_pool_of_one_day_beats_a_larger_one(spark):
+    """Three teams on the first day; two of them meet two others on the second, where all four met: the later pool takes the second meeting."""
+    met = [(1, "a", "b"), (1, "a", "c"), (1, "b", "c"), (2, "a", "d"), (2, "a", "e"), (2, "b", "d"), (2, "b", "e"), (2, "d", "e"), (2, "a", "b")]
+    assert pools(spark, met) == {(1, False): [0, 1, 2], (2, True): [3, 4, 5, 6, 7, 8]}
+
+
+def test_events_are_replaced_together_or_not_at_all(spark):
+    teams = spark.createDataFrame([("1:a", 1), ("1:b", 1), ("2:a", 2)], "event_team_id string, event_id long")
+    games = spark.createDataFrame([(1, "g", "1:a", "1:b", 5, 4, "Final")], "event_id long, game_key string, home_id string, away_id string, home_score int, away_score int, status string")
+    people = spark.createDataFrame([("1:a", "x"), ("2:a", "y")], "event_team_id string, name string")
+    old = {"event_teams": teams, "games": games, "roster_entries": people}
+    ids = spark.createDataFrame([(1,)], "event_id long")
+    new = {"event_teams": spark.createDataFrame([("1:c", 1), ("1:d", 1)], teams.schema), "games": spark.createDataFrame([(1, "h", "1:c", "1:d", 9, 9, "Final")], games.schema)}
+    out = corpus.replace_events(old, new, ids)
+    assert values(out["games"]) == [(1, "h", "1:c", "1:d", 9, 9, "Final")] and values(out["roster_entries"]) == [("2:a", "y")] and len(values(out["event_teams"])) == 3
+    with pytest.raises(ValueError, match="unknown team"):
+        corpus.replace_events(old, new | {"games": spark.createDataFrame([(1, "h", "1:c", "1:x", 9, 9, "Final")], games.schema)}, ids)
+    with pytest.raises(ValueError, match="no score"):
+        corpus.replace_events(old, new | {"games": spark.createDataFrame([(1, "h", "1:c", "1:d", None, 9, "Final")], games.schema)}, ids)
+
+
+def test_reviews_with_scopes(spark):
+    rows = [("José A", "merge", "", "college|club-men", ""), ("b", "merge", "", "college", ""), ("c", "Block", "", "", ""), ("d", "merge", "", "", "Rhino | Other (2)"), ("e", "confirm", "", "", "")]
+    blocked, merged, scopes = identity.review(spark.createDataFrame(rows, "norm_name string, action string, note string, scope string, clubs string"))
+    assert values(blocked) == [("c",)] and values(merged) == [("b",)]
+    assert values(scopes.select("norm", "kind", "value")) == [("d", "club", "other"), ("d", "club", "rhino slam!"), ("jose a", "division", "club-men"), ("jose a", "division", "college")]
 
 
 def test_pages_are_bounded(spark):
@@ -105,8 +163,22 @@ def test_every_game_has_one_place(spark):
     rows = [
         ("Semi Finals", "a", "b", 15, 3), ("Semi Finals", "c", "d", 4, 15), ("Finals", "a", "d", 15, 9), ("Pool A", "a", "c", 9, 8), ("Pool A", "a", "e", 9, 8), ("Pool A", "c", "e", 9, 8), ("Crossover", "b", "e", 9, 8),
     ]
-    df = spark.createDataFrame([(1, k, *r, True, k) for k, r in enumerate(rows)], "event_id long, game_key long, stage string, home_id string, away_id string, home_score int, away_score int, done boolean, ord long")
+    df = spark.createDataFrame([(1, k, *r, True, k) for k, r in enumerate(rows)], "event_id long, game_key long, stage string, home_id string, away_id string, home_score int, away_score int, done boolean, ord long").withColumn("date", F.lit("2020-01-01").cast("date"))
     assert values(tournaments.label_brackets(df).select("game_key", "kind", "depth")) == [(0, "champ", 1), (1, "champ", 1), (2, "champ", 0)]
     got = {r.game_key: r.place for r in tournaments.decompose(df).collect()}
     assert got == {0: "bracket", 1: "bracket", 2: "bracket", 3: "pool", 4: "pool", 5: "pool", 6: "loose"}
     assert values(tournaments.champions(df)) == [(1, "a")]
+
+
+def test_brackets_without_a_final_are_one_tree(spark):
+    rows = [("Quarters", "a", "b", 9, 3), ("Quarters", "c", "d", 9, 3), ("Semis", "a", "c", 9, 8), ("Semis", "e", "f", 9, 1), ("Semis", "g", "h", 5, 5)]
+    df = spark.createDataFrame([(1, k, *r, True, k) for k, r in enumerate(rows)], "event_id long, game_key long, stage string, home_id string, away_id string, home_score int, away_score int, done boolean, ord long")
+    assert values(tournaments.label_brackets(df).select("game_key", "tree", "depth")) == [(0, 1, 1), (1, 1, 1), (2, 1, 0), (3, 1, 0)]
+
+
+def test_published_structure_changes_the_champion(spark):
+    """Two games called finals: the published one crowns its winner, labels alone the first."""
+    rows = [("Finals", "a", "b", 9, 3), ("Finals", "c", "d", 9, 3)]
+    df = spark.createDataFrame([(1, k, *r, True, k) for k, r in enumerate(rows)], "event_id long, game_key long, stage string, home_id string, away_id string, home_score int, away_score int, done boolean, ord long").withColumn("date", F.lit("2020-01-01").cast("date"))
+    published = spark.createDataFrame([(1, 1, "main", 0, 1, "Finals")], "event_id long, game_key long, bracket string, round int, place int, stage string")
+    assert values(tournaments.champion_audit(df, published)) == [(1, "a", "c")]

@@ -6,13 +6,15 @@ import os
 import duckdb
 import pytest
 
+from rosterlake.plans import more  # noqa: F401
 from rosterlake.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events pages".split()
 #: A few of each kind; the driver compares them all on larger tables.
 SOME = [
     "s2_clean_games", "s10_upsert_events", "s19_attach_structure", "f_math", "f_ids", "i4_date_conflicts", "m1_metrics_cube",
+    "f_labels", "f_provider_values", "s12_drop_reseeded", "i12_ambiguity_report", "w7_division_masks", "w3_latest_rosters_upcoming", "t9_event_facts", "q3_teams_page", "a2_score_conflicts",
     "w1_rank_players", "w4_best_rosters", "t7_bracket_trees", "t11_standings", "fs1_last_before", "h4_trends", "q5_games_by_event",
 ]
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rosterlake.operators import ratings
 
@@ -159,3 +160,57 @@ def test_leave_one_out_equals_two_replays(spark):
         won = [1.0 if g.home_score > g.away_score else 0.0 if g.home_score < g.away_score else 0.5 for g in part]
         loss.append(np.mean([-(o * math.log(p[g.game_key]) + (1 - o) * math.log(1 - p[g.game_key])) for o, g in zip(won, part)]))
     assert abs(got["loo"] - (loss[1] - loss[0])) < 1e-9
+
+
+@pytest.mark.parametrize("size", [{}, {"group_rows": 6}])
+def test_trajectories_book_the_last_rating_of_an_event(spark, size):
+    """Players' last points are their ratings at the end, as every stat line is booked to its event; slices do not matter."""
+    games, rosters, clubs, stats = history(spark, 4, 40)
+    stats = stats.withColumn("event_id", F.split_part("event_team_id", F.lit(":"), F.lit(1)).cast("long"))
+    replay = ratings.replay_player_elo(games, rosters, clubs, stats, ratings.EloConfig(), points=True, **size)
+    final = {r.player: r.rating for r in replay.state.collect() if not r.player.startswith("ghost:")}
+    points = replay.points.collect()
+    assert len({(p.kind, p.subject, p.event_id) for p in points}) == len(points)
+    last: dict = {}
+    for p in sorted((p for p in points if p.kind == "player"), key=lambda p: p.event_id):
+        last[p.subject] = p.rating
+    played = {p for p in final if p in last}
+    assert played and max(abs(last[p] - final[p]) for p in played) < 1e-9
+    assert all(p.n >= 1 for p in points if p.kind == "club")
+
+
+@pytest.mark.parametrize("period", ["game", "day", "tournament"])
+def test_glicko_slices_give_the_same(spark, period):
+    tables = history(spark, 6, 40)
+    whole = ratings.replay_glicko2(*tables, period=period)
+    cut = ratings.replay_glicko2(*tables, period=period, group_rows=7)
+    by = lambda df, k, v: {r[k]: r[v] for r in df.collect()}
+    assert by(whole.moves, "game_key", "expected") == pytest.approx(by(cut.moves, "game_key", "expected"))
+    assert by(whole.state, "player", "rating") == pytest.approx(by(cut.state, "player", "rating"))
+    assert by(whole.state, "player", "rd") == pytest.approx(by(cut.state, "player", "rd"))
+
+
+def test_a_sweep_is_as_many_replays(spark):
+    games, rosters, clubs, stats = history(spark, 7, 24)
+    configs = [ratings.EloConfig(), ratings.EloConfig(k=20.0, context_init=True), ratings.EloConfig(provisional_shape="linear", use_mov=False)]
+    got = {(r.config, r.game_key): r.expected for r in ratings.sweep_predictions(games, rosters, clubs, stats, configs).collect()}
+    for i, cfg in enumerate(configs):
+        own = {r.game_key: r.expected for r in ratings.replay_player_elo(games, rosters, clubs, stats, cfg).moves.collect()}
+        assert {k: got[i, k] for k in own} == pytest.approx(own)
+
+
+def test_descent_finds_the_better_value(spark):
+    games, rosters, clubs, _ = history(spark, 9, 24)
+    axes = [("k", [1.0, 300.0]), ("home_advantage", [0.0])]
+    best, moves = ratings.descend(games, rosters, clubs, None, axes, (2020, 2030), passes=2)
+    loss = {r.config: r.log_loss for r in ratings.sweep(games, rosters, clubs, None, [ratings.EloConfig(), best]).collect()}
+    assert loss[1] <= loss[0] and all(axis == "k" for axis, _, _ in moves)
+
+
+def test_walk_forward_uses_earlier_days_only(spark):
+    games, _, clubs, _ = history(spark, 5)
+    one = ratings.walk_forward(games, clubs).toPandas().set_index("game_key")["diff"]
+    cut = ratings.walk_forward(games.where("game_key < 20"), clubs).toPandas().set_index("game_key")["diff"]
+    first = games.groupBy("season").agg(F.min("date").alias("date")).join(games, ["season", "date"]).select("game_key").toPandas()["game_key"]
+    assert all(one[k] == 0 for k in first if k in one.index)
+    assert set(cut.index) <= set(one.index)

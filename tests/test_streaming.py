@@ -24,7 +24,7 @@ def test_team_elo_of_a_stream_equals_the_batch(spark, tmp_path):
     got = {r.game_key: r.expected for r in spark.table("elo").collect()}
     pools = {}
     for s, d, k, _, h, a, hs, as_ in sorted(rows, key=lambda r: (r[3], r[2])):
-        pool = pools.setdefault((s, d), ratings.Pool(ratings.EloConfig(usage_credit=False, transfer_beta=0.0, roster_shrink=0.0)))
+        pool = pools.setdefault((s, d), ratings.Pool(ratings.EloConfig(involvement_credit=False, stat_transfer_beta=0.0, roster_shrink=0.0)))
         want = pool.game([h], [a], hs, as_, d, 0, 0)[0]
         assert got.get(k) is None or abs(got[k] - want) < 1e-9
     assert len(got) == len(rows)
@@ -38,10 +38,24 @@ def test_ingest_replaces_events(spark, tmp_path):
     q = ingest.start_ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "version=1")).select("event_id", "game_key", "home_score").collect())
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("event_id", "game_key", "home_score").collect())
     assert got in ([(1, 9, 8), (2, 3, 7)], [(1, 1, 5), (1, 2, 6), (2, 3, 7)])
 
 
+def test_stat_lines_wait_for_the_end(spark, tmp_path):
+    """Lines of an event's last day come out once a later day has been seen, and lines still to come do not."""
+    at = lambda d, h: datetime.datetime(2021, 1, d, h)
+    schema = "event_team_id string, ended timestamp, player_id long, usage double, quality double"
+    batches = [[("1:a", at(1, 9), 1, 0.5, 2.0), ("1:a", at(1, 12), 2, 1.5, 1.0)], [("1:b", at(1, 18), 3, 1.0, 0.0), ("2:a", at(3, 9), 1, 1.0, 1.0)], [("3:a", at(9, 9), 4, 1.0, 1.0)]]
+    for n, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    q = ingest.deferred_stats(stream).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.event_team_id: (str(r.acts_from), [x.player_id for x in r.lines]) for r in spark.table("late").collect()}
+    assert got["1:a"] == ("2021-01-02", [1, 2]) and got["1:b"] == ("2021-01-02", [3]) and got["2:a"] == ("2021-01-04", [1]) and "3:a" not in got
+
+
 def test_snapshots_with_errors_give_no_rows(spark):
     good = '{"source": "x", "rows": [{"season": 2020, "division": "open", "team": "A", "url": "https://e.org", "payload_hash": "%s", "players": ["p"]}]}' % ("a" * 64)
     bad = good.replace("2020", "1800").replace("https", "http")
