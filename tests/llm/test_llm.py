@@ -576,3 +576,49 @@ def test_long_texts_come_in_pieces():
             if e - s >= suffix.SPAN:
                 assert text.encode()[b : b + e - s] == bytes(data[s:e])
     assert sum(max(0, len(x) - suffix.SPAN + 1) for x in spans.values()) == len(text) - suffix.SPAN + 1
+
+
+# all operators -------------------------------------------------------------------------
+
+
+def test_null_ids_repeated_rows_and_clashing_names(spark):
+    """Rows without an id, rows repeated as a whole and columns named like the operators' own: every row is there, none is lost."""
+    import public_tokenizers
+
+    text = "some words of a text that is here more than once, in a row and in another " * 4
+    rows = [(None, text, "en", "s", 1), (None, text, "en", "s", 1), (7, text, "en", "s", 1), (7, text, "en", "s", 1), (8, "another text of a few words", None, None, 2), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows * 3, DOCS)
+    for c in ("a", "b", "row", "spans", "_mix_source", "_mix_u", "given", "u", "least", "cdf", "label", "salt", "key", "g", "m", "h", "part", "r", "lang_pred", "fp", "_salt", "_w", "_lines", "kind", "block"):
+        df = df.withColumn(c, F.lit("clash"))
+    df = df.repartition(3)
+    n = df.count()
+    lengths = packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.sum(F.when(F.col("start") == 0, 1).otherwise(0)).alias("docs")).collect()
+    assert sum(r.docs for r in lengths) == n
+    assert lm_score.score(df).count() == n
+    assert shard.shard(df, shards=3).count() == n
+    assert langid.predict(df, langid.train(df)).where("lang_pred <> 'clash'").count() == n
+    assert quality.clean(df).count() == n
+    assert simhash.near_duplicates(df).select("fingerprint").distinct().count() == 3 and simhash.near_duplicates(df).count() == n
+    cut = suffix.remove_repeats(df)
+    assert cut.count() == n and cut.where("a = 'clash' and b = 'clash' and spans = 'clash'").count() == n
+    assert cut.where("n_removed > 0").count() == 12 and cut.where("n_bytes = 0").count() == 3
+    mixed = mixing.mix(df)
+    assert mixed.where("_mix_source = 'clash' and u = 'clash' and cdf = 'clash'").count() == mixed.count() > 0
+    assert {r.n for r in mixed.groupBy("doc_id", "copy_no").agg(F.count("*").alias("n")).where("doc_id is not null").collect()} <= {3, 6}
+    pages = spark.createDataFrame([(None, "http://a.com/"), (1, "http://a.com/"), (1, "http://a.com/"), (1, None)], "page_id long, url string").withColumn("kind", F.lit("x"))
+    assert urlfilter.judge(pages).count() == 4
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<double>").withColumn("vec", F.lit("x"))
+    assert sorted((r.vec_id or 0, r.n_links) for r in embed_dedup.near_duplicates(vectors).collect()) == [(0, 0), (1, 1), (1, 1)]
+
+
+def test_base_of_counted_and_spread_joins(spark, monkeypatch):
+    """Frequent keys joined by broadcast, and by salts where there are too many of them, give the rows of a plain join."""
+    from rosterlake.llm import common
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    table = common.materialise(rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 3"), "table")
+    want = sorted(map(tuple, rows.join(table, "k").select("k", "id", "n").collect()))
+    got = lambda: sorted(map(tuple, common.counted_join(rows, table, ["k"], "n").select("k", "id", "n").collect()))
+    assert got() == want
+    monkeypatch.setattr(common, "HOT_KEYS", 0)
+    assert got() == want
