@@ -254,11 +254,6 @@ def _(v):
 # ratings and rankings -----------------------------------------------------------------
 
 
-@query("r4_walk_forward")
-def _(v):
-    return ratings.walk_forward(v.games, v.clubs)
-
-
 @query("r8_leave_one_out")
 def _(v):
     """What the predictions of their games lose without each of the ten players with most games."""
