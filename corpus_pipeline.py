@@ -25,7 +25,13 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language stays open; fills in a missing language."""
+    """Drops documents without letters and those whose language stays open; fills in a missing language.
+
+    Null and empty texts have no letters and go. Documents without an id and rows
+    repeated as a whole are judged like any others; further columns are dropped.
+    Where no document has a language nothing can be learned, and all go. An
+    empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     judged = langid.predict(docs, langid.train(docs))
     kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -54,18 +60,32 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts byte strings that stand in more than one place out of the texts; documents stay, with new lengths."""
+    """Cuts byte strings that stand in more than one place out of the texts; documents stay, with new lengths.
+
+    A null text counts as empty and stays, as do texts shorter than the strings;
+    rows repeated as a whole are each other's copies and lose their long texts.
+    Documents without an id are cut like any others; an empty table stays empty.
+    """
     cut = suffix.remove_repeats(docs.select(*COLUMNS))
     return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources come near their target weights, in shuffled order."""
+    """Repeats or leaves out documents so that sources come near their target weights, in shuffled order.
+
+    A null source is a source of its own; null texts count as empty, and a
+    source without any bytes is left out. Rows of the same id, or without one,
+    draw the same count. An empty table stays empty.
+    """
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of 4096 tokens."""
+    """Packs all documents into sequences of 4096 tokens.
+
+    A null or empty text is one token long. Documents without an id and repeated
+    rows are packed like any others; an empty table gives no sequence.
+    """
     import public_tokenizers
 
     return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))

@@ -218,8 +218,10 @@ def pack(
     A document is the ids of its text followed by ``end``; a null text counts as
     empty, so it is one token long. Pieces of a document are disjoint and cover
     it. Offsets of a sequence run from 0 without gaps. Documents without an id
-    and repeated rows are packed like any others. An empty table gives an empty
-    result; other columns are ignored. The result depends on how the input is
+    and repeated rows are packed like any others; documents of equal cost are
+    taken in the order in which they are read, and of sequences of equal cost the
+    first is filled. An empty table gives an empty result; other columns are
+    ignored. The result depends on how the input is
     split into tasks, which is the same whenever a task runs again.
     """
     if not (size > 0 and linear >= 0 and quadratic >= 0):
