@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import embed_dedup, langid, lm_score, mixing, packing, quality, shard, simhash, suffix, urlfilter
+from rosterlake.llm import embed_dedup, langid, lm_score, mixing, packing, quality, runs, shard, simhash, suffix, urlfilter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_line_first_cleaning": quality.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_suffix_dedup": suffix.query,
+        "op12_periodic_runs": runs.query,
     }
 
 
