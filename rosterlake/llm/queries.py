@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import embed_dedup, langid, lm_score, mixing, packing, quality, runs, shard, simhash, suffix, urlfilter
+from rosterlake.llm import embed_dedup, hard_negatives, langid, lm_score, mixing, packing, quality, runs, shard, simhash, suffix, urlfilter
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_simhash_near_dedup": simhash.query,
         "op10_suffix_dedup": suffix.query,
         "op12_periodic_runs": runs.query,
+        "op13_hard_negatives": hard_negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_poisson_mixing": mixing.SQL}
+    return {"op5_poisson_mixing": mixing.SQL, "op13_hard_negatives": hard_negatives.SQL}
