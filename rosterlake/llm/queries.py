@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import embed_dedup, hard_negatives, langid, lm_score, mixing, packing, quality, runs, shard, simhash, suffix, urlfilter
+from rosterlake.llm import chat, embed_dedup, hard_negatives, langid, lm_score, mixing, packing, quality, runs, shard, simhash, suffix, urlfilter
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_line_first_cleaning": quality.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_suffix_dedup": suffix.query,
+        "op11_chat_formatting": chat.query,
         "op12_periodic_runs": runs.query,
         "op13_hard_negatives": hard_negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_poisson_mixing": mixing.SQL, "op13_hard_negatives": hard_negatives.SQL}
+    return {"op5_poisson_mixing": mixing.SQL, "op11_chat_formatting": chat.SQL, "op13_hard_negatives": hard_negatives.SQL}
