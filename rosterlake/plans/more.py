@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import measures, names
-from rosterlake.operators import api, corpus, identity, rankings, ratings, tournaments, trends
-from rosterlake.plans.queries import _BARE, _CLUB, _CODES, _FIX, _GAMES, _KEYED, _NAMED, _POINTS, _PRO, _RATINGS, _best, _coded, _corpus, _keyed, _points, _pro, _published, _ratings, _refs, _replay, _stats, query
+from rosterlake.operators import api, batch_players, corpus, identity, rankings, ratings, tournaments, trends
+from rosterlake.plans.queries import AS_OF, _BARE, _CLUB, _CODES, _FIX, _GAMES, _KEYED, _NAMED, _POINTS, _PRO, _RATINGS, _best, _coded, _corpus, _keyed, _points, _pro, _published, _ratings, _refs, _replay, _stats, query
 from rosterlake.sources import tables
 from rosterlake.operators.graph import written
 
@@ -497,3 +499,47 @@ def _(v):
 def _(v):
     standings = v.team.where("event_id % 2 = 0").select("event_id", "event_team_id", (F.col("team") % 6).alias("place"), "division", F.lit("s").alias("source"))
     return api.event_standings(standings, v.team)
+
+
+# batch ratings of players ------------------------------------------------------------
+
+_STEP = _GAMES + _CLUB + """, lines AS (SELECT s.event_team_id, end_date, player_id, COALESCE(TRY_CAST(points AS INT), 0) p, COALESCE(TRY_CAST(assists AS INT), 0) a,
+    COALESCE(TRY_CAST(ds AS INT), 0) d, COALESCE(TRY_CAST(turns AS INT), 0) t FROM v_stat s JOIN v_team USING (event_team_id) JOIN v_event e ON e.event_id = v_team.event_id WHERE end_date IS NOT NULL),
+  parts AS (SELECT *, SUM(p + a + d + t) OVER x AS total, COUNT(*) OVER x AS n FROM lines WINDOW x AS (PARTITION BY event_team_id, end_date)),
+  used AS (SELECT player_id::VARCHAR AS player, SUM((p + a + d + t) * n / total::DOUBLE) AS s, COUNT(*) AS n FROM parts WHERE total > 0 AND n >= 2 AND end_date < DATE '1999-06-30' GROUP BY 1),
+  live AS (SELECT *, GREATEST(home_score, away_score) AS most, LEAST(home_score, away_score) AS least, date_diff('day', date, DATE '1999-06-30') AS age FROM games WHERE date_diff('day', date, DATE '1999-06-30') BETWEEN 1 AND 730),
+  scored AS (SELECT home_id, away_id, CASE WHEN most = least THEN 0 ELSE sign(home_score - away_score) * (125 + 475 * sin(LEAST(1.0, 2 * (1 - least / GREATEST(most - 1, 1)::DOUBLE)) * 0.4 * pi()) / sin(0.4 * pi())) END AS x,
+    sqrt(LEAST(1.0, (most + GREATEST(least, (most - 1) // 2)) / 19.0::DOUBLE)) * pow(0.5, age / 126.0::DOUBLE) AS w FROM live),
+  teams AS (SELECT team, MIN(season) AS season FROM (SELECT home_id AS team, season FROM live UNION ALL SELECT away_id, season FROM live) GROUP BY team),
+  entries AS (SELECT t.team, COALESCE(r.player_id::VARCHAR, 'ghost:' || c.club || ':' || t.season) AS player FROM teams t JOIN clubs c ON c.event_team_id = t.team LEFT JOIN v_roster r ON r.event_team_id = t.team),
+  uses AS (SELECT e.*, LEAST(GREATEST((4 + COALESCE(u.s, 0)) / (4 + COALESCE(u.n, 0)), 0.25), 3.0) AS use FROM entries e LEFT JOIN used u USING (player)),
+  shares AS (SELECT team, player, use / SUM(use) OVER (PARTITION BY team) AS share, COUNT(*) OVER (PARTITION BY team) AS size FROM uses),
+  strength AS (SELECT team, SUM(share * (1000 + COALESCE(TRY_CAST(player AS BIGINT) % 97, 0))) AS s FROM shares GROUP BY team),
+  sides AS (SELECT home_id AS team, away_id AS rival, w, x FROM scored UNION ALL SELECT away_id, home_id, w, -x FROM scored),
+  earned AS (SELECT sides.team, SUM(w * (s + x)) AS e, SUM(w) AS w FROM sides JOIN strength ON strength.team = rival GROUP BY sides.team)
+  SELECT player, ROUND((2000 + SUM(share * size * e)) / (2 + SUM(share * size * w)), 6) AS rating, ROUND(SUM(share * size * w), 6) AS evidence FROM shares JOIN earned USING (team) GROUP BY player"""
+_CUTOFFS = [datetime.date(y, 6, 30) for y in (1997, 1998, 1999)]
+
+
+@query("r5_one_step", _STEP)
+def _(v):
+    games, rosters, clubs, stats = _corpus(v)
+    live = batch_players.window_games(games, _CUTOFFS[2:])
+    entries = batch_players.entries_of(live, rosters, clubs, stats, _CUTOFFS[2:])
+    start = entries.select("lane", "player", (1000 + F.coalesce(F.col("player").try_cast("long") % 97, F.lit(0))).cast("double").alias("rating")).distinct()
+    out = batch_players.step(entries, batch_players.sides_of(live), start)
+    return out.select("player", F.round("rating", 6).alias("rating"), F.round("evidence", 6).alias("evidence"))
+
+
+@query("r5_batch_players")
+def _(v):
+    """Ratings of all players at three cutoffs, the lanes of one solve."""
+    return batch_players.rate_players_batch(*_corpus(v), _CUTOFFS)[0]
+
+
+@query("r5_walk_forward")
+def _(v):
+    """The games of the last three days up to a date, each predicted from the ratings before its day."""
+    games, rosters, clubs, stats = _corpus(v)
+    days = [r["date"] for r in games.where(F.col("date") <= AS_OF).select("date").distinct().orderBy(F.desc("date")).limit(3).collect()]
+    return batch_players.walk_forward_players(games, rosters, clubs, stats, sorted(days))
