@@ -185,8 +185,8 @@ def rate_players_batch(
     listed twice counts twice. ``start`` may give ratings (cutoff, player,
     rating) to begin with; they change the number of steps, not the result. The
     games left out as blowouts and the ratings are found in turn, six times at
-    most; a player all of whose games are left out has no rating and counts as
-    the mean. Empty tables give empty results.
+    most; a player without a game of some weight has no rating and counts as the
+    mean. Empty tables give empty results.
     """
     lanes = {c: i for i, c in enumerate(cutoffs)}
     rows = written(window_games(games, cutoffs, half, window), "window")
@@ -207,7 +207,7 @@ def rate_players_batch(
         out = now
     cutoff = F.element_at(F.array(*[F.lit(c).cast("date") for c in cutoffs]), F.col("lane") + 1).alias("cutoff")
     named = strengths(entries, found).select(cutoff, F.col("team").alias("event_team_id"), "strength")
-    return found.select(cutoff, "player", "rating", "evidence"), named
+    return found.where("evidence > 0").select(cutoff, "player", "rating", "evidence"), named
 
 
 def walk_forward_players(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None, cutoffs: list[datetime.date], **options) -> DataFrame:
