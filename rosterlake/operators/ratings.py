@@ -199,54 +199,217 @@ class Replay(NamedTuple):
     points: DataFrame | None = None
 
 
-def _frame(parts: list[tuple[str, str, list[tuple]]], kinds: str) -> pd.DataFrame:
-    """Rows of several kinds (kind, columns, tuples) as one frame with all columns."""
-    full = pd.concat([pd.DataFrame(rows, columns=_names(cols)).assign(kind=kind) for kind, cols, rows in parts if rows] or [pd.DataFrame({"kind": []})], ignore_index=True)
-    types = {"long": "Int64", "string": "object"}
-    return full.reindex(columns=_names(kinds)).astype({c.split()[0]: types[c.split()[1]] for c in kinds.split(", ") if c.split()[1] in types})
+_OUT = f"kind string, {STATE}, {MOVES}, {POINTS}"
 
 
-_OUT = f"kind string, {STATE}, {MOVES}, {POINTS}"
+class Sides:
+    """Rosters of several rows, one after the other: players' numbers and the row each belongs to."""
+
+    def __init__(self, numbers: np.ndarray, ends: np.ndarray):
+        self.i, self.start, self.n = numbers, ends[:-1], np.diff(ends)
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, values, len(self.n))
+
+    def tops(self, values: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(values, self.start)
+
+    def at(self, rows: np.ndarray) -> Sides:
+        n = self.n[rows]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return Sides(self.i[np.repeat(self.start[rows] - ends[:-1], n) + np.arange(ends[-1])], ends)
+
+
+def levels(sides: list[Sides], players: int) -> np.ndarray:
+    """The level of each row: one more than the highest level of the earlier rows that share a player with it."""
+    last, out = np.zeros(players, dtype=np.int64), np.empty(len(sides[0].n), dtype=np.int64)
+    cuts = [(x.i, x.start.tolist(), (x.start + x.n).tolist()) for x in sides]
+    for row in range(len(out)):
+        mine = [i[start[row] : end[row]] for i, start, end in cuts]
+        out[row] = level = 1 + max(int(last[i].max()) for i in mine if len(i))
+        for i in mine:
+            last[i] = level
+    return out
+
+
+class LevelPool(Pool):
+    """A pool whose players' numbers are given, advanced by all rows of a level at once; these have no player in common."""
+
+    def __init__(self, cfg: EloConfig, ids: np.ndarray):
+        super().__init__(cfg)
+        n = len(ids)
+        self.at = dict(zip(ids, range(n)))
+        self.known = np.zeros(n, dtype=bool)
+        self.rating, self.games, self.base = np.zeros(n), np.zeros(n), np.zeros(n)
+        self.used, self.seen, self.clock, self.day = np.zeros(n), np.zeros(n), np.zeros(n, int), np.full(n, -1)
+
+    def load(self, rows: pd.DataFrame) -> None:
+        i = np.array([self.at[p] for p in rows["player"]], dtype=int)
+        for name in ("rating", "games", "base", "used", "seen", "clock", "day"):
+            getattr(self, name)[i] = rows[name].to_numpy()
+        self.known[i] = True
+
+    def meet(self, s: Sides, start: np.ndarray, clock: np.ndarray, context: bool) -> None:
+        """Players of rows with these season clocks; new ones begin at their row's ``start`` or near the team-mates known."""
+        known = self.known[s.i]
+        if not known.all():
+            if context:
+                n = s.sums(known)
+                mean = s.sums(np.where(known, self.rating[s.i], 0)) / np.maximum(n, 1)
+                start = np.where(n > 0, mean - self.cfg.rookie_discount, start)
+            new = s.i[~known]
+            self.rating[new] = self.base[new] = start[s.row][~known]
+            self.clock[new], self.day[new], self.known[new] = clock[s.row][~known], -1, True
+        self._season(s.i, clock[s.row])
+
+    def _season(self, i: np.ndarray, clock: np.ndarray) -> None:
+        late = clock - self.clock[i]
+        if self.cfg.offseason_regression and (late > 0).any():
+            keep = (1 - self.cfg.offseason_regression) ** np.maximum(late, 0)
+            self.rating[i] = self.base[i] + keep * (self.rating[i] - self.base[i])
+        self.clock[i] = np.maximum(self.clock[i], clock)
+
+    def shares(self, s: Sides, rating: np.ndarray) -> np.ndarray:
+        if math.isinf(self.cfg.tau):
+            return 1 / s.n[s.row]
+        w = np.exp((rating - s.tops(rating)[s.row]) / self.cfg.tau)
+        return w / s.sums(w)[s.row]
+
+    def strength(self, s: Sides, clock: np.ndarray) -> np.ndarray:
+        """Ratings of the teams now; players who are not known count as the base."""
+        known = self.known[s.i]
+        self._season(s.i[known], clock[s.row][known])
+        rating = np.where(known, self.rating[s.i], self.cfg.base_rating)
+        return s.sums(self.shares(s, rating) * rating)
+
+    def play(self, home: Sides, away: Sides, hs: np.ndarray, as_: np.ndarray, start: np.ndarray, scale: np.ndarray, k: np.ndarray, clock: np.ndarray, day: np.ndarray) -> list[np.ndarray]:
+        """Chances of the home teams; both teams' ratings before and after."""
+        c = self.cfg
+        for s in (home, away):
+            self.meet(s, start, clock, c.context_init)
+        if c.inactivity_decay:
+            for s in (home, away):
+                self._rest(s.i, day[s.row])
+        shares = [self.shares(s, self.rating[s.i]) for s in (home, away)]
+        before = [s.sums(w * self.rating[s.i]) for s, w in zip((home, away), shares)]
+        chance = 1 / (1 + 10 ** ((before[1] - before[0] - c.home_advantage) / scale))
+        margin = np.abs(hs - as_)
+        mov = np.where((margin > 0) & c.use_mov, np.log1p(margin) / math.log1p(c.mov_norm), 1.0)
+        delta = k * mov * ((np.sign(hs - as_) + 1) / 2 - chance)
+        for s, w, sign, team in zip((home, away), shares, (1, -1), before):
+            many = (s.n > 1)[s.row]
+            credit = np.ones(len(s.i))
+            if c.involvement_credit:
+                u = np.clip((c.involvement_shrink + self.used[s.i]) / (c.involvement_shrink + self.seen[s.i]), *c.involvement_clamp)
+                credit = np.where(many, u * (s.n / s.sums(u))[s.row], 1.0)
+            np.add.at(self.rating, s.i, sign * delta[s.row] * credit * self._provisional(self.games[s.i]))
+            if c.roster_shrink:
+                now = self.rating[s.i]
+                self.rating[s.i] = np.where(many, now + c.roster_shrink * (team[s.row] - now), now)
+            if c.low_info_anchor:
+                now = self.rating[s.i]
+                self.rating[s.i] = now + c.low_info_anchor * np.maximum(0, 1 - w * s.n[s.row]) * (start[s.row] - now)
+            np.add.at(self.games, s.i, 1)
+            self.base[s.i] = start[s.row]
+        return [chance, *before, *(s.sums(self.shares(s, self.rating[s.i]) * self.rating[s.i]) for s in (home, away))]
+
+    def book_stats(self, s: Sides, usage: np.ndarray, quality: np.ndarray, clock: np.ndarray) -> None:
+        c = self.cfg
+        self.meet(s, np.full(len(s.n), c.base_rating), clock, False)
+        np.add.at(self.used, s.i, usage)
+        np.add.at(self.seen, s.i, 1)
+        if c.stat_transfer_beta:
+            t = np.clip(c.stat_transfer_beta * (quality - (s.sums(quality) / s.n)[s.row]), -c.stat_transfer_clamp, c.stat_transfer_clamp)
+            np.add.at(self.rating, s.i, np.where((s.n > 1)[s.row], t - (s.sums(t) / s.n)[s.row], 0.0))
+
+
+def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists in one array, and where each list ends."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    return (np.concatenate(lists.to_numpy()) if ends[-1] else np.empty(0, dtype=object)), ends
 
 
 def _elo(configs: list[dict], points: bool):
-    """The fold of one group; a lane's first value is the number of its configuration."""
+    """The fold of one group, level by level; a lane's first value is the number of its configuration."""
 
     def run(lane: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        pool = Pool(EloConfig(**configs[lane[0] if lane else 0]))
+        cfg = EloConfig(**configs[lane[0] if lane else 0])
+        rows = rows.sort_values(["day", "late", "clock_time", "event_id", "game_key"])
+        (home, h_ends), (away, a_ends) = _flat(rows["home"]), _flat(rows["away"])
+        numbers, ids = pd.factorize(np.concatenate([home, away]))
+        home, away = Sides(numbers[: len(home)], h_ends), Sides(numbers[len(home) :], a_ends)
+        pool = LevelPool(cfg, ids)
         pool.load(state)
-        moves: list[tuple] = []
-        seen: dict[tuple, tuple] = {}
-
-        def book(event, club, ids: list, listed: list) -> None:
-            """The last rating of a club and its players at an event."""
-            if club is not None and listed:
-                seen["club", club, event] = (pool.team(listed, pool_clock), len(listed), club)
-            for p in ids:
-                if not p.startswith("ghost:"):
-                    old = seen.get(("player", p, event))
-                    seen["player", p, event] = (float(pool.rating[pool.at[p]]), None, club if not r.late or old is None else old[2])
-
-        for r in rows.sort_values(["day", "late", "clock_time", "event_id", "game_key"]).itertuples():
-            pool_clock = r.clock
-            if r.late:
-                pool.stats(list(r.home), list(r.usage), list(r.quality), r.clock)
-                if points and r.stat_event is not None and r.stat_event == r.stat_event:
-                    book(int(r.stat_event), r.home_club, list(r.home), list(r.away))
-                continue
-            home, away = list(r.home), list(r.away)
-            moves.append((r.game_key, r.event_id, *pool.game(home, away, r.home_score, r.away_score, r.division, r.clock, r.day)))
-            if points:
-                book(r.event_id, r.home_club, home, home)
-                book(r.event_id, r.away_club, away, away)
-        table = pool.table()
-        return _frame(
-            [("state", STATE, list(table[_names(STATE)].itertuples(index=False))), ("move", MOVES, moves), ("point", POINTS, [(*k, *v) for k, v in seen.items()])], _OUT
-        )
+        values = {c: rows[c].fillna(0).to_numpy(dtype=np.int64) for c in ("late", "clock", "day", "home_score", "away_score", "event_id", "game_key")}
+        divisions, kinds = pd.factorize(rows["division"])  # -1 for stat lines
+        pick = lambda table, rest: np.array([*(table.get(d, rest) for d in kinds), rest], dtype=float)[divisions]
+        start, scale, k = pick(cfg.division_bases, cfg.base_rating), pick(cfg.division_scale, cfg.scale), cfg.k * pick(cfg.k_scale, 1.0)
+        (usage, s_ends), (quality, _) = _flat(rows["usage"]), _flat(rows["quality"])
+        usage, quality = usage.astype(float), quality.astype(float)
+        clubs, club_names = pd.factorize(pd.concat([rows["home_club"], rows["away_club"]]))
+        clubs = clubs.reshape(2, -1)
+        event = rows["stat_event"].fillna(-1).to_numpy(dtype=np.int64) if points else None
+        level = levels([home, away], len(ids))
+        order = np.argsort(level, kind="stable")
+        cuts = np.flatnonzero(np.diff(level[order], prepend=0, append=np.iinfo(np.int64).max))
+        moves, seen = np.empty((len(rows), 5)), {"player": [], "club": []}
+        for a, b in zip(cuts, cuts[1:]):
+            late = values["late"][order[a:b]] > 0
+            g, s = order[a:b][~late], order[a:b][late]
+            if len(g):
+                sides, clock = (home.at(g), away.at(g)), values["clock"][g]
+                moves[g] = np.stack(pool.play(*sides, values["home_score"][g], values["away_score"][g], start[g], scale[g], k[g], clock, values["day"][g]), 1)
+                for n, x in enumerate(sides) if points else ():
+                    own = np.stack([values["event_id"][g], clubs[n][g], np.zeros(len(g), int), 2 * g + n])
+                    seen["player"].append((x.i, *own[:, x.row], pool.rating[x.i]))
+                    seen["club"].append((clubs[n][g], own[0], 2 * g + n, x.n, moves[g, 3 + n]))
+            if len(s):
+                x, i = home.at(s), np.repeat(s_ends[s] - np.concatenate([[0], np.cumsum(home.n[s])])[:-1], home.n[s]) + np.arange(home.n[s].sum())
+                pool.book_stats(x, usage[i], quality[i], values["clock"][s])
+                if points and (event[s] >= 0).any():
+                    s = s[event[s] >= 0]
+                    x = home.at(s)
+                    own = np.stack([event[s], clubs[0][s], np.ones(len(s), int), 2 * s])
+                    seen["player"].append((x.i, *own[:, x.row], pool.rating[x.i]))
+                    s = s[away.n[s] > 0]
+                    seen["club"].append((clubs[0][s], event[s], 2 * s, away.n[s], pool.strength(away.at(s), values["clock"][s]) if len(s) else np.empty(0)))
+        at = np.flatnonzero(pool.known)
+        columns = {"rating": pool.rating, "games": pool.games, "base": pool.base, "used": pool.used, "seen": pool.seen, "clock": pool.clock, "day": pool.day}
+        out = [pd.DataFrame({"kind": "state", "player": ids[at], **{c: v[at] for c, v in columns.items()}})]
+        g = np.flatnonzero(values["late"] == 0)
+        out.append(pd.DataFrame({"kind": "move", "game_key": values["game_key"][g], "event_id": values["event_id"][g], **{c: moves[g, i] for i, c in enumerate(_names(MOVES)[2:])}}))
+        out += _trajectories(seen, ids, club_names)
+        types = {"long": "Int64", "string": "object"}
+        full = pd.concat(out, ignore_index=True).reindex(columns=_names(_OUT))
+        return full.astype({c.split()[0]: types[c.split()[1]] for c in _OUT.split(", ") if c.split()[1] in types})
 
     return run
 
 
+def _trajectories(seen: dict[str, list], ids: np.ndarray, clubs: np.ndarray) -> list[pd.DataFrame]:
+    """The last rating of a player or club at an event; a player's club is that of the last game there, else of the first stat line."""
+    out = []
+    if seen["player"]:
+        who, event, club, late, at, rating = (np.concatenate(v) for v in zip(*seen["player"]))
+        t = pd.DataFrame({"who": who, "point_event": event, "club": club, "late": late, "at": at, "point_rating": rating}).sort_values("at", kind="stable")
+        t = t[~pd.Series(ids).astype(str).str.startswith("ghost:").to_numpy()[t["who"]]]
+        last = t.drop_duplicates(["who", "point_event"], keep="last")
+        game = t[t["late"] == 0].drop_duplicates(["who", "point_event"], keep="last")
+        line = t.drop_duplicates(["who", "point_event"], keep="first")
+        of = pd.concat([line, game]).drop_duplicates(["who", "point_event"], keep="last")[["who", "point_event", "club"]]
+        last = last.drop(columns="club").merge(of, on=["who", "point_event"])
+        names = np.append(np.asarray(clubs, dtype=object), None)[last["club"]]  # -1 for no club
+        out.append(pd.DataFrame({"kind": "point", "subject_kind": "player", "subject": ids[last["who"]], "point_event": last["point_event"], "point_rating": last["point_rating"], "point_club": names}))
+    if seen["club"]:
+        club, event, at, n, rating = (np.concatenate(v) for v in zip(*seen["club"]))
+        t = pd.DataFrame({"club": club, "point_event": event, "at": at, "n": n, "point_rating": rating}).sort_values("at", kind="stable")
+        t = t[t["club"] >= 0].drop_duplicates(["club", "point_event"], keep="last")
+        names = np.asarray(clubs, dtype=object)[t["club"]]
+        out.append(pd.DataFrame({"kind": "point", "subject_kind": "club", "subject": names, "point_event": t["point_event"], "point_rating": t["point_rating"], "n": t["n"], "point_club": names}))
+    return out
+
+
 def stream(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None) -> DataFrame:
     """Games with their rosters, and stat lines of a team-event as one late row of its last day, in one table.
 
@@ -489,52 +652,79 @@ _GLICKO = f"kind string, {GLICKO_STATE}, {PREDICTED}"
 
 
 def _glicko(cfg: GlickoConfig):
-    lo, hi = cfg.involvement_clamp
+    """The fold of one group: rating periods without a common player are one step."""
 
     def run(lane: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        state = {r.player: [r.rating, r.rd, r.volatility, r.games, None if pd.isna(r.last_day) else int(r.last_day), r.used, r.seen] for r in known.itertuples()}
-        fresh = lambda base: [base, cfg.initial_rd, cfg.initial_volatility, 0, None, 0.0, 0.0]
-        out: list[tuple] = []
-        for _, g in rows.sort_values(["day", "late", "clock_time", "event_id", "game_key"]).groupby("period", sort=False):
-            if g["late"].iloc[0]:
-                for line in g.itertuples():
-                    for p, u in zip(line.home, line.usage):
-                        x = state.setdefault(p, fresh(cfg.base_rating))
-                        x[5], x[6] = x[5] + u, x[6] + 1
+        rows = rows.sort_values(["day", "late", "clock_time", "event_id", "game_key"])
+        rows = rows.iloc[np.argsort(pd.factorize(rows["period"])[0], kind="stable")]
+        period = pd.factorize(rows["period"])[0]
+        first = np.flatnonzero(np.diff(period, prepend=-1))
+        (home, h_ends), (away, a_ends) = _flat(rows["home"]), _flat(rows["away"])
+        numbers, ids = pd.factorize(np.concatenate([home, away]))
+        home, away, n = Sides(numbers[: len(home)], h_ends), Sides(numbers[len(home) :], a_ends), len(ids)
+        rating, rd, sigma = np.full(n, cfg.base_rating), np.full(n, cfg.initial_rd), np.full(n, cfg.initial_volatility)
+        games, last, used, seen = np.zeros(n), np.full(n, np.nan), np.zeros(n), np.zeros(n)
+        met = np.zeros(n, dtype=bool)
+        at = pd.Index(ids).get_indexer(known["player"])
+        for to, name in ((rating, "rating"), (rd, "rd"), (sigma, "volatility"), (games, "games"), (last, "last_day"), (used, "used"), (seen, "seen")):
+            to[at] = known[name].astype(float)
+        met[at] = True
+        game_day = rows["game_day"].fillna(0).to_numpy(dtype=np.int64)
+        opens, closes = (f.reduceat(game_day, first)[period] for f in (np.minimum, np.maximum)) if len(rows) else (game_day, game_day)
+        base = np.array([cfg.division_bases.get(d, cfg.base_rating) for d in rows["division"].iloc[first]])[period] if len(rows) else np.empty(0)
+        late = rows["late"].to_numpy() > 0
+        usage, won = _flat(rows["usage"])[0].astype(float), (np.sign(rows["home_score"].fillna(0) - rows["away_score"].fillna(0)).to_numpy(dtype=float) + 1) / 2
+        s_ends = np.concatenate([[0], np.cumsum(np.where(late, home.n, 0))])
+        ends = np.append(first, len(rows))
+        whole = [Sides(x.i, np.append(x.start, len(x.i))[ends]) for x in (home, away)]
+        level = levels(whole, n)[period] if len(rows) else period
+        order = np.argsort(level, kind="stable")
+        cuts = np.flatnonzero(np.diff(level[order], prepend=0, append=np.iinfo(np.int64).max))
+        chance = np.empty(len(rows))
+        for a, b in zip(cuts, cuts[1:]):
+            g, lines = order[a:b][~late[order[a:b]]], order[a:b][late[order[a:b]]]
+            if len(lines):
+                x = home.at(lines)
+                np.add.at(used, x.i, usage[np.repeat(s_ends[lines] - np.cumsum(x.n) + x.n, x.n) + np.arange(len(x.i))])
+                np.add.at(seen, x.i, 1)
+                met[x.i] = True
+            if not len(g):
                 continue
-            day, end, division = int(g["game_day"].min()), int(g["game_day"].max()), g["division"].iloc[0]
-            teams = {tuple(t) for side in ("home", "away") for t in g[side]}
-            opening, phis, usage = {}, {}, {}
-            for p in sorted({p for t in teams for p in t}):
-                s = state.setdefault(p, fresh(cfg.division_bases.get(division, cfg.base_rating)))
-                periods = 1.0 if s[4] is None else max(1.0, max(0, day - s[4]) / cfg.rating_period_days)
-                phis[p] = math.sqrt((s[1] / SCALE) ** 2 + s[2] ** 2 * (periods - 1))
-            for t in teams:
-                r = np.array([state[p][0] for p in t])
-                w = np.exp((r - r.max()) / cfg.team_weight_tau)
-                w /= w.sum()
-                ahead = np.array([math.hypot(phis[p], state[p][2]) for p in t])
-                opening[t] = float(w @ r), SCALE * float(np.sqrt(((w * ahead) ** 2).sum()))
-                credit = np.ones(len(t))
-                if cfg.involvement_credit:
-                    credit = np.clip([(cfg.involvement_shrink + state[p][5]) / (cfg.involvement_shrink + state[p][6]) for p in t], lo, hi)
-                usage[t] = dict(zip(t, (credit / credit.mean()).tolist()))
-            seen: dict[str, list] = {}
-            for x in g.itertuples():
-                h, a = tuple(x.home), tuple(x.away)
-                both = math.hypot(opening[h][1], opening[a][1]) / SCALE
-                e = 1 / (1 + math.exp(-(opening[h][0] - opening[a][0]) / SCALE / math.sqrt(1 + 3 * both * both / math.pi**2)))
-                won = 1.0 if x.home_score > x.away_score else 0.0 if x.home_score < x.away_score else 0.5
-                out.append((x.game_key, x.event_id, e))
-                for own, rival, score in ((h, a, won), (a, h, 1 - won)):
-                    for p in own:
-                        seen.setdefault(p, []).append((*opening[rival], score, usage[own][p]))
-            who = list(seen)
-            flat = np.array([(i, *x) for i, p in enumerate(who) for x in seen[p]])
-            now = np.array([(state[p][0], phis[p], state[p][2]) for p in who])
-            for p, r, rd, v, n in zip(who, *_updated(now[:, 0], now[:, 1] * SCALE, now[:, 2], flat, cfg.tau, cfg.convergence), map(len, seen.values())):
-                state[p][:5] = [r, rd, v, state[p][3] + n, end]
-        return _frame([("state", GLICKO_STATE, [(p, *x) for p, x in state.items()]), ("move", PREDICTED, out)], _GLICKO)
+            sides = home.at(g), away.at(g)
+            for x in sides:
+                fresh = ~met[x.i]
+                rating[x.i[fresh]] = base[g][x.row][fresh]
+            for x in sides:
+                met[x.i] = True
+            opening, credit = [], []
+            phi = np.zeros(n)
+            for x in sides:
+                idle = np.maximum(1, np.maximum(0, opens[g][x.row] - last[x.i]) / cfg.rating_period_days)
+                phi[x.i] = np.sqrt((rd[x.i] / SCALE) ** 2 + sigma[x.i] ** 2 * (np.where(np.isnan(last[x.i]), 1.0, idle) - 1))
+            for x in sides:
+                w = np.exp((rating[x.i] - x.tops(rating[x.i])[x.row]) / cfg.team_weight_tau)
+                w /= x.sums(w)[x.row]
+                opening.append((x.sums(w * rating[x.i]), SCALE * np.sqrt(x.sums((w * np.hypot(phi[x.i], sigma[x.i])) ** 2))))
+                u = np.clip((cfg.involvement_shrink + used[x.i]) / (cfg.involvement_shrink + seen[x.i]), *cfg.involvement_clamp) if cfg.involvement_credit else np.ones(len(x.i))
+                credit.append(u * (x.n / x.sums(u))[x.row])
+            both = np.hypot(opening[0][1], opening[1][1]) / SCALE
+            chance[g] = 1 / (1 + np.exp(-(opening[0][0] - opening[1][0]) / SCALE / np.sqrt(1 + 3 * both * both / math.pi**2)))
+            results = [
+                np.stack([x.i, rival[0][x.row], rival[1][x.row], score[x.row], c], 1)
+                for x, rival, score, c in zip(sides, opening[::-1], (won[g], 1 - won[g]), credit)
+            ]
+            flat = np.concatenate(results)
+            who, flat[:, 0] = np.unique(flat[:, 0].astype(int), return_inverse=True)
+            rating[who], rd[who], sigma[who] = _updated(rating[who], phi[who] * SCALE, sigma[who], flat, cfg.tau, cfg.convergence)
+            games[who] += np.bincount(flat[:, 0].astype(int))
+            for x in sides:
+                last[x.i] = closes[g][x.row]
+        i, m = np.flatnonzero(met), np.flatnonzero(~late)
+        state = pd.DataFrame({"kind": "state", "player": ids[i], "rating": rating[i], "rd": rd[i], "volatility": sigma[i], "games": games[i], "last_day": last[i], "used": used[i], "seen": seen[i]})
+        moves = pd.DataFrame({"kind": "move", "game_key": rows["game_key"].to_numpy()[m], "event_id": rows["event_id"].to_numpy()[m], "expected": chance[m]})
+        types = {"long": "Int64", "string": "object"}
+        full = pd.concat([state, moves], ignore_index=True).reindex(columns=_names(_GLICKO))
+        return full.astype({c.split()[0]: types[c.split()[1]] for c in _GLICKO.split(", ") if c.split()[1] in types})
 
     return run
 

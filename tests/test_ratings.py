@@ -214,3 +214,137 @@ def test_walk_forward_uses_earlier_days_only(spark):
     first = games.groupBy("season").agg(F.min("date").alias("date")).join(games, ["season", "date"]).select("game_key").toPandas()["game_key"]
     assert all(one[k] == 0 for k in first if k in one.index)
     assert set(cut.index) <= set(one.index)
+
+
+def odd_rows(seed, n=150):
+    """Rows of a slice: players on both sides, listed twice, alone; stat lines with and without events; seasons going on."""
+    import pandas as pd
+
+    rng, rows = np.random.default_rng(seed), []
+    for k in range(n):
+        late = int(rng.random() < 0.25)
+        squad = lambda least: np.array([f"p{i}" for i in rng.integers(0, 25, rng.integers(least, 6))], dtype=object)
+        home, away = squad(1), squad(0 if late else 1)
+        if not late and rng.random() < 0.1:
+            away = np.array([f"ghost:{k}"], dtype=object)
+        x = dict(event_id=0 if late else k // 5, game_key=k, day=k // 3, home=home, away=away, late=late, clock_time=f"{rng.integers(10, 14)}", clock=2000 + k // 40)
+        x |= dict(home_score=None, away_score=None, division=None, away_club=None) if late else dict(home_score=int(rng.integers(0, 16)), away_score=int(rng.integers(0, 16)), division=str(rng.choice(["club-men", "college", "other"])), away_club=f"c{rng.integers(0, 4)}")
+        x |= dict(home_club=f"c{rng.integers(0, 4)}" if rng.random() < 0.9 else None, stat_event=int(rng.integers(0, n // 5)) if late and rng.random() < 0.7 else None)
+        x |= dict(usage=rng.random(len(home)) * 2 if late else np.empty(0), quality=rng.integers(-3, 8, len(home)).astype(float) if late else np.empty(0))
+        rows.append(x)
+    return pd.DataFrame(rows)
+
+
+def one_by_one(cfg, rows):
+    """State, moves and points of the rows, game by game."""
+    pool, moves, points = ratings.Pool(cfg), {}, {}
+    for r in rows.sort_values(["day", "late", "clock_time", "event_id", "game_key"]).itertuples():
+        def book(event, club, ids, listed):
+            if club is not None and len(listed):
+                points["club", club, event] = (pool.team(list(listed), r.clock), club)
+            for p in ids:
+                if not p.startswith("ghost:"):
+                    old = points.get(("player", p, event))
+                    points["player", p, event] = (float(pool.rating[pool.at[p]]), club if not r.late or old is None else old[1])
+
+        if r.late:
+            pool.stats(list(r.home), list(r.usage), list(r.quality), r.clock)
+            if r.stat_event == r.stat_event:
+                book(int(r.stat_event), r.home_club, r.home, r.away)
+        else:
+            moves[r.game_key] = pool.game(list(r.home), list(r.away), int(r.home_score), int(r.away_score), r.division, r.clock, r.day)
+            book(r.event_id, r.home_club, r.home, r.home)
+            book(r.event_id, r.away_club, r.away, r.away)
+    return pool, moves, points
+
+
+@pytest.mark.parametrize("options", [{}, {"context_init": True, "low_info_anchor": 0.1, "stat_transfer_beta": 1.0}, {"tau": math.inf, "inactivity_decay": 0.4, "inactivity_grace_days": 3, "involvement_credit": True}, {"provisional_shape": "linear", "use_mov": False, "roster_shrink": 0.0, "k_scale": {"college": 0.5}}])
+def test_levels_give_what_single_games_give(options):
+    from dataclasses import asdict
+
+    import pandas as pd
+
+    cfg = ratings.EloConfig(**options)
+    for seed in range(4):
+        rows = odd_rows(seed)
+        pool, moves, points = one_by_one(cfg, rows)
+        out = ratings._elo([asdict(cfg)], True)((0,), rows, pd.DataFrame(columns=ratings._names(ratings.STATE)))
+        state = {r.player: r for r in out[out["kind"] == "state"].itertuples()}
+        assert set(state) == set(pool.at)
+        for p, i in pool.at.items():
+            for name in ("rating", "games", "base", "used", "seen", "clock", "day"):
+                assert getattr(state[p], name) == pytest.approx(getattr(pool, name)[i], abs=1e-9), (p, name)
+        got = {r.game_key: (r.expected, r.home_before, r.away_before, r.home_after, r.away_after) for r in out[out["kind"] == "move"].itertuples()}
+        assert set(got) == set(moves)
+        assert all(got[k] == pytest.approx(moves[k], abs=1e-9) for k in moves)
+        found = {(r.subject_kind, r.subject, r.point_event): (r.point_rating, r.point_club) for r in out[out["kind"] == "point"].itertuples()}
+        assert set(found) == set(points)
+        for k, (rating, club) in points.items():
+            assert found[k][0] == pytest.approx(rating, abs=1e-9) and (found[k][1] if isinstance(found[k][1], str) else None) == club
+
+
+def test_levels_are_as_low_as_they_can_be():
+    sides = lambda lists: ratings.Sides(np.array(sum(lists, [])), np.concatenate([[0], np.cumsum([len(x) for x in lists])]))
+    assert ratings.levels([sides([[0], [2, 3], [0], [4]]), sides([[1], [4], [3], []])], 5).tolist() == [1, 1, 2, 2]
+
+
+def glicko_by_periods(cfg, rows):
+    """State and chances, one period after the other, player by player."""
+    state, chances = {}, {}
+    fresh = lambda base: dict(r=base, rd=cfg.initial_rd, v=cfg.initial_volatility, n=0, last=None, used=0.0, seen=0)
+    for _, g in rows.sort_values(["day", "late", "clock_time", "event_id", "game_key"]).groupby("period", sort=False):
+        if g["late"].iloc[0]:
+            for line in g.itertuples():
+                for p, u in zip(line.home, line.usage):
+                    x = state.setdefault(p, fresh(cfg.base_rating))
+                    x["used"], x["seen"] = x["used"] + u, x["seen"] + 1
+            continue
+        day, end = g["game_day"].min(), g["game_day"].max()
+        base, now, results = cfg.division_bases.get(g["division"].iloc[0], cfg.base_rating), {}, {}
+        for p in sorted({p for side in ("home", "away") for t in g[side] for p in t}):
+            x = state.setdefault(p, fresh(base))
+            gone = 1 if x["last"] is None else max(1, (day - x["last"]) / cfg.rating_period_days)
+            now[p] = (x["r"], math.sqrt((x["rd"] / ratings.SCALE) ** 2 + x["v"] ** 2 * (gone - 1)), x["v"])
+
+        def team(t):
+            w = [math.exp((now[p][0] - max(now[q][0] for q in t)) / cfg.team_weight_tau) for p in t]
+            rd = math.sqrt(sum((a / sum(w)) ** 2 * (now[p][1] ** 2 + now[p][2] ** 2) for a, p in zip(w, t)))
+            return sum(a * now[p][0] for a, p in zip(w, t)) / sum(w), ratings.SCALE * rd
+
+        def credit(t):
+            u = [min(3.0, max(0.25, (1 + state[p]["used"]) / (1 + state[p]["seen"]))) for p in t]
+            return [x * len(u) / sum(u) for x in u]
+
+        for x in g.itertuples():
+            h, a = team(x.home), team(x.away)
+            phi = math.hypot(h[1], a[1]) / ratings.SCALE
+            chances[x.game_key] = 1 / (1 + math.exp(-(h[0] - a[0]) / ratings.SCALE / math.sqrt(1 + 3 * phi**2 / math.pi**2)))
+            won = (np.sign(x.home_score - x.away_score) + 1) / 2
+            for t, rival, score in ((x.home, a, won), (x.away, h, 1 - won)):
+                for p, c in zip(t, credit(t)):
+                    results.setdefault(p, []).append((*rival, score, c))
+        for p, r in results.items():
+            x = state[p]
+            x["r"], x["rd"], x["v"] = ratings.glicko_update(now[p][0], now[p][1] * ratings.SCALE, now[p][2], r)
+            x["n"], x["last"] = x["n"] + len(r), end
+    return state, chances
+
+
+@pytest.mark.parametrize("period", ["game_key", "event_id"])
+def test_glicko_levels_give_what_single_periods_give(period):
+    import pandas as pd
+
+    cfg = ratings.GlickoConfig()
+    for seed in range(3):
+        rows = odd_rows(seed, 80)
+        rows["game_day"] = rows["day"]
+        rows["period"] = [f"stat:{r.game_key}" if r.late else str(getattr(r, period)) for r in rows.itertuples()]
+        state, chances = glicko_by_periods(cfg, rows)
+        out = ratings._glicko(cfg)((), rows, pd.DataFrame(columns=ratings._names(ratings.GLICKO_STATE)))
+        got = {r.player: r for r in out[out["kind"] == "state"].itertuples()}
+        assert set(got) == set(state)
+        for p, x in state.items():
+            assert (got[p].rating, got[p].rd, got[p].volatility, got[p].used) == pytest.approx((x["r"], x["rd"], x["v"], x["used"]), abs=1e-6)
+            assert (got[p].games, got[p].seen) == (x["n"], x["seen"]) and (x["last"] is None) == (got[p].last_day != got[p].last_day or got[p].last_day is pd.NA)
+        moves = {r.game_key: r.expected for r in out[out["kind"] == "move"].itertuples()}
+        assert moves == pytest.approx(chances, abs=1e-9)
