@@ -8,38 +8,57 @@ from rosterlake.operators import ratings
 from rosterlake.sources import tables
 from rosterlake.streaming import ingest
 
-GAMES = "season int, division string, game_key long, date date, home_club string, away_club string, home_score int, away_score int"
-
-
-def test_team_elo_of_a_stream_equals_the_batch(spark, tmp_path):
-    day = datetime.date(2021, 1, 1)
-    rows = [(2021, "club-men", k, day + datetime.timedelta(days=k), f"t{k % 3}", f"t{(k + 1) % 3}", k % 7, (3 * k) % 11) for k in range(24)]
-    rows += [(2021, "college", 100 + k, day + datetime.timedelta(days=k), "x", "y", k, 5) for k in range(8)]
-    for n in range(2):
-        part = [r for r in rows if (r[3] - day).days // 12 == n]
-        spark.createDataFrame(part, GAMES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(GAMES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = ingest.streaming_team_elo(stream).writeStream.format("memory").queryName("elo").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+GAMES = "season int, division string, game_key long, played timestamp, home_club string, away_club string, home_score int, away_score int"
+
+
+def test_team_elo_of_a_shuffled_stream_equals_the_batch(spark, tmp_path):
+    day = datetime.datetime(2021, 1, 1)
+    rows = [(2021, "club-men", k, day + datetime.timedelta(hours=7 * (k // 2)), f"t{k % 5}", f"t{(k + 1 + k % 3) % 5}", k % 7, (3 * k) % 11) for k in range(60)]
+    rows += [(2021, "college", 100 + k, day + datetime.timedelta(days=k), "x", "y", k, 5) for k in range(15)]
+    order = sorted(rows, key=lambda r: (r[3] + datetime.timedelta(hours=(r[2] * 37) % 60), r[2]))  # up to 60 hours late
+    order += [(2022, "none", 999, day + datetime.timedelta(days=400), "x", "y", 1, 0)]
+    for n in range(0, len(order), 19):
+        spark.createDataFrame(order[n : n + 19], GAMES).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={n:03d}"))
+    stream = spark.readStream.schema(GAMES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "n=*"))
+    q = ingest.streaming_team_elo(stream, "3 days").writeStream.format("memory").queryName("elo").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(200)
     got = {r.game_key: r.expected for r in spark.table("elo").collect()}
     pools = {}
     for s, d, k, _, h, a, hs, as_ in sorted(rows, key=lambda r: (r[3], r[2])):
         pool = pools.setdefault((s, d), ratings.Pool(ratings.EloConfig(involvement_credit=False, stat_transfer_beta=0.0, roster_shrink=0.0)))
-        want = pool.game([h], [a], hs, as_, d, 0, 0)[0]
-        assert got.get(k) is None or abs(got[k] - want) < 1e-9
-    assert len(got) == len(rows)
-
-
-def test_ingest_replaces_events(spark, tmp_path):
+        assert abs(got[k] - pool.game([h], [a], hs, as_, d, 0, 0)[0]) < 1e-9
+    assert len(got) == len(rows)  # the last game is not passed
+
+
+def test_deliveries_in_any_order_give_the_same_table(spark, tmp_path):
+    import itertools
+
+    schema = "event_id long, game_key long, version long, home_score int"
+    parts = [[(1, 1, 1, 5), (1, 2, 1, 6), (2, 3, 4, 7), (2, 3, 4, 7)], [(1, 9, 2, 8)], [(1, 10, 2, 9), (3, 1, None, 0)], [(2, 4, 3, 1), (1, 9, 2, 8)]]
+    want = [(1, 9, 2, 8), (1, 10, 2, 9), (2, 3, 4, 7), (3, 1, None, 0)]
+    for n, order in enumerate([*itertools.islice(itertools.permutations(range(4)), 0, 24, 7), (0, 1, 2, 3, 0, 2)]):
+        folder = tmp_path / str(n)
+        for i, k in enumerate(order):
+            spark.createDataFrame(parts[k], schema).coalesce(1).write.parquet(str(folder / "in" / f"n={i}"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in" / "n=*"))
+        ingest.start_ingest(stream, str(folder / "log"), str(folder / "cp"), once=True).awaitTermination(120)
+        rows = lambda df: sorted(tuple(r) for r in df.select("event_id", "game_key", "version", "home_score").collect())
+        assert rows(ingest.current_events(spark, str(folder / "log"))) == want
+    ingest.compact_events(spark, str(tmp_path / "base"), str(tmp_path / "0" / "log"), parts=2)
+    assert rows(ingest.current_events(spark, str(tmp_path / "base"))) == want
+    newer = spark.createDataFrame([(2, 8, 5, 3), (1, 1, 1, 5)], schema)
+    newer.write.parquet(str(tmp_path / "more" / "batch=0"))
+    assert rows(ingest.current_events(spark, str(tmp_path / "base"), str(tmp_path / "more"))) == [(1, 9, 2, 8), (1, 10, 2, 9), (2, 8, 5, 3), (3, 1, None, 0)]
+
+
+def test_deliveries_without_versions_count_by_batch(spark, tmp_path):
     schema = "event_id long, game_key long, home_score int"
-    for n, part in enumerate(([(1, 1, 5), (1, 2, 6), (2, 3, 7), (2, 3, 7)], [(1, 9, 8)])):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = ingest.start_ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.processAllAvailable()
-    q.stop()
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("event_id", "game_key", "home_score").collect())
-    assert got in ([(1, 9, 8), (2, 3, 7)], [(1, 1, 5), (1, 2, 6), (2, 3, 7)])
+    for i, part in enumerate(([(1, 1, 5), (1, 2, 6), (2, 3, 7), (2, 3, 7)], [(1, 9, 8)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "n=*"))
+    ingest.start_ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    got = sorted(tuple(r) for r in ingest.current_events(spark, str(tmp_path / "out")).select("event_id", "game_key", "home_score").collect())
+    assert got in ([(1, 9, 8), (2, 3, 7)], [(1, 1, 5), (1, 2, 6), (2, 3, 7)])  # files may be read in either order
 
 
 def test_stat_lines_wait_for_the_end(spark, tmp_path):
