@@ -324,6 +324,11 @@ class LevelPool(Pool):
             np.add.at(self.rating, s.i, np.where((s.n > 1)[s.row], t - (s.sums(t) / s.n)[s.row], 0.0))
 
 
+def _whole(ids: np.ndarray) -> np.ndarray | pd.Series:
+    """Players as a column that stays exact beside rows that have none."""
+    return ids if ids.dtype == object else pd.array(ids, dtype="Int64").astype(object)
+
+
 def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """The values of a column of lists in one array, and where each list ends."""
     ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
@@ -376,7 +381,7 @@ def _elo(configs: list[dict], points: bool):
                     seen["club"].append((clubs[0][s], event[s], 2 * s, away.n[s], pool.strength(away.at(s), values["clock"][s]) if len(s) else np.empty(0)))
         at = np.flatnonzero(pool.known)
         columns = {"rating": pool.rating, "games": pool.games, "base": pool.base, "used": pool.used, "seen": pool.seen, "clock": pool.clock, "day": pool.day}
-        out = [pd.DataFrame({"kind": "state", "player": ids[at], **{c: v[at] for c, v in columns.items()}})]
+        out = [pd.DataFrame({"kind": "state", "player": _whole(ids[at]), **{c: v[at] for c, v in columns.items()}})]
         g = np.flatnonzero(values["late"] == 0)
         out.append(pd.DataFrame({"kind": "move", "game_key": values["game_key"][g], "event_id": values["event_id"][g], **{c: moves[g, i] for i, c in enumerate(_names(MOVES)[2:])}}))
         out += _trajectories(seen, ids, club_names)
@@ -393,14 +398,15 @@ def _trajectories(seen: dict[str, list], ids: np.ndarray, clubs: np.ndarray) ->
     if seen["player"]:
         who, event, club, late, at, rating = (np.concatenate(v) for v in zip(*seen["player"]))
         t = pd.DataFrame({"who": who, "point_event": event, "club": club, "late": late, "at": at, "point_rating": rating}).sort_values("at", kind="stable")
-        t = t[~pd.Series(ids).astype(str).str.startswith("ghost:").to_numpy()[t["who"]]]
+        if ids.dtype == object:  # of numbers the names are not known here
+            t = t[~pd.Series(ids).str.startswith("ghost:").to_numpy()[t["who"]]]
         last = t.drop_duplicates(["who", "point_event"], keep="last")
         game = t[t["late"] == 0].drop_duplicates(["who", "point_event"], keep="last")
         line = t.drop_duplicates(["who", "point_event"], keep="first")
         of = pd.concat([line, game]).drop_duplicates(["who", "point_event"], keep="last")[["who", "point_event", "club"]]
         last = last.drop(columns="club").merge(of, on=["who", "point_event"])
         names = np.append(np.asarray(clubs, dtype=object), None)[last["club"]]  # -1 for no club
-        out.append(pd.DataFrame({"kind": "point", "subject_kind": "player", "subject": ids[last["who"]], "point_event": last["point_event"], "point_rating": last["point_rating"], "point_club": names}))
+        out.append(pd.DataFrame({"kind": "point", "subject_kind": "player", "subject": ids[last["who"]].astype(str).astype(object), "point_event": last["point_event"], "point_rating": last["point_rating"], "point_club": names}))
     if seen["club"]:
         club, event, at, n, rating = (np.concatenate(v) for v in zip(*seen["club"]))
         t = pd.DataFrame({"club": club, "point_event": event, "at": at, "n": n, "point_rating": rating}).sort_values("at", kind="stable")
@@ -497,10 +503,13 @@ def replayed(rows: DataFrame, fold: Callable, state: str, out: str, lanes: list[
         raise ValueError(f"unknown plan {plan!r}")
     spark = rows.sparkSession
     counts = [(r[0], r[1]) for r in rows.groupBy(day).count().orderBy(day).collect()]  # a row per day
+    rows, names = numbered(rows)
+    if names is not None:
+        state, out = (x.replace("player string", "player long") for x in (state, out))
     lane_kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in lanes)
     kinds = lane_kinds + out
     if not counts:
-        return spark.createDataFrame([], kinds + ", slice int")
+        return spark.createDataFrame([], kinds.replace("player long", "player string") + ", slice int")
     cuts, search = slices(counts, group_rows, slice_days, plan)
     fields = [*lanes, *_names(state)]
     log = [spark.createDataFrame([], lane_kinds + state + ", slice int")]
@@ -522,7 +531,7 @@ def replayed(rows: DataFrame, fold: Callable, state: str, out: str, lanes: list[
     for k, (lo, hi) in enumerate(cuts):
         part = rows if len(cuts) == 1 else rows.where(F.col(day).between(lo, hi))
         part = written(_cut(part), "cut") if search else part.withColumn("component", F.lit(""))
-        members = part.select(*lanes, "component", F.explode(F.concat("home", "away")).alias("player")).distinct()
+        members = squads(part, *lanes, "component").select(*lanes, "component", F.explode("squad").alias("player")).distinct()
         key = [*lanes, "component"]
         known = current(log).join(members, [*lanes, "player"]).select(*[F.col(c).alias(f"of_{c}") for c in key], *_names(state))
         found = part.groupBy(*key).cogroup(known.groupBy(*[f"of_{c}" for c in key])).applyInPandas(run, kinds)
@@ -535,7 +544,36 @@ def replayed(rows: DataFrame, fold: Callable, state: str, out: str, lanes: list[
     union = final.select(*[F.col(c) if c in final.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in kinds.split(", "))], "slice")
     for part in done:
         union = union.unionByName(part)
-    return union
+    return union if names is None else named(union, names)
+
+
+def squads(rows: DataFrame, *by: str) -> DataFrame:
+    """The different lists of players of rows, as ``squad``."""
+    return rows.select(*by, F.explode(F.array("home", "away")).alias("squad")).distinct()
+
+
+def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose players are 64-bit hashes, which reach Python workers many times faster than strings, and the table of names.
+
+    Should two players ever share a hash, rows keep their strings and there is no table.
+    """
+    names = written(squads(rows).select(F.explode("squad").alias("name")).distinct().select("name", F.xxhash64("name").alias("number")), "names")
+    count = names.agg(F.count("*"), F.countDistinct("number")).first()
+    if count[0] != count[1]:
+        return rows, None
+    return rows.withColumns({c: F.transform(c, lambda p: F.xxhash64(p)) for c in ("home", "away")}), names
+
+
+def named(out: DataFrame, names: DataFrame) -> DataFrame:
+    """Players' numbers as their names again, in states and in players' trajectories."""
+    if "subject" in out.columns:
+        who = F.when(F.col("subject_kind") == "player", F.col("subject").try_cast("long")).otherwise(F.col("player"))
+    else:
+        who = F.col("player")
+    rows = out.withColumn("number", who).join(names, "number", "left")
+    if "subject" in out.columns:
+        rows = rows.withColumn("subject", F.when(F.col("subject_kind") == "player", F.col("name")).otherwise(F.col("subject")))
+    return rows.withColumn("player", F.when(F.col("player").isNotNull(), F.col("name"))).select(*out.columns)
 
 
 def replay_player_elo(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None = None, cfg: EloConfig | None = None, plan: str = "slice", points: bool = False, group_rows: int = GROUP_ROWS, slice_days: int = SLICE_DAYS) -> Replay:
@@ -558,7 +596,7 @@ def replay_player_elo(games: DataFrame, rosters: DataFrame, clubs: DataFrame, st
         state = state.withColumn("rating", F.col("base") + F.pow(F.lit(1 - cfg.offseason_regression), late) * (F.col("rating") - F.col("base"))).withColumn("clock", F.lit(last).cast("long"))
     found = None
     if points:
-        found = out.where("kind = 'point'").groupBy("subject_kind", "subject", "point_event").agg(F.max_by(F.struct("point_rating", "n", "point_club"), "slice").alias("x"))
+        found = out.where("kind = 'point' and not (subject_kind = 'player' and subject like 'ghost:%')").groupBy("subject_kind", "subject", "point_event").agg(F.max_by(F.struct("point_rating", "n", "point_club"), "slice").alias("x"))
         found = found.select(F.col("subject_kind").alias("kind"), "subject", F.col("point_event").alias("event_id"), F.col("x.point_rating").alias("rating"), F.col("x.n").alias("n"), F.col("x.point_club").alias("club"))
     return Replay(out.where("kind = 'move'").select(*_names(MOVES)), state, found)
 
@@ -720,7 +758,7 @@ def _glicko(cfg: GlickoConfig):
             for x in sides:
                 last[x.i] = closes[g][x.row]
         i, m = np.flatnonzero(met), np.flatnonzero(~late)
-        state = pd.DataFrame({"kind": "state", "player": ids[i], "rating": rating[i], "rd": rd[i], "volatility": sigma[i], "games": games[i], "last_day": last[i], "used": used[i], "seen": seen[i]})
+        state = pd.DataFrame({"kind": "state", "player": _whole(ids[i]), "rating": rating[i], "rd": rd[i], "volatility": sigma[i], "games": games[i], "last_day": last[i], "used": used[i], "seen": seen[i]})
         moves = pd.DataFrame({"kind": "move", "game_key": rows["game_key"].to_numpy()[m], "event_id": rows["event_id"].to_numpy()[m], "expected": chance[m]})
         types = {"long": "Int64", "string": "object"}
         full = pd.concat([state, moves], ignore_index=True).reindex(columns=_names(_GLICKO))
