@@ -503,7 +503,7 @@ def replayed(rows: DataFrame, fold: Callable, state: str, out: str, lanes: list[
         raise ValueError(f"unknown plan {plan!r}")
     spark = rows.sparkSession
     counts = [(r[0], r[1]) for r in rows.groupBy(day).count().orderBy(day).collect()]  # a row per day
-    rows, names = numbered(rows)
+    rows, names = numbered(rows, day)
     if names is not None:
         state, out = (x.replace("player string", "player long") for x in (state, out))
     lane_kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in lanes)
@@ -552,7 +552,7 @@ def squads(rows: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, F.explode(F.array("home", "away")).alias("squad")).distinct()
 
 
-def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def numbered(rows: DataFrame, day: str) -> tuple[DataFrame, DataFrame | None]:
     """Rows whose players are 64-bit hashes, which reach Python workers many times faster than strings, and the table of names.
 
     Should two players ever share a hash, rows keep their strings and there is no table.
@@ -561,7 +561,8 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     count = names.agg(F.count("*"), F.countDistinct("number")).first()
     if count[0] != count[1]:
         return rows, None
-    return rows.withColumns({c: F.transform(c, lambda p: F.xxhash64(p)) for c in ("home", "away")}), names
+    hashed = rows.withColumns({c: F.transform(c, lambda p: F.xxhash64(p)) for c in ("home", "away")})
+    return written(hashed.repartitionByRange(F.col(day)), "numbered"), names  # a slice reads its own files
 
 
 def named(out: DataFrame, names: DataFrame) -> DataFrame:
