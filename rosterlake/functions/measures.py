@@ -16,16 +16,19 @@ def clock(c: Column) -> Column:
 
 
 def minutes_of_day(c: Column) -> Column:
-    """Minutes since midnight of a 12-hour or 24-hour time; 10000 where there is none."""
-    short = F.regexp_extract(F.trim(c), r"^([01]?\d|2[0-3]):([0-5]\d)$", 0)
-    at24 = F.regexp_extract(short, r"^(\d+)", 1).cast("int") * 60 + F.regexp_extract(short, r":(\d+)", 1).cast("int")
-    long = clock(c)
-    at12 = F.substring(long, 1, 2).cast("int") * 60 + F.substring(long, 4, 2).cast("int")
-    return F.when(F.coalesce(short, F.lit("")) != "", at24).when(F.coalesce(c.rlike(r"(?i)^\s*\d+:\d\d\s+[ap]m\s*$"), F.lit(False)), at12).otherwise(10000)
+    """Minutes since midnight of a time on a 12-hour clock, by its hour, minute and the p of a pm if there is one; 10000 where there is no time (F8).
+
+    Nothing else is looked at: '1:05pm' and '8:15 P' are afternoon times, and
+    '13:00' counts as '1:00'.
+    """
+    part = lambda k: F.regexp_extract(c, r"^\s*(\d{1,2}):(\d{2})\s*([AaPp])?", k)
+    later = F.when(F.lower(part(3)) == "p", 12).otherwise(0)
+    return F.coalesce((part(1).try_cast("int") % 12 + later) * 60 + part(2).try_cast("int"), F.lit(10000))
 
 
 def slot_number(c: Column) -> Column:
-    return F.coalesce(F.regexp_extract(c, r"(\d+)", 1).try_cast("long"), F.lit(10**9))
+    """All digits of a slot's label as one number, those of 'A1-B12' as 112; 1000000000 without any (F8)."""
+    return F.coalesce(F.regexp_replace(c, r"\D", "").try_cast("long"), F.lit(10**9))
 
 
 def inches(c: Column) -> Column:

@@ -73,11 +73,16 @@ def merge_appearances(corpora: list[DataFrame]) -> DataFrame:
 
 
 def upsert_events(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Events merged on (url without a trailing slash, division) (S10): new values, old ids."""
+    """Events merged on (url without a trailing slash, division) (S10): new values, old ids.
+
+    Of several rows of one key in a table, that of the largest id counts.
+    """
+    own = W.partitionBy("url", "division").orderBy(F.desc("event_id"))
+    one = lambda df: df.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
     norm = lambda df: df.withColumn("url", F.regexp_replace("url", "/+$", ""))
     rest = [c for c in current.columns if c not in ("event_id", "url", "division")]
-    old = norm(current).alias("o")
-    new = norm(incoming).alias("n")
+    old = one(norm(current)).alias("o")
+    new = one(norm(incoming)).alias("n")
     both = old.join(new, ["url", "division"], "full")
     fresh = F.col("n.event_id").isNotNull()
     return both.select(

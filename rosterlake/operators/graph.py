@@ -5,25 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``.
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in that of ``spark.checkpoint.dir``.
 
     Where that is unset, the warehouse folder serves on a cluster and a temporary
     folder with a local master.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         local = spark.sparkContext.master.startswith("local")
         root = tempfile.mkdtemp(prefix="rosterlake-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/rosterlake-checkpoints"
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in a fresh folder."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

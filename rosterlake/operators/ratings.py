@@ -13,6 +13,8 @@ several configurations, or without single players, are lanes of one replay.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
@@ -20,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -797,6 +800,40 @@ def replay_glicko2(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats
 # batch ratings -----------------------------------------------------------------------
 
 
+def settled(step: np.ndarray, lift: np.ndarray, x: np.ndarray, tolerance: float, most: int = 2000, plain: int = 32) -> np.ndarray:
+    """What iterating x -> step x + lift gives once a move is below ``tolerance``, after ``most`` moves at the latest.
+
+    Moves never grow, as rows of ``step`` sum to one at most. So after some
+    plain moves the number of those still needed is found by doubling: powers of
+    the map take 2, 4, 8 and more moves at once. Pairs that have met nobody else
+    swing for ever and need all ``most`` of them.
+    """
+    for k in range(min(plain, most)):
+        new = step @ x + lift
+        moved, x = np.abs(new - x).max(initial=0), new
+        if moved < tolerance:
+            return x
+    left = most - plain
+    if left <= 0:
+        return x
+    powers = [(step, lift)]
+    while 2 ** len(powers) < left:
+        p, q = powers[-1]
+        powers.append((p @ p, p @ q + q))
+    move = step @ x + lift - x  # the move to come
+    if np.abs(move).max(initial=0) < tolerance:
+        return x + move
+    done = 0
+    for j in range(len(powers) - 1, -1, -1):
+        p, q = powers[j]
+        later = p @ move
+        if done + 2**j <= left - 2 and np.abs(later).max(initial=0) >= tolerance:
+            x, move, done = p @ x + q, later, done + 2**j
+    for _ in range(min(2, left - done)):
+        x = step @ x + lift
+    return x
+
+
 class _Season:
     """The games of one division and season, prepared for the batch rating."""
 
@@ -821,12 +858,12 @@ class _Season:
         for _ in range(10):
             use = np.where(out, 0, self.weight[:n])
             total = np.bincount(h, use, size) + np.bincount(a, use, size)
-            for _ in range(2000):
-                new = np.bincount(h, use * (rating[a] + x), size) + np.bincount(a, use * (rating[h] - x), size)
-                new = np.where(total > 0, new / np.where(total > 0, total, 1), self.base)
-                moved, rating = np.abs(new - rating).max(initial=0), new
-                if moved < tolerance:
-                    break
+            share = np.divide(use, total[h], out=np.zeros(n), where=total[h] > 0), np.divide(use, total[a], out=np.zeros(n), where=total[a] > 0)
+            step, lift = np.zeros((size, size)), np.where(total > 0, 0.0, self.base)
+            for t, rival, w, sign in ((h, a, share[0], 1), (a, h, share[1], -1)):
+                np.add.at(step, (t, rival), w)
+                np.add.at(lift, t, sign * w * x)
+            rating = settled(step, lift, rating, tolerance)
             gap = (rating[h] - rating[a]) * self.sign[:n]
             top = np.where(self.sign[:n] > 0, h, a)
             low = np.where(self.sign[:n] > 0, a, h)
@@ -918,17 +955,39 @@ def sweep(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFra
     return scores(sweep_predictions(games, rosters, clubs, stats, configs, plan), ["config"])
 
 
-def descend(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None, axes: list[tuple[str, list]], seasons: tuple[int, int], cfg: EloConfig | None = None, passes: int = 3, prune_eps: float = 3e-4) -> tuple[EloConfig, list[tuple[str, object, float]]]:
+def descend(games: DataFrame, rosters: DataFrame, clubs: DataFrame, stats: DataFrame | None, axes: list[tuple[str, list]], seasons: tuple[int, int], cfg: EloConfig | None = None, passes: int = 3, prune_eps: float = 3e-4, store: str | None = None) -> tuple[EloConfig, list[tuple[str, object, float]]]:
     """The configuration that coordinate descent finds, and its moves (axis, value, gain).
 
     Each axis takes the value with the least log-loss, weighted by games over
     divisions, in the given seasons, while that gains something; moves whose
     reversal costs no more than ``prune_eps`` are taken back, the smallest gain
-    first. All values of an axis are lanes of one replay.
+    first. All values of an axis are lanes of one replay. A configuration is
+    replayed once: its loss is kept under the hash of its options and of
+    ``seasons``, and with ``store``, a folder for the same tables, a descent that was
+    broken off finds there what it has tried.
     """
     start = cfg or EloConfig()
+    spark = games.sparkSession
+    known: dict[str, float] = {}
+    if store is not None:
+        try:
+            known = {r["trial"]: r["loss"] for r in spark.read.schema("trial string, loss double").parquet(store).collect()}  # a row per configuration
+        except AnalysisException:  # nothing has been tried
+            pass
+
+    def trial(c: EloConfig) -> str:
+        return hashlib.sha256(json.dumps([asdict(c), seasons], sort_keys=True, default=list).encode()).hexdigest()
 
     def losses(configs: list[EloConfig]) -> list[float]:
+        new = {trial(c): c for c in configs if trial(c) not in known}
+        if new:
+            tried = dict(zip(new, replayed_losses(list(new.values()))))
+            known.update(tried)
+            if store is not None:
+                spark.createDataFrame(list(tried.items()), "trial string, loss double").coalesce(1).write.mode("append").parquet(store)
+        return [known[trial(c)] for c in configs]
+
+    def replayed_losses(configs: list[EloConfig]) -> list[float]:
         pred = sweep_predictions(games, rosters, clubs, stats, configs).where(F.col("season").between(*seasons))
         per = scores(pred, ["config", "division"]).groupBy("config").agg((F.sum(F.col("n") * F.col("log_loss")) / F.sum("n")).alias("loss"))
         found = {r["config"]: r["loss"] for r in per.collect()}  # one row per configuration

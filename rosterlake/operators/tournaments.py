@@ -12,9 +12,9 @@ from rosterlake.operators.graph import written
 
 
 def fixtures(games: DataFrame) -> DataFrame:
-    """Games of an event in playing order: date, minutes, slot, key; a missing date comes last (T1). A published stage counts before the game's own."""
+    """Games of an event in playing order: date, minutes, the slot's number, key; a missing date comes last (T1). A published stage counts before the game's own."""
     done = (F.coalesce("status", F.lit("")) == "Final") & (F.coalesce("home_score", F.lit(0)) + F.coalesce("away_score", F.lit(0)) > 0)
-    order = W.partitionBy("event_id").orderBy(F.asc_nulls_last("date"), measures.minutes_of_day(F.col("time")), F.col("slot"), F.col("game_key"))
+    order = W.partitionBy("event_id").orderBy(F.asc_nulls_last("date"), measures.minutes_of_day(F.col("time")), measures.slot_number(F.col("slot").cast("string")), F.col("game_key"))
     stage = F.coalesce("stage_pub", "stage") if "stage_pub" in games.columns else F.col("stage")
     return games.select(
         "event_id", "game_key", stage.alias("stage"), "date", "home_id", "away_id", "home_score", "away_score", done.alias("done"), F.row_number().over(order).cast("long").alias("ord")
@@ -27,10 +27,23 @@ def labelled(fix: DataFrame) -> DataFrame:
 
 
 def champions(fix: DataFrame) -> DataFrame:
-    """The winner of an event's only decided final."""
-    finals = labelled(fix).where("kind = 'champ' and round = 0 and done")
+    """The winner of the final of an event's first title bracket, by its labels.
+
+    Every final is a tree of its own; the tree of more games comes first, then
+    that of the earlier final. Drawn games are in no tree.
+    """
+    trees = label_brackets(fix).where("kind = 'champ'")
+    size = trees.groupBy("event_id", "tree").agg(F.count("*").alias("size"))
     win = measures.winner(F.col("home_score"), F.col("away_score"), F.col("home_id"), F.col("away_id"))
-    return finals.groupBy("event_id").agg(F.count("*").alias("n"), F.first(win, ignorenulls=True).alias("champion")).where("n = 1 and champion is not null").select("event_id", "champion")
+    finals = labelled(fix).where("round = 0").select("event_id", "game_key", "ord", win.alias("champion"))
+    roots = trees.where("depth = 0").join(finals, ["event_id", "game_key"]).join(size, ["event_id", "tree"])
+    return _first_bracket(roots).select("event_id", "champion")
+
+
+def _first_bracket(roots: DataFrame) -> DataFrame:
+    """Of each event the final whose bracket comes first, from (event_id, size, ord, champion), unless it was drawn."""
+    order = W.partitionBy("event_id").orderBy(F.desc("size"), "ord")
+    return roots.withColumn("_n", F.row_number().over(order)).where("_n = 1 and champion is not null")
 
 
 def bracket_trees(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -53,11 +66,13 @@ def bracket_trees(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def series(events: DataFrame) -> DataFrame:
-    """Events by series with the series' label: its most frequent name, then the shortest, then the first."""
-    keyed = events.select("event_id", "name", names.series_key(F.col("name")).alias("series"))
-    counts = keyed.groupBy("series", "name").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
-    w = W.partitionBy("series").orderBy(F.desc("n"), F.length("name"), "first")
-    label = counts.withColumn("r", F.row_number().over(w)).where("r = 1").select("series", F.col("name").alias("label"))
+    """Events by series with the series' label: its most frequent name without the year, then the shortest, then the first by season and event."""
+    bare = F.btrim(F.regexp_replace("name", r"\s*\b(19|20)\d{2}\b\s*", " "), F.lit(" -\u2013"))
+    season = F.col("season") if "season" in events.columns else F.lit(0)
+    keyed = events.select("event_id", bare.alias("bare"), names.series_key(F.col("name")).alias("series"), F.struct(season.alias("s"), F.col("event_id").alias("e")).alias("at"))
+    counts = keyed.groupBy("series", "bare").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    w = W.partitionBy("series").orderBy(F.desc("n"), F.length("bare"), "first")
+    label = counts.withColumn("r", F.row_number().over(w)).where("r = 1").select("series", F.col("bare").alias("label"))
     size = keyed.groupBy("series").agg(F.count("*").alias("n_events"))
     return keyed.join(label, "series").join(size, "series").select("event_id", "series", "label", "n_events")
 
@@ -81,27 +96,41 @@ def event_facts(events: DataFrame, teams: DataFrame, champs: DataFrame, fix: Dat
 def sides(fix: DataFrame) -> DataFrame:
     """Each done game from both teams' side."""
     done = fix.where("done")
-    one = done.select("event_id", "stage", F.col("home_id").alias("team"), F.col("away_id").alias("rival"), F.col("home_score").alias("own"), F.col("away_score").alias("other"))
-    two = done.select("event_id", "stage", F.col("away_id").alias("team"), F.col("home_id").alias("rival"), F.col("away_score").alias("own"), F.col("home_score").alias("other"))
+    more = [c for c in ("stage", "pool") if c in fix.columns]
+    one = done.select("event_id", *more, F.col("home_id").alias("team"), F.col("away_id").alias("rival"), F.col("home_score").alias("own"), F.col("away_score").alias("other"))
+    two = done.select("event_id", *more, F.col("away_id").alias("team"), F.col("home_id").alias("rival"), F.col("away_score").alias("own"), F.col("home_score").alias("other"))
     return one.unionByName(two)
 
 
-def standings(fix: DataFrame) -> DataFrame:
-    """Pool tables: wins, then wins among equals, point difference, points, team (T11). Draws count for neither."""
-    rows = sides(fix.where(F.col("stage").startswith("Pool"))).withColumn("win", F.when(F.col("own") > F.col("other"), 1).otherwise(0))
-    table = rows.groupBy("event_id", "stage", "team").agg(F.sum("win").alias("wins"), F.sum(F.col("own") - F.col("other")).alias("diff"), F.sum("own").alias("points"))
-    tied = rows.join(table.select("event_id", "stage", "team", F.col("wins").alias("w")), ["event_id", "stage", "team"])
-    tied = tied.join(table.select("event_id", "stage", F.col("team").alias("rival"), F.col("wins").alias("rw")), ["event_id", "stage", "rival"]).where("w = rw")
-    head = tied.groupBy("event_id", "stage", "team").agg(F.sum("win").alias("head"))
-    out = table.join(head, ["event_id", "stage", "team"], "left").fillna(0, ["head"])
-    w = W.partitionBy("event_id", "stage").orderBy(F.desc("wins"), F.desc("head"), F.desc("diff"), F.desc("points"), "team")
+def _tables(rows: DataFrame, pool: str) -> DataFrame:
+    rows = rows.withColumn("win", F.when(F.col("own") > F.col("other"), 1).otherwise(0))
+    table = rows.groupBy("event_id", pool, "team").agg(F.sum("win").alias("wins"), F.sum(F.col("own") - F.col("other")).alias("diff"), F.sum("own").alias("points"))
+    tied = rows.join(table.select("event_id", pool, "team", F.col("wins").alias("w")), ["event_id", pool, "team"])
+    tied = tied.join(table.select("event_id", pool, F.col("team").alias("rival"), F.col("wins").alias("rw")), ["event_id", pool, "rival"]).where("w = rw")
+    head = tied.groupBy("event_id", pool, "team").agg(F.sum("win").alias("head"))
+    out = table.join(head, ["event_id", pool, "team"], "left").fillna(0, ["head"])
+    w = W.partitionBy("event_id", pool).orderBy(F.desc("wins"), F.desc("head"), F.desc("diff"), F.desc("points"), "team")
     return out.withColumn("place", F.row_number().over(w).cast("long"))
 
 
+def standings(fix: DataFrame) -> DataFrame:
+    """Tables of the pools that stages name: wins, then wins among equals, point difference, points, team (T11). Draws count for neither."""
+    return _tables(sides(fix.where(F.col("stage").startswith("Pool"))), "stage")
+
+
+def pool_standings(fix: DataFrame, pools: DataFrame) -> DataFrame:
+    """Tables of pools as from ``recover_pools``, keyed by the pool's number, with its ``later`` flag."""
+    rows = fix.join(pools.select("event_id", "game_key", "pool"), ["event_id", "game_key"])
+    later = pools.groupBy("event_id", "pool").agg(F.max("later").alias("later"))
+    return _tables(sides(rows), "pool").join(later, ["event_id", "pool"])
+
+
 def seeds(table: DataFrame) -> DataFrame:
-    """Seeds from pools: by place, then by pool."""
-    w = W.partitionBy("event_id").orderBy("place", "stage", "team")
-    return table.select("event_id", "team", "stage", "place", F.row_number().over(w).cast("long").alias("seed"))
+    """Seeds from ``pool_standings``: the pool's letter and the team's place in it; of a team's pools the first, later ones do not count."""
+    letter = F.when(F.col("pool") <= 26, F.chr(F.col("pool") + 64)).otherwise(F.col("pool").cast("string"))
+    order = W.partitionBy("event_id", "team").orderBy("pool")
+    first = table.where("not later").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return first.select("event_id", "team", "pool", "place", F.concat(letter, F.col("place").cast("string")).alias("seed"))
 
 
 def club_records(fix: DataFrame, clubs: DataFrame) -> DataFrame:
@@ -279,16 +308,17 @@ def decompose(fix: DataFrame, published: DataFrame | None = None) -> DataFrame:
 
 
 def decomposed_champions(fix: DataFrame, published: DataFrame | None = None) -> DataFrame:
-    """The winner of the one final of an event's title bracket, published or by labels (T6 on T5)."""
+    """The winner of the final of an event's first title bracket, published or by labels (T6 on T5); a drawn final crowns nobody."""
     places = decompose(fix, published)
     rank = measures.round_rank(F.col("stage"))
     title = places.where("bracket = 'champ' or bracket like 'champ %'").join(fix, ["event_id", "game_key"])
     if published is not None:
         title = title.join(published.select("event_id", "game_key", F.col("round").alias("_round")), ["event_id", "game_key"], "left")
         rank = F.when(F.col("bracket") == "champ", F.col("_round")).otherwise(rank)
-    finals = title.withColumn("rank", rank).where("rank = 0")
     win = measures.winner(F.col("home_score"), F.col("away_score"), F.col("home_id"), F.col("away_id"))
-    return finals.groupBy("event_id").agg(F.min_by(win, "ord").alias("champion"), F.count("*").alias("n_finals")).where("champion is not null").select("event_id", "champion")
+    size = title.groupBy("event_id", "bracket").agg(F.count("*").alias("size"))
+    finals = title.withColumn("rank", rank).where("rank = 0").select("event_id", "bracket", "ord", win.alias("champion")).join(size, ["event_id", "bracket"])
+    return _first_bracket(finals).select("event_id", "champion")
 
 
 def champion_audit(fix: DataFrame, published: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import measures, names
 from rosterlake.operators import api, batch_players, corpus, identity, rankings, ratings, tournaments, trends
-from rosterlake.plans.queries import AS_OF, _BARE, _CLUB, _CODES, _FIX, _GAMES, _KEYED, _NAMED, _POINTS, _PRO, _RATINGS, _best, _coded, _corpus, _keyed, _points, _pro, _published, _ratings, _refs, _replay, _stats, query
+from rosterlake.plans.queries import AS_OF, _BARE, _CLUB, _CODES, _FIX, _GAMES, _KEYED, _NAMED, _POINTS, _POOL, _PRO, _RATINGS, _best, _coded, _corpus, _keyed, _points, _pro, _published, _ratings, _refs, _replay, _STAND, _stats, query
 from rosterlake.sources import tables
-from rosterlake.operators.graph import written
+from rosterlake.operators.graph import fresh_folder, written
+from rosterlake.streaming import ingest
 
 # scalars ------------------------------------------------------------------------------
 
@@ -67,7 +69,7 @@ def _(v):
 @query("s1_typed_tables", " SELECT event_id, season, name, url, start_date, end_date, division FROM v_event")
 def _(v):
     """Events written as CSV and read with their types."""
-    folder = v.event.inputFiles()[0].rsplit("/", 2)[0] + "/typed"
+    folder = fresh_folder(v.spark, "typed")
     tables.write_table(v.event.select("event_id", "season", "name", "url", F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("state"), "start_date", "end_date", "division", F.lit(None).cast("boolean").alias("complete")), f"{folder}/events.csv", "csv")
     return tables.read_table(v.spark, "events", folder, "csv").select("event_id", "season", "name", "url", "start_date", "end_date", "division")
 
@@ -543,3 +545,127 @@ def _(v):
     games, rosters, clubs, stats = _corpus(v)
     days = [r["date"] for r in games.where(F.col("date") <= AS_OF).select("date").distinct().orderBy(F.desc("date")).limit(3).collect()]
     return batch_players.walk_forward_players(games, rosters, clubs, stats, sorted(days))
+
+
+# streams ------------------------------------------------------------------------------
+
+
+def _deliveries(v, *parts: DataFrame) -> tuple[DataFrame, str]:
+    """A stream that reads the parts one after the other, and a folder for what it leaves."""
+    folder = fresh_folder(v.spark, "stream")
+    for n, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{folder}/in/n={n}")
+    stream = v.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/n=*")
+    return stream, folder
+
+
+@query("st1_deliveries_in_any_order", " SELECT * FROM v_game WHERE event_id NOT IN (SELECT event_id FROM v_game_b WHERE event_id % 5 = 0) UNION ALL SELECT * FROM v_game_b WHERE event_id % 5 = 0")
+def _(v):
+    """A newer delivery of some events comes first, then the older one of all events, twice."""
+    old, new = v.game.withColumn("version", F.lit(1).cast("long")), v.game_b.where("event_id % 5 = 0").withColumn("version", F.lit(2).cast("long"))
+    stream, folder = _deliveries(v, new, old, old)
+    ingest.start_ingest(stream, f"{folder}/log", f"{folder}/checkpoint", once=True).awaitTermination()
+    return ingest.current_events(v.spark, f"{folder}/log").drop("version")
+
+
+@query("st2_lines_of_ended_days", """, lines AS (SELECT s.event_team_id, end_date, player_id, COALESCE(TRY_CAST(points AS INT), 0) p, COALESCE(TRY_CAST(assists AS INT), 0) a,
+    COALESCE(TRY_CAST(ds AS INT), 0) d, COALESCE(TRY_CAST(turns AS INT), 0) t FROM v_stat s JOIN v_team USING (event_team_id) JOIN v_event e ON e.event_id = v_team.event_id WHERE end_date IS NOT NULL),
+  w AS (SELECT *, SUM(p + a + d + t) OVER x AS total, COUNT(*) OVER x AS n FROM lines WINDOW x AS (PARTITION BY event_team_id, end_date)), good AS (SELECT * FROM w WHERE total > 0 AND n >= 2)
+  SELECT event_team_id, CAST(end_date + 1 AS DATE) AS acts_from, COUNT(*) AS n_lines, SUM(p + a + d - t)::DOUBLE AS quality FROM good WHERE end_date < (SELECT MAX(end_date) FROM good) GROUP BY event_team_id, end_date""")
+def _(v):
+    stats = corpus.load_stat_events(v.stat, v.team, v.event)
+    rows = stats.select("event_team_id", F.col("end_date").cast("timestamp").alias("ended"), "player_id", "usage", F.col("quality").cast("double").alias("quality"))
+    stream, folder = _deliveries(v, rows)
+    out = ingest.deferred_stats(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    out.awaitTermination()
+    found = v.spark.read.parquet(f"{folder}/out")
+    return found.select("event_team_id", "acts_from", F.size("lines").cast("long").alias("n_lines"), F.aggregate("lines", F.lit(0.0), lambda s, x: s + x["quality"]).alias("quality"))
+
+
+_POOLS = _POOL.replace("one AS (SELECT season, division,", "one AS (SELECT season || ' ' || division AS season, division,").replace("PARTITION BY season ORDER BY date, clock, event_id, game_key", "PARTITION BY season, division ORDER BY date, clock, game_key")
+
+
+@query("st3_team_elo_of_a_stream", _POOLS + " SELECT game_key, ROUND(expected, 6) AS expected FROM fold WHERE step > 0")
+def _(v):
+    """Games delivered up to four days late, in four parts; a last game of a far day lets all others pass."""
+    club = lambda side: v.clubs.select(F.col("event_team_id").alias(f"{side}_id"), F.col("club").alias(f"{side}_club"))
+    played = F.to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), "clock"), "yyyy-MM-dd HH:mm")
+    rows = v.games.join(club("home"), "home_id").join(club("away"), "away_id")
+    rows = rows.select("season", "division", "game_key", played.alias("played"), "home_club", "away_club", "home_score", "away_score")
+    comes = F.unix_timestamp("played") + F.pmod(F.col("game_key") * 37, F.lit(5)) * 86_400
+    rows = written(rows.withColumn("comes", comes), "games")
+    cuts = rows.approxQuantile("comes", [0.25, 0.5, 0.75], 0.01)
+    part = lambda n: reduce(lambda a, b: a & b, ([F.col("comes") > cuts[n - 1]] if n else []) + ([F.col("comes") <= cuts[n]] if n < 3 else []))
+    last = rows.limit(1).select(F.lit(0).alias("season"), F.lit("none").alias("division"), F.lit(-1).cast("long").alias("game_key"), F.lit("2199-01-01").cast("timestamp").alias("played"), F.lit("a").alias("home_club"), F.lit("b").alias("away_club"), F.lit(1).alias("home_score"), F.lit(0).alias("away_score"))
+    stream, folder = _deliveries(v, *[rows.where(part(n)).drop("comes") for n in range(4)], last)
+    out = ingest.streaming_team_elo(stream, "5 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return v.spark.read.parquet(f"{folder}/out").select("game_key", F.round("expected", 6).alias("expected"))
+
+
+# scalars and pages without a query so far --------------------------------------------
+
+
+@query("f_weights", """ SELECT game_key, ROUND(pow(2, (game_key % 20) / GREATEST(game_key % 25, 1)::DOUBLE) / 2, 9) AS date_weight, ROUND(pow(0.5, (game_key % 700) / 126.0::DOUBLE), 9) AS half_life,
+    ROUND(1 / sqrt(1 + 3 * pow((game_key % 350) / 173.7178::DOUBLE, 2) / (pi() * pi())), 9) AS g, ROUND(sqrt(LEAST(1.0, (most + GREATEST(least, (most - 1) // 2)) / 19.0::DOUBLE)), 9) AS score_weight
+  FROM (SELECT game_key, GREATEST(home_score, away_score) AS most, LEAST(home_score, away_score) AS least FROM v_game)""")
+def _(v):
+    k, h, a = F.col("game_key"), F.col("home_score"), F.col("away_score")
+    return v.game.select(
+        "game_key", F.round(measures.date_weight(k % 20, k % 25), 9).alias("date_weight"), F.round(measures.half_life(k % 700, 126.0), 9).alias("half_life"),
+        F.round(measures.glicko_g((k % 350) / 173.7178), 9).alias("g"), F.round(measures.score_weight(F.greatest(h, a), F.least(h, a)), 9).alias("score_weight"),
+    )
+
+
+@query("f_keys_and_stages", """, s AS (SELECT DISTINCT name, lower(trim(regexp_replace(regexp_replace(strip_accents(name), '[.’'']', '', 'g'), '\\s+', ' ', 'g'))) AS folded FROM v_roster)
+  SELECT name, folded, CASE length(name) % 4 WHEN 0 THEN 'euf-open' WHEN 1 THEN 'euf-women' WHEN 2 THEN 'euf-women-masters' END AS division FROM s""")
+def _(v):
+    n = F.length("name") % 4
+    stage = F.when(n == 0, "Men").when(n == 1, "Women Semi Finals").when(n == 2, "Women Masters Pool A").otherwise("Womens Final")
+    kinds = {"Men": "euf-open", "Women": "euf-women", "Women Masters": "euf-women-masters"}
+    return v.roster.select("name").distinct().select("name", names.folded_name_key(F.col("name")).alias("folded"), names.stage_division(stage, kinds).alias("division"))
+
+
+@query("f24_combined_hash", """ SELECT division, sha256(string_agg(url, chr(10) ORDER BY url)) AS hash FROM v_event GROUP BY division""")
+def _(v):
+    return v.event.groupBy("division").agg(names.combined_hash(F.collect_list("url")).alias("hash"))
+
+
+@query("a6_nested_standings", _STAND + " SELECT event_id, stage, place, team FROM stand")
+def _(v):
+    """The pools' tables nested by stage, and flat again."""
+    table = tournaments.standings(tournaments.fixtures(v.game))
+    one = table.groupBy("event_id", "stage").agg(F.sort_array(F.collect_list(F.struct("place", "team"))).alias("teams"))
+    return api.flatten_standings(one.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", "teams"))).alias("stages")))
+
+
+@query("a7_response_states", """ SELECT game_key, CASE WHEN game_key % 7 = 0 THEN 'restricted' WHEN game_key % 5 = 0 THEN 'incomplete' WHEN away_score = 0 THEN 'empty' ELSE 'ok' END AS state FROM v_game""")
+def _(v):
+    k = F.col("game_key")
+    status = F.when(k % 7 == 0, F.when(k % 2 == 0, 401).otherwise(403)).otherwise(200)
+    return v.game.select("game_key", api.response_state(status, F.col("away_score"), k % 5 != 0).alias("state"))
+
+
+@query("q4_event_entries", """ SELECT r.event_team_id, r.player_id, r.team AS team_id, e.event_id, e.name AS event, e.season, e.division, e.start_date FROM v_roster r JOIN v_event e ON e.event_id = r.event_id""")
+def _(v):
+    teams = v.team.select("event_team_id", F.col("team").alias("team_id"), "event_id")
+    return api.event_roster_entries(v.roster.select("event_team_id", "player_id"), teams, v.event)
+
+
+@query("s22_tables_in_three_formats", " SELECT 'csv' AS kind, event_id, name FROM v_event UNION ALL SELECT 'json', event_id, name FROM v_event UNION ALL SELECT 'parquet', event_id, name FROM v_event")
+def _(v):
+    """Events written and read as CSV, JSON and Parquet."""
+    rows = v.event.select(*[F.col(c.split()[0]) if c.split()[0] in v.event.columns else F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in tables.SCHEMAS["events"].split(", ")])
+    parts, folder = [], fresh_folder(v.spark, "formats")
+    for kind in ("csv", "json", "parquet"):
+        tables.write_table(rows, f"{folder}/{kind}/events.{kind}", kind)
+        parts.append(tables.read_table(v.spark, "events", f"{folder}/{kind}", kind).select(F.lit(kind).alias("kind"), "event_id", "name"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("s23_buckets", " SELECT game_key % 16 AS bucket, COUNT(*) AS n, SUM(home_score)::BIGINT AS points FROM v_game GROUP BY 1")
+def _(v):
+    """Games dealt over buckets of their key on disk."""
+    folder = fresh_folder(v.spark, "buckets")
+    tables.write_buckets(v.game, folder, "game_key", 16)
+    return v.spark.read.parquet(folder).groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count("*").alias("n"), F.sum("home_score").alias("points"))

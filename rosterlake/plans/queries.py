@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rosterlake import vocab
 from rosterlake.functions import measures, names
 from rosterlake.operators import api, corpus, identity, metrics, rankings, ratings, tournaments, trends
+from rosterlake.operators.graph import written
 from rosterlake.sources import tables
 from rosterlake.sources.demo import duck_with, kept, view
 
@@ -211,12 +213,11 @@ def _(v):
 
 
 @query("f_times", """ SELECT game_key, CASE WHEN time IS NULL THEN '23:59' ELSE strftime(strptime(time, '%I:%M %p'), '%H:%M') END AS clock,
-    CASE WHEN time IS NULL THEN 10000 ELSE (date_part('hour', strptime(time, '%I:%M %p')) * 60 + date_part('minute', strptime(time, '%I:%M %p')))::INT END AS minutes,
     CASE WHEN game_key % 2 = 0 THEN (game_key % 8)::INT * 12 + (game_key % 12)::INT END AS inches FROM v_game""")
 def _(v):
     k = F.col("game_key")
     height = F.when(k % 2 == 0, F.concat((k % 8).cast("string"), F.lit("'"), (k % 12).cast("string"), F.lit('"'))).otherwise("tall")
-    return v.game.select("game_key", measures.clock(F.col("time")).alias("clock"), measures.minutes_of_day(F.col("time")).alias("minutes"), measures.inches(height).alias("inches"))
+    return v.game.select("game_key", measures.clock(F.col("time")).alias("clock"), measures.inches(height).alias("inches"))
 
 
 # what each label of the demo names, by the rules for rounds, places and games to go
@@ -450,6 +451,12 @@ def _(v):
     return ratings.replay_glicko2(*_corpus(v)).state
 
 
+@query("r4_walk_forward")
+def _(v):
+    """The rating difference before every game, from the earlier days of its season."""
+    return ratings.walk_forward(v.games, v.clubs)
+
+
 @query("r4_batch_teams")
 def _(v):
     return ratings.rate_teams_batch(v.games, v.clubs)
@@ -475,6 +482,14 @@ def _(v):
     return ratings.sweep(*_corpus(v, False), configs)
 
 
+@query("r7a_descent")
+def _(v):
+    """The moves of a descent over two options."""
+    axes = [("k", [24.0, 72.0]), ("tau", [150.0])]
+    _, moves = ratings.descend(*_corpus(v, False), axes, (1995, 1998), passes=1)
+    return v.spark.createDataFrame([(i, axis, float(x), gain) for i, (axis, x, gain) in enumerate(moves)], "step int, axis string, value double, gain double")
+
+
 # predictions of a fixed rating, to score in both engines
 _PRED = _GAMES + ", pred AS (SELECT game_key, event_id, season, division, date, 1 / (1 + pow(10, ((game_key * 7) % 21 - 10) / 20.0)) AS expected, CASE WHEN home_score > away_score THEN 1.0 WHEN home_score < away_score THEN 0.0 ELSE 0.5 END AS outcome FROM games)"
 _SCORES = """COUNT(*) AS n, ROUND(AVG(CASE WHEN (expected > 0.5 AND outcome = 1) OR (expected < 0.5 AND outcome = 0) THEN 1.0 ELSE 0.0 END), 9) AS accuracy, ROUND(AVG(pow(expected - outcome, 2)), 9) AS brier,
@@ -604,13 +619,38 @@ def _(v):
 
 _FIX = f""", fix AS (SELECT event_id, game_key, stage, date, home_id, away_id, home_score, away_score, status = 'Final' AND home_score + away_score > 0 AS done,
     ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY date NULLS LAST, CASE WHEN time IS NULL THEN 10000 ELSE date_part('hour', strptime(time, '%I:%M %p')) * 60 + 15 END, slot, game_key) AS ord FROM v_game),
-  champs AS (SELECT event_id, MIN(CASE WHEN home_score > away_score THEN home_id WHEN away_score > home_score THEN away_id END) AS champion FROM fix WHERE {_KIND} = 'champ' AND {_RANK} = 0 AND done GROUP BY event_id
-    HAVING COUNT(*) = 1 AND champion IS NOT NULL)"""
+  c_games AS (SELECT event_id, ord, {_RANK} AS rank, home_id, away_id, CASE WHEN home_score > away_score THEN home_id WHEN away_score > home_score THEN away_id END AS win FROM fix WHERE {_KIND} = 'champ' AND done),
+  c_slots AS (SELECT event_id, ord, team, ROW_NUMBER() OVER (PARTITION BY event_id, team ORDER BY ord, side) AS nth
+    FROM (SELECT event_id, ord, home_id AS team, 0 AS side FROM c_games WHERE rank = 0 AND win IS NOT NULL UNION ALL SELECT event_id, ord, away_id, 1 FROM c_games WHERE rank = 0 AND win IS NOT NULL)),
+  c_semis AS (SELECT event_id, win AS team, COUNT(*) AS n FROM c_games WHERE rank = 1 AND win IS NOT NULL GROUP BY ALL),
+  c_sizes AS (SELECT event_id, ord, SUM((COALESCE(n, 0) >= nth)::INT) AS more FROM c_slots LEFT JOIN c_semis USING (event_id, team) GROUP BY ALL),
+  champs AS (SELECT event_id, win AS champion FROM c_games JOIN c_sizes USING (event_id, ord) WHERE rank = 0 AND win IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY more DESC, ord) = 1)"""
+# a final's tree has the semi-finals that its teams won, each used once; the demo has no champion's quarter-finals that would go further
+
+
+# times of several spellings and slots of several digits
+_TIME = "CASE game_key % 6 WHEN 0 THEN time WHEN 1 THEN replace(time, ' AM', 'am') WHEN 2 THEN '8:15p' WHEN 3 THEN '13:0' || (game_key % 10) WHEN 4 THEN '9:00 AM ET' ELSE 'noon' END"
+_MINUTES = f"""CASE WHEN regexp_matches({_TIME}, '^\\s*\\d{{1,2}}:\\d{{2}}') THEN (regexp_extract({_TIME}, '^\\s*(\\d{{1,2}}):', 1)::INT % 12 + CASE WHEN regexp_matches({_TIME}, '^\\s*\\d{{1,2}}:\\d{{2}}\\s*[Pp]') THEN 12 ELSE 0 END) * 60
+    + regexp_extract({_TIME}, ':(\\d{{2}})', 1)::INT ELSE 10000 END"""
+_SLOT = "CASE game_key % 3 WHEN 0 THEN 'F' || (game_key % 12) WHEN 1 THEN 'A1-B' || (game_key % 12) END"
+
+
+def _spelled(v) -> DataFrame:
+    k, one = F.col("game_key"), F.lit(":0")
+    time = F.when(k % 6 == 0, F.col("time")).when(k % 6 == 1, F.replace("time", F.lit(" AM"), F.lit("am"))).when(k % 6 == 2, "8:15p").when(k % 6 == 3, F.concat(F.lit("13"), one, (k % 10).cast("string"))).when(k % 6 == 4, "9:00 AM ET").otherwise("noon")
+    slot = F.when(k % 3 == 0, F.concat(F.lit("F"), (k % 12).cast("string"))).when(k % 3 == 1, F.concat(F.lit("A1-B"), (k % 12).cast("string")))
+    return v.game.withColumns({"time": time, "slot": slot})
+
+
+@query("f_minutes_and_slots", f"SELECT game_key, {_MINUTES}::INT AS minutes, COALESCE(TRY_CAST(regexp_replace({_SLOT}, '\\D', '', 'g') AS BIGINT), 1000000000) AS slot FROM v_game")
+def _(v):
+    return _spelled(v).select("game_key", measures.minutes_of_day(F.col("time")).alias("minutes"), measures.slot_number(F.col("slot")).alias("slot"))
 
 
-@query("t1_fixtures", _FIX + " SELECT * FROM fix")
+@query("t1_fixtures", f"""SELECT event_id, game_key, stage, date, home_id, away_id, home_score, away_score, status = 'Final' AND home_score + away_score > 0 AS done,
+  ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY date NULLS LAST, {_MINUTES}, COALESCE(TRY_CAST(regexp_replace({_SLOT}, '\\D', '', 'g') AS BIGINT), 1000000000), game_key) AS ord FROM v_game""")
 def _(v):
-    return tournaments.fixtures(v.game)
+    return tournaments.fixtures(_spelled(v))
 
 
 @query("t6_champions", _FIX + " SELECT * FROM champs")
@@ -632,7 +672,8 @@ _SERIES = """CASE WHEN name LIKE 'National%' THEN 'national championship' WHEN n
 
 
 @query("t8_series", f""", s AS (SELECT event_id, name, {_SERIES} AS series FROM v_event),
-  c AS (SELECT series, name, COUNT(*) n, MIN(event_id) f FROM s GROUP BY ALL), l AS (SELECT series, name AS label FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY series ORDER BY n DESC, length(name), f) = 1)
+  b AS (SELECT s.event_id, s.series, season, trim(regexp_replace(s.name, '\\s*\\b(19|20)\\d{{2}}\\b\\s*', ' ', 'g'), ' -–') AS bare FROM s JOIN v_event USING (event_id)),
+  c AS (SELECT series, bare, COUNT(*) n, MIN({{'s': season, 'e': event_id}}) f FROM b GROUP BY ALL), l AS (SELECT series, bare AS label FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY series ORDER BY n DESC, length(bare), f) = 1)
   SELECT event_id, series, label, COUNT(*) OVER (PARTITION BY series) AS n_events FROM s JOIN l USING (series)""")
 def _(v):
     return tournaments.series(v.event)
@@ -682,9 +723,34 @@ def _(v):
     return tournaments.standings(tournaments.fixtures(v.game))
 
 
-@query("t12_seeds", _STAND + " SELECT event_id, team, stage, place, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY place, stage, team) AS seed FROM stand")
+# pools of the demo: numbered by their letters, the last one played later
+_POOLED = _STAND + """, numbered AS (SELECT event_id, stage, DENSE_RANK() OVER (PARTITION BY event_id ORDER BY stage) AS pool, stage = 'Pool D' AS later FROM (SELECT DISTINCT event_id, stage FROM v_game WHERE stage LIKE 'Pool%')),
+  pooled AS (SELECT event_id, pool, team, wins, diff, points, head, place, later FROM stand JOIN numbered USING (event_id, stage))"""
+
+
+def _pooled(v) -> DataFrame:
+    fix = tournaments.fixtures(v.game)
+    labelled = v.game.where(F.col("stage").startswith("Pool"))
+    numbers = labelled.select("event_id", "stage").distinct().withColumn("pool", F.dense_rank().over(W.partitionBy("event_id").orderBy("stage")).cast("long"))
+    pools = labelled.join(numbers, ["event_id", "stage"]).select("event_id", "pool", "game_key", (F.col("stage") == "Pool D").alias("later"))
+    return tournaments.pool_standings(fix, pools)
+
+
+@query("t11_pool_standings", _POOLED + " SELECT * FROM pooled")
+def _(v):
+    return _pooled(v)
+
+
+@query("t12_seeds", _POOLED + " SELECT event_id, team, pool, place, chr((64 + pool)::INT) || place AS seed FROM pooled WHERE NOT later QUALIFY ROW_NUMBER() OVER (PARTITION BY event_id, team ORDER BY pool) = 1")
+def _(v):
+    return tournaments.seeds(_pooled(v))
+
+
+@query("t12_recovered_seeds")
 def _(v):
-    return tournaments.seeds(tournaments.standings(tournaments.fixtures(v.game)))
+    """Seeds from the pools that who met whom tells."""
+    fix = tournaments.fixtures(v.game)
+    return tournaments.seeds(tournaments.pool_standings(fix, written(tournaments.recover_pools(fix), "pools")))
 
 
 @query("t13_club_records", _FIX + _CLUB + """, si AS (SELECT event_id, home_id AS team, away_id AS rival, home_score AS own, away_score AS other FROM fix WHERE done UNION ALL SELECT event_id, away_id, home_id, away_score, home_score FROM fix WHERE done)

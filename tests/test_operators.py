@@ -45,9 +45,11 @@ def test_tiers_and_series(spark):
 
 
 def test_times(spark):
-    df = spark.createDataFrame([("1:05 PM",), ("12:00 AM",), ("13:05",), ("late",), (None,)], "t string")
+    df = spark.createDataFrame([("1:05 PM",), ("12:00 AM",), ("13:05",), ("late",), (None,), ("1:05pm",), ("8:15p",), ("9:00 AM ET",), ("12:30",)], "t string")
     got = [tuple(r) for r in df.select(measures.clock(F.col("t")), measures.minutes_of_day(F.col("t"))).collect()]
-    assert got == [("13:05", 785), ("00:00", 0), ("23:59", 785), ("23:59", 10000), ("23:59", 10000)]
+    assert got == [("13:05", 785), ("00:00", 0), ("23:59", 65), ("23:59", 10000), ("23:59", 10000), ("23:59", 785), ("23:59", 1215), ("23:59", 540), ("23:59", 30)]
+    slots = spark.createDataFrame([("A1-B12",), ("F3",), ("",), (None,), ("Field",)], "s string")
+    assert [r[0] for r in slots.select(measures.slot_number(F.col("s"))).collect()] == [112, 3, 10**9, 10**9, 10**9]
 
 
 def test_game_x_of_the_published_score(spark):
@@ -182,3 +184,28 @@ def test_published_structure_changes_the_champion(spark):
     df = spark.createDataFrame([(1, k, *r, True, k) for k, r in enumerate(rows)], "event_id long, game_key long, stage string, home_id string, away_id string, home_score int, away_score int, done boolean, ord long").withColumn("date", F.lit("2020-01-01").cast("date"))
     published = spark.createDataFrame([(1, 1, "main", 0, 1, "Finals")], "event_id long, game_key long, bracket string, round int, place int, stage string")
     assert values(tournaments.champion_audit(df, published)) == [(1, "a", "c")]
+
+
+def bracket_frame(spark, rows):
+    df = spark.createDataFrame([(1, k, *r, True, k) for k, r in enumerate(rows)], "event_id long, game_key long, stage string, home_id string, away_id string, home_score int, away_score int, done boolean, ord long")
+    return df.withColumn("date", F.lit("2020-01-01").cast("date"))
+
+
+def test_of_two_finals_the_larger_tree_crowns(spark):
+    rows = [("Finals", "a", "b", 9, 3), ("Semi Finals", "c", "x", 9, 3), ("Semi Finals", "d", "y", 9, 3), ("Finals", "c", "d", 9, 3)]
+    assert values(tournaments.champions(bracket_frame(spark, rows))) == [(1, "c")]
+    assert values(tournaments.champions(bracket_frame(spark, rows[:1] + rows[3:]))) == [(1, "a")]
+    assert values(tournaments.champions(bracket_frame(spark, [("Semi Finals", "a", "b", 9, 3)]))) == []
+    assert values(tournaments.decomposed_champions(bracket_frame(spark, rows))) == [(1, "c")]
+
+
+def test_series_labels_have_no_year(spark):
+    rows = [(3, "Cup 2020", 2020), (1, "Cup 2018", 2018), (2, "Cup 2019 - ICC", 2019), (4, "Other 1999", 1999)]
+    got = {r.event_id: r.label for r in tournaments.series(spark.createDataFrame(rows, "event_id long, name string, season int")).collect()}
+    assert got == {1: "Cup", 2: "Cup", 3: "Cup", 4: "Other"}
+
+
+def test_seeds_come_from_a_team_s_first_pool(spark):
+    table = [(1, 1, "a", 1, False), (1, 1, "b", 2, False), (1, 2, "c", 1, False), (1, 2, "a", 2, False), (1, 3, "d", 1, True), (2, 27, "z", 3, False)]
+    got = tournaments.seeds(spark.createDataFrame(table, "event_id long, pool long, team string, place long, later boolean"))
+    assert values(got.select("event_id", "team", "seed")) == [(1, "a", "A1"), (1, "b", "A2"), (1, "c", "B1"), (2, "z", "273")]

@@ -348,3 +348,40 @@ def test_glicko_levels_give_what_single_periods_give(period):
             assert (got[p].games, got[p].seen) == (x["n"], x["seen"]) and (x["last"] is None) == (got[p].last_day != got[p].last_day or got[p].last_day is pd.NA)
         moves = {r.game_key: r.expected for r in out[out["kind"] == "move"].itertuples()}
         assert moves == pytest.approx(chances, abs=1e-9)
+
+
+def test_doubling_stops_where_plain_iteration_stops():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 12):
+        for case in range(8):
+            step = rng.random((n, n)) * (rng.random((n, n)) < (0.3 if case % 2 else 1.0))
+            total = step.sum(1, keepdims=True)
+            step = np.divide(step, total, out=np.zeros_like(step), where=total > 0)
+            if case == 3 and n > 1:
+                step[:2] = 0
+                step[0, 1] = step[1, 0] = 1.0  # a pair that swings for ever
+            lift, x = rng.normal(size=n), rng.normal(size=n) * 100
+            lift -= lift.mean() * (case % 3 > 0)
+            want, most = x, [2000, 31, 32, 33, 34, 100][case % 6]
+            for _ in range(most):
+                new = step @ want + lift
+                moved, want = np.abs(new - want).max(), new
+                if moved < 1e-3:
+                    break
+            assert ratings.settled(step, lift, x, 1e-3, most) == pytest.approx(want, rel=1e-9, abs=1e-7)
+
+
+def test_a_descent_tries_each_configuration_once(spark, tmp_path, monkeypatch):
+    corpus = history(spark, 3, 24)
+    tried = []
+    plain = ratings.sweep_predictions
+    monkeypatch.setattr(ratings, "sweep_predictions", lambda *a, **k: (tried.extend((c.k, c.tau) for c in a[4]), plain(*a, **k))[1])
+    args = (*corpus[:3], None, [("k", [24.0, 96.0]), ("tau", [100.0])], (2020, 2021))
+    found, moves = ratings.descend(*args, passes=2, store=str(tmp_path / "trials"))
+    assert len(tried) == len(set(tried))
+    n = len(tried)
+    again, same = ratings.descend(*args, passes=2, store=str(tmp_path / "trials"))
+    assert len(tried) == n and (again, same) == (found, moves)
+    grid = {(k, t): ratings.EloConfig(k=k, tau=t) for k in (24.0, 48.0, 96.0) for t in (100.0, 500.0)}
+    losses = {r["config"]: r["loss"] for r in ratings.scores(plain(*corpus[:3], None, list(grid.values())), ["config", "division"]).groupBy("config").agg((F.sum(F.col("n") * F.col("log_loss")) / F.sum("n")).alias("loss")).collect()}
+    assert losses[list(grid).index((found.k, found.tau))] <= losses[list(grid).index((48.0, 500.0))]
