@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -236,42 +238,61 @@ def published_brackets(fix: DataFrame) -> DataFrame:
     return root.where("roots = 1").select("event_id", "bracket", kind.alias("kind"), "n_games")
 
 
-_TREES = "event_id long, kind string, tree long, game_key long, depth long"
+def bracket_slots(fix: DataFrame) -> DataFrame:
+    """The brackets that stage labels name as padded trees (T3): (event_id, kind, tree, depth, slot, game_key, ord).
+
+    Every final of a kind of bracket roots a tree; without one all games of the
+    innermost round that there is are the roots of one tree. The slots 2 s and
+    2 s + 1 of the next depth lead to the home and the away team of slot s: each
+    holds the game of the next round that the team won, or null for a bye or a
+    team that came from elsewhere. A game stands in one slot: of several
+    requests for a team's games, by tree and slot, the first gets the first. A
+    tree ends above the first depth without a game. Drawn games are in no tree.
+    """
+    win = measures.winner(F.col("home_score"), F.col("away_score"), F.col("home_id"), F.col("away_id"))
+    rows = labelled(fix).where("kind is not null and done").withColumn("winner", win).where("winner is not null")
+    inner = rows.groupBy("event_id", "kind").agg(F.min("round").alias("inner"))
+    own = W.partitionBy("event_id", "kind", "round", "winner").orderBy("ord")
+    rows = rows.join(inner, ["event_id", "kind"]).select("event_id", "kind", "inner", "round", "game_key", "ord", "home_id", "away_id", F.col("winner").alias("team"), F.row_number().over(own).alias("nth"))
+    rows = written(rows, "knockout")
+    n = F.row_number().over(W.partitionBy("event_id", "kind").orderBy("ord")).cast("long")
+    final = F.col("inner") == 0
+    level = rows.where("round = inner").select("event_id", "kind", F.when(final, n).otherwise(1).cast("long").alias("tree"), F.lit(0).cast("long").alias("depth"), F.when(final, 0).otherwise(n - 1).cast("long").alias("slot"), "game_key", "ord", "home_id", "away_id")
+    levels = [written(level, "slots")]
+    asks = W.partitionBy("event_id", "kind", "team").orderBy("tree", "slot")
+    while True:
+        depth = len(levels)
+        sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("home_id").alias("team")), F.struct(F.lit(1).alias("side"), F.col("away_id").alias("team")))).alias("s")
+        asked = levels[-1].select("event_id", "kind", "tree", "slot", sides).select("event_id", "kind", "tree", (2 * F.col("slot") + F.col("s.side")).alias("slot"), "s.team")
+        asked = asked.withColumn("nth", F.row_number().over(asks))
+        feeders = rows.where(F.col("round") == F.col("inner") + depth).select("event_id", "kind", "team", "nth", "game_key", "ord", "home_id", "away_id")
+        level = asked.join(feeders, ["event_id", "kind", "team", "nth"], "left")
+        level = level.withColumn("any", F.max(F.col("game_key").isNotNull()).over(W.partitionBy("event_id", "kind", "tree"))).where("any")
+        level = written(level.select("event_id", "kind", "tree", F.lit(depth).cast("long").alias("depth"), "slot", "game_key", "ord", "home_id", "away_id"), "slots")
+        if not level.limit(1).count():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels).drop("home_id", "away_id")
 
 
 def label_brackets(fix: DataFrame) -> DataFrame:
-    """Trees of games from stage labels alone (T3): (event_id, kind, tree, game_key, depth).
+    """The games of ``bracket_slots``: (event_id, kind, tree, game_key, depth)."""
+    return bracket_slots(fix).where("game_key is not null").select("event_id", "kind", "tree", "game_key", "depth")
 
-    Every final of a kind of bracket roots a tree; without one all games of the
-    innermost round that there is are the roots of one tree. The game of the
-    next round that a team won leads to the game that it plays, and a game is
-    used once. Drawn games are in no tree. A group is the games of one event.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for kind, part in pdf.sort_values("ord").groupby("kind"):
-            rounds = {r: list(g.itertuples()) for r, g in part.groupby("round")}
-            used: set = set()
-            inner = min(rounds)
-            roots = [[g] for g in rounds[inner]] if inner == 0 else [rounds[inner]]
-            for tree, level in enumerate(roots, 1):
-                used |= {g.game_key for g in level}
-                depth = 0
-                while level:
-                    out += [(g.event_id, kind, tree, g.game_key, depth) for g in level]
-                    outer = []
-                    for team in (t for g in level for t in (g.home_id, g.away_id)):
-                        feeder = next((g for g in rounds.get(inner + depth + 1, ()) if g.game_key not in used and g.winner == team), None)
-                        if feeder is not None:
-                            used.add(feeder.game_key)
-                            outer.append(feeder)
-                    level, depth = outer, depth + 1
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _TREES.split(", ")])
+def bracket_order(slots: DataFrame) -> DataFrame:
+    """The brackets of ``bracket_slots`` with their number of games and their place in an event's order.
 
-    win = measures.winner(F.col("home_score"), F.col("away_score"), F.col("home_id"), F.col("away_id"))
-    rows = labelled(fix).where("kind is not null and done").withColumn("winner", win).where("winner is not null")
-    return rows.groupBy("event_id").applyInPandas(run, _TREES)
+    The title's come first, then those for a place by that place, then others;
+    larger trees before smaller ones, then kinds and trees in playing order.
+    """
+    trees = slots.groupBy("event_id", "kind", "tree").agg(F.count("game_key").alias("n_games"))
+    kinds = slots.groupBy("event_id", "kind").agg(F.min("ord").alias("first"))
+    place = F.regexp_extract("kind", r"^(\d+)(?:st|nd|rd|th)$", 1).try_cast("int")
+    group = F.when(F.col("kind") == "champ", 0).when(place.isNotNull(), 1).otherwise(2)
+    order = W.partitionBy("event_id").orderBy("group", F.coalesce("number", F.lit(0)), F.desc("n_games"), "first", "tree")
+    rows = trees.join(kinds, ["event_id", "kind"]).withColumns({"group": group, "number": place})
+    return rows.withColumn("position", F.row_number().over(order).cast("long")).select("event_id", "kind", "tree", "n_games", "position")
 
 
 def decompose(fix: DataFrame, published: DataFrame | None = None) -> DataFrame:

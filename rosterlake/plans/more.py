@@ -669,3 +669,36 @@ def _(v):
     folder = fresh_folder(v.spark, "buckets")
     tables.write_buckets(v.game, folder, "game_key", 16)
     return v.spark.read.parquet(folder).groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count("*").alias("n"), F.sum("home_score").alias("points"))
+
+
+# a fold of all games over the list of all players' ratings and games played
+_PLAYERS = _GAMES + _CLUB + """, one AS (SELECT game_key, home_id, away_id, home_score, away_score,
+    CASE division WHEN 'club-men' THEN 1500.0 WHEN 'college' THEN 1250.0 WHEN 'club-mixed' THEN 1500.0 WHEN 'club-women' THEN 1600.0 ELSE 1250.0 END::DOUBLE AS b,
+    CASE division WHEN 'club-men' THEN 260.0 WHEN 'college' THEN 260.0 WHEN 'club-mixed' THEN 220.0 WHEN 'club-women' THEN 160.0 ELSE 200.0 END::DOUBLE AS sc,
+    ROW_NUMBER() OVER (ORDER BY date, clock, event_id, game_key) AS step FROM games),
+  squads AS (SELECT t.team AS event_team_id, COALESCE(r.player_id::VARCHAR, 'ghost:' || c.club || ':' || t.season) AS player
+    FROM (SELECT home_id AS team, season FROM games UNION SELECT away_id, season FROM games) t JOIN clubs c ON c.event_team_id = t.team LEFT JOIN v_roster r ON r.event_team_id = t.team),
+  nums AS (SELECT player, arg_min(b, step) AS b, ROW_NUMBER() OVER (ORDER BY player) AS i
+    FROM (SELECT player, b, step FROM one JOIN squads ON event_team_id = home_id UNION ALL SELECT player, b, step FROM one JOIN squads ON event_team_id = away_id) GROUP BY player),
+  lists AS (SELECT event_team_id, list(i) AS l FROM squads JOIN nums USING (player) GROUP BY event_team_id),
+  steps AS (SELECT o.*, h.l AS hl, a.l AS al FROM one o JOIN lists h ON h.event_team_id = home_id JOIN lists a ON a.event_team_id = away_id),
+  fold(step, game_key, expected, r, g) AS (
+    SELECT 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, list(b ORDER BY i), list(0.0::DOUBLE ORDER BY i) FROM nums
+    UNION ALL
+    SELECT s.step, s.game_key, x.e,
+      list_transform(f.r, lambda q, i: CASE WHEN list_contains(s.hl, i) THEN CASE WHEN len(s.hl) > 1 THEN 0.975 * (q + x.d * (1 + 50.0 / (10 + f.g[i]))) + 0.025 * t.h ELSE q + x.d * (1 + 50.0 / (10 + f.g[i])) END
+        WHEN list_contains(s.al, i) THEN CASE WHEN len(s.al) > 1 THEN 0.975 * (q - x.d * (1 + 50.0 / (10 + f.g[i]))) + 0.025 * t.a ELSE q - x.d * (1 + 50.0 / (10 + f.g[i])) END ELSE q END),
+      list_transform(f.g, lambda q, i: q + CASE WHEN list_contains(s.hl, i) OR list_contains(s.al, i) THEN 1 ELSE 0 END)
+    FROM fold f JOIN steps s ON s.step = f.step + 1,
+    LATERAL (SELECT list_transform(s.hl, lambda i: f.r[i]) AS hr, list_transform(s.al, lambda i: f.r[i]) AS ar) m,
+    LATERAL (SELECT list_sum(list_transform(m.hr, lambda q: q * exp((q - list_max(m.hr)) / 500))) / list_sum(list_transform(m.hr, lambda q: exp((q - list_max(m.hr)) / 500))) AS h,
+      list_sum(list_transform(m.ar, lambda q: q * exp((q - list_max(m.ar)) / 500))) / list_sum(list_transform(m.ar, lambda q: exp((q - list_max(m.ar)) / 500))) AS a) t,
+    LATERAL (SELECT 1 / (1 + pow(10, (t.a - t.h) / s.sc)) AS e, 48.0 * CASE WHEN s.home_score = s.away_score THEN 1.0 ELSE ln(1 + abs(s.home_score - s.away_score)) / ln(8.0) END
+      * (CASE WHEN s.home_score > s.away_score THEN 1.0 WHEN s.home_score < s.away_score THEN 0.0 ELSE 0.5 END - 1 / (1 + pow(10, (t.a - t.h) / s.sc))) AS d) x)"""
+
+
+@query("r1_player_elo_without_stats", _PLAYERS + " SELECT game_key, ROUND(expected, 6) AS expected FROM fold WHERE step > 0")
+def _(v):
+    """The replay of rosters alone: no stat lines, no regression between seasons."""
+    moves = ratings.replay_player_elo(*_corpus(v, False), ratings.EloConfig(offseason_regression=0.0)).moves
+    return moves.select("game_key", F.round("expected", 6).alias("expected"))

@@ -11,7 +11,7 @@ from rosterlake.functions import measures, names
 from rosterlake.operators import api, corpus, identity, metrics, rankings, ratings, tournaments, trends
 from rosterlake.operators.graph import written
 from rosterlake.sources import tables
-from rosterlake.sources.demo import duck_with, kept, view
+from rosterlake.sources.demo import VIEWS, duck_with, kept, view
 
 AS_OF = "1999-06-30"
 
@@ -599,12 +599,19 @@ def _(v):
     return rankings.division_masks(v.roster.select("player_id", "event_id", "season", "division").join(v.event.select("event_id", "start_date"), "event_id"))
 
 
-_POINTS = _GAMES + _CLUB + """, points AS (SELECT club AS subject, season, date AS day, game_key AS seq, (1000 + (game_key * 31) % 700)::DOUBLE AS rating FROM games JOIN clubs ON event_team_id = home_id)"""
+# the home club's rating after each game of its season
+_POINTS = _POOL + """, points AS (SELECT s.home AS subject, f.season, g.date AS day, f.game_key AS seq, ROUND(f.r[s.hi], 3) AS rating
+  FROM fold f JOIN steps s ON s.season = f.season AND s.step = f.step JOIN games g ON g.game_key = f.game_key WHERE f.step > 0)"""
+
+
+def _team_moves(v) -> DataFrame:
+    return v.kept("team_moves", lambda: ratings.replay_team_elo(v.games, v.clubs, kind="reset").moves)
 
 
 def _points(v) -> DataFrame:
-    rows = v.games.join(v.clubs.select(F.col("event_team_id").alias("home_id"), F.col("club").alias("subject")), "home_id")
-    return rows.select("subject", "season", F.col("date").alias("day"), F.col("game_key").alias("seq"), (1000 + (F.col("game_key") * 31) % 700).cast("double").alias("rating"))
+    club = v.clubs.select(F.col("event_team_id").alias("home_id"), F.col("club").alias("subject"))
+    rows = v.games.join(club, "home_id").join(_team_moves(v).select("event_id", "game_key", "home_after"), ["event_id", "game_key"])
+    return rows.select("subject", "season", F.col("date").alias("day"), F.col("game_key").alias("seq"), F.round("home_after", 3).alias("rating"))
 
 
 @query("w11_season_snapshot", _POINTS + " SELECT subject, season, arg_max(rating, {'d': day, 's': seq}) AS rating, COUNT(*) AS n_points FROM points GROUP BY subject, season")
@@ -658,6 +665,29 @@ def _(v):
     return tournaments.champions(tournaments.fixtures(v.game))
 
 
+# trees of the demo's labels have two rounds at most
+_SLOTS = _FIX + f""", k_all AS (SELECT event_id, {_KIND} AS kind, {_RANK} AS rank, game_key, ord, home_id, away_id, CASE WHEN home_score > away_score THEN home_id ELSE away_id END AS win FROM fix WHERE {_KIND} IS NOT NULL AND done AND home_score <> away_score),
+  k AS (SELECT *, MIN(rank) OVER (PARTITION BY event_id, kind) AS inmost, ROW_NUMBER() OVER (PARTITION BY event_id, kind, rank, win ORDER BY ord) AS nth FROM k_all),
+  roots AS (SELECT event_id, kind, inmost, game_key, ord, home_id, away_id, ROW_NUMBER() OVER (PARTITION BY event_id, kind ORDER BY ord) AS n FROM k WHERE rank = inmost),
+  top AS (SELECT event_id, kind, inmost, CASE WHEN inmost = 0 THEN n ELSE 1 END::BIGINT AS tree, 0::BIGINT AS depth, CASE WHEN inmost = 0 THEN 0 ELSE n - 1 END::BIGINT AS slot, game_key, ord, home_id, away_id FROM roots),
+  asks AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id, kind, team ORDER BY tree, slot) AS nth
+    FROM (SELECT event_id, kind, inmost, tree, 2 * slot AS slot, home_id AS team FROM top UNION ALL SELECT event_id, kind, inmost, tree, 2 * slot + 1, away_id FROM top)),
+  fed AS (SELECT a.event_id, a.kind, a.tree, 1::BIGINT AS depth, a.slot, k.game_key, k.ord FROM asks a LEFT JOIN k ON k.event_id = a.event_id AND k.kind = a.kind AND k.rank = a.inmost + 1 AND k.win = a.team AND k.nth = a.nth),
+  slots AS (SELECT event_id, kind, tree, depth, slot, game_key, ord FROM top UNION ALL (SELECT * FROM fed QUALIFY COUNT(game_key) OVER (PARTITION BY event_id, kind, tree) > 0))"""
+
+
+@query("t3_bracket_slots", _SLOTS + " SELECT * FROM slots")
+def _(v):
+    return tournaments.bracket_slots(tournaments.fixtures(v.game))
+
+
+@query("t3_bracket_order", _SLOTS + """, t AS (SELECT event_id, kind, tree, COUNT(game_key) AS n_games, MIN(MIN(ord)) OVER (PARTITION BY event_id, kind) AS first FROM slots GROUP BY event_id, kind, tree)
+  SELECT event_id, kind, tree, n_games, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY CASE kind WHEN 'champ' THEN 0 WHEN '3rd' THEN 1 WHEN '9th' THEN 1 WHEN '13th' THEN 1 ELSE 2 END,
+    CASE kind WHEN '3rd' THEN 3 WHEN '9th' THEN 9 WHEN '13th' THEN 13 ELSE 0 END, n_games DESC, first, tree) AS position FROM t""")
+def _(v):
+    return tournaments.bracket_order(tournaments.bracket_slots(tournaments.fixtures(v.game)))
+
+
 @query("t7_bracket_trees", """, chain AS (SELECT o_orderkey AS game, CASE WHEN o_orderkey % 64 > 1 THEN o_orderkey - o_orderkey % 64 + (o_orderkey % 64) // 2 END AS next FROM v_order),
   walk(game, root, hops) AS (SELECT game, game, 0::BIGINT FROM chain WHERE next IS NULL UNION ALL SELECT c.game, w.root, w.hops + 1 FROM chain c JOIN walk w ON c.next = w.game)
   SELECT game, root, hops FROM walk""")
@@ -978,3 +1008,12 @@ def _(v):
     pages = v.spark.read.parquet(f"{v.sf_dir}/pages.parquet")
     links = tables.extract_page_rows(pages).where("kind = 'link'").groupBy("page_id").agg(F.countDistinct("target").alias("n"))
     return pages.select("page_id").join(links, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Builds the demo's views and the tables that several queries share, which are kept from then on."""
+    v = Views(spark, sf_dir)
+    for name in VIEWS:
+        view(spark, sf_dir, name)
+    for table in (v.clubs, v.named, _team_moves(v)):
+        table.limit(1).count()

@@ -209,3 +209,13 @@ def test_seeds_come_from_a_team_s_first_pool(spark):
     table = [(1, 1, "a", 1, False), (1, 1, "b", 2, False), (1, 2, "c", 1, False), (1, 2, "a", 2, False), (1, 3, "d", 1, True), (2, 27, "z", 3, False)]
     got = tournaments.seeds(spark.createDataFrame(table, "event_id long, pool long, team string, place long, later boolean"))
     assert values(got.select("event_id", "team", "seed")) == [(1, "a", "A1"), (1, "b", "A2"), (1, "c", "B1"), (2, "z", "273")]
+
+
+def test_slots_of_padded_trees(spark):
+    """A final fed by one semi-final, whose home team came from a quarter-final; a second flight takes what the first has left."""
+    rows = [("Quarters", "a", "q", 9, 3), ("Semi Finals", "a", "s", 9, 3), ("Semi Finals", "a", "t", 9, 3), ("Finals", "b", "a", 3, 9), ("Finals", "a", "c", 9, 3), ("Third Place", "s", "t", 9, 3)]
+    slots = tournaments.bracket_slots(bracket_frame(spark, rows))
+    got = sorted(tuple(r) for r in slots.where("kind = 'champ'").select("tree", "depth", "slot", F.coalesce("game_key", F.lit(-1))).collect())
+    assert got == [(1, 0, 0, 3), (1, 1, 0, -1), (1, 1, 1, 1), (1, 2, 0, -1), (1, 2, 1, -1), (1, 2, 2, 0), (1, 2, 3, -1), (2, 0, 0, 4), (2, 1, 0, 2), (2, 1, 1, -1)]
+    order = tournaments.bracket_order(slots)
+    assert values(order.select("kind", "tree", "n_games", "position")) == [("3rd", 1, 1, 3), ("champ", 1, 3, 1), ("champ", 2, 2, 2)]
