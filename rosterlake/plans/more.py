@@ -702,3 +702,52 @@ def _(v):
     """The replay of rosters alone: no stat lines, no regression between seasons."""
     moves = ratings.replay_player_elo(*_corpus(v, False), ratings.EloConfig(offseason_regression=0.0)).moves
     return moves.select("game_key", F.round("expected", 6).alias("expected"))
+
+
+# schedules and calendars -------------------------------------------------------------
+
+_POOL_ROW = "game_key % 4 <> 1"
+
+
+def _schedule_pages(v) -> DataFrame:
+    """An HTML page per event: pools as tables under headings, other games as blocks under column titles, some of them twice."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    link = lambda side: F.concat(F.lit('<a href="/t?EventTeamId='), F.col(f"{side}_id"), F.lit('">Team</a>'))
+    span = lambda kind, inner: F.concat(F.lit(f'<span data-type="{kind}">'), inner, F.lit("</span>"))
+    scores = [span(f"game-score-{s}", text(f"{s}_score")) for s in ("home", "away")]
+    sides = [span(f"game-team-{s}", link(s)) for s in ("home", "away")]
+    id_ = F.when(F.col("game_key") % 3 == 0, F.concat(F.lit('<a href="/g?EventGameId='), F.col("game_key").cast("string"), F.lit('">x</a>'))).otherwise("")
+    day = F.date_format("date", "M/d")
+    row = F.concat(F.lit('<tr data-game="'), text("game_key"), F.lit('"><td>'), span("game-date", F.coalesce(day, F.lit("TBA"))), span("game-time", text("time")), *sides, *scores, span("game-status", F.col("status")), id_, F.lit("</td></tr>"))
+    pool = F.concat(F.lit("<h3>"), F.col("stage"), F.lit("</h3><table>"), row, F.lit("</table>"))
+    block = F.concat(
+        F.lit('<h4 class="col_title"> '), F.col("stage"), F.lit('</h4><div class="bracket_game" id="b'), text("game_key"), F.lit('"><div>'), *sides, *scores, F.lit('</div><span class="date">'),
+        F.coalesce(F.concat(F.date_format("date", "M/d/yyyy"), F.lit(" "), text("time")), F.lit("")), F.lit('</span><span class="game-status">'), F.col("status"), F.lit("</span>"), id_, F.lit("</div>"),
+    )
+    part = F.when(F.expr(_POOL_ROW), pool).otherwise(block)
+    twice = F.when(F.col("game_key") % 7 == 0, F.concat(part, F.replace(part, F.col("stage"), F.lit("Again")))).otherwise(part)
+    pages = v.game.select("event_id", F.struct("game_key", twice.alias("html")).alias("g")).groupBy("event_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("g")), lambda g: g["html"]), "<p>").alias("html"))
+    return pages.join(v.event.select("event_id", "season"), "event_id").select(F.col("event_id").alias("page_id"), "html", F.col("season").alias("year"))
+
+
+@query("s25_schedule_rows", f""" SELECT event_id AS page_id, CASE WHEN game_key % 3 = 0 THEN game_key::VARCHAR WHEN {_POOL_ROW} THEN 'pool-' || game_key ELSE 'bracket-b' || game_key END AS game_key,
+    CASE WHEN {_POOL_ROW} THEN game_key::VARCHAR ELSE 'b' || game_key END AS slot, stage, CASE WHEN {_POOL_ROW} THEN season || strftime(date, '-%m-%d') ELSE strftime(date, '%Y-%m-%d') END AS date,
+    CASE WHEN {_POOL_ROW} THEN COALESCE(time, '') ELSE CASE WHEN date IS NOT NULL THEN NULLIF(COALESCE(time, ''), '') END END AS time, home_id, away_id, home_score, away_score, status FROM v_game JOIN v_event USING (event_id)""")
+def _(v):
+    return tables.extract_schedule(_schedule_pages(v))
+
+
+@query("s26_calendars", """, s AS (SELECT event_id AS calendar, date, '1' || (game_key % 10) || ':15' AS time, (game_key % 12)::VARCHAR AS field, game_key FROM v_game WHERE date IS NOT NULL),
+  c AS (SELECT * FROM s WHERE game_key % 4 <> 0) SELECT s.calendar, COUNT(*) AS slots, COUNT(c.game_key) AS matched, SUM((c.game_key IS NOT NULL AND c.game_key = s.game_key AND c.game_key % 3 <> 0)::INT)::BIGINT AS pairings
+  FROM s LEFT JOIN c ON c.calendar = s.calendar AND c.date = s.date AND c.time = s.time AND c.field = s.field GROUP BY s.calendar""")
+def _(v):
+    """A calendar per event that has three of four games, one in three of them under other names; summaries go on over two lines."""
+    k = F.col("game_key")
+    hour, place = F.concat(F.lit("1"), (k % 10).cast("string")), (k % 12).cast("string")
+    home, away = F.concat(F.lit("<A"), k.cast("string"), F.lit(">")), F.concat(F.lit("<B"), k.cast("string"), F.lit(">"))
+    rows = v.game.where("date is not null").select(F.col("event_id").alias("calendar"), "game_key", F.col("date").alias("day"), F.concat(hour, F.lit(":15")).alias("time"), place.alias("field"), home.alias("home"), away.alias("away"))
+    start = F.concat(F.lit("DTSTART;TZID=X:"), F.date_format("day", "yyyyMMdd"), F.lit("T"), F.substring("time", 1, 2), F.lit("1500"))
+    names_ = F.when(k % 3 == 0, F.concat(F.lit("others "), k.cast("string"))).otherwise(F.concat("home", F.lit(" - "), "away"))
+    lines = F.array(F.lit("BEGIN:VEVENT"), start, F.concat(F.lit("LOCATION:Field "), "field"), F.concat(F.lit("SUMMARY:"), F.substring(names_, 1, 4)), F.concat(F.lit(" "), F.substring(names_, 5, 1000)), F.lit("END:VEVENT"))
+    flat = rows.where("game_key % 4 <> 0").select("calendar", "game_key", F.posexplode(lines).alias("n", "line"))
+    return tables.cross_check_calendar(rows, flat.select("calendar", (k * 10 + F.col("n")).alias("pos"), "line"))

@@ -99,3 +99,27 @@ def test_buckets_and_tables(spark, tmp_path):
     df = spark.createDataFrame([("t", 1, "A", None, None)], tables.SCHEMAS["event_teams"])
     tables.write_table(df, str(tmp_path / "event_teams.csv"), "csv")
     assert tables.read_table(spark, "event_teams", str(tmp_path), "csv").first()["event_id"] == 1
+
+
+def test_schedules_in_context(spark):
+    html = """<h3>Pool A</h3><table><tr data-game="7"><td><span data-type="game-date">Sat 7/3</span><span data-type="game-time"> 9:00 AM </span><span data-type="game-team-home"><a href="?EventTeamId=x&amp;y">A (1)</a></span>
+    <span data-type="game-team-away"><a href="?EventTeamId=b">B</a></span><span data-type="game-score-home">W</span><span data-type="game-score-away">11</span><a href="/g?EventGameId=55">go</a></td></tr><tr data-game="8"><td></td></tr></table>
+    <h4>Other</h4><h4 class="col_title">Semis</h4><div class="bracket_game" id="b1"><div><span data-type="game-team-home"><a href="?EventTeamId=c">C</a></span></div><span class="date">7/4/2021 1:15 PM</span><span class="game-status">Final</span></div>
+    <tr data-game="9"><td><a href="/g?EventGameId=55">again</a></td></tr>"""
+    got = [tuple(r)[1:] for r in tables.extract_schedule(spark.createDataFrame([(1, html, 2020), (2, None, None)], "page_id long, html string, year int")).collect()]
+    assert got == [
+        ("55", "7", "Pool A", "2020-07-03", "9:00 AM", "x&y", "b", None, 11, None),
+        ("pool-8", "8", "Pool A", None, None, None, None, None, None, None),
+        ("bracket-b1", "b1", "Semis", "2021-07-04", "1:15 PM", "c", None, None, None, "Final"),
+    ]
+
+
+def test_two_calendars_in_one_table(spark):
+    def ics(*games):
+        return [x for start, field, *summary in games for x in ["BEGIN:VEVENT", f"DTSTART;TZID=Z:{start}", f"LOCATION:Field {field}", "SUMMARY:" + summary[0], *(" " + s for s in summary[1:]), "END:VEVENT"]]
+
+    lines = [("x", i, t) for i, t in enumerate(ics(("20240501T101500", 3, "A -", " B"), ("20240501T111500", 3, "C - D")))] + [("y", i, t) for i, t in enumerate(ics(("20240501T101500", 3, "E - F")))]
+    plan = [("x", "2024-05-01", "10:15", "3", "A", "B"), ("x", "2024-05-01", "11:15", "3", "C", "X"), ("x", "2024-05-01", "12:15", "3", "C", "X"), ("y", "2024-05-01", "10:15", "3", "E", "F"), ("z", "2024-05-01", "10:15", "3", "E", "F")]
+    schedule = spark.createDataFrame(plan, "calendar string, day string, time string, field string, home string, away string").withColumn("day", F.to_date("day"))
+    got = tables.cross_check_calendar(schedule, spark.createDataFrame(lines, "calendar string, pos int, line string").repartition(3))
+    assert sorted(tuple(r) for r in got.collect()) == [("x", 3, 2, 1), ("y", 1, 1, 1), ("z", 1, 0, 0)]
