@@ -149,7 +149,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.md5(text)).alias("g"),
     )
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "g")).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SALTS)).cast("int"))
+    # rows repeated as a whole get keys and salts of their own, so that they do not meet in one task; the table written below fixes them
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "g", F.monotonically_increasing_id())).withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SALTS)).cast("int"))
     rows = materialise(rows, "rows")
     n = rows.count()
     spark = docs.sparkSession
