@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rosterlake import vocab
 from rosterlake.functions import measures
+from rosterlake.operators.graph import written
 
 
 def last_before(points: DataFrame, asked: DataFrame) -> DataFrame:
@@ -75,6 +76,39 @@ def trends(points: DataFrame, top: int = 25) -> DataFrame:
     return peak.join(in_top, [*group, "subject"], "left_semi")
 
 
+def _choices(points: DataFrame) -> DataFrame:
+    """Each subject's last rating of a season (kind, division, gender, subject, season, value) for every choice of a division and a gender, 'all' among them."""
+    gender = F.when(F.coalesce(F.col("gender"), F.lit("")) == "", F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.col("gender")))
+    rows = points.withColumn("division", F.explode(F.array(F.lit("all"), F.coalesce("division", F.lit(""))))).withColumn("gender", F.explode(gender))
+    return rows.groupBy("kind", "division", "gender", "subject", "season").agg(F.max_by("rating", F.struct("day", "seq")).alias("value"))
+
+
+def trend_cube(points: DataFrame, top: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Seasons and drawn subjects for every choice of a division and a gender (H4).
+
+    points: (kind, subject, season, division, gender, day, seq, rating), all
+    points of all subjects; a division selects points, not subjects; subjects
+    without a gender are under 'all' alone. The first table has for each kind,
+    division, gender and season the median of all subjects' last ratings, their
+    number and ``cut``, the ``top``-th largest of them or the least. The second
+    one has the subjects who reach a season's cut, ties included, in the order of
+    their rating in the last season of all, then of their peak, then of their name.
+    """
+    values = written(_choices(points), "choices")
+    group = ["kind", "division", "gender"]
+    largest = W.partitionBy(*group, "season").orderBy(F.desc("value"))
+    cut = values.withColumn("n", F.row_number().over(largest)).where(F.col("n") <= top).groupBy(*group, "season").agg(F.min("value").alias("cut"))
+    seasons = values.groupBy(*group, "season").agg(F.percentile("value", 0.5).alias("median"), F.count("*").alias("n")).join(cut, [*group, "season"])
+    last = values.agg(F.max("season").alias("last"))
+    drawn = values.join(cut, [*group, "season"]).crossJoin(F.broadcast(last))  # one row
+    drawn = drawn.groupBy(*group, "subject").agg(
+        F.max(F.col("value") >= F.col("cut")).alias("in_top"), F.max("value").alias("peak"), F.max(F.when(F.col("season") == F.col("last"), F.col("value"))).alias("current")
+    )
+    order = W.partitionBy(*group).orderBy(F.desc_nulls_last("current"), F.desc("peak"), F.asc_nulls_last(F.col("subject").try_cast("long")), "subject")
+    chosen = drawn.where("in_top").withColumn("position", F.row_number().over(order).cast("long"))
+    return seasons, chosen.select(*group, "subject", "peak", "current", "position")
+
+
 def medians(points: DataFrame) -> DataFrame:
     return points.groupBy("kind", "season").agg(F.percentile("rating", 0.5).alias("median"), F.count("*").alias("n"))
 

@@ -751,3 +751,31 @@ def _(v):
     lines = F.array(F.lit("BEGIN:VEVENT"), start, F.concat(F.lit("LOCATION:Field "), "field"), F.concat(F.lit("SUMMARY:"), F.substring(names_, 1, 4)), F.concat(F.lit(" "), F.substring(names_, 5, 1000)), F.lit("END:VEVENT"))
     flat = rows.where("game_key % 4 <> 0").select("calendar", "game_key", F.posexplode(lines).alias("n", "line"))
     return tables.cross_check_calendar(rows, flat.select("calendar", (k * 10 + F.col("n")).alias("pos"), "line"))
+
+
+# the cube of trends over real ratings, the clubs' points standing for players' with a gender, too --------------
+
+_CUBE = _POINTS + """, pts AS (SELECT 'club' AS kind, subject, p.season, g.division, '' AS gender, day, seq, rating FROM points p JOIN games g ON g.game_key = p.seq
+    UNION ALL SELECT 'player', subject, p.season, g.division, CASE length(subject) % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE '' END, day, seq, rating FROM points p JOIN games g ON g.game_key = p.seq),
+  by_division AS (SELECT * FROM pts UNION ALL SELECT * REPLACE ('all' AS division) FROM pts), by_gender AS (SELECT * REPLACE ('all' AS gender) FROM by_division UNION ALL SELECT * FROM by_division WHERE gender <> ''),
+  vals AS (SELECT kind, division, gender, subject, season, arg_max(rating, {'d': day, 's': seq}) AS value FROM by_gender GROUP BY ALL),
+  cuts AS (SELECT kind, division, gender, season, MIN(value) AS cut FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY kind, division, gender, season ORDER BY value DESC) AS n FROM vals) WHERE n <= 25 GROUP BY ALL),
+  drawn AS (SELECT v.kind, v.division, v.gender, v.subject, bool_or(value >= cut) AS in_top, MAX(value) AS peak, MAX(CASE WHEN v.season = (SELECT MAX(season) FROM vals) THEN value END) AS current
+    FROM vals v JOIN cuts c ON c.kind = v.kind AND c.division = v.division AND c.gender = v.gender AND c.season = v.season GROUP BY v.kind, v.division, v.gender, v.subject)"""
+
+
+def _cube(v) -> tuple[DataFrame, DataFrame]:
+    points = _points(v).join(v.games.select(F.col("game_key").alias("seq"), "division"), "seq")
+    n = F.length("subject") % 3
+    kinds = points.withColumns({"kind": F.lit("club"), "gender": F.lit("")}).unionByName(points.withColumns({"kind": F.lit("player"), "gender": F.when(n == 0, "1").when(n == 1, "2").otherwise("")}))
+    return trends.trend_cube(kinds)
+
+
+@query("h4_cube_seasons", _CUBE + " SELECT kind, division, gender, season, ROUND(MEDIAN(value), 6) AS median, COUNT(*) AS n, ANY_VALUE(cut) AS cut FROM vals JOIN cuts USING (kind, division, gender, season) GROUP BY ALL")
+def _(v):
+    return _cube(v)[0].withColumn("median", F.round("median", 6))
+
+
+@query("h4_cube_top", _CUBE + " SELECT kind, division, gender, subject, peak, current, ROW_NUMBER() OVER (PARTITION BY kind, division, gender ORDER BY current DESC NULLS LAST, peak DESC, subject) AS position FROM drawn WHERE in_top")
+def _(v):
+    return _cube(v)[1]
