@@ -80,6 +80,7 @@ class _TeamElo(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getListState("pending", PENDING)
         self.teams = handle.getMapState("teams", "team string", "rating double, games double")
+        self.passed = handle.getValueState("passed", "at long")
         self.cfg = EloConfig(involvement_credit=False, stat_transfer_beta=0.0, roster_shrink=0.0)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -92,7 +93,11 @@ class _TeamElo(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, rest, due = expiredTimerInfo.getExpiryTimeInMs(), [], []
+        # the first timer of a batch takes all that the watermark has passed; nothing that early can come any more
+        if self.passed.exists() and expiredTimerInfo.getExpiryTimeInMs() <= self.passed.get()[0]:
+            return
+        now, rest, due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), [], []
+        self.passed.update((now,))
         for r in self.pending.get():
             (due if r[0] <= now else rest).append(tuple(r))
         if rest:
