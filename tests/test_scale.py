@@ -2,8 +2,12 @@
 
 import os
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rosterlake.operators import identity
 from rosterlake.sources import demo
 
 DIR = "/root/testdata/sf0.001"
@@ -19,3 +23,27 @@ def test_roster_view_joins_by_squad(spark):
     join = next(x for x in plan(demo.made(spark, DIR, "v_roster")).splitlines() if "Join" in x)
     assert "pmod" in join
     assert "pmod" not in demo.duck_with() and "spark" not in demo.duck_with()
+
+
+@F.pandas_udf(T.LongType())
+def batch_size(x: pd.Series) -> pd.Series:
+    return pd.Series([len(x)] * len(x))
+
+
+def test_keys_once_per_text(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, "José").alias("name")).coalesce(1)
+    got = identity.with_keys(rows, "name", key=lambda c: F.coalesce(F.upper(c), F.lit("none")), size=batch_size)
+    assert got.count() == 1000 and {r[0] for r in got.select("key").distinct().collect()} == {"JOSÉ", "none"}
+    assert got.agg(F.max("size")).first()[0] <= 2
+
+
+def test_days_of_names_once_per_event(spark):
+    """Players of one name at one event give their days once, whatever their number."""
+    rows = [("x", "club", 2020, c, e, "2020-01-01", "2020-01-07") for c, e in (("a", 1), ("b", 2)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "norm string, division string, season int, club string, event_id long, start_date string, end_date string")
+    df = df.withColumns({c: F.col(c).cast("date") for c in ("start_date", "end_date")})
+    conflicts = identity.date_conflicts(df)
+    assert [r[0] for r in conflicts.collect()] == ["x"]
+    text = plan(conflicts)
+    below = [x.lstrip(" :+-").split()[0] for x in text[text.index("Generate"):].splitlines()[1:4]]
+    assert "Aggregate" in below
