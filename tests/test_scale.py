@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.operators import identity
+from rosterlake.operators import identity, ratings
 from rosterlake.sources import demo
 
 DIR = "/root/testdata/sf0.001"
@@ -47,3 +47,19 @@ def test_days_of_names_once_per_event(spark):
     text = plan(conflicts)
     below = [x.lstrip(" :+-").split()[0] for x in text[text.index("Generate"):].splitlines()[1:4]]
     assert "Aggregate" in below
+
+
+def test_team_seasons_in_batches(spark):
+    """A season read in small batches gives the moves and the last state of one that is folded at once."""
+    games = [(1 + i // 12, i, 2000 + i // 60, "club-men", f"{2000 + i // 60}-01-{1 + i % 60 // 4:02d}", "10:00", f"t{i % 5}", f"t{(i + 1 + i % 4) % 5 if (1 + i % 4) % 5 else 0}", 5 + i % 9, 3 + i % 11) for i in range(120)]
+    df = spark.createDataFrame(games, "event_id long, game_key long, season int, division string, date string, clock string, home_id string, away_id string, home_score int, away_score int")
+    clubs = spark.createDataFrame([(f"t{i}", f"club {i}") for i in range(5)], "event_team_id string, club string")
+    rows = ratings.stream(df.withColumn("date", F.col("date").cast("date")), clubs.withColumnRenamed("club", "player_id"), clubs, None)
+    rows = rows.withColumn("lane", F.lit(0))
+    fold = ratings._elo([ratings.asdict(ratings.EloConfig(involvement_credit=False, stat_transfer_beta=0.0, roster_shrink=0.0))], False)
+    out = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    got = ratings.streamed(rows, fold, ratings.STATE, ratings._OUT, ["lane", "season"], group_rows=7)
+    want = ratings.replayed(rows, fold, ratings.STATE, ratings._OUT, ["lane", "season"])
+    for kind, columns in (("move", ["game_key", "season", "expected", "home_after", "away_after"]), ("state", ["season", "player", "rating", "games"])):
+        a, b = (out(df.where(F.col("kind") == kind).select(*columns)) for df in (got, want))
+        assert a == b and len(a) == (120 if kind == "move" else 10)
