@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterlake.operators import identity, ratings
+from rosterlake.plans.queries import QUERIES, SQL
 from rosterlake.sources import demo
 
 DIR = "/root/testdata/sf0.001"
@@ -63,3 +64,11 @@ def test_team_seasons_in_batches(spark):
     for kind, columns in (("move", ["game_key", "season", "expected", "home_after", "away_after"]), ("state", ["season", "player", "rating", "games"])):
         a, b = (out(df.where(F.col("kind") == kind).select(*columns)) for df in (got, want))
         assert a == b and len(a) == (120 if kind == "move" else 10)
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver's tables")
+def test_times_have_their_minutes(spark):
+    """The minutes of the day belong to the query and its SQL."""
+    got = QUERIES["f_times"](spark, DIR)
+    assert set(got.columns) == {"game_key", "clock", "minutes", "inches"} and "AS minutes" in SQL["f_times"]
+    assert got.where("minutes <> if(clock = '23:59', 10000, substr(clock, 1, 2) * 60 + substr(clock, 4, 2))").count() == 0
