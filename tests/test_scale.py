@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.operators import identity, ratings
+from rosterlake.operators import identity, ratings, trends
 from rosterlake.plans.queries import QUERIES, SQL
 from rosterlake.sources import demo
 
@@ -72,3 +72,16 @@ def test_times_have_their_minutes(spark):
     got = QUERIES["f_times"](spark, DIR)
     assert set(got.columns) == {"game_key", "clock", "minutes", "inches"} and "AS minutes" in SQL["f_times"]
     assert got.where("minutes <> if(clock = '23:59', 10000, substr(clock, 1, 2) * 60 + substr(clock, 4, 2))").count() == 0
+
+
+def test_rosters_stay_where_they_are_read(spark, monkeypatch):
+    """A club with most of the rows is not sent to one task for its place; beyond the limit the places are joined all the same."""
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, "the one").otherwise(F.concat(F.lit("c"), (F.col("id") % 70).cast("string"))).alias("club"))
+    none, games = spark.createDataFrame([], "kind string, subject string"), spark.createDataFrame([], "season int")
+    listed = trends.tiers(none, rows, games, 4)["rosters"]
+    assert "strategy=broadcast" in plan(listed)
+    place = {c: i % 4 for i, c in enumerate(sorted({r.club for r in rows.collect()}))}
+    want = sorted((r.id, place[r.club]) for r in rows.collect())
+    assert sorted((r.id, r.bucket) for r in listed.collect()) == want
+    monkeypatch.setattr(trends, "_FEW", 1)
+    assert sorted((r.id, r.bucket) for r in trends.tiers(none, rows, games, 4)["rosters"].collect()) == want
