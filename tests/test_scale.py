@@ -1,5 +1,7 @@
 """Plans and steps that must not grow faster than their input."""
 
+import hashlib
+import math
 import os
 
 import pandas as pd
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.operators import identity, ratings, trends
+from rosterlake.operators import identity, metrics, ratings, trends
 from rosterlake.plans.queries import QUERIES, SQL
 from rosterlake.sources import demo
 
@@ -85,3 +87,31 @@ def test_rosters_stay_where_they_are_read(spark, monkeypatch):
     assert sorted((r.id, r.bucket) for r in listed.collect()) == want
     monkeypatch.setattr(trends, "_FEW", 1)
     assert sorted((r.id, r.bucket) for r in trends.tiers(none, rows, games, 4)["rosters"].collect()) == want
+
+
+def test_bootstrap_hashes_many_games_at_once(spark):
+    """Digests of arrays are those of hashlib, for heads of one block or more; the bounds are those of weights drawn one by one."""
+    for head in (b"0|7|", b"0|1234567890123456789|", b"x" * 50, b"x" * 70):
+        heads, tails = [head, head[::-1]], [b"0", b"42", b"99999"]
+        got = metrics._digests(heads, tails)
+        assert [[b"".join(int(x).to_bytes(8, "big") for x in y) for y in z] for z in got] == [[hashlib.md5(h + t).digest() for t in tails] for h in heads]
+    games = [(k, 1, 0.1 + 0.8 * (k * 7 % 10) / 10, float(k % 2)) for k in range(95, 125)]
+    a = spark.createDataFrame(games, "game_key long, event_id long, expected double, outcome double")
+    b = a.withColumn("expected", 0.5 * F.col("expected") + 0.25)
+    out = metrics.paired_bootstrap(a, b, draws=9)
+    assert "Generate explode(sequence" not in plan(out)
+    edges, total, p = [], 0.0, 2.718281828459045**-1
+    for k in range(1, 9):
+        total, p = total + p, p / k
+        edges.append(total)
+    loss = lambda y, e: -(y * math.log(e) + (1 - y) * math.log(1 - e))
+    means = []
+    for draw in range(9):
+        w = {}
+        for k, *_ in games:
+            h = hashlib.md5(f"0|{k}|{draw // 2}".encode()).hexdigest()[16 * (draw % 2) :][:13]
+            w[k] = sum(int(h, 16) / 2**52 >= e for e in edges)
+        means.append(sum(w[k] * (loss(y, e) - loss(y, 0.5 * e + 0.25)) for k, _, e, y in games) / sum(w.values()))
+    want = pd.Series(means)
+    got = out.first()
+    assert [got["mean"], got["low"], got["high"]] == pytest.approx([want.mean(), want.quantile(0.05), want.quantile(0.95)])
