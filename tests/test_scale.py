@@ -115,3 +115,20 @@ def test_bootstrap_hashes_many_games_at_once(spark):
     want = pd.Series(means)
     got = out.first()
     assert [got["mean"], got["low"], got["high"]] == pytest.approx([want.mean(), want.quantile(0.05), want.quantile(0.95)])
+
+
+def test_a_roster_stands_once(spark):
+    """However many games a team plays, its roster is one list in what a replay writes, and rows of a group share it."""
+    games = [(1, k, 2020, "club-men", f"2020-01-{1 + k // 9:02d}", "10:00", "Pool A", f"t{k % 4}", f"t{(k + 1 + k // 4 % 3) % 4}", 5 + k % 9, 3 + k % 11) for k in range(90)]
+    df = spark.createDataFrame(games, "event_id long, game_key long, season int, division string, date string, clock string, stage string, home_id string, away_id string, home_score int, away_score int")
+    df = df.withColumn("date", F.col("date").cast("date"))
+    clubs = spark.createDataFrame([(f"t{i}", f"club {i}") for i in range(4)], "event_team_id string, club string")
+    rosters = spark.createDataFrame([(f"t{i}", 10 * i + p) for i in range(3) for p in range(6)], "event_team_id string, player_id long")
+    rows, lists = ratings.keyed(df, rosters, clubs, None)
+    assert dict(rows.dtypes)["home"] == "string" and lists.count() == 4
+    fold = ratings._elo([ratings.asdict(ratings.EloConfig())], True)
+    out = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.drop("slice").fillna(-1.0).fillna(-1).fillna("").collect())
+    for size in ({"group_rows": 30}, {"group_rows": 5, "slice_days": 2}, {"plan": "component"}):
+        got = ratings.replayed(rows, fold, ratings.STATE, ratings._OUT, lists=lists, **size)
+        want = ratings.replayed(ratings.listed(rows, lists), fold, ratings.STATE, ratings._OUT, **size)
+        assert out(got) == out(want) and got.where("kind = 'move'").count() == 90
