@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterlake.operators import identity, metrics, ratings, trends
-from rosterlake.plans.queries import QUERIES, SQL
+from rosterlake.plans import more
+from rosterlake.plans.queries import QUERIES, SQL, Views
 from rosterlake.sources import demo
+from rosterlake.streaming import ingest
 
 DIR = "/root/testdata/sf0.001"
 
@@ -132,3 +134,13 @@ def test_a_roster_stands_once(spark):
         got = ratings.replayed(rows, fold, ratings.STATE, ratings._OUT, lists=lists, **size)
         want = ratings.replayed(ratings.listed(rows, lists), fold, ratings.STATE, ratings._OUT, **size)
         assert out(got) == out(want) and got.where("kind = 'move'").count() == 90
+
+
+def test_a_delivery_is_one_batch_of_many_files(spark):
+    """No task writes a whole delivery, and yet no batch has a part of one."""
+    old, new = (spark.range(400, numPartitions=4).select((F.col("id") % 9).alias("event_id"), F.col("id").alias("game_key"), F.lit(v).cast("long").alias("version")) for v in (1, 2))
+    folder = more._delivered(Views(spark, ""), lambda s, f: ingest.start_ingest(s, f"{f}/log", f"{f}/checkpoint", once=True), new.where("event_id = 3"), old)
+    assert all(len([x for x in os.listdir(f"{folder}/in/n={n}") if x.endswith(".parquet")]) == 4 for n in range(2))
+    assert sorted(x for x in os.listdir(f"{folder}/log") if x.startswith("batch")) == ["batch=0", "batch=1"]
+    got = ingest.current_events(spark, f"{folder}/log")
+    assert got.count() == 400 and got.where("(version = 2) <> (event_id = 3)").count() == 0
