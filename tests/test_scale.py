@@ -144,3 +144,9 @@ def test_a_delivery_is_one_batch_of_many_files(spark):
     assert sorted(x for x in os.listdir(f"{folder}/log") if x.startswith("batch")) == ["batch=0", "batch=1"]
     got = ingest.current_events(spark, f"{folder}/log")
     assert got.count() == 400 and got.where("(version = 2) <> (event_id = 3)").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver's tables")
+def test_a_step_reads_shares_once_made(spark):
+    """The shares of rosters are made once, not in each of the three places where a step reads them."""
+    assert "Window" not in plan(QUERIES["r5_one_step"](spark, DIR))
