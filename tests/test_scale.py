@@ -150,3 +150,20 @@ def test_a_delivery_is_one_batch_of_many_files(spark):
 def test_a_step_reads_shares_once_made(spark):
     """The shares of rosters are made once, not in each of the three places where a step reads them."""
     assert "Window" not in plan(QUERIES["r5_one_step"](spark, DIR))
+
+
+def test_teams_meet_one_to_one(spark, monkeypatch):
+    """A season of teams is folded game by game in plain numbers, with the moves and states of the levels' fold; teams of several clubs keep that one."""
+    games = [(1 + i // 12, i, 2000 + i // 60, ("club-men", "college", "other", None)[i // 30], f"{2000 + i // 60}-01-{1 + i % 60 // 4:02d}", "10:00", f"t{i % 5}", f"t{(i + 1 + i % 4) % 5}" if i % 11 else f"t{i % 5}", 5 + i % 9, 3 + i % 11) for i in range(120)]
+    df = spark.createDataFrame(games, "event_id long, game_key long, season int, division string, date string, clock string, home_id string, away_id string, home_score int, away_score int")
+    df = df.withColumn("date", F.col("date").cast("date"))
+    clubs = spark.createDataFrame([(f"t{i}", f"club {i}") for i in range(4)], "event_team_id string, club string")
+    out = lambda r: [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in t.collect()) for t in (r.moves, r.state)]
+    for cfg in (None, ratings.EloConfig(provisional_multiplier=1.0, home_advantage=30.0, k_scale={"college": 0.5}, involvement_credit=False)):
+        want = out(ratings.replay_team_elo(df, clubs, cfg, plan="component"))
+        with monkeypatch.context() as m:
+            m.setattr(ratings, "_elo", None)
+            got = ratings.replay_team_elo(df, clubs, cfg)
+        assert out(got) == want and len(want[0]) == 120 and len(want[1]) == 10
+    twice = clubs.unionByName(spark.createDataFrame([("t0", "second")], clubs.schema))
+    assert out(ratings.replay_team_elo(df, twice)) == out(ratings.replay_team_elo(df, twice, plan="component"))
