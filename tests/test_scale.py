@@ -1,18 +1,21 @@
 """Plans and steps that must not grow faster than their input."""
 
 import hashlib
+import itertools
 import math
 import os
+import random
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.operators import identity, metrics, ratings, trends
+from rosterlake.operators import identity, metrics, ratings, tournaments, trends
 from rosterlake.plans import more
 from rosterlake.plans.queries import QUERIES, SQL, Views
-from rosterlake.sources import demo
+from rosterlake.sources import demo, tables
 from rosterlake.streaming import ingest
 
 DIR = "/root/testdata/sf0.001"
@@ -167,3 +170,74 @@ def test_teams_meet_one_to_one(spark, monkeypatch):
         assert out(got) == want and len(want[0]) == 120 and len(want[1]) == 10
     twice = clubs.unionByName(spark.createDataFrame([("t0", "second")], clubs.schema))
     assert out(ratings.replay_team_elo(df, twice)) == out(ratings.replay_team_elo(df, twice, plan="component"))
+
+
+def test_only_last_points_are_repeated(spark):
+    """The choices of a cube repeat the last point of a subject's season and division, not all of its points."""
+    rows = [("club", f"c{s}", 2020, d, g, f"2020-01-{1 + n:02d}", n, float(n * 7 % 10 + s)) for s in range(3) for d, g in (("a", "1"), ("b", "1"), (None, "")) for n in range(9)]
+    df = spark.createDataFrame(rows, "kind string, subject string, season int, division string, gender string, day string, seq long, rating double")
+    got = trends._choices(df)
+    text = plan(got)
+    assert "Aggregate" in text[text.rindex("Generate"):]
+    assert {tuple(r) for r in got.collect()} == {("club", d, g, f"c{s}", 2020, 6.0 + s) for s in range(3) for d in ("all", "a", "b", "") for g in (("all",) if d == "" else ("all", "1"))}
+
+
+def schedule(parts: list[str]) -> str:
+    span = lambda kind, inner: f'<span data-type="{kind}">{inner}</span>'
+    sides = "".join(span(f"game-team-{s}", f'<a href="/t?EventTeamId={n}">A &amp; B</a>') + span(f"game-score-{s}", n) for n, s in enumerate(("home", "away"), 7))
+    block = f'<h4 class="col_title"> Semis</h4><div class="bracket_game" id="b2"><div>{sides}</div><span class="date">7/12/2024 9:00</span></div>'
+    return f'text<h3>Pool A</h3><table><tr data-game="1"><td>{span("game-date", "7/12")}{parts[0]}{sides}</td></tr></table>{parts[1]}{block}{parts[2]}<a href="/g?EventGameId=5">x</a>'
+
+
+def test_plain_pages_need_no_parser(monkeypatch):
+    """Pages of plain tags are cut at them; whatever else stands in a page, the games are those of the parser."""
+    odd = ["", "<br/>", "<!-- <tr> -->", "<BR>", "&amp;", "&", "<", "x < y > z", "<script>a<b</script>", "<title>x<h3>y</title>", "</ p>", "<p >", "</div>", "<tr data-game='3'>", '<a href="/x?a=1&EventGameId=4">', "&lt", '<td a="1"b="2">', "<!doctype html>"]
+    monkeypatch.setattr(tables, "_PIECE", 60)
+    for i in range(3):
+        for x in odd:
+            page = schedule(["" if i != n else x for n in range(3)])
+            for html in (page, page[:-9], page + x):
+                want, got = tables._Schedule(2024), tables._Schedule(2024)
+                want.feed(html)
+                want.close()
+                got.read(html)
+                assert (got.games, got.teams) == (want.games, want.teams)
+    monkeypatch.setattr(tables._Schedule, "feed", None)
+    plain = tables._Schedule(2024)
+    plain.read(schedule(["", "", ""]))
+    assert [g[:4] for g in plain.games] == [("pool-1", "1", "Pool A", "2024-07-12"), ("bracket-b2", "b2", "Semis", "2024-07-12")]
+
+
+def plain_pools(games):
+    """``pools_of`` as it is told, over all sets of teams."""
+    open_, found = list(games), []
+    while open_:
+        first = {}
+        for g in open_:
+            first.setdefault(frozenset(g[3:5]), g)
+        a, b = sorted(open_[0][3:5])
+        teams = sorted({t for p in first for t in p} - {a, b})
+        all_met = [c for n in range(len(teams) + 1) for x in itertools.combinations(teams, n) for c in [tuple(sorted((a, b, *x)))] if all(frozenset(p) in first for p in itertools.combinations(c, 2))]
+        largest = [c for c in all_met if len(c) > 2 and not any(set(c) < set(d) for d in all_met)]
+        part = [open_[0]]
+        if largest:
+            days = lambda c: len({first[frozenset(p)][2] for p in itertools.combinations(c, 2)})
+            best = min(largest, key=lambda c: (days(c), -len(c), c))
+            part = [first[frozenset(p)] for p in itertools.combinations(best, 2)]
+            found.append((best, sorted(part)))
+        open_ = [g for g in open_ if g not in part]
+    found.sort(key=lambda f: f[1][0])
+    return [(n, g[1], any(set(c) & set(d) for d, _ in found[: n - 1])) for n, (c, part) in enumerate(found, 1) for g in part]
+
+
+def test_pools_of_many_games(spark):
+    """Pools are those of all sets tried, and their groups get no more than who met whom and when."""
+    draw = random.Random(3)
+    for n, m in ((3, 6), (5, 30), (6, 40), (7, 60)):
+        games = [(i, 100 + i, f"d{draw.randrange(3)}", *draw.sample([f"t{x}" for x in range(n)], 2)) for i in range(m)]
+        assert tournaments.pools_of(games) == plain_pools(games)
+    fix = spark.createDataFrame([(1, g[1], "Pool A", g[2], g[3], g[4], 3, 2, True, g[0]) for g in games], "event_id long, game_key long, stage string, date string, home_id string, away_id string, home_score int, away_score int, done boolean, ord long")
+    got = tournaments.recover_pools(fix)
+    group = plan(got)
+    assert "Project [event_id" in group[group.index("FlatMapGroupsInPandas"):] and "home_score" not in group.splitlines()[1]
+    assert [tuple(r) for r in got.orderBy("pool", "game_key").collect()] == [(1, n, k, later) for n, k, later in tournaments.pools_of(games)]
