@@ -241,3 +241,15 @@ def test_pools_of_many_games(spark):
     group = plan(got)
     assert "Project [event_id" in group[group.index("FlatMapGroupsInPandas"):] and "home_score" not in group.splitlines()[1]
     assert [tuple(r) for r in got.orderBy("pool", "game_key").collect()] == [(1, n, k, later) for n, k, later in tournaments.pools_of(games)]
+
+
+def test_labels_are_read_once_per_text(spark):
+    """Stages are told apart in a table of texts, not by patterns in each game; a game that is not done crowns nobody, be it published or not."""
+    games = [(1, 1, "Finals", True), (1, 2, "Semi Finals", True), (1, 3, None, True), (2, 4, "Finals", False), (2, 5, "Semi Finals", True)]
+    rows = [(e, k, s, "2020-01-01", f"h{k}", f"a{k}", 9, 2, d, k) for e, k, s, d in games]
+    fix = spark.createDataFrame(rows, "event_id long, game_key long, stage string, date string, home_id string, away_id string, home_score int, away_score int, done boolean, ord long")
+    got = tournaments.labelled(fix)
+    assert "RLIKE" not in plan(got).upper() and sorted((r.game_key, r.kind, r.round) for r in got.collect()) == [(1, "champ", 0), (2, "champ", 1), (3, None, None), (4, "champ", 0), (5, "champ", 1)]
+    published = spark.createDataFrame([(2, 4, 1, 1, 1, "Finals"), (2, 5, 1, 0, 1, "Semi Finals")], "event_id long, game_key long, bracket long, round int, place int, stage string")
+    assert [tuple(r) for r in tournaments.decomposed_champions(fix).collect()] == [(1, "h1")]
+    assert sorted(tuple(r) for r in tournaments.decomposed_champions(fix, published).collect()) == [(1, "h1"), (2, "h5")]
