@@ -253,3 +253,15 @@ def test_labels_are_read_once_per_text(spark):
     published = spark.createDataFrame([(2, 4, 1, 1, 1, "Finals"), (2, 5, 1, 0, 1, "Semi Finals")], "event_id long, game_key long, bracket long, round int, place int, stage string")
     assert [tuple(r) for r in tournaments.decomposed_champions(fix).collect()] == [(1, "h1")]
     assert sorted(tuple(r) for r in tournaments.decomposed_champions(fix, published).collect()) == [(1, "h1"), (2, "h5")]
+
+
+def test_pools_are_found_among_all_sets():
+    """Thirty teams in ten groups of three, who met all but their own group's: 59,049 sets of ten, of which each pool is the first of the fewest days."""
+    teams = [f"t{x:02d}" for x in range(30)]
+    pairs = [(x, y) for x, y in itertools.combinations(range(30), 2) if x // 3 != y // 3]
+    games = [(i, i, "d1", teams[x], teams[y]) for i, (x, y) in enumerate(pairs)]
+    first = [g[1] for g in games if int(g[3][1:]) % 3 == int(g[4][1:]) % 3 == 0]
+    assert [k for n, k, _ in tournaments.pools_of(games) if n == 1] == first and len(first) == 45
+    apart = {0, 4, 8, 9, 13, 17, 18, 22, 26, 27}  # met on one day, all others on two
+    games = [(i, i, "d1" if {x, y} <= apart else f"d{2 + i % 2}", teams[x], teams[y]) for i, (x, y) in enumerate(sorted(pairs, key=lambda p: p != (0, 4)))]
+    assert [k for n, k, _ in tournaments.pools_of(games) if n == 1] == [g[1] for g in games if g[2] == "d1"]
