@@ -265,3 +265,31 @@ def test_pools_are_found_among_all_sets():
     apart = {0, 4, 8, 9, 13, 17, 18, 22, 26, 27}  # met on one day, all others on two
     games = [(i, i, "d1" if {x, y} <= apart else f"d{2 + i % 2}", teams[x], teams[y]) for i, (x, y) in enumerate(sorted(pairs, key=lambda p: p != (0, 4)))]
     assert [k for n, k, _ in tournaments.pools_of(games) if n == 1] == [g[1] for g in games if g[2] == "d1"]
+
+
+def test_twins_are_replayed_once(spark):
+    """Players of the same rosters are one entry of a replay's lists, and all of them have the results of a replay with each of them."""
+    games = [(1 + k // 18, k, 2020, "club-men", f"2020-01-{1 + k // 9:02d}", "10:00", "Pool A", f"t{k % 4}", f"t{(k + 1 + k // 4 % 3) % 4}", 5 + k % 9, 3 + k % 11) for k in range(90)]
+    df = spark.createDataFrame(games, "event_id long, game_key long, season int, division string, date string, clock string, stage string, home_id string, away_id string, home_score int, away_score int")
+    df = df.withColumn("date", F.col("date").cast("date"))
+    clubs = spark.createDataFrame([(f"t{i}", f"club {i}") for i in range(4)], "event_team_id string, club string")
+    rosters = spark.createDataFrame([(f"t{i}", 10 * i + p) for i in range(3) for p in range(7)] + [("t0", 1), ("t1", 2), ("t2", None)], "event_team_id string, player_id long")
+    stats = spark.createDataFrame([("t0", "2020-01-03", p, 1.0 + p, float(p), 1) for p in (3, 4)] + [("t1", "2020-01-05", p, 1.0, 2.0, 2) for p in (12, 77)], "event_team_id string, end_date string, player_id long, usage double, quality double, event_id long")
+    stats = stats.withColumn("end_date", F.col("end_date").cast("date"))
+    out = lambda df: sorted((tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+    lists = {r.squad: sorted(zip(r.players, r.counts)) for r in ratings.prepared(df, rosters, clubs, stats).lists.collect()}
+    assert lists["roster:t2"] == [("20", 7)] and lists["roster:t1"] == [("10", 6), ("12", 1), ("2", 1)] and lists["roster:t0"] == [("0", 3), ("1", 1), ("1", 1), ("2", 1), ("3", 1), ("4", 1)]
+    for cfg in (ratings.EloConfig(), ratings.EloConfig(tau=math.inf, context_init=True, low_info_anchor=0.1, inactivity_decay=0.3, inactivity_grace_days=0)):
+        rows = ratings.stream(df, rosters, clubs, stats)
+        plain = ratings.replayed(rows, ratings._elo([ratings.asdict(cfg)], True), ratings.STATE, ratings._OUT)
+        got = ratings.replay_player_elo(df, rosters, clubs, stats, cfg, points=True)
+        assert out(got.moves) == out(plain.where("kind = 'move'").select(got.moves.columns)) and got.moves.count() == 90
+        assert out(got.state.drop("clock")) == out(plain.where("kind = 'state'").select(got.state.columns).drop("clock"))
+        points = plain.where("kind = 'point' and not (subject_kind = 'player' and subject like 'ghost:%')").groupBy("subject_kind", "subject", "point_event").agg(F.max_by(F.struct("point_rating", "n", "point_club"), "slice").alias("x"))
+        assert out(got.points) == out(points.select("subject_kind", "subject", "point_event", "x.*"))
+    fold = ratings._glicko(ratings.GlickoConfig())
+    rows = ratings.stream(df, rosters, clubs, stats).withColumn("period", F.concat_ws(":", "late", "event_id", "game_key", "day")).withColumns({"game_day": F.col("day"), "start": F.col("day")})
+    plain = ratings.replayed(rows, fold, ratings.GLICKO_STATE, ratings._GLICKO, day="start")
+    got = ratings.replay_glicko2(df, rosters, clubs, stats, period="game")
+    assert out(got.moves) == out(plain.where("kind = 'move'").select(got.moves.columns))
+    assert out(got.state.select("player", "rating", "games")) == out(plain.where("kind = 'state' and last_day is not null").select("player", "rating", "games"))
