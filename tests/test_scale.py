@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.operators import identity, metrics, ratings, tournaments, trends
+from rosterlake.operators import corpus, identity, metrics, rankings, ratings, tournaments, trends
 from rosterlake.plans import more
 from rosterlake.plans.queries import QUERIES, SQL, Views
 from rosterlake.sources import demo, tables
@@ -293,3 +293,15 @@ def test_twins_are_replayed_once(spark):
     got = ratings.replay_glicko2(df, rosters, clubs, stats, period="game")
     assert out(got.moves) == out(plain.where("kind = 'move'").select(got.moves.columns))
     assert out(got.state.select("player", "rating", "games")) == out(plain.where("kind = 'state' and last_day is not null").select("player", "rating", "games"))
+
+
+def test_teams_carried_over_meet_one_to_one(spark, monkeypatch):
+    """Clubs that keep their ratings are folded game by game in plain numbers, with the moves and states of the levels' fold."""
+    games = [(1 + i // 12, i, 2000 + i // 60, ("club-men", "college", "other", None)[i // 30], f"{2000 + i // 60}-01-{1 + i % 60 // 4:02d}", "10:00", f"t{i % 5}", f"t{(i + 1 + i % 4) % 5}" if i % 11 else f"t{i % 5}", 5 + i % 9, 3 + i % 11) for i in range(120)]
+    df = spark.createDataFrame(games, "event_id long, game_key long, season int, division string, date string, clock string, home_id string, away_id string, home_score int, away_score int")
+    df = df.withColumn("date", F.col("date").cast("date"))
+    clubs = spark.createDataFrame([(f"t{i}", f"club {i}") for i in range(4)], "event_team_id string, club string")
+    out = lambda r: [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in t.drop("day").collect()) for t in (r.moves, r.state)]
+    want = out(ratings.replay_team_elo(df, clubs, kind="carry", plan="component"))
+    monkeypatch.setattr(ratings, "_elo", None)
+    assert out(ratings.replay_team_elo(df, clubs, kind="carry")) == want and len(want[0]) == 120 and len(want[1]) == 6
