@@ -305,3 +305,17 @@ def test_teams_carried_over_meet_one_to_one(spark, monkeypatch):
     want = out(ratings.replay_team_elo(df, clubs, kind="carry", plan="component"))
     monkeypatch.setattr(ratings, "_elo", None)
     assert out(ratings.replay_team_elo(df, clubs, kind="carry")) == want and len(want[0]) == 120 and len(want[1]) == 6
+
+
+def test_lineups_are_counted_once(spark):
+    """The sizes of professional rosters need no row for each player of each game."""
+    games = spark.createDataFrame([(g, 2000 + g % 2, f"2000-01-0{1 + g}", g % 3, (g + 1) % 3, 5, None if g == 4 else 3, "Live" if g == 5 else "Final") for g in range(9)], "game_id long, year int, date string, home_team_id long, away_team_id long, home_score int, away_score int, status string")
+    games = games.withColumn("date", F.col("date").cast("date"))
+    lineups = spark.createDataFrame([(t, y, p, p % 4) for t in range(3) for y in (2000, 2001) for p in range(3 + 9 * t + y % 2)], "team_id long, year int, pro_id long, points_played long")
+    links = spark.createDataFrame([(p, 100 + p) for p in range(30) if p % 5], "pro_id long, player_id long")
+    played = games.select("game_id", "year", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")).join(lineups, ["team_id", "year"])
+    want = corpus.load_pro_games(games, played, links)[1].groupBy("event_team_id").agg(F.count("*").alias("n"))
+    got = corpus.pro_roster_sizes(games, lineups, links)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 3
+    text = plan(got)
+    assert text.index("Join") < text.index("count(1)")
