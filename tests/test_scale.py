@@ -319,3 +319,14 @@ def test_lineups_are_counted_once(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 3
     text = plan(got)
     assert text.index("Join") < text.index("count(1)")
+
+
+def test_best_rosters_are_read_where_they_are(spark):
+    """Only the rows of best rosters are made distinct, and no roster is sent away to be asked for."""
+    rosters = spark.createDataFrame([(f"t{t}", t, 2000 + t % 3, p) for t in range(6) for p in (1, 1, 2, t)], "event_team_id string, event_id long, season int, player_id long")
+    clubs = spark.createDataFrame([(f"t{t}", f"c{t % 2}", "club-men") for t in range(6)], "event_team_id string, club string, division string")
+    best = spark.createDataFrame([("club-men", "c0", "t4"), ("club-men", "c1", "t3")], "division string, club string, event_team_id string")
+    got = rankings.season_roster(rosters, clubs, best)
+    assert "LeftSemi" in plan(got)
+    latest = {(r.club, r.player_id, r.n_events) for r in got.where("season = 2002").collect()}
+    assert latest == {("c0", 1, 1), ("c0", 2, 1), ("c0", 4, None), ("c1", 1, 1), ("c1", 2, 1), ("c1", 3, None)} and got.where("season = 2001").count() == 5
