@@ -1,5 +1,6 @@
 """Plans and steps that must not grow faster than their input."""
 
+import datetime
 import hashlib
 import itertools
 import math
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.operators import corpus, identity, metrics, rankings, ratings, tournaments, trends
+from rosterlake.operators import batch_players, corpus, identity, metrics, rankings, ratings, tournaments, trends
 from rosterlake.plans import more
 from rosterlake.plans.queries import QUERIES, SQL, Views
 from rosterlake.sources import demo, tables
@@ -330,3 +331,21 @@ def test_best_rosters_are_read_where_they_are(spark):
     assert "LeftSemi" in plan(got)
     latest = {(r.club, r.player_id, r.n_events) for r in got.where("season = 2002").collect()}
     assert latest == {("c0", 1, 1), ("c0", 2, 1), ("c0", 4, None), ("c1", 1, 1), ("c1", 2, 1), ("c1", 3, None)} and got.where("season = 2001").count() == 5
+
+
+def test_twins_are_rated_once(spark):
+    """Players of the same rosters are one entry of a batch rating, with the shares and credits of each of them."""
+    clubs = spark.createDataFrame([(f"t{i}", f"c{i}") for i in range(2)], "event_team_id string, club string")
+    rosters = spark.createDataFrame([("t0", p) for p in (1, 2, 3, 3, 4)] + [("t1", p) for p in (5, 6, 7)], "event_team_id string, player_id long")
+    stats = spark.createDataFrame([("t0", "2020-01-01", 4, 3.0, 1.0)], "event_team_id string, end_date string, player_id long, usage double, quality double").withColumn("end_date", F.col("end_date").cast("date"))
+    games = spark.createDataFrame([(0, "t0", "t1", 2020)], "lane int, home_id string, away_id string, season int")
+    cutoffs = [datetime.date(2020, 2, 1)]
+    whole = batch_players.entries_of(games, rosters, clubs, stats, cutoffs)
+    who = ratings.twins(rosters, spark.createDataFrame([("4",)], "player string"))
+    once = batch_players.entries_of(games, rosters, clubs, stats, cutoffs, who)
+    assert sorted(r.player for r in once.collect()) == ["1", "3", "4", "5"] and whole.count() == 8
+    twin = who.select("player", "twin")
+    share = {r[0]: r[1] for r in whole.join(twin, "player").groupBy("twin").agg(F.sum("share")).collect()}
+    credit = {r[0]: r[1] for r in whole.groupBy("player").agg(F.sum("credit")).collect()}
+    for r in once.collect():
+        assert r.share == pytest.approx(share[r.player]) and r.credit == pytest.approx(credit[r.player])
